@@ -1,6 +1,6 @@
 """Registered queries over the driver tables (one module per area)."""
 
-from seqlake.plans import packing_plans  # noqa: F401
+from seqlake.plans import corpus_plans, packing_plans  # noqa: F401
 from seqlake.plans.registry import oracle_sql, queries
 
 __all__ = ["queries", "oracle_sql"]
