@@ -9,27 +9,43 @@ from seqlake.operators.joins import sized_broadcast
 from seqlake.operators.vocab import BOS, EOS
 
 
-def lookup_ids(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
-               out_col: str = "ids", n_partitions: int | None = None) -> DataFrame:
-    """token -> id for every element (C1); unknown tokens become NULL.
+def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
+                 from_col: str, to_col: str, out_col: str,
+                 n_partitions: int | None = None) -> DataFrame:
+    """Replace every array element through a lookup table; misses become NULL.
 
-    ``posexplode`` -> join with the vocabulary (broadcast when its size is
-    checked small, else a shuffle join with AQE skew splitting) -> regroup by
-    the sequence key.  The input is hash-partitioned by ``key`` first, so with a
-    broadcast lookup the regroup needs no second shuffle.  Never a map column
-    (a map lookup is a linear scan).
+    ``posexplode`` -> join with the lookup (broadcast when its size is checked
+    small, else a shuffle join with AQE skew splitting) -> regroup by the
+    sequence key.  The input is hash-partitioned by ``key`` first, so with a
+    broadcast lookup the regroup and the final join add no exchange.  Never a
+    map column (a map lookup is a linear scan).
     """
     spark = seqs.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = seqs.repartition(n, key)
-    exploded = base.select(key, F.posexplode_outer(tokens_col).alias("_pos", "token"))
-    voc = sized_broadcast(vocab.select("token", F.col("id").cast("int").alias("_id")))
-    joined = exploded.join(voc, "token", "left")
+    exploded = base.select(key, F.posexplode_outer(arr_col).alias("_pos", "_from"))
+    lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")))
+    joined = exploded.join(lk, "_from", "left")
     regrouped = joined.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(),
-                                           F.struct("_pos", "_id")))).alias("_pairs"))
-    with_ids = regrouped.select(key, F.transform("_pairs", lambda p: p["_id"]).alias(out_col))
-    return base.join(with_ids, key, "left")
+                                           F.struct("_pos", "_to")))).alias("_pairs"))
+    mapped = regrouped.select(key, F.transform("_pairs", lambda p: p["_to"]).alias(out_col))
+    return base.join(mapped, key, "left")
+
+
+def lookup_ids(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
+               out_col: str = "ids", n_partitions: int | None = None) -> DataFrame:
+    """Token -> id for every element; unknown tokens become NULL."""
+    voc = vocab.select("token", F.col("id").cast("int").alias("id"))
+    return map_elements(seqs, key, tokens_col, voc, "token", "id", out_col, n_partitions)
+
+
+def decode_join(seqs: DataFrame, key: str, ids_col: str, vocab: DataFrame,
+                out_col: str = "decoded", unknown: str = "?") -> DataFrame:
+    """C2 for vocabularies of any size: id -> token by the same explode/join/regroup
+    path; an unknown id decodes to ``unknown``."""
+    out = map_elements(seqs, key, ids_col, vocab, "id", "token", "_dec")
+    return out.withColumn(out_col, F.transform("_dec", lambda t: F.coalesce(t, F.lit(unknown)))).drop("_dec")
 
 
 def all_known(ids_col: str = "ids"):

@@ -71,61 +71,63 @@ def dense_index(df: DataFrame, order_cols, name: str = "idx",
                  .drop("_off", "_local", BLOCK))
 
 
-def running_sum(df: DataFrame, value, order_cols, partition_cols=(), name: str = "cum",
+def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str = "cum",
                 n_blocks: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` per ``partition_cols`` in ``order_cols`` order.
+    """Inclusive running sums per ``partition_cols`` in ``order_cols`` order.
 
-    Equivalent to ``sum(value).over(partitionBy(p).orderBy(o).rowsBetween(unbounded, 0))``
+    ``values`` is one column (result in ``name``) or a dict ``{out_name: column}``.
+    Equivalent to ``sum(v).over(partitionBy(p).orderBy(o).rowsBetween(unbounded, 0))``
     but a key holding a third of all rows is spread over many range blocks: each
     block sums its own piece (one balanced exchange on (block, key)); only the
     first key of a block can continue from earlier blocks, so the carry table
     has one row per block.
     """
-    pc = list(partition_cols)
-    oc = list(order_cols)
-    val = F.col(value) if isinstance(value, str) else value
-    work = df.withColumn("_v", val)
+    vals = dict(values) if isinstance(values, dict) else {name: values}
+    vals = {k: (F.col(v) if isinstance(v, str) else v) for k, v in vals.items()}
+    names = list(vals)
+    pc, oc = list(partition_cols), list(order_cols)
+    work = df
+    for i, k in enumerate(names):
+        work = work.withColumn(f"_v{i}", vals[k])
     pinned = pin_blocks(work, [*pc, *oc], n_blocks)
     w = Window.partitionBy(BLOCK, *_cols(pc)).orderBy(*_cols(oc)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    inblock = pinned.withColumn("_cum", F.sum("_v").over(w))
+    inblock = pinned
+    for i in range(len(names)):
+        inblock = inblock.withColumn(f"_c{i}", F.sum(f"_v{i}").over(w))
     spark = df.sparkSession
-    if not pc:
-        totals = sorted((r[0], r[1]) for r in inblock.groupBy(BLOCK).agg(F.sum("_v")).collect())
-        carry, acc = [], 0
-        for blk, s in totals:
-            carry.append((blk, acc))
-            acc += s or 0
-        tab = _small_table(spark, carry or [(0, 0)], f"{BLOCK} int, _carry double")
-        out = inblock.join(tab, BLOCK, "left").withColumn(
-            name, F.col("_cum") + F.coalesce(F.col("_carry").cast(inblock.schema["_cum"].dataType), F.lit(0)))
-        return out.drop("_v", "_cum", "_carry", BLOCK)
-    key = F.struct(*_cols(pc))
+    key = F.struct(*_cols(pc)) if pc else F.lit(0)
     order_key = F.struct(key.alias("k"), F.struct(*_cols(oc)).alias("o"))
     summary = (inblock.groupBy(BLOCK)
                .agg(F.min_by(key, order_key).alias("first_key"),
                     F.max_by(key, order_key).alias("last_key"),
-                    F.max_by(F.col("_cum"), order_key).alias("last_cum"))
-               .collect())
+                    *[F.max_by(F.col(f"_c{i}"), order_key).alias(f"last{i}") for i in range(len(names))])
+               .collect())  # one row per block
     summary.sort(key=lambda r: r[BLOCK])
-    rows = []
-    prev_key, prev_total = None, None
+    conv = [float if inblock.schema[f"_c{i}"].dataType.typeName() in ("double", "float") else int
+            for i in range(len(names))]
+    tab_rows = []
+    prev_key, prev_tot = None, None
     for r in summary:
-        fk, lk, lc = r["first_key"], r["last_key"], r["last_cum"] or 0
-        c = prev_total if (prev_key is not None and tuple(fk) == tuple(prev_key)) else 0
-        rows.append((r[BLOCK], c))
-        prev_total = lc + (c if tuple(lk) == tuple(fk) else 0)
+        fk, lk = r["first_key"], r["last_key"]
+        same_prev = prev_key is not None and fk == prev_key
+        carry = [prev_tot[i] if same_prev else 0 for i in range(len(names))]
+        tab_rows.append((r[BLOCK], *[conv[i](c) for i, c in enumerate(carry)],
+                         *(tuple(fk) if pc else ())))
+        prev_tot = [(r[f"last{i}"] or 0) + (carry[i] if lk == fk else 0) for i in range(len(names))]
         prev_key = lk
-    # the carry applies only to the first key of each block
-    first_keys = {r[BLOCK]: r["first_key"] for r in summary}
-    schema = [f"{BLOCK} int", "_carry double"] + [
+    schema = [f"{BLOCK} int"] + [
+        f"_k{i} {inblock.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(names))] + [
         f"_fk{i} {inblock.schema[c].dataType.simpleString()}" for i, c in enumerate(pc)]
-    tab_rows = [(b, float(c), *tuple(first_keys[b])) for b, c in rows]
-    tab = _small_table(spark, tab_rows or [tuple([0, 0.0] + [None] * len(pc))], ", ".join(schema))
+    if not tab_rows:
+        tab_rows = [tuple([0] + [0] * len(names) + [None] * len(pc))]
+    tab = _small_table(spark, tab_rows, ", ".join(schema))
     match = F.lit(True)
     for i, c in enumerate(pc):
         match = match & F.col(c).eqNullSafe(F.col(f"_fk{i}"))
-    cum_type = inblock.schema["_cum"].dataType
-    out = inblock.join(tab, BLOCK, "left").withColumn(
-        name, F.col("_cum") + F.when(match, F.col("_carry")).otherwise(F.lit(0)).cast(cum_type))
-    return out.drop("_v", "_cum", "_carry", BLOCK, *[f"_fk{i}" for i in range(len(pc))])
+    out = inblock.join(tab, BLOCK, "left")
+    for i, k in enumerate(names):
+        t = inblock.schema[f"_c{i}"].dataType
+        out = out.withColumn(k, F.col(f"_c{i}") + F.when(match, F.col(f"_k{i}")).otherwise(F.lit(0)).cast(t))
+    drop = [BLOCK] + [f"_{p}{i}" for p in "vck" for i in range(len(names))] + [f"_fk{i}" for i in range(len(pc))]
+    return out.drop(*drop)
