@@ -71,8 +71,14 @@ def dense_index(df: DataFrame, order_cols, name: str = "idx",
                  .drop("_off", "_local", BLOCK))
 
 
+def _max2(a, b):
+    if a is None:
+        return b
+    return a if b is None else max(a, b)
+
+
 def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str = "cum",
-                n_blocks: int | None = None) -> DataFrame:
+                n_blocks: int | None = None, how: str = "sum") -> DataFrame:
     """Inclusive running sums per ``partition_cols`` in ``order_cols`` order.
 
     ``values`` is one column (result in ``name``) or a dict ``{out_name: column}``.
@@ -80,8 +86,12 @@ def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str
     but a key holding a third of all rows is spread over many range blocks: each
     block sums its own piece (one balanced exchange on (block, key)); only the
     first key of a block can continue from earlier blocks, so the carry table
-    has one row per block.
+    has one row per block.  ``how="max"`` gives a running maximum instead (the
+    carry is combined with ``greatest``); NULL values are skipped.
     """
+    if how not in ("sum", "max"):
+        raise ValueError(f"unknown running aggregate {how!r}")
+    agg = F.sum if how == "sum" else F.max
     vals = dict(values) if isinstance(values, dict) else {name: values}
     vals = {k: (F.col(v) if isinstance(v, str) else v) for k, v in vals.items()}
     names = list(vals)
@@ -94,7 +104,7 @@ def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str
         Window.unboundedPreceding, Window.currentRow)
     inblock = pinned
     for i in range(len(names)):
-        inblock = inblock.withColumn(f"_c{i}", F.sum(f"_v{i}").over(w))
+        inblock = inblock.withColumn(f"_c{i}", agg(f"_v{i}").over(w))
     spark = df.sparkSession
     key = F.struct(*_cols(pc)) if pc else F.lit(0)
     order_key = F.struct(key.alias("k"), F.struct(*_cols(oc)).alias("o"))
@@ -111,10 +121,14 @@ def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str
     for r in summary:
         fk, lk = r["first_key"], r["last_key"]
         same_prev = prev_key is not None and fk == prev_key
-        carry = [prev_tot[i] if same_prev else 0 for i in range(len(names))]
-        tab_rows.append((r[BLOCK], *[conv[i](c) for i, c in enumerate(carry)],
+        if how == "sum":
+            carry = [prev_tot[i] if same_prev else 0 for i in range(len(names))]
+            prev_tot = [(r[f"last{i}"] or 0) + (carry[i] if lk == fk else 0) for i in range(len(names))]
+        else:
+            carry = [prev_tot[i] if same_prev else None for i in range(len(names))]
+            prev_tot = [_max2(r[f"last{i}"], carry[i] if lk == fk else None) for i in range(len(names))]
+        tab_rows.append((r[BLOCK], *[None if c is None else conv[i](c) for i, c in enumerate(carry)],
                          *(tuple(fk) if pc else ())))
-        prev_tot = [(r[f"last{i}"] or 0) + (carry[i] if lk == fk else 0) for i in range(len(names))]
         prev_key = lk
     schema = [f"{BLOCK} int"] + [
         f"_k{i} {inblock.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(names))] + [
@@ -128,6 +142,9 @@ def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str
     out = inblock.join(tab, BLOCK, "left")
     for i, k in enumerate(names):
         t = inblock.schema[f"_c{i}"].dataType
-        out = out.withColumn(k, F.col(f"_c{i}") + F.when(match, F.col(f"_k{i}")).otherwise(F.lit(0)).cast(t))
+        if how == "sum":
+            out = out.withColumn(k, F.col(f"_c{i}") + F.when(match, F.col(f"_k{i}")).otherwise(F.lit(0)).cast(t))
+        else:
+            out = out.withColumn(k, F.greatest(F.col(f"_c{i}"), F.when(match, F.col(f"_k{i}")).cast(t)))
     drop = [BLOCK] + [f"_{p}{i}" for p in "vck" for i in range(len(names))] + [f"_fk{i}" for i in range(len(pc))]
     return out.drop(*drop)
