@@ -34,17 +34,36 @@ def default_blocks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None) -> DataFrame:
-    """Range-partition on ``order_cols``, sort inside blocks, record the block id, checkpoint."""
+def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None,
+               bucket: Column | None = None) -> DataFrame:
+    """Put rows in blocks that are contiguous ranges of ``order_cols``, sorted
+    inside, with the block id in ``_blk``, and checkpoint.
+
+    Without ``bucket`` the blocks come from ``repartitionByRange`` (one block per
+    partition; bounds are sampled, hence the checkpoint).  With ``bucket`` — a
+    deterministic, non-decreasing function of the order into ``0..n-1``, e.g. a
+    prefix of a uniform hash — no sampling pass is needed; a partition may then
+    hold several blocks, each contiguous and sorted.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     n = n_blocks or default_blocks(df)
     oc = _cols(order_cols)
-    ranged = (df.repartitionByRange(n, *oc)
-                .sortWithinPartitions(*oc)
-                .withColumn(BLOCK, F.spark_partition_id()))
+    if bucket is None:
+        ranged = (df.repartitionByRange(n, *oc)
+                    .sortWithinPartitions(*oc)
+                    .withColumn(BLOCK, F.spark_partition_id()))
+    else:
+        ranged = (df.withColumn(BLOCK, bucket.cast("int"))
+                    .repartition(n, BLOCK)
+                    .sortWithinPartitions(BLOCK, *oc))
     return ranged.checkpoint(eager=True)
 
 
+def hex_bucket(hex_key: Column, n: int) -> Column:
+    """Monotone bucket ``0..n-1`` of a uniform lowercase-hex key (first 8 digits)."""
+    return F.floor(F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("bigint") * F.lit(n) / F.lit(1 << 32))
+
+
 def _small_table(spark, rows, schema) -> DataFrame:
     # one row per block: the size bound is the block count, so a broadcast is safe
     return F.broadcast(spark.createDataFrame(rows, schema))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.functions.keys import hash_key
-from seqlake.operators.ordered import BLOCK, pin_blocks
+from seqlake.operators.ordered import BLOCK, default_blocks, hex_bucket, pin_blocks
 
 DEFAULT_CHUNK_LEN = 257  # max_seq_len 256 + 1
 DEFAULT_SEED = 42
@@ -77,9 +77,10 @@ def _pass_a(chunk_len: int, len_col: str):
                 lens_by_blk.setdefault(int(blk), []).append(part[len_col].to_numpy())
         for blk, parts in lens_by_blk.items():
             lens = np.concatenate(parts)
+            n_bad = int(((lens < 1) | (lens > chunk_len)).sum())
             s, closed, tail = _transitions(lens, chunk_len)
             yield pd.DataFrame({BLOCK: [blk], "n": [len(lens)], "exit_cur": [s.tolist()],
-                                "closed": [closed.tolist()], "tail": [tail.tolist()]})
+                                "closed": [closed.tolist()], "tail": [tail.tolist()], "n_bad": [n_bad]})
     return fn
 
 
@@ -119,21 +120,24 @@ def pack_exact(items: DataFrame, id_cols, len_col: str = "len",
     ``pos`` (index of the item inside its chunk).
     """
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    key = F.col(key_col) if key_col else seeded_key(seed, *id_cols)
-    bad = items.where((F.col(len_col) > chunk_len) | (F.col(len_col) < 1))
-    keyed = items.withColumn("_key", key)
-    keyed = keyed.where((F.col(len_col) <= chunk_len) & (F.col(len_col) >= 1))
-    pinned = pin_blocks(keyed, [F.col("_key"), *[F.col(c) for c in id_cols]], n_blocks)
-    if bad.limit(1).count():
-        raise ValueError(f"pack_exact: lengths must be within 1..{chunk_len}")
+    keyed = items.withColumn("_key", F.col(key_col) if key_col else seeded_key(seed, *id_cols))
+    order = [F.col("_key"), *[F.col(c) for c in id_cols]]
+    if key_col:      # arbitrary order: sampled range blocks
+        pinned = pin_blocks(keyed, order, n_blocks)
+    else:            # uniform md5 order: blocks straight from the key prefix, no sampling pass
+        n = n_blocks or default_blocks(items)
+        pinned = pin_blocks(keyed, order, n, bucket=hex_bucket(F.col("_key"), n))
     tab_schema = T.StructType([
         T.StructField(BLOCK, T.IntegerType()), T.StructField("n", T.LongType()),
         T.StructField("exit_cur", T.ArrayType(T.LongType())),
         T.StructField("closed", T.ArrayType(T.LongType())),
-        T.StructField("tail", T.ArrayType(T.LongType()))])
+        T.StructField("tail", T.ArrayType(T.LongType())),
+        T.StructField("n_bad", T.LongType())])
     tables = (pinned.select(BLOCK, len_col)
                     .mapInPandas(_pass_a(chunk_len, len_col), tab_schema)
                     .collect())  # one row per block: (chunk_len + 1) x 3 integers
+    if any(r["n_bad"] for r in tables):
+        raise ValueError(f"pack_exact: lengths must be within 1..{chunk_len} (apply max_length_filter)")
     tables.sort(key=lambda r: r[BLOCK])
     entries, cur, fill, base = {}, 0, 0, 0
     for r in tables:

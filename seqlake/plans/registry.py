@@ -37,5 +37,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table (a parquet file or folder under ``sf_dir``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table (a parquet file or folder under ``sf_dir``); a scan with
+    fewer splits than cores is spread first (see ``spread_narrow_scan``)."""
+    from seqlake.sources.corpus import spread_narrow_scan
+    return spread_narrow_scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

@@ -37,6 +37,9 @@ def build_session(master: str | None = None, cores: int | None = None,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": os.environ.get("SEQLAKE_DRIVER_MEMORY", "16g"),
         "spark.sql.ansi.enabled": "true",
+        # regrouping exploded sequences (collect_list per sequence) stays hash-based
+        # up to this many sequences per task, then falls back to sort-based
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         # keyed state for the streaming operators (transformWithStateInPandas)
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -83,3 +83,15 @@ def test_split_sizes_and_ranks(spark):
     per = {r.rank: r["count"] for r in ranks.groupBy("rank").count().collect()}
     assert set(per.values()) == {126} and len(per) == 8
     assert ranks.select("gid").distinct().count() == 1003
+
+
+@SETTINGS
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=300), st.integers(1, 9))
+def test_pack_exact_hash_blocks_equal_sequential(spark, lens, blocks):
+    """Default mode: blocks from the md5 key prefix (several blocks per partition)."""
+    import hashlib
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lens)], "gid long, len int")
+    got = {r.gid: r.chunk_id for r in pack_exact(df, ["gid"], "len", 40, seed=7, n_blocks=blocks).collect()}
+    order = sorted(range(len(lens)), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
+    expected = next_fit([lens[i] for i in order], 40)
+    assert [got[i] for i in order] == expected
