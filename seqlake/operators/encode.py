@@ -80,3 +80,18 @@ def encode(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
     if keep_rejects:
         return out
     return out.where(F.col("reject_reason").isNull()).drop("reject_reason")
+
+
+def vocab_lookup(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
+    """C1 under its survey name (see ``lookup_ids``)."""
+    return lookup_ids(seqs, key, tokens_col, vocab, out_col)
+
+
+def reject_unknown(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
+    """Every sequence with ``reject_reason`` (NULL = kept, 'empty', 'unknown_token')."""
+    return encode(seqs, key, tokens_col, vocab, on_unknown="reject", keep_rejects=True)
+
+
+def strict_encode(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame) -> DataFrame:
+    """Serving encode — ``[BOS] ++ ids``, an unknown token fails the query."""
+    return encode(seqs, key, tokens_col, vocab, on_unknown="error")

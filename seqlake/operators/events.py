@@ -95,6 +95,22 @@ def carry_last(df: DataFrame, key: str, order_cols, value_ts: Column, value_bit:
                .drop("_enc"))
 
 
+def game_lifecycle(df: DataFrame, key: str, order_cols, type_col: str, moves: str, ts_us: str,
+                   full_type: str, state_types, end_types) -> DataFrame:
+    """J3 (batch): the latest full-state event fixes the colour (white iff its
+    move count is even); an end event after it closes the game; every full or
+    state event of a live game where it is our move is a "turn due" row.
+    Two block-parallel running maxima carry the state, so a hot key is split."""
+    full = F.when(F.col(type_col) == full_type, F.col(ts_us) * 2 + F.col(moves) % 2)
+    end = F.when(F.col(type_col).isin(*end_types), F.col(ts_us))
+    s = running_sum(df, {"_full": full.cast("bigint"), "_end": end}, order_cols, [key], how="max")
+    white = F.col("_full") % 2 == 0
+    live = F.col("_full").isNotNull() & (F.col("_end").isNull() | (F.col("_end") < F.floor(F.col("_full") / 2)))
+    due = live & F.col(type_col).isin(full_type, *state_types) & ((F.col(moves) % 2 == 0) == white)
+    return (s.where(due).withColumn("color", F.when(white, F.lit("white")).otherwise(F.lit("black")))
+             .drop("_full", "_end"))
+
+
 # -- J4 cooldown: exact fold, block-parallel ------------------------------------
 
 def _chain(t: np.ndarray, gap: int):

@@ -252,3 +252,14 @@ def packing_summary(packing: DataFrame, len_col: str = "len", shard_col: str = "
         (F.max("chunk_id") + 1).cast("bigint").alias("n_chunks"),
         F.sum(len_col).cast("bigint").alias("n_tokens"),
     ).withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_chunks") * F.lit(chunk_len)), 6))
+
+
+def preview(tensors: DataFrame, vocab: DataFrame, n_chunks: int = 3, n_tokens: int = 20,
+            ids_col: str = "input_ids") -> DataFrame:
+    """the first ``n_chunks`` chunks (a limit is the feature here), their
+    first ``n_tokens`` non-PAD tokens decoded."""
+    from seqlake.operators.encode import decode_join
+    first = tensors.orderBy("chunk_id").limit(n_chunks)
+    dec = decode_join(first.select("chunk_id", ids_col), "chunk_id", ids_col, vocab)
+    toks = F.slice(F.filter("decoded", lambda t: t != F.lit("PAD")), 1, n_tokens)
+    return dec.select("chunk_id", F.array_join(toks, " ").alias("preview"))

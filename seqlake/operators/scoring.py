@@ -171,3 +171,9 @@ def linear_scorer(n_out: int):
             return (np.asarray(x, dtype=np.float64) @ w.T).astype(np.float64)
         return predict
     return make_predict_fn
+
+
+def legal_semijoin(scored_long: DataFrame, legal_long: DataFrame, keys=("row_id", "token_id")) -> DataFrame:
+    """C5 in exploded form: keep (row, token) pairs present in the legal set
+    (``left_semi`` on both keys; the in-row form is ``array_contains``)."""
+    return scored_long.join(legal_long.select(*keys), list(keys), "left_semi")

@@ -124,3 +124,9 @@ def random_pick(df: DataFrame, id_col: str, n: int, seed: int = 42, owner: str |
         return df.withColumn("_key", key).orderBy("_key", id_col).limit(n).drop("_key")
     w = Window.partitionBy(owner).orderBy(key, F.col(id_col))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def sorted_listing(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
+    """distinct values in byte order (UTF8 binary = the reference's ASCII
+    order) with their 0-based position."""
+    return dense_index(df.select(col).distinct(), [F.col(col)], name)

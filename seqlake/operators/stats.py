@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.operators.ordered import running_sum
+
 
 def funnel(df: DataFrame, stem: str, passed: Column, kept: Column) -> DataFrame:
     """Per source and grand total — rows, rows passing the SQL filter, rows
@@ -122,3 +124,33 @@ def key_drift(left: DataFrame, right: DataFrame, key: str, allow: DataFrame | No
     if allow is not None:
         out = out.join(allow.select(F.col(key).alias("k")), "k", "left_anti")
     return out.withColumnRenamed("k", key)
+
+
+def running_weighted_avg(per_step: DataFrame, epoch: str = "epoch", step: str = "step",
+                         loss_x_n: str = "ln", n: str = "n") -> DataFrame:
+    """After each step, sum(loss*n) / sum(n) since the epoch start (two
+    block-parallel running sums; an epoch may hold any share of the rows)."""
+    cum = running_sum(per_step, {"_cln": loss_x_n, "_cn": n}, [step], [epoch])
+    return cum.withColumn("running_loss", F.round(F.col("_cln") / F.nullif(F.col("_cn"), F.lit(0)), 6)) \
+              .drop("_cln", "_cn")
+
+
+def ply_index(df: DataFrame, moves_played: str) -> DataFrame:
+    """Ply, full move ``ceil(ply / 2)`` and side to move (white iff the
+    number of moves played is even)."""
+    m = F.col(moves_played)
+    return (df.withColumn("ply", (m + 1).cast("bigint"))
+              .withColumn("full_move", F.ceil((m + 1) / 2).cast("bigint"))
+              .withColumn("side_to_move", F.when(m % 2 == 0, F.lit("white")).otherwise(F.lit("black"))))
+
+
+def book_agreement(pred: DataFrame, book: DataFrame, group: str, prefix: str = "pfx", nxt: str = "nxt") -> DataFrame:
+    """Share of (prefix -> next move) predictions found in the opening book.
+    Joined on a 64-bit prefix hash plus full equality (a hash collision cannot
+    produce a false match); the book is de-duplicated first."""
+    p = pred.withColumn("_h", F.xxhash64(prefix))
+    b = (book.select(F.col(prefix).alias("_bp"), F.col(nxt).alias("_bn")).distinct()
+             .withColumn("_bh", F.xxhash64("_bp")).withColumn("_hit", F.lit(1)))
+    j = p.join(b, (p["_h"] == b["_bh"]) & (p[prefix] == b["_bp"]) & (p[nxt] == b["_bn"]), "left")
+    return (j.groupBy(group).agg(F.count("*").alias("n"), F.count("_hit").alias("n_in_book"))
+             .withColumn("share", F.round(F.col("n_in_book") / F.col("n"), 6)))

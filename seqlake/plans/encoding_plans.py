@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import split_ws
-from seqlake.operators.encode import all_known, decode_join, encode, lookup_ids
+from seqlake.operators.encode import (all_known, decode_join, encode, lookup_ids, reject_unknown,
+                                     strict_encode, vocab_lookup)
 from seqlake.operators.filters import max_length_filter, min_length_filter
 from seqlake.operators.stats import encode_totals, length_stats, token_frequency
 from seqlake.operators.vocab import (LINE_DIRECTIONS, KNIGHT_JUMPS, PROMOTIONS, learned_vocabulary,
@@ -92,7 +93,7 @@ WITH {SQL_DT}, {SQL_EN_VOCAB}, {SQL_LOOKED}
 SELECT doc_id, ids_text FROM looked
 """)
 def q_vocab_lookup(spark, sf_dir):
-    looked = lookup_ids(doc_tokens(spark, sf_dir), "doc_id", "tokens", en_vocab(spark, sf_dir))
+    looked = vocab_lookup(doc_tokens(spark, sf_dir), "doc_id", "tokens", en_vocab(spark, sf_dir))
     return looked.select("doc_id", ids_text("ids").alias("ids_text"))
 
 
@@ -102,7 +103,7 @@ SELECT doc_id, CASE WHEN n_tok = 0 THEN 'empty' WHEN n_known < n_tok THEN 'unkno
 FROM looked
 """)
 def q_reject_unknown(spark, sf_dir):
-    out = encode(doc_tokens(spark, sf_dir), "doc_id", "tokens", en_vocab(spark, sf_dir), keep_rejects=True)
+    out = reject_unknown(doc_tokens(spark, sf_dir), "doc_id", "tokens", en_vocab(spark, sf_dir))
     return out.select("doc_id", "reject_reason")
 
 
@@ -125,7 +126,7 @@ def q_strict_encode(spark, sf_dir):
     vocab = en_vocab(spark, sf_dir)
     docs = doc_tokens(spark, sf_dir)
     good = lookup_ids(docs, "doc_id", "tokens", vocab, "_chk").where(all_known("_chk")).drop("_chk")
-    out = encode(good, "doc_id", "tokens", vocab, on_unknown="error")
+    out = strict_encode(good, "doc_id", "tokens", vocab)
     return out.select("doc_id", ids_text("ids").alias("ids_text"))
 
 

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlake.operators.events import (active_sessions, admission_decision, candidate_filter,
-                                      carry_last, cooldown, game_deltas, route_events, ts_micros)
+                                      carry_last, cooldown, game_deltas, game_lifecycle, route_events,
+                                      ts_micros)
 from seqlake.operators.ordered import running_sum
 from seqlake.plans.registry import register, table
 
@@ -118,15 +119,9 @@ WHERE enc IS NOT NULL AND (ended IS NULL OR ended < enc // 2)
   AND ((enc % 2 = 0 AND k % 2 = 0) OR (enc % 2 = 1 AND k % 2 = 1))
 """)
 def q_game_lifecycle(spark, sf_dir):
-    f = feed(spark, sf_dir)
-    enc = F.when(F.col("event_type") == "signup", F.col("ts_us") * 2 + F.col("k") % 2)
-    ended = F.when(F.col("event_type").isin("error", "purchase"), F.col("ts_us"))
-    s = running_sum(f, {"enc": enc.cast("bigint"), "ended": ended}, ["ts_us", "event_id"], ["user_id"], how="max")
-    white = F.col("enc") % 2 == 0
-    live = F.col("enc").isNotNull() & (F.col("ended").isNull() | (F.col("ended") < F.floor(F.col("enc") / 2)))
-    due = live & F.col("event_type").isin("signup", "view", "click") & ((F.col("k") % 2 == 0) == white)
-    return s.where(due).select("event_id", "user_id",
-                               F.when(white, F.lit("white")).otherwise(F.lit("black")).alias("color"))
+    due = game_lifecycle(feed(spark, sf_dir), "user_id", ["ts_us", "event_id"], "event_type", "k", "ts_us",
+                         "signup", ("view", "click"), ("error", "purchase"))
+    return due.select("event_id", "user_id", "color")
 
 
 @register("cooldown", f"""

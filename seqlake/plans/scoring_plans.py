@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.operators.scoring import (greedy_legal, illegal_and_confidence, linear_scorer,
+from seqlake.operators.scoring import (greedy_legal, illegal_and_confidence, legal_semijoin, linear_scorer,
                                        parity_join, parity_summary, sample_legal, sample_topk,
                                        scored, strategy, topk_accuracy, topk_legal)
 from seqlake.plans.registry import register, table
@@ -115,7 +115,7 @@ def q_legal_semijoin(spark, sf_dir):
     cands = r.select("vec_id", F.explode(scored("logits")).alias("s")).where(F.col("s.logit") > 0) \
              .select("vec_id", F.col("s.id").alias("token_id"))
     legal = r.select("vec_id", F.explode("legal").alias("token_id"))
-    return cands.join(legal, ["vec_id", "token_id"], "left_semi")
+    return legal_semijoin(cands, legal, ["vec_id", "token_id"])
 
 
 @register("topk_accuracy", f"""

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from seqlake.operators.events import ts_micros
 from seqlake.operators.filters import corpus_filter
 from seqlake.operators.ordered import running_sum
-from seqlake.operators.stats import (accuracy_by_phase, category_distribution, completeness_by_period,
-                                     key_drift, rating_histogram, throughput_log, token_weighted_loss)
+from seqlake.operators.stats import (accuracy_by_phase, book_agreement, category_distribution,
+                                     completeness_by_period, key_drift, ply_index, rating_histogram,
+                                     running_weighted_avg, throughput_log, token_weighted_loss)
 from seqlake.plans.corpus_plans import GAME_CFG, SQL_COND, SQL_GAMES, games
 from seqlake.plans.registry import register, table
 from seqlake.plans.standins import SQL_DOC_TOKENS, doc_tokens
@@ -83,8 +84,7 @@ def q_running_weighted_avg(spark, sf_dir):
     """Per step (summed over ranks), Σloss·n / Σn since the epoch start."""
     per_step = (metrics(spark, sf_dir).groupBy("epoch", "step")
                 .agg(F.sum(F.col("loss") * F.col("n_tokens")).alias("ln"), F.sum("n_tokens").alias("n")))
-    cum = running_sum(per_step, {"cln": "ln", "cn": "n"}, ["step"], ["epoch"])
-    return cum.select("epoch", "step", F.round(F.col("cln") / F.col("cn"), 6).alias("running_loss"))
+    return running_weighted_avg(per_step).select("epoch", "step", "running_loss")
 
 
 @register("throughput_log", f"""
@@ -129,9 +129,7 @@ FROM conversations
 def q_ply_index(spark, sf_dir):
     """Moves played so far = turn; white to move iff that count is even."""
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", (F.col("turn") + 1).alias("ply"),
-                    F.ceil((F.col("turn") + 1) / 2).cast("bigint").alias("full_move"),
-                    F.when(F.col("turn") % 2 == 0, F.lit("white")).otherwise(F.lit("black")).alias("side_to_move"))
+    return ply_index(c, "turn").select("conv_id", "turn", "ply", "full_move", "side_to_move")
 
 
 @register("key_drift", """
@@ -159,10 +157,5 @@ def q_book_agreement(spark, sf_dir):
     """Share of (prefix -> next move) predictions found in the opening book
     (book = English openings); join on a prefix hash plus full equality."""
     dt = doc_tokens(spark, sf_dir).where(F.size("tokens") >= 4)
-    p = dt.select("lang", F.slice("tokens", 1, 3).alias("pfx"), F.get("tokens", 3).alias("nxt")) \
-          .withColumn("h", F.xxhash64("pfx"))
-    book = p.where(F.col("lang") == "en").select("h", F.col("pfx").alias("bpfx"), F.col("nxt").alias("bnxt")) \
-            .distinct().withColumn("hit", F.lit(1))
-    j = p.join(book, (p.h == book.h) & (p.pfx == book.bpfx) & (p.nxt == book.bnxt), "left")
-    return j.groupBy("lang").agg(F.count("*").alias("n"), F.count("hit").alias("n_in_book")) \
-            .withColumn("share", F.round(F.col("n_in_book") / F.col("n"), 6))
+    p = dt.select("lang", F.slice("tokens", 1, 3).alias("pfx"), F.get("tokens", 3).alias("nxt"))
+    return book_agreement(p, p.where(F.col("lang") == "en"), "lang")

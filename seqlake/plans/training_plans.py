@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from seqlake.operators.encode import decode_join
 from seqlake.operators.packing import (chunk_tensor, gather_chunks, nonpad_tokens, pack_bucketed,
-                                       shift_labels, shift_labels_long)
+                                       preview, shift_labels, shift_labels_long)
 from seqlake.operators.split import (batch, date_split, epoch_shuffle, random_pick, random_split,
-                                     seeded_shuffle, shard_ranks)
+                                     seeded_shuffle, shard_ranks, sorted_listing)
 from seqlake.operators.vocab import learned_vocabulary
 from seqlake.operators.ordered import dense_index
 from seqlake.plans.encoding_plans import SQL_ALL_VOCAB, SQL_DT, ids_text
@@ -197,16 +197,12 @@ GROUP BY chunk_id
 """)
 def q_preview(spark, sf_dir):
     """first 3 chunks, first 20 non-PAD decoded input tokens."""
-    first = chunk_tensor(chunks(spark, sf_dir), CHUNK_LEN).orderBy("chunk_id").limit(3)
     vocab = learned_vocabulary(table(spark, sf_dir, "documents"))
-    dec = decode_join(first.select("chunk_id", "input_ids"), "chunk_id", "input_ids", vocab)
-    prev = F.slice(F.filter("decoded", lambda t: t != F.lit("PAD")), 1, 20)
-    return dec.select("chunk_id", F.array_join(prev, " ").alias("preview"))
+    return preview(chunk_tensor(chunks(spark, sf_dir), CHUNK_LEN), vocab, 3, 20)
 
 
 @register("sorted_listing", """
 SELECT url, (row_number() OVER (ORDER BY url) - 1)::BIGINT AS idx FROM (SELECT DISTINCT url FROM pages)
 """)
 def q_sorted_listing(spark, sf_dir):
-    urls = table(spark, sf_dir, "pages").select("url").distinct()
-    return dense_index(urls, [F.col("url")], "idx")
+    return sorted_listing(table(spark, sf_dir, "pages"), "url", "idx")
