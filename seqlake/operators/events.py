@@ -82,6 +82,11 @@ def candidate_filter(cands: DataFrame, id_col: str, my_id, cooldown: DataFrame,
     return out.join(cooldown.select(id_col).distinct(), id_col, "left_anti")
 
 
+def anti_join_cooldown(cands: DataFrame, cooling: DataFrame, id_col: str) -> DataFrame:
+    """C4: candidates not in the cooldown set (``left_anti``)."""
+    return cands.join(cooling.select(id_col).distinct(), id_col, "left_anti")
+
+
 def carry_last(df: DataFrame, key: str, order_cols, value_ts: Column, value_bit: Column,
                name: str = "carried") -> DataFrame:
     """E5: the last non-null (timestamp, flag) seen so far per key, in order.

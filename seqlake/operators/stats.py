@@ -57,11 +57,14 @@ def rating_histogram(df: DataFrame, cols, width: int) -> DataFrame:
 
 
 def category_distribution(df: DataFrame, col: str) -> DataFrame:
-    """Count per category and its share of the total (total from a window
-    over the already-aggregated, tiny table — no second scan)."""
+    """Count per category and its share of the total.  The total is a
+    one-row aggregate of the counts joined back as a broadcast (one row is a
+    proven size), so any number of categories stays distributed."""
     counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("share", F.round(F.col("n") / total, 6))
+    total = counts.agg(F.sum("n").alias("_total")).withColumn("_one", F.lit(1))
+    return (counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+                  .withColumn("share", F.round(F.col("n") / F.col("_total"), 6))
+                  .drop("_one", "_total"))
 
 
 def completeness_by_period(df: DataFrame, date_col: str, cols, unit: str = "month") -> DataFrame:

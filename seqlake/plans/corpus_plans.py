@@ -10,8 +10,8 @@ from seqlake.operators.filters import (INT_TEXT, CorpusConfig, base_seconds, cor
 from seqlake.operators.stats import funnel
 from seqlake.plans.registry import register, table
 from seqlake.plans.standins import SQL_DOC_TOKENS, doc_tokens
-from seqlake.sources.corpus import (count_scan, pending_inputs, quarantine, rows_per_file,
-                                    scan_corpus, shard_pairs, source_stem)
+from seqlake.sources.corpus import (count_scan, list_corpus, missing_files, pending_inputs, quarantine,
+                                    rows_per_file, scan_corpus, scan_tolerant, shard_pairs, source_stem)
 
 # Stand-in thresholds: customer numbers and order prices replace ratings, the
 # order priority "3-MEDIUM" replaces a time control "180+2", line items are plies.
@@ -181,3 +181,21 @@ def q_funnel(spark, sf_dir):
     passed = corpus_condition(GAME_CFG)
     return funnel(g.withColumnRenamed("Termination", "stem"), "stem", passed,
                   F.col("n_plies") >= GAME_CFG.min_plies)
+
+
+@register("quarantine_files", """
+SELECT CAST(NULL AS VARCHAR) AS file_name, 0::BIGINT AS n_rows_filtered, 0::BIGINT AS n_rows_kept
+FROM (SELECT count(*) AS n FROM lineitem UNION ALL SELECT count(*) FROM orders
+      UNION ALL SELECT count(*) FROM documents UNION ALL SELECT count(*) FROM events) t
+WHERE t.n = 0
+""")
+def q_quarantine_files(spark, sf_dir):
+    """A13 file level: of the planned corpus files, those that produced no rows
+    are reported as (0 filtered, 0 kept).  All driver files are readable, so the
+    expected answer is empty; the scan still reads every planned file."""
+    planned = [f for f in list_corpus(spark, sf_dir)
+               if f.rsplit("/", 1)[-1] in {"lineitem.parquet", "orders.parquet", "documents.parquet", "events.parquet"}]
+    seen = scan_tolerant(spark, planned)
+    miss = missing_files(spark, planned, seen)
+    return miss.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
+                       F.lit(0).cast("bigint").alias("n_rows_filtered"), F.lit(0).cast("bigint").alias("n_rows_kept"))

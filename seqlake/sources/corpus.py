@@ -71,6 +71,11 @@ def pending_inputs(files: DataFrame, done: DataFrame, stem: str = "stem") -> Dat
     return files.join(done.where(F.col("kept") > 0).select(stem), stem, "left_anti")
 
 
+def anti_join_done(files: DataFrame, done: DataFrame, stem: str = "stem") -> DataFrame:
+    """C4 under its survey name (see ``pending_inputs``)."""
+    return pending_inputs(files, done, stem)
+
+
 def quarantine(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
     """A13 (row level): add ``reject_reason`` = name of the first failing check
     (checks are Columns that are TRUE for a bad row); NULL = row kept."""
@@ -82,10 +87,24 @@ def quarantine(df: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
 
 def missing_files(spark: SparkSession, planned: list[str], df: DataFrame) -> DataFrame:
     """A13 (file level): planned files that produced no rows (e.g. skipped by
-    ``ignoreCorruptFiles``), so a skipped file is still reported."""
-    seen = df.select(F.col("_metadata.file_path").alias("path")).distinct()
-    plan = spark.createDataFrame([(p,) for p in planned], "path string")
-    return plan.join(seen, "path", "left_anti")
+    ``ignoreCorruptFiles``), so a skipped file is still reported with
+    (0 filtered, 0 kept) instead of silently vanishing.  ``planned`` is the
+    file listing (one row per file, not per record)."""
+    def norm(c):  # one spelling of the scheme: file:/x, file:///x -> /x
+        return F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    seen = df.select(norm(F.col("_metadata.file_path")).alias("_n")).distinct()
+    plan = spark.createDataFrame([(p,) for p in planned], "path string").withColumn("_n", norm(F.col("path")))
+    return plan.join(seen, "_n", "left_anti").drop("_n")
+
+
+def scan_tolerant(spark: SparkSession, files: list[str], schema: T.StructType | str | None = None) -> DataFrame:
+    """Read files skipping unreadable ones (``ignoreCorruptFiles``); pair with
+    ``missing_files`` to report what was skipped.  Pass the corpus schema:
+    inference would have to open a file, possibly the broken one."""
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.parquet(*files)
 
 
 def shard_pairs(index_names: DataFrame, data_names: DataFrame, name: str = "name",

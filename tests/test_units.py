@@ -112,3 +112,20 @@ def test_clean_movetext(spark, text, expected, reason):
     df = spark.createDataFrame([(text,)], "m string")
     r = df.select(clean_movetext("m").alias("c")).first().c
     assert r.tokens == expected and r.reject_reason == reason
+
+
+def test_corrupt_file_is_reported(spark):
+    import os
+    from seqlake.sources.corpus import list_corpus, missing_files, scan_tolerant
+    root = scratch_dir(spark, "corrupt")
+    spark.range(10).write.parquet(f"{root}/good")
+    local = root.replace("file:", "", 1)
+    os.makedirs(f"{local}/bad", exist_ok=True)
+    with open(f"{local}/bad/part-0.parquet", "wb") as fh:
+        fh.write(b"not a parquet file")
+    files = sorted([f"{root}/bad/part-0.parquet"] +
+                   [f for f in list_corpus(spark, f"{root}/good")])
+    seen = scan_tolerant(spark, files, "id long")
+    assert seen.count() == 10
+    miss = [r.path for r in missing_files(spark, files, seen).collect()]
+    assert len(miss) == 1 and miss[0].endswith("bad/part-0.parquet")
