@@ -15,7 +15,8 @@ from seqlake.operators.events import ts_micros
 from seqlake.session import scratch_dir
 from seqlake.streaming.source import (land_in_order, live_funnel, route_stream, run_available,
                                       stream_corpus, stream_files)
-from seqlake.streaming.state import concurrency_stream, cooldown_stream, lifecycle_stream
+from seqlake.streaming.state import (concurrency_stream, cooldown_stream, cooldown_stream_buffered,
+                                    lifecycle_stream)
 
 
 def _landed(spark, sf_dir):
@@ -112,3 +113,38 @@ def q_game_lifecycle_stream(spark, sf_dir):
     out = lifecycle_stream(stream, "user_id", "ts_us", "event_id", "event_type", "k",
                            "signup", ("view", "click"), ("error", "purchase"))
     return _sink_state(spark, root, out).select("event_id", "user_id", "color")
+
+
+@register("cooldown_stream_buffered", f"""
+WITH RECURSIVE {SQL_EV},
+o AS (SELECT user_id, event_id, ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS rn FROM ev),
+f(user_id, rn, event_id, last, emit) AS (
+  SELECT user_id, rn, event_id, ts_us, true FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.user_id, o.rn, o.event_id,
+         CASE WHEN o.ts_us - f.last >= {COOLDOWN_US} THEN o.ts_us ELSE f.last END,
+         o.ts_us - f.last >= {COOLDOWN_US}
+  FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1)
+SELECT event_id, user_id FROM f WHERE emit
+""")
+def q_cooldown_stream_buffered(spark, sf_dir):
+    """J4 with files landing out of event-time order (slices 2, 0, 3, 1): rows wait
+    in keyed state until the watermark (lateness 31 days, more than the disorder)
+    passes them.  A final clock record on key -1 moves event time forward, as
+    time passing does on a live feed, so every buffer is released."""
+    root = scratch_dir(spark, "stream-ooo")
+    ev = table(spark, sf_dir, "events")
+    feed = ev.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
+                     ts_micros("ts").alias("ts_us"))
+    lo, hi = feed.agg(F.min("ts_us"), F.max("ts_us")).first()
+    step = (hi - lo) // 4 + 1
+    for i in (2, 0, 3, 1):
+        (feed.where((F.col("ts_us") >= lo + i * step) & (F.col("ts_us") < lo + (i + 1) * step))
+             .coalesce(1).write.mode("append").parquet(f"{root}/src"))
+    clock = spark.createDataFrame([(-1, -1)], "event_id long, user_id long") \
+                 .withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp"))  # stream-control record
+    clock.withColumn("ts_us", ts_micros("ts")).write.mode("append").parquet(f"{root}/src")
+    stream = stream_files(spark, f"{root}/src", feed.schema, files_per_trigger=1)
+    out = cooldown_stream_buffered(stream, "user_id", "ts", "ts_us", "event_id", COOLDOWN_US, "31 days")
+    res = _sink_state(spark, root, out)
+    return res.where((F.col("user_id") >= 0) & (F.col("status") == "emitted")).select("event_id", "user_id")

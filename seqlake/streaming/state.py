@@ -84,3 +84,43 @@ def lifecycle_stream(stream: DataFrame, key: str, ts_us: str, id_col: str, type_
     return stream.groupBy(key).applyInPandasWithState(
         fn, f"{id_col} long, {key} long, color string", "color string, live boolean",
         "append", GroupStateTimeout.NoTimeout)
+
+
+def cooldown_stream_buffered(stream: DataFrame, key: str, ts_col: str, ts_us: str, id_col: str,
+                             gap_us: int, lateness: str) -> DataFrame:
+    """J4 for out-of-order arrival: rows are buffered in keyed state and folded
+    only once the event-time watermark (max event time - ``lateness``) has
+    passed them, in event-time order; a row older than what was already released
+    is emitted with ``status = 'late'`` (to be quarantined, A13) instead of
+    corrupting the fold.  Emitted rows have ``status = 'emitted'``.
+
+    ``ts_col`` is the event-time TIMESTAMP used for the watermark, ``ts_us`` the
+    same instant in microseconds.  A buffered key is revisited through an
+    event-time timeout when the watermark moves, even without new rows."""
+    def fn(k, pdfs, state):
+        st = json.loads(state.get[0]) if state.exists else {"buf": [], "last": None, "upto": None}
+        out = []
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                for t, i in zip(pdf[ts_us].tolist(), pdf[id_col].tolist()):
+                    if st["upto"] is not None and t <= st["upto"]:
+                        out.append((i, k[0], "late"))
+                    else:
+                        st["buf"].append([t, i])
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(r for r in st["buf"] if r[0] <= wm_us)
+        st["buf"] = [r for r in st["buf"] if r[0] > wm_us]
+        for t, i in ready:
+            if st["last"] is None or t - st["last"] >= gap_us:
+                out.append((i, k[0], "emitted"))
+                st["last"] = t
+            st["upto"] = t
+        if st["buf"]:
+            state.update((json.dumps(st),))
+            state.setTimeoutTimestamp(min(r[0] for r in st["buf"]) // 1000 + 1)
+        else:
+            state.update((json.dumps(st),))
+        yield pd.DataFrame(out, columns=[id_col, key, "status"])
+    return (stream.withWatermark(ts_col, lateness).groupBy(key)
+                  .applyInPandasWithState(fn, f"{id_col} long, {key} long, status string", "st string",
+                                          "append", GroupStateTimeout.EventTimeTimeout))
