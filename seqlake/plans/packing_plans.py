@@ -18,13 +18,15 @@ def encoded_games(spark, sf_dir):
     return encode(docs, "doc_id", "tokens", vocab)
 
 
-def packable(spark, sf_dir):
-    """Encoded games that fit one chunk (B6), with the F1 key."""
-    return encoded_games(spark, sf_dir).where(F.col("len") <= CHUNK_LEN)
+def packable(spark, sf_dir, enc=None):
+    """Encoded games that fit one chunk."""
+    enc = encoded_games(spark, sf_dir) if enc is None else enc
+    return enc.where(F.col("len") <= CHUNK_LEN)
 
 
-def packed(spark, sf_dir):
-    items = packable(spark, sf_dir).select("doc_id", "shard", "len")
+def packed(spark, sf_dir, enc=None):
+    """Packing table (doc_id, shard, len, chunk_id, pos); ``enc`` reuses an encoding."""
+    items = packable(spark, sf_dir, enc).select("doc_id", "shard", "len")
     return pack_exact(items, ["doc_id"], "len", CHUNK_LEN, SEED)
 
 

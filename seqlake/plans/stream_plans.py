@@ -15,8 +15,8 @@ from seqlake.operators.events import ts_micros
 from seqlake.session import scratch_dir
 from seqlake.streaming.source import (land_in_order, live_funnel, route_stream, run_available,
                                       stream_corpus, stream_files)
-from seqlake.streaming.state import (concurrency_stream, cooldown_stream, cooldown_stream_buffered,
-                                    lifecycle_stream)
+from seqlake.streaming.state import (concurrency_stream, concurrency_stream_buffered, cooldown_stream,
+                                    cooldown_stream_buffered, lifecycle_stream, lifecycle_stream_buffered)
 
 
 def _landed(spark, sf_dir):
@@ -115,6 +115,28 @@ def q_game_lifecycle_stream(spark, sf_dir):
     return _sink_state(spark, root, out).select("event_id", "user_id", "color")
 
 
+def _landed_scrambled(spark, sf_dir):
+    """Events landing out of event-time order (slices 2, 0, 3, 1), then a clock
+    record on key -1 that moves event time forward, as time passing does on a
+    live feed, so every buffer is released at the end of the replay."""
+    root = scratch_dir(spark, "stream-ooo")
+    ev = table(spark, sf_dir, "events")
+    feed = ev.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+                     ts_micros("ts").alias("ts_us"), F.from_json("props", "k int")["k"].alias("k"))
+    lo, hi = feed.agg(F.min("ts_us"), F.max("ts_us")).first()
+    step = (hi - lo) // 4 + 1
+    for i in (2, 0, 3, 1):
+        (feed.where((F.col("ts_us") >= lo + i * step) & (F.col("ts_us") < lo + (i + 1) * step))
+             .coalesce(1).write.mode("append").parquet(f"{root}/src"))
+    clock = (spark.createDataFrame([(-1, -1, "clock", 0)], "event_id long, user_id long, event_type string, k int")
+                  .withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp")))  # stream-control record
+    clock.withColumn("ts_us", ts_micros("ts")).select(*feed.columns).write.mode("append").parquet(f"{root}/src")
+    return root, stream_files(spark, f"{root}/src", feed.schema, files_per_trigger=1)
+
+
+LATENESS = "31 days"   # more than the disorder of the scrambled landing
+
+
 @register("cooldown_stream_buffered", f"""
 WITH RECURSIVE {SQL_EV},
 o AS (SELECT user_id, event_id, ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS rn FROM ev),
@@ -128,23 +150,44 @@ f(user_id, rn, event_id, last, emit) AS (
 SELECT event_id, user_id FROM f WHERE emit
 """)
 def q_cooldown_stream_buffered(spark, sf_dir):
-    """J4 with files landing out of event-time order (slices 2, 0, 3, 1): rows wait
-    in keyed state until the watermark (lateness 31 days, more than the disorder)
-    passes them.  A final clock record on key -1 moves event time forward, as
-    time passing does on a live feed, so every buffer is released."""
-    root = scratch_dir(spark, "stream-ooo")
-    ev = table(spark, sf_dir, "events")
-    feed = ev.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
-                     ts_micros("ts").alias("ts_us"))
-    lo, hi = feed.agg(F.min("ts_us"), F.max("ts_us")).first()
-    step = (hi - lo) // 4 + 1
-    for i in (2, 0, 3, 1):
-        (feed.where((F.col("ts_us") >= lo + i * step) & (F.col("ts_us") < lo + (i + 1) * step))
-             .coalesce(1).write.mode("append").parquet(f"{root}/src"))
-    clock = spark.createDataFrame([(-1, -1)], "event_id long, user_id long") \
-                 .withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp"))  # stream-control record
-    clock.withColumn("ts_us", ts_micros("ts")).write.mode("append").parquet(f"{root}/src")
-    stream = stream_files(spark, f"{root}/src", feed.schema, files_per_trigger=1)
-    out = cooldown_stream_buffered(stream, "user_id", "ts", "ts_us", "event_id", COOLDOWN_US, "31 days")
+    """J4 with out-of-order files: rows wait in keyed state until the watermark passes them."""
+    root, stream = _landed_scrambled(spark, sf_dir)
+    out = cooldown_stream_buffered(stream, "user_id", "ts", "ts_us", "event_id", COOLDOWN_US, LATENESS)
     res = _sink_state(spark, root, out)
     return res.where((F.col("user_id") >= 0) & (F.col("status") == "emitted")).select("event_id", "user_id")
+
+
+@register("live_concurrency_buffered", f"""
+WITH {SQL_DELTAS}
+SELECT user_id, k, ts_us, delta,
+       sum(delta) OVER (PARTITION BY user_id ORDER BY ts_us, k ROWS UNBOUNDED PRECEDING)::BIGINT AS active
+FROM d
+""")
+def q_live_concurrency_buffered(spark, sf_dir):
+    """J5 with out-of-order files (event-time fold)."""
+    root, stream = _landed_scrambled(spark, sf_dir)
+    out = concurrency_stream_buffered(stream, "user_id", "k", "ts", "ts_us", "event_type", "view", "purchase",
+                                      LATENESS)
+    res = _sink_state(spark, root, out)
+    return res.where((F.col("user_id") >= 0) & (F.col("status") == "ok")) \
+              .select("user_id", "k", "ts_us", "delta", "active")
+
+
+@register("game_lifecycle_buffered", f"""
+WITH {SQL_EV},
+c AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN ts_us * 2 + k % 2 END)
+                  OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS enc,
+                max(CASE WHEN event_type IN ('error', 'purchase') THEN ts_us END)
+                  OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS ended FROM ev)
+SELECT event_id, user_id, CASE WHEN enc % 2 = 0 THEN 'white' ELSE 'black' END AS color FROM c
+WHERE enc IS NOT NULL AND (ended IS NULL OR ended < enc // 2)
+  AND event_type IN ('signup', 'view', 'click')
+  AND ((enc % 2 = 0 AND k % 2 = 0) OR (enc % 2 = 1 AND k % 2 = 1))
+""")
+def q_game_lifecycle_buffered(spark, sf_dir):
+    """J3 with out-of-order files (event-time fold)."""
+    root, stream = _landed_scrambled(spark, sf_dir)
+    out = lifecycle_stream_buffered(stream, "user_id", "ts", "ts_us", "event_id", "event_type", "k",
+                                    "signup", ("view", "click"), ("error", "purchase"), LATENESS)
+    res = _sink_state(spark, root, out)
+    return res.where((F.col("user_id") >= 0) & (F.col("status") == "due")).select("event_id", "user_id", "color")

@@ -33,8 +33,9 @@ tensor AS (SELECT chunk_id, list_resize(tokens, {CHUNK_LEN}, 0)[1:{CHUNK_LEN - 1
 
 
 def chunks(spark, sf_dir):
-    store = encoded_games(spark, sf_dir).select("doc_id", "ids")
-    return gather_chunks(packed(spark, sf_dir), store, ["doc_id"], "ids")
+    """One encoding (one vocabulary build) feeds both the packing and the gather."""
+    enc = encoded_games(spark, sf_dir)
+    return gather_chunks(packed(spark, sf_dir, enc), enc.select("doc_id", "ids"), ["doc_id"], "ids")
 
 
 @register("seeded_shuffle", f"""

@@ -86,41 +86,104 @@ def lifecycle_stream(stream: DataFrame, key: str, ts_us: str, id_col: str, type_
         "append", GroupStateTimeout.NoTimeout)
 
 
-def cooldown_stream_buffered(stream: DataFrame, key: str, ts_col: str, ts_us: str, id_col: str,
-                             gap_us: int, lateness: str) -> DataFrame:
-    """J4 for out-of-order arrival: rows are buffered in keyed state and folded
-    only once the event-time watermark (max event time - ``lateness``) has
-    passed them, in event-time order; a row older than what was already released
-    is emitted with ``status = 'late'`` (to be quarantined, A13) instead of
-    corrupting the fold.  Emitted rows have ``status = 'emitted'``.
-
-    ``ts_col`` is the event-time TIMESTAMP used for the watermark, ``ts_us`` the
-    same instant in microseconds.  A buffered key is revisited through an
-    event-time timeout when the watermark moves, even without new rows."""
+def event_time_fold(stream: DataFrame, key: str, ts_col: str, ts_us: str, order_col: str,
+                    value_cols, lateness: str, step, init: dict, out_schema: str) -> DataFrame:
+    """Fold each key's rows in event-time order although files may arrive out of order.
+
+    Rows wait in keyed state until the watermark (max event time - ``lateness``)
+    has passed them, then ``step(state, row) -> list[tuple]`` is applied to them
+    in (ts, ``order_col``) order; ``row`` is a dict of ``ts_us``, ``order_col`` and
+    ``value_cols``.  A row older than what was already released cannot be folded
+    in order: it is emitted through ``step``'s caller as a ``late`` row
+    (``("late", row)`` is passed to ``step`` so it can route it to A13).  A key
+    with buffered rows is revisited by an event-time timeout when the watermark
+    moves, without new rows."""
+    cols = [ts_us, order_col, *value_cols]
+
     def fn(k, pdfs, state):
-        st = json.loads(state.get[0]) if state.exists else {"buf": [], "last": None, "upto": None}
+        st = json.loads(state.get[0]) if state.exists else {"buf": [], "upto": None, "s": dict(init)}
         out = []
         if not state.hasTimedOut:
             for pdf in pdfs:
-                for t, i in zip(pdf[ts_us].tolist(), pdf[id_col].tolist()):
-                    if st["upto"] is not None and t <= st["upto"]:
-                        out.append((i, k[0], "late"))
+                for row in zip(*[pdf[c].tolist() for c in cols]):   # native Python values
+                    r = dict(zip(cols, row))
+                    if st["upto"] is not None and [r[ts_us], r[order_col]] <= st["upto"]:
+                        out.extend(step(st["s"], r, k[0], late=True))
                     else:
-                        st["buf"].append([t, i])
+                        st["buf"].append(r)
         wm_us = state.getCurrentWatermarkMs() * 1000
-        ready = sorted(r for r in st["buf"] if r[0] <= wm_us)
-        st["buf"] = [r for r in st["buf"] if r[0] > wm_us]
-        for t, i in ready:
-            if st["last"] is None or t - st["last"] >= gap_us:
-                out.append((i, k[0], "emitted"))
-                st["last"] = t
-            st["upto"] = t
+        ready = sorted((r for r in st["buf"] if r[ts_us] <= wm_us), key=lambda r: (r[ts_us], r[order_col]))
+        st["buf"] = [r for r in st["buf"] if r[ts_us] > wm_us]
+        for r in ready:
+            out.extend(step(st["s"], r, k[0], late=False))
+            st["upto"] = [r[ts_us], r[order_col]]
+        state.update((json.dumps(st),))
         if st["buf"]:
-            state.update((json.dumps(st),))
-            state.setTimeoutTimestamp(min(r[0] for r in st["buf"]) // 1000 + 1)
-        else:
-            state.update((json.dumps(st),))
-        yield pd.DataFrame(out, columns=[id_col, key, "status"])
+            state.setTimeoutTimestamp(min(r[ts_us] for r in st["buf"]) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in out_schema.split(",")])
     return (stream.withWatermark(ts_col, lateness).groupBy(key)
-                  .applyInPandasWithState(fn, f"{id_col} long, {key} long, status string", "st string",
-                                          "append", GroupStateTimeout.EventTimeTimeout))
+                  .applyInPandasWithState(fn, out_schema, "st string", "append",
+                                          GroupStateTimeout.EventTimeTimeout))
+
+
+def cooldown_stream_buffered(stream: DataFrame, key: str, ts_col: str, ts_us: str, id_col: str,
+                             gap_us: int, lateness: str) -> DataFrame:
+    """J4 for out-of-order arrival (``event_time_fold``): status 'emitted' rows
+    pass the cooldown; rows later than the lateness bound come out as 'late'."""
+    def step(s, r, k, late):
+        if late:
+            return [(r[id_col], k, "late")]
+        if s.get("last") is None or r[ts_us] - s["last"] >= gap_us:
+            s["last"] = r[ts_us]
+            return [(r[id_col], k, "emitted")]
+        return []
+    return event_time_fold(stream, key, ts_col, ts_us, id_col, [], lateness, step, {},
+                           f"{id_col} long, {key} long, status string")
+
+
+def concurrency_stream_buffered(stream: DataFrame, key: str, game: str, ts_col: str, ts_us: str,
+                                type_col: str, start_type: str, end_type: str, lateness: str) -> DataFrame:
+    """J5 for out-of-order arrival: E4's running open-game count per key; late
+    rows are reported with ``delta = 0`` and status 'late'."""
+    def step(s, r, k, late):
+        if late:
+            return [(k, r[game], r[ts_us], 0, s.get("active", 0), "late")]
+        opened, closed = set(s.get("open", [])), set(s.get("closed", []))
+        res = []
+        if r[type_col] == start_type and r[game] not in opened and r[game] not in closed:
+            opened.add(r[game])
+            s["active"] = s.get("active", 0) + 1
+            res.append((k, r[game], r[ts_us], 1, s["active"], "ok"))
+        elif r[type_col] == end_type and r[game] in opened:
+            opened.discard(r[game])
+            closed.add(r[game])
+            s["active"] = s.get("active", 0) - 1
+            res.append((k, r[game], r[ts_us], -1, s["active"], "ok"))
+        s["open"], s["closed"] = sorted(opened), sorted(closed)
+        return res
+    return event_time_fold(stream, key, ts_col, ts_us, ts_us, [game, type_col], lateness, step, {},
+                           f"{key} long, {game} int, {ts_us} long, delta int, active long, status string")
+
+
+def lifecycle_stream_buffered(stream: DataFrame, key: str, ts_col: str, ts_us: str, id_col: str,
+                              type_col: str, moves: str, full_type: str, state_types, end_types,
+                              lateness: str) -> DataFrame:
+    """J3 for out-of-order arrival: turn-due rows (status 'due'); late rows are
+    reported with status 'late'."""
+    def step(s, r, k, late):
+        if late:
+            return [(r[id_col], k, s.get("color"), "late")]
+        typ, m = r[type_col], r[moves]
+        if typ == full_type:
+            s["color"], s["live"] = ("white" if m % 2 == 0 else "black"), True
+        elif typ in end_types:
+            s["live"] = False
+            return []
+        elif typ not in state_types:
+            return []
+        c = s.get("color")
+        if s.get("live") and c is not None and ((m % 2 == 0) == (c == "white")):
+            return [(r[id_col], k, c, "due")]
+        return []
+    return event_time_fold(stream, key, ts_col, ts_us, id_col, [type_col, moves], lateness, step, {},
+                           f"{id_col} long, {key} long, color string, status string")
