@@ -72,8 +72,9 @@ def convert_games(df: DataFrame, text_col: str, converter: Callable[[str | None]
     map-side de-duplication), repartitioned to spread the work."""
     spark = df.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).distinct() \
-              .repartition(n, F.xxhash64("_text"))
+    texts = (df.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+               .withColumn("_th", F.xxhash64("_text")).distinct()
+               .repartition(n, "_th"))
 
     def run(batches):
         for pdf in batches:
@@ -88,14 +89,16 @@ def convert_games(df: DataFrame, text_col: str, converter: Callable[[str | None]
                     r = list(r) if r else None
                 out.append(r)
                 why.append(w)
-            yield pd.DataFrame({"_text": pdf["_text"], "_tokens": out, "_why": why})
+            yield pd.DataFrame({"_text": pdf["_text"], "_th": pdf["_th"], "_tokens": out, "_why": why})
 
-    schema = T.StructType([T.StructField("_text", T.StringType()),
+    schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField("_th", T.LongType()),
                            T.StructField("_tokens", T.ArrayType(T.StringType())),
                            T.StructField("_why", T.StringType())])
     converted = texts.mapInPandas(run, schema)
-    joined = df.join(converted, df[text_col] == converted["_text"], "left")
+    # join on the 64-bit text hash (cheap to shuffle and sort) plus full equality
+    keyed = df.withColumn("_dh", F.xxhash64(text_col))
+    joined = keyed.join(converted, (keyed["_dh"] == converted["_th"]) & (keyed[text_col] == converted["_text"]), "left")
     return (joined.withColumn("tokens", F.col("_tokens"))
                   .withColumn("reject_reason", F.when(F.col(text_col).isNull(), F.lit("empty"))
                               .otherwise(F.col("_why")))
-                  .drop("_text", "_tokens", "_why"))
+                  .drop("_text", "_th", "_dh", "_tokens", "_why"))

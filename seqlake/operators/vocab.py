@@ -85,9 +85,9 @@ def decode_ids(ids_col, vocab: DataFrame, unknown: str = "?", drop_pad: bool = F
                first_n: int | None = None):
     """id -> token (C2) as a column expression over a dense inverse array.
 
-    The inverse is one array of ``max_id + 1`` strings, built from the vocabulary
-    and bounded by its size; callers must only use this for vocabularies that
-    fit a broadcast (the move vocabulary: 1,972 entries).
+    The inverse is one array literal of ``max_id + 1`` strings, so this form is
+    only for small fixed vocabularies (the move vocabulary: 1,972 entries);
+    ``encode.decode_join`` handles vocabularies of any size.
     """
     inv = inverse_array(vocab)
     arr = F.lit(inv) if not isinstance(inv, list) else F.array(*[F.lit(t) for t in inv])
@@ -100,7 +100,7 @@ def decode_ids(ids_col, vocab: DataFrame, unknown: str = "?", drop_pad: bool = F
     return toks
 
 
-def inverse_array(vocab: DataFrame, limit: int = 100_000) -> list:
+def inverse_array(vocab: DataFrame, limit: int = 5_000) -> list:
     """Dense id -> token list (size-checked: refuses vocabularies over ``limit``)."""
     n = vocab.count()
     if n > limit:

@@ -160,3 +160,11 @@ def test_buffered_cooldown_stream_handles_out_of_order_files(spark):
     emitted = {r.event_id for r in got.where("status = 'emitted'").collect()}
     batch = {r.event_id for r in cooldown(ev, "user_id", "ts_us", "event_id", gap).collect()}
     assert emitted == batch
+
+
+def test_decode_ids_move_vocabulary(spark):
+    from seqlake.operators.vocab import decode_ids
+    v = move_vocabulary(spark)
+    df = spark.createDataFrame([([1, 4, 1971, 0, 5000],)], "ids array<int>")
+    got = df.select(decode_ids("ids", v, drop_pad=True).alias("t")).first().t
+    assert got == ["BOS", "a1a2", "h8h7", "?"]
