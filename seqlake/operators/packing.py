@@ -213,6 +213,16 @@ def gather_chunks(packing: DataFrame, tokens: DataFrame, join_cols, tokens_col:
                           F.flatten(F.transform("_m", lambda m: m[tokens_col])).alias("tokens")))
 
 
+def gather_packed(packed: DataFrame, tokens_col: str = "ids") -> DataFrame:
+    """C3 when the packing already carries each sequence's tokens (they were
+    passed through ``pack_exact``): one shuffle by chunk, no join."""
+    return (packed.groupBy("chunk_id")
+                  .agg(F.array_sort(F.collect_list(F.struct("pos", tokens_col))).alias("_m"),
+                       F.count("*").alias("n_games"))
+                  .select("chunk_id", "n_games",
+                          F.flatten(F.transform("_m", lambda m: m[tokens_col])).alias("tokens")))
+
+
 def chunk_tensor(chunks: DataFrame, chunk_len: int = DEFAULT_CHUNK_LEN, tokens_col: str = "tokens") -> DataFrame:
     """I4: pad each chunk with 0 to ``chunk_len`` then shift (E2): inputs = t[:-1],
     labels = t[1:]; no reset at game boundaries.  ``n_tokens`` counts label

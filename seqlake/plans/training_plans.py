@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlake.operators.encode import decode_join
-from seqlake.operators.packing import (chunk_tensor, gather_chunks, nonpad_tokens, pack_bucketed,
+from seqlake.operators.packing import (chunk_tensor, gather_chunks, gather_packed, nonpad_tokens, pack_bucketed, pack_exact,
                                        preview, shift_labels, shift_labels_long)
 from seqlake.operators.split import (batch, date_split, epoch_shuffle, random_pick, random_split,
                                      seeded_shuffle, shard_ranks, sorted_listing)
@@ -33,9 +33,9 @@ tensor AS (SELECT chunk_id, list_resize(tokens, {CHUNK_LEN}, 0)[1:{CHUNK_LEN - 1
 
 
 def chunks(spark, sf_dir):
-    """One encoding (one vocabulary build) feeds both the packing and the gather."""
-    enc = encoded_games(spark, sf_dir)
-    return gather_chunks(packed(spark, sf_dir, enc), enc.select("doc_id", "ids"), ["doc_id"], "ids")
+    """The token arrays ride through the packing, so the gather is one group-by."""
+    items = packable(spark, sf_dir).select("doc_id", "len", "ids")
+    return gather_packed(pack_exact(items, ["doc_id"], "len", CHUNK_LEN, SEED), "ids")
 
 
 @register("seeded_shuffle", f"""
