@@ -30,21 +30,18 @@ def scan_corpus(spark: SparkSession, root_or_files, schema: T.StructType | str |
     return reader.parquet(*files)
 
 
-def spread_narrow_scan(df: DataFrame, min_bytes: int = 1 << 20) -> DataFrame:
+def spread_narrow_scan(df: DataFrame) -> DataFrame:
     """Round-robin a scan that has fewer splits than the cluster has cores.
 
     A file written as one row group is read by one task, and every narrow
     per-row step after it (regex splits, array algebra) then runs in that
-    task.  Only scans smaller than ``cores x maxPartitionBytes`` can be in that
-    state, so the extra exchange is bounded; corpus-size inputs have many
-    splits and are returned unchanged.  (Round-robin output is stable on
-    retry: Spark sorts before a round-robin repartition.)"""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(par) if size >= min_bytes else df
+    task.  Only inputs smaller than ``cores x maxPartitionBytes`` can have fewer
+    splits than cores, so the extra exchange is bounded; corpus-size inputs
+    have many splits and are returned unchanged.  Filters and projections are
+    still pushed into the scan below the exchange.  (Round-robin output is
+    stable on retry: Spark sorts before a round-robin repartition.)"""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:

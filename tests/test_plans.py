@@ -10,7 +10,12 @@ SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
 
 
 def test_filter_pushed_and_columns_pruned(spark):

@@ -95,3 +95,19 @@ def test_pack_exact_hash_blocks_equal_sequential(spark, lens, blocks):
     order = sorted(range(len(lens)), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
     expected = next_fit([lens[i] for i in order], 40)
     assert [got[i] for i in order] == expected
+
+
+@SETTINGS
+@given(st.lists(st.lists(st.sampled_from(["e2e4", "e7e5", "g1f3", "b8c6", "zz"]), max_size=12), min_size=1, max_size=30))
+def test_encode_decode_round_trip(spark, games):
+    """Encoding then decoding returns the original tokens for every accepted game;
+    games with an unknown token or no token are rejected, never truncated."""
+    from seqlake.operators.encode import decode_join, encode
+    from seqlake.operators.vocab import assign_ids
+    vocab = assign_ids(spark.createDataFrame([(t,) for t in ["e2e4", "e7e5", "g1f3", "b8c6"]], "token string"))
+    seqs = spark.createDataFrame([(i, g) for i, g in enumerate(games)], "gid long, tokens array<string>")
+    enc = encode(seqs, "gid", "tokens", vocab)
+    dec = decode_join(enc.select("gid", "ids"), "gid", "ids", vocab)
+    got = {r.gid: r.decoded for r in dec.collect()}
+    expected = {i: ["BOS", *g, "EOS"] for i, g in enumerate(games) if g and "zz" not in g}
+    assert got == expected
