@@ -22,9 +22,11 @@ DECLINE_VARIANT, DECLINE_CASUAL, DECLINE_RATED, DECLINE_LATER = "variant", "casu
 
 
 def ts_micros(c) -> Column:
-    """TIMESTAMP_NTZ -> epoch microseconds (session zone UTC)."""
+    """TIMESTAMP_NTZ -> microseconds since 1970-01-01 00:00, independent of the
+    session time zone (a wall-clock difference, no zone conversion)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.unix_micros(col.cast("timestamp"))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            col.cast("timestamp_ntz"))
 
 
 def route_events(df: DataFrame, type_col: str, mapping: dict) -> DataFrame:

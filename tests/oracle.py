@@ -79,8 +79,14 @@ def main(argv):
     sys.path.insert(0, ".")
     import __spark_entry__ as E
     from seqlake.session import build_session
-    sf_dir = "/root/testdata/sf0.01"
-    spark = build_session(cores=8)
+    import os
+    sf_dir = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
+    if os.environ.get("ORACLE_PLAIN"):   # a bare session, as an outside caller might create it
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false")
+                 .config("spark.sql.session.timeZone", os.environ.get("ORACLE_TZ", "UTC")).getOrCreate())
+    else:
+        spark = build_session(cores=8)
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     names = argv or list(qs)
