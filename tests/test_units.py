@@ -168,3 +168,45 @@ def test_decode_ids_move_vocabulary(spark):
     df = spark.createDataFrame([([1, 4, 1971, 0, 5000],)], "ids array<int>")
     got = df.select(decode_ids("ids", v, drop_pad=True).alias("t")).first().t
     assert got == ["BOS", "a1a2", "h8h7", "?"]
+
+
+def test_prepare_end_to_end(spark):
+    from seqlake.prepare import prepare
+    root = scratch_dir(spark, "prepare")
+    long_game = " ".join(f"{i}. e4 e5" for i in range(1, 12))       # 22 plies
+    rows = [(long_game, "2300", "2400", "180+2"),                   # kept
+            (long_game, "2200", "2400", "180+2"),                   # rating not > 2200
+            ("1. e4 e5 1-0", "2300", "2400", "300+0"),              # too short
+            (long_game, "?", "2400", "180+0")]                      # malformed rating (lenient: dropped)
+    import os
+
+    import pandas as pd
+    local = root.replace("file:", "", 1)
+    os.makedirs(f"{local}/in/train", exist_ok=True)
+    pd.DataFrame(rows, columns=["movetext", "WhiteElo", "BlackElo", "TimeControl"]) \
+      .to_parquet(f"{local}/in/train/part0_0000.parquet", index=False)
+    totals = prepare(spark, f"{root}/in", f"{root}/out")
+    assert (totals["rows"], totals["passed"], totals["kept"]) == (4, 2, 1)
+    lines = spark.read.text(f"{root}/out").collect()
+    assert len(lines) == 1 and lines[0].value.split() == ["e4", "e5"] * 11
+    assert lines[0].stem == "train_part0_0000"
+
+
+def test_prepare_stream_matches_batch(spark):
+    import os
+
+    import pandas as pd
+    from seqlake.prepare import prepare, prepare_stream
+    root = scratch_dir(spark, "prepare-stream")
+    local = root.replace("file:", "", 1)
+    game = " ".join(f"{i}. d4 d5" for i in range(1, 12))
+    for j, rating in enumerate(["2300", "2100", "2500"]):
+        os.makedirs(f"{local}/in/src{j}", exist_ok=True)
+        pd.DataFrame([(game, rating, "2400", "600+5")],
+                     columns=["movetext", "WhiteElo", "BlackElo", "TimeControl"]) \
+          .to_parquet(f"{local}/in/src{j}/part0.parquet", index=False)
+    prepare(spark, f"{root}/in", f"{root}/batch")
+    prepare_stream(spark, f"{root}/in", f"{root}/stream", f"{root}/ck")
+    b = sorted((r.stem, r.value) for r in spark.read.text(f"{root}/batch").collect())
+    s = sorted((r.stem, r.value) for r in spark.read.text(f"{root}/stream").collect())
+    assert b == s and [x[0] for x in b] == ["src0_part0", "src2_part0"]
