@@ -130,3 +130,21 @@ def sorted_listing(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """distinct values in byte order (UTF8 binary = the reference's ASCII
     order) with their 0-based position."""
     return dense_index(df.select(col).distinct(), [F.col(col)], name)
+
+
+def training_feed(items: DataFrame, id_col: str, frac: float, seed: int, world: int, batch_size: int,
+                  epochs, drop_last: bool = True) -> DataFrame:
+    """I5 -> F2 -> I7 -> I8 over training items (chunks): the exact random split
+    keeps ``floor(n * frac)`` items for validation; every epoch re-permutes the
+    training items (md5 of seed:epoch:id, identical on every rank), pads and
+    strides them over ``world`` ranks and cuts consecutive batches.  Returns
+    (id, epoch, rank, pos_in_rank, batch_id) for the training side; write it
+    with ``partitionBy("epoch", "rank")``."""
+    train = random_split(items.select(id_col), id_col, frac, seed).where(F.col("split") == "train").drop("split")
+    out = None
+    for e in epochs:
+        ranked = shard_ranks(epoch_shuffle(train, id_col, seed, e, "_idx"), "_idx", world)
+        b = batch(ranked, batch_size, drop_last).select(id_col, F.lit(e).alias("epoch"), "rank",
+                                                        "pos_in_rank", "batch_id")
+        out = b if out is None else out.unionByName(b)
+    return out

@@ -9,7 +9,7 @@ from seqlake.operators.encode import decode_join
 from seqlake.operators.packing import (chunk_tensor, gather_chunks, gather_packed, nonpad_tokens, pack_bucketed, pack_exact,
                                        preview, shift_labels, shift_labels_long)
 from seqlake.operators.split import (batch, date_split, epoch_shuffle, random_pick, random_split,
-                                     seeded_shuffle, shard_ranks, sorted_listing)
+                                     seeded_shuffle, shard_ranks, sorted_listing, training_feed)
 from seqlake.operators.vocab import learned_vocabulary
 from seqlake.operators.ordered import dense_index
 from seqlake.plans.encoding_plans import SQL_ALL_VOCAB, SQL_DT, ids_text
@@ -207,3 +207,31 @@ SELECT url, (row_number() OVER (ORDER BY url) - 1)::BIGINT AS idx FROM (SELECT D
 """)
 def q_sorted_listing(spark, sf_dir):
     return sorted_listing(table(spark, sf_dir, "pages"), "url", "idx")
+
+
+FEED_EPOCHS = (0, 1)
+
+
+@register("training_feed", f"""
+WITH RECURSIVE {SQL_PACK_ITEMS},
+ch AS (SELECT DISTINCT chunk_id::BIGINT AS chunk_id FROM fold),
+sp AS (SELECT chunk_id, row_number() OVER (ORDER BY md5('{SEED}:' || chunk_id), chunk_id)
+                          <= floor((SELECT count(*) FROM ch) * 0.05) AS is_val FROM ch),
+tr AS (SELECT chunk_id FROM sp WHERE NOT is_val),
+ep AS (SELECT unnest([{", ".join(str(e) for e in FEED_EPOCHS)}]) AS epoch),
+perm AS (SELECT ep.epoch, tr.chunk_id,
+                row_number() OVER (PARTITION BY ep.epoch ORDER BY md5('{SEED}:' || ep.epoch || ':' || tr.chunk_id), tr.chunk_id) - 1 AS idx
+         FROM tr, ep),
+sz AS (SELECT count(*) AS n, ((count(*) + {WORLD} - 1) // {WORLD}) * {WORLD} AS total FROM tr),
+padded AS (SELECT epoch, chunk_id, idx AS p FROM perm
+           UNION ALL SELECT epoch, chunk_id, idx + (SELECT n FROM sz) FROM perm WHERE idx < (SELECT total - n FROM sz))
+SELECT chunk_id, epoch::INTEGER AS epoch, (p % {WORLD})::INTEGER AS rank, (p // {WORLD})::BIGINT AS pos_in_rank,
+       ((p // {WORLD}) // {BATCH})::BIGINT AS batch_id
+FROM padded WHERE p // {WORLD} < ((SELECT total FROM sz) // {WORLD} // {BATCH}) * {BATCH}
+""")
+def q_training_feed(spark, sf_dir):
+    """Chunks of the packed corpus -> exact 5 % validation cut -> per-epoch order,
+    ranks and batches of the training side (two epochs)."""
+    ch = packed(spark, sf_dir).select("chunk_id").distinct()
+    return training_feed(ch, "chunk_id", 0.05, SEED, WORLD, BATCH, FEED_EPOCHS).select(
+        "chunk_id", "epoch", "rank", "pos_in_rank", "batch_id")
