@@ -79,8 +79,9 @@ def _pass_a(chunk_len: int, len_col: str):
             lens = np.concatenate(parts)
             n_bad = int(((lens < 1) | (lens > chunk_len)).sum())
             s, closed, tail = _transitions(lens, chunk_len)
-            yield pd.DataFrame({BLOCK: [blk], "n": [len(lens)], "exit_cur": [s.tolist()],
-                                "closed": [closed.tolist()], "tail": [tail.tolist()], "n_bad": [n_bad]})
+            # the three tables travel as raw int64 bytes: (chunk_len + 1) x 24 bytes per block
+            table = np.stack([s, closed, tail]).astype("<i8").tobytes()
+            yield pd.DataFrame({BLOCK: [blk], "n": [len(lens)], "table": [table], "n_bad": [n_bad]})
     return fn
 
 
@@ -129,24 +130,21 @@ def pack_exact(items: DataFrame, id_cols, len_col: str = "len",
         pinned = pin_blocks(keyed, order, n, bucket=hex_bucket(F.col("_key"), n))
     tab_schema = T.StructType([
         T.StructField(BLOCK, T.IntegerType()), T.StructField("n", T.LongType()),
-        T.StructField("exit_cur", T.ArrayType(T.LongType())),
-        T.StructField("closed", T.ArrayType(T.LongType())),
-        T.StructField("tail", T.ArrayType(T.LongType())),
-        T.StructField("n_bad", T.LongType())])
+        T.StructField("table", T.BinaryType()), T.StructField("n_bad", T.LongType())])
     tables = (pinned.select(BLOCK, len_col)
                     .mapInPandas(_pass_a(chunk_len, len_col), tab_schema)
-                    .collect())  # one row per block: (chunk_len + 1) x 3 integers
+                    .collect())  # one row per block: 3 x (chunk_len + 1) int64 as bytes
     if any(r["n_bad"] for r in tables):
         raise ValueError(f"pack_exact: lengths must be within 1..{chunk_len} (apply max_length_filter)")
     tables.sort(key=lambda r: r[BLOCK])
     entries, cur, fill, base = {}, 0, 0, 0
     for r in tables:
         entries[r[BLOCK]] = (cur, fill, base)
-        c = r["closed"][cur]
-        ncur = r["exit_cur"][cur]
-        fill = r["tail"][cur] if c > 0 else fill + r["n"]
+        exit_cur, closed, tail = np.frombuffer(r["table"], dtype="<i8").reshape(3, chunk_len + 1)
+        c = int(closed[cur])
+        fill = int(tail[cur]) if c > 0 else fill + r["n"]
         base += c
-        cur = ncur
+        cur = int(exit_cur[cur])
     out_schema = T.StructType([f for f in pinned.schema.fields if f.name != BLOCK]
                               + [T.StructField("chunk_id", T.LongType()),
                                  T.StructField("pos", T.IntegerType())])
