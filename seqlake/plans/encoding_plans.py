@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.functions.text import split_ws
 from seqlake.operators.encode import (all_known, decode_join, encode, lookup_ids, reject_unknown,
                                      strict_encode, vocab_lookup)
 from seqlake.operators.filters import max_length_filter, min_length_filter

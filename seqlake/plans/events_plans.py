@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from seqlake.operators.events import (active_sessions, admission_decision, candidate_filter,
                                       carry_last, cooldown, game_deltas, game_lifecycle, route_events,
                                       ts_micros)
-from seqlake.operators.ordered import running_sum
 from seqlake.plans.registry import register, table
 
 COOLDOWN_US = 6 * 3600 * 1_000_000      # stand-in for the bot's 120 s: 6 h between events

@@ -5,13 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.operators.encode import decode_join
-from seqlake.operators.packing import (chunk_tensor, gather_chunks, gather_packed, nonpad_tokens, pack_bucketed, pack_exact,
+from seqlake.operators.packing import (chunk_tensor, gather_packed, nonpad_tokens, pack_bucketed, pack_exact,
                                        preview, shift_labels, shift_labels_long)
 from seqlake.operators.split import (batch, date_split, epoch_shuffle, random_pick, random_split,
                                      seeded_shuffle, shard_ranks, sorted_listing, training_feed)
 from seqlake.operators.vocab import learned_vocabulary
-from seqlake.operators.ordered import dense_index
 from seqlake.plans.encoding_plans import SQL_ALL_VOCAB, SQL_DT, ids_text
 from seqlake.plans.packing_plans import SQL_PACK_ITEMS, encoded_games, packable, packed
 from seqlake.plans.registry import register, table
