@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.operators.joins import sized_broadcast
+from seqlake.operators.joins import ROWS_ATTR, sized_broadcast
 from seqlake.operators.vocab import BOS, EOS
 
 
@@ -24,7 +24,8 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = seqs.repartition(n, key)
     exploded = base.select(key, F.posexplode_outer(arr_col).alias("_pos", "_from"))
-    lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")))
+    lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")),
+                         known_rows=getattr(lookup, ROWS_ATTR, None))
     joined = exploded.join(lk, "_from", "left")
     regrouped = joined.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(),
@@ -37,6 +38,8 @@ def lookup_ids(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
                out_col: str = "ids", n_partitions: int | None = None) -> DataFrame:
     """Token -> id for every element; unknown tokens become NULL."""
     voc = vocab.select("token", F.col("id").cast("int").alias("id"))
+    if hasattr(vocab, ROWS_ATTR):
+        setattr(voc, ROWS_ATTR, getattr(vocab, ROWS_ATTR))
     return map_elements(seqs, key, tokens_col, voc, "token", "id", out_col, n_partitions)
 
 

@@ -10,8 +10,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
-def sized_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+ROWS_ATTR = "_seqlake_rows"
+
+
+def with_known_rows(df: DataFrame, n: int) -> DataFrame:
+    """Remember a row count that was computed while building ``df``."""
+    setattr(df, ROWS_ATTR, int(n))
+    return df
+
+
+def sized_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT, known_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged
-    (Spark then plans a shuffle join; AQE may still pick broadcast at run time)."""
-    n = df.count()
+    (Spark then plans a shuffle join; AQE may still pick broadcast at run time).
+    The count is taken from ``known_rows`` / the builder's record when present,
+    otherwise counted."""
+    n = known_rows if known_rows is not None else getattr(df, ROWS_ATTR, None)
+    if n is None:
+        n = df.count()
     return F.broadcast(df) if n <= limit_rows else df

@@ -85,9 +85,11 @@ def dense_index(df: DataFrame, order_cols, name: str = "idx",
         acc += n
     spark = df.sparkSession
     off = _small_table(spark, offsets or [(0, 0)], f"{BLOCK} int, _off long")
-    return (local.join(off, BLOCK, "left")
-                 .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-                 .drop("_off", "_local", BLOCK))
+    out = (local.join(off, BLOCK, "left")
+                .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
+                .drop("_off", "_local", BLOCK))
+    setattr(out, "_seqlake_rows", acc)   # row count known from the block counts
+    return out
 
 
 def _max2(a, b):

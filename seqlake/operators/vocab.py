@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import split_ws
+from seqlake.operators.joins import with_known_rows
 from seqlake.operators.ordered import dense_index
 
 # Special tokens and their ids; ordinary tokens start at 4.
@@ -65,10 +66,12 @@ def assign_ids(tokens: DataFrame, token_col: str = "token", n_special: int = N_S
     spark = tokens.sparkSession
     distinct = tokens.select(F.col(token_col).alias("token")).where(F.col("token").isNotNull()).distinct()
     ranked = dense_index(distinct, [F.col("token")], name="_rank")
+    n = getattr(ranked, "_seqlake_rows", None)
     vocab = ranked.select("token", (F.col("_rank") + F.lit(n_special)).cast("int").alias("id"))
     if with_specials:
         vocab = spark.createDataFrame(SPECIALS, "token string, id int").unionByName(vocab)
-    return vocab
+        n = None if n is None else n + len(SPECIALS)
+    return vocab if n is None else with_known_rows(vocab, n)
 
 
 def move_vocabulary(spark: SparkSession) -> DataFrame:

@@ -195,7 +195,8 @@ def q_seen_vocab(spark, sf_dir):
     cov = seen_vocab(toks, vocab)
     n_seen = toks.distinct().agg(F.count("*").alias("n_distinct_seen"))
     summ = cov.agg(F.count("*").alias("n_vocab"), F.count_if(F.col("n_seen") > 0).alias("n_vocab_seen"))
-    return (n_seen.crossJoin(summ)  # two one-row aggregates
+    one = F.lit(1).alias("_one")
+    return (n_seen.select("*", one).join(F.broadcast(summ.select("*", one)), "_one").drop("_one")
                   .withColumn("coverage", F.round(F.col("n_vocab_seen") / F.col("n_vocab"), 6)))
 
 
