@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlake.operators.joins import sized_broadcast
 from seqlake.operators.ordered import running_sum
 
 
@@ -152,8 +153,10 @@ def book_agreement(pred: DataFrame, book: DataFrame, group: str, prefix: str = "
     Joined on a 64-bit prefix hash plus full equality (a hash collision cannot
     produce a false match); the book is de-duplicated first."""
     p = pred.withColumn("_h", F.xxhash64(prefix))
-    b = (book.select(F.col(prefix).alias("_bp"), F.col(nxt).alias("_bn")).distinct()
-             .withColumn("_bh", F.xxhash64("_bp")).withColumn("_hit", F.lit(1)))
+    # a popular opening is a hot key on the prediction side: broadcast the
+    # de-duplicated book when its size is checked small (else AQE splits the skew)
+    b = sized_broadcast(book.select(F.col(prefix).alias("_bp"), F.col(nxt).alias("_bn")).distinct()
+                            .withColumn("_bh", F.xxhash64("_bp")).withColumn("_hit", F.lit(1)))
     j = p.join(b, (p["_h"] == b["_bh"]) & (p[prefix] == b["_bp"]) & (p[nxt] == b["_bn"]), "left")
     return (j.groupBy(group).agg(F.count("*").alias("n"), F.count("_hit").alias("n_in_book"))
              .withColumn("share", F.round(F.col("n_in_book") / F.col("n"), 6)))

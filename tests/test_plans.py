@@ -36,3 +36,10 @@ def test_dense_index_has_no_single_partition(spark):
     df = table(spark, SF, "orders").select("o_orderkey")
     p = plan(dense_index(df, ["o_orderkey"]))
     assert "SinglePartition" not in p
+
+
+def test_top_n_per_owner_limits_before_shuffle(spark):
+    from seqlake.operators.split import random_pick
+    cust = table(spark, SF, "customer").select("c_nationkey", "c_custkey")
+    p = plan(random_pick(cust, "c_custkey", 3, 42, owner="c_nationkey"))
+    assert "WindowGroupLimit" in p and "Partial" in p
