@@ -49,7 +49,7 @@ fold(rn, doc_id, len, cur, chunk_id, pos) AS (
 
 @register("pack_exact", f"""
 WITH RECURSIVE {SQL_PACK_ITEMS}
-SELECT f.doc_id, i.shard, f.len, f.chunk_id::BIGINT AS chunk_id, f.pos::INTEGER AS pos
+SELECT f.doc_id, i.shard, f.len::INTEGER AS len, f.chunk_id::BIGINT AS chunk_id, f.pos::INTEGER AS pos
 FROM fold f JOIN items i USING (rn)
 """)
 def q_pack_exact(spark, sf_dir):
