@@ -43,6 +43,19 @@ def _norm(v):
     return repr(v)
 
 
+SPARK_TYPES = {"IntegerType": "int32", "LongType": "int64", "ShortType": "int16", "ByteType": "int8",
+               "DoubleType": "float64", "FloatType": "float32", "StringType": "str", "BooleanType": "bool",
+               "DateType": "date", "TimestampType": "ts", "TimestampNTZType": "ts"}
+DUCK_TYPES = {"INTEGER": "int32", "BIGINT": "int64", "SMALLINT": "int16", "TINYINT": "int8", "DOUBLE": "float64",
+              "FLOAT": "float32", "VARCHAR": "str", "BOOLEAN": "bool", "DATE": "date", "TIMESTAMP": "ts"}
+
+
+def type_diff(sdf, rel):
+    st = {f.name: SPARK_TYPES.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in sdf.schema.fields}
+    dt = {c: DUCK_TYPES.get(str(t).split("(")[0], str(t)) for c, t in zip(rel.columns, rel.types)}
+    return {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+
+
 def rows_of(columns, records):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(tuple(_norm(r[i]) for i in order) for r in records)
@@ -65,6 +78,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if sorted(s_cols) != sorted(d_cols):
         res.update(ok=False, why=f"columns {sorted(s_cols)} vs {sorted(d_cols)}")
         return res
+    td = type_diff(sdf, rel)
+    if td:
+        res.update(ok=False, why=f"column types differ {td}")
+        return res
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if a != b:
         diff = [x for x in a if x not in set(b)][:3]
