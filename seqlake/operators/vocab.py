@@ -122,3 +122,47 @@ def seen_vocab(tokens: DataFrame, vocab: DataFrame, token_col: str = "token") ->
     freq = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count("*").alias("n_seen"))
     return (vocab.join(freq, "token", "left")
                  .select("token", "id", F.coalesce("n_seen", F.lit(0)).cast("bigint").alias("n_seen")))
+
+
+# -- fixed move vocabulary: arithmetic index, no join ---------------------------------
+
+# Fixed value: shape of a coordinate move (from square, to square, optional promotion).
+MOVE_PATTERN = "^[a-h][1-8][a-h][1-8][qrbn]?$"
+MOVE_SLOTS = 64 * 64 * 5  # from-square x to-square x (no promotion, q, r, b, n)
+
+
+def _py_move_index(tok: str) -> int:
+    f1, r1, f2, r2 = ord(tok[0]) - 97, int(tok[1]) - 1, ord(tok[2]) - 97, int(tok[3]) - 1
+    promo = "qrbn".index(tok[4]) + 1 if len(tok) == 5 else 0
+    return ((f1 * 8 + r1) * 64 + (f2 * 8 + r2)) * 5 + promo
+
+
+def move_index(tok) -> Column:
+    """Slot of a coordinate move in ``0..20479`` (only for strings matching MOVE_PATTERN)."""
+    t = F.col(tok) if isinstance(tok, str) else tok
+    sq = lambda pos: (F.ascii(F.substring(t, pos, 1)) - 97) * 8 + (F.ascii(F.substring(t, pos + 1, 1)) - 49)
+    promo = F.when(F.length(t) == 5, F.instr(F.lit("qrbn"), F.substring(t, 5, 1))).otherwise(F.lit(0))
+    return (sq(1) * 64 + sq(3)) * 5 + promo
+
+
+def move_id_table(vocab: DataFrame):
+    """Dense slot -> id table (-1 = not a vocabulary move) from the move vocabulary.
+    The vocabulary is the fixed enumerated one (1,972 rows), so collecting it is bounded."""
+    import numpy as np
+    rows = vocab.where(F.col("id") >= N_SPECIAL).select("token", "id").collect()
+    if len(rows) > MOVE_SLOTS:
+        raise ValueError("not a move vocabulary")
+    tab = np.full(MOVE_SLOTS, -1, dtype=np.int32)
+    for tok, i in rows:
+        tab[_py_move_index(tok)] = i
+    return tab
+
+
+def fixed_move_ids(tokens_col, table) -> Column:
+    """C1 fast path for the fixed move vocabulary: token -> id by arithmetic index
+    into one array literal (no join, no shuffle, stays in generated code);
+    anything that is not a vocabulary move -> NULL."""
+    tab = F.lit(table)
+    c = F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col
+    return F.transform(c, lambda t: F.when(F.regexp_like(t, F.lit(MOVE_PATTERN)),
+                                           F.nullif(F.get(tab, move_index(t)), F.lit(-1))))

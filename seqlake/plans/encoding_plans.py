@@ -9,7 +9,8 @@ from seqlake.operators.encode import (all_known, decode_join, encode, lookup_ids
                                      strict_encode, vocab_lookup)
 from seqlake.operators.filters import max_length_filter, min_length_filter
 from seqlake.operators.stats import encode_totals, length_stats, token_frequency
-from seqlake.operators.vocab import (LINE_DIRECTIONS, KNIGHT_JUMPS, PROMOTIONS, learned_vocabulary,
+from seqlake.operators.vocab import (LINE_DIRECTIONS, KNIGHT_JUMPS, MOVE_PATTERN, PROMOTIONS, fixed_move_ids,
+                                     learned_vocabulary, move_id_table,
                                      move_vocabulary, seen_vocab)
 from seqlake.plans.packing_plans import encoded_games, packed
 from seqlake.plans.registry import register, table
@@ -299,3 +300,23 @@ def q_parse_ndjson(spark, sf_dir):
     schema = "event_id bigint, user_id bigint, event_type string, props struct<k: int>"
     parsed = parse_ndjson(spark.read.text(path), schema)
     return parsed.select("event_id", "user_id", "event_type", F.col("props.k").alias("k"))
+
+
+@register("move_lookup_paths", f"""
+WITH {SQL_DT}, t AS (SELECT unnest(tokens) AS token FROM dt)
+SELECT count(*) AS n_tokens, count(*) FILTER (WHERE regexp_matches(token, '{MOVE_PATTERN}')) AS n_move_like,
+       0::BIGINT AS n_disagree
+FROM t
+""")
+def q_move_lookup_paths(spark, sf_dir):
+    """The arithmetic-index path and the join path agree on every token of
+    the corpus (moves get their id, anything else NULL)."""
+    vocab = move_vocabulary(spark)
+    docs = doc_tokens(spark, sf_dir)
+    joined = lookup_ids(docs, "doc_id", "tokens", vocab, "ids_join")
+    both = joined.withColumn("ids_arith", fixed_move_ids("tokens", move_id_table(vocab)))
+    differ = F.size(F.filter(F.zip_with("ids_join", "ids_arith", lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
+    like = F.size(F.filter("tokens", lambda t: F.regexp_like(t, F.lit(MOVE_PATTERN))))
+    return both.agg(F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"),
+                    F.sum(like).cast("bigint").alias("n_move_like"),
+                    F.sum(differ).cast("bigint").alias("n_disagree"))

@@ -210,3 +210,15 @@ def test_prepare_stream_matches_batch(spark):
     b = sorted((r.stem, r.value) for r in spark.read.text(f"{root}/batch").collect())
     s = sorted((r.stem, r.value) for r in spark.read.text(f"{root}/stream").collect())
     assert b == s and [x[0] for x in b] == ["src0_part0", "src2_part0"]
+
+
+def test_fixed_move_ids_equal_join_path(spark):
+    from seqlake.operators.encode import lookup_ids
+    from seqlake.operators.vocab import fixed_move_ids, move_id_table
+    v = move_vocabulary(spark)
+    toks = [["e2e4", "e7e8q", "a7b8n", "h8h7", "zz", "e2e9", "a1a1", "e7e8k"]]
+    df = spark.createDataFrame([(1, toks[0])], "k long, tokens array<string>")
+    arith = df.select(fixed_move_ids("tokens", move_id_table(v)).alias("ids")).first().ids
+    joined = lookup_ids(df, "k", "tokens", v).first().ids
+    assert arith == joined
+    assert arith[3] == 1971 and arith[4:] == [None, None, None, None]
