@@ -36,11 +36,39 @@ def encode_totals(df: DataFrame, shard: str = "shard", len_col: str = "len",
               .withColumn("n_bytes", F.col("n_tokens") * 2))
 
 
-def length_stats(df: DataFrame, len_col: str = "len", approx: bool = False) -> DataFrame:
-    """D3: count, mean and median length (exact ``percentile`` by default)."""
-    med = F.percentile_approx(len_col, 0.5, 10000) if approx else F.percentile(len_col, F.lit(0.5))
-    return df.agg(F.count(len_col).alias("n"), F.round(F.avg(len_col), 6).alias("mean_len"),
-                  med.cast("double").alias("median_len"))
+def length_stats(df: DataFrame, len_col: str = "len", approx: bool = False,
+                 max_distinct: int = 1_000_000) -> DataFrame:
+    """D3: count, mean and median length.
+
+    Exact mode works from the histogram of length values (one row per distinct
+    length — bounded by the longest sequence), so no task ever holds all values
+    (Spark's exact ``percentile`` buffers every value of its group).  The median
+    uses the same linear interpolation as ``percentile(len, 0.5)``.
+    ``approx=True`` is the flagged ``percentile_approx`` monitoring mode."""
+    if approx:
+        return df.agg(F.count(len_col).alias("n"), F.round(F.avg(len_col), 6).alias("mean_len"),
+                      F.percentile_approx(len_col, 0.5, 10000).cast("double").alias("median_len"))
+    hist = df.where(F.col(len_col).isNotNull()).groupBy(F.col(len_col).alias("v")).agg(F.count("*").alias("c"))
+    rows = sorted((r["v"], r["c"]) for r in hist.limit(max_distinct + 1).collect())
+    if len(rows) > max_distinct:
+        raise ValueError("too many distinct lengths for the exact histogram; use approx=True")
+    n = sum(c for _, c in rows)
+    spark = df.sparkSession
+    if n == 0:
+        return spark.createDataFrame([(0, None, None)], "n long, mean_len double, median_len double")
+    mean = round(sum(v * c for v, c in rows) / n, 6)
+
+    def at(k):  # value at 0-based rank k
+        acc = 0
+        for v, c in rows:
+            acc += c
+            if k < acc:
+                return v
+        return rows[-1][0]
+    pos = (n - 1) * 0.5
+    lo, hi = int(pos), min(int(pos) + 1, n - 1)
+    median = float(at(lo) + (at(hi) - at(lo)) * (pos - lo))
+    return spark.createDataFrame([(n, mean, median)], "n long, mean_len double, median_len double")
 
 
 def token_frequency(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:

@@ -111,3 +111,13 @@ def test_encode_decode_round_trip(spark, games):
     got = {r.gid: r.decoded for r in dec.collect()}
     expected = {i: ["BOS", *g, "EOS"] for i, g in enumerate(games) if g and "zz" not in g}
     assert got == expected
+
+
+@SETTINGS
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=200))
+def test_histogram_median_equals_percentile(spark, lens):
+    from seqlake.operators.stats import length_stats
+    df = spark.createDataFrame([(x,) for x in lens], "len int")
+    got = length_stats(df, "len").first()
+    ref = df.agg(F.percentile("len", F.lit(0.5)).alias("m"), F.avg("len").alias("a")).first()
+    assert got.n == len(lens) and got.median_len == ref.m and abs(got.mean_len - ref.a) < 1e-6
