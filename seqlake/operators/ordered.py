@@ -35,7 +35,7 @@ def default_blocks(df: DataFrame) -> int:
 
 
 def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None,
-               bucket: Column | None = None) -> DataFrame:
+               bucket: Column | None = None, then=None) -> DataFrame:
     """Put rows in blocks that are contiguous ranges of ``order_cols``, sorted
     inside, with the block id in ``_blk``, and checkpoint.
 
@@ -43,7 +43,9 @@ def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None,
     partition; bounds are sampled, hence the checkpoint).  With ``bucket`` — a
     deterministic, non-decreasing function of the order into ``0..n-1``, e.g. a
     prefix of a uniform hash — no sampling pass is needed; a partition may then
-    hold several blocks, each contiguous and sorted.
+    hold several blocks, each contiguous and sorted.  ``then`` (DataFrame ->
+    DataFrame) is applied before the checkpoint, so per-block work that needs its
+    own exchange is materialised in the same job; the block id is a column by then.
     """
     ensure_checkpoint_dir(df.sparkSession)
     n = n_blocks or default_blocks(df)
@@ -56,6 +58,8 @@ def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None,
         ranged = (df.withColumn(BLOCK, bucket.cast("int"))
                     .repartition(n, BLOCK)
                     .sortWithinPartitions(BLOCK, *oc))
+    if then is not None:
+        ranged = then(ranged)
     return ranged.checkpoint(eager=True)
 
 
@@ -120,12 +124,15 @@ def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str
     work = df
     for i, k in enumerate(names):
         work = work.withColumn(f"_v{i}", vals[k])
-    pinned = pin_blocks(work, [*pc, *oc], n_blocks)
     w = Window.partitionBy(BLOCK, *_cols(pc)).orderBy(*_cols(oc)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    inblock = pinned
-    for i in range(len(names)):
-        inblock = inblock.withColumn(f"_c{i}", agg(f"_v{i}").over(w))
+
+    def in_block(ranged: DataFrame) -> DataFrame:
+        for i in range(len(names)):
+            ranged = ranged.withColumn(f"_c{i}", agg(f"_v{i}").over(w))
+        return ranged
+    # in-block running values are computed once, inside the pinning job
+    inblock = pin_blocks(work, [*pc, *oc], n_blocks, then=in_block)
     spark = df.sparkSession
     key = F.struct(*_cols(pc)) if pc else F.lit(0)
     order_key = F.struct(key.alias("k"), F.struct(*_cols(oc)).alias("o"))
