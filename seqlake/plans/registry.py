@@ -36,8 +36,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """One driver table (a parquet file or folder under ``sf_dir``); a scan with
-    fewer splits than cores is spread first (see ``spread_narrow_scan``)."""
+    fewer splits than cores is spread first (see ``spread_narrow_scan``) unless
+    ``spread=False`` (footer-only work such as counts)."""
     from seqlake.sources.corpus import spread_narrow_scan
-    return spread_narrow_scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_narrow_scan(df) if spread else df

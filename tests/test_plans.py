@@ -43,3 +43,9 @@ def test_top_n_per_owner_limits_before_shuffle(spark):
     cust = table(spark, SF, "customer").select("c_nationkey", "c_custkey")
     p = plan(random_pick(cust, "c_custkey", 3, 42, owner="c_nationkey"))
     assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_count_scan_reads_no_columns(spark):
+    import __spark_entry__ as E
+    p = plan(E.queries()["count_scan"](spark, SF))
+    assert "ReadSchema: struct<>" in p and "RoundRobinPartitioning" not in p
