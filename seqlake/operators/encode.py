@@ -11,7 +11,7 @@ from seqlake.operators.vocab import BOS, EOS
 
 def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
                  from_col: str, to_col: str, out_col: str,
-                 n_partitions: int | None = None) -> DataFrame:
+                 n_partitions: int | None = None, carry=None) -> DataFrame:
     """Replace every array element through a lookup table; misses become NULL.
 
     ``posexplode`` -> join with the lookup (broadcast when its size is checked
@@ -19,10 +19,25 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
     sequence key.  The input is hash-partitioned by ``key`` first, so with a
     broadcast lookup the regroup and the final join add no exchange.  Never a
     map column (a map lookup is a linear scan).
+
+    ``carry`` names small per-sequence columns to bring through the regroup
+    instead of joining the result back (one exchange of the input instead of
+    two); only the key, ``carry`` and the result are returned then.  Large
+    columns must not be carried: they would be copied once per element.
     """
     spark = seqs.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = seqs.repartition(n, key)
+    if carry is not None:
+        carry = list(carry)
+        exploded = base.select(key, *carry, F.posexplode_outer(arr_col).alias("_pos", "_from"))
+        lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")),
+                             known_rows=getattr(lookup, ROWS_ATTR, None))
+        regrouped = exploded.join(lk, "_from", "left").groupBy(key).agg(
+            *[F.first(c).alias(c) for c in carry],
+            F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(),
+                                               F.struct("_pos", "_to")))).alias("_pairs"))
+        return regrouped.select(key, *carry, F.transform("_pairs", lambda p: p["_to"]).alias(out_col))
     exploded = base.select(key, F.posexplode_outer(arr_col).alias("_pos", "_from"))
     lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")),
                          known_rows=getattr(lookup, ROWS_ATTR, None))
@@ -35,12 +50,12 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
 
 
 def lookup_ids(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
-               out_col: str = "ids", n_partitions: int | None = None) -> DataFrame:
+               out_col: str = "ids", n_partitions: int | None = None, carry=None) -> DataFrame:
     """Token -> id for every element; unknown tokens become NULL."""
     voc = vocab.select("token", F.col("id").cast("int").alias("id"))
     if hasattr(vocab, ROWS_ATTR):
         setattr(voc, ROWS_ATTR, getattr(vocab, ROWS_ATTR))
-    return map_elements(seqs, key, tokens_col, voc, "token", "id", out_col, n_partitions)
+    return map_elements(seqs, key, tokens_col, voc, "token", "id", out_col, n_partitions, carry)
 
 
 def decode_join(seqs: DataFrame, key: str, ids_col: str, vocab: DataFrame,
@@ -57,15 +72,15 @@ def all_known(ids_col: str = "ids"):
 
 
 def encode(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
-           on_unknown: str = "reject", keep_rejects: bool = False) -> DataFrame:
+           on_unknown: str = "reject", keep_rejects: bool = False, carry=None) -> DataFrame:
     """``[BOS] ++ ids ++ [EOS]`` with length ``len``.
 
     ``on_unknown="reject"`` (B7) drops a sequence with any unknown token or no
     token at all (``keep_rejects=True`` keeps it with a ``reject_reason``);
     ``on_unknown="error"`` (B8, serving) raises on the first unknown token and
-    appends no EOS.
+    appends no EOS.  ``carry``: see ``map_elements``.
     """
-    looked = lookup_ids(seqs, key, tokens_col, vocab, "_ids")
+    looked = lookup_ids(seqs, key, tokens_col, vocab, "_ids", carry=carry)
     if on_unknown == "error":
         ids = F.transform("_ids", lambda x: F.coalesce(
             x, F.raise_error(F.lit("unknown token")).cast("int")))

@@ -113,7 +113,7 @@ SELECT doc_id, (n_tok + 2)::INTEGER AS len, '1 ' || ids_text || ' 2' AS ids_text
 FROM looked WHERE n_tok > 0 AND n_known = n_tok
 """)
 def q_encode(spark, sf_dir):
-    out = encode(doc_tokens(spark, sf_dir), "doc_id", "tokens", en_vocab(spark, sf_dir))
+    out = encode(doc_tokens(spark, sf_dir), "doc_id", "tokens", en_vocab(spark, sf_dir), carry=[])
     return out.select("doc_id", "len", ids_text("ids").alias("ids_text"))
 
 

@@ -15,7 +15,7 @@ def encoded_games(spark, sf_dir):
     """All documents encoded with the vocabulary learned from all of them."""
     docs = doc_tokens(spark, sf_dir)
     vocab = learned_vocabulary(table(spark, sf_dir, "documents"))
-    return encode(docs, "doc_id", "tokens", vocab)
+    return encode(docs, "doc_id", "tokens", vocab, carry=["shard"])
 
 
 def packable(spark, sf_dir, enc=None):

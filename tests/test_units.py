@@ -222,3 +222,14 @@ def test_fixed_move_ids_equal_join_path(spark):
     joined = lookup_ids(df, "k", "tokens", v).first().ids
     assert arith == joined
     assert arith[3] == 1971 and arith[4:] == [None, None, None, None]
+
+
+def test_encode_carry_equals_join_back(spark):
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id int")
+    seqs = spark.createDataFrame([(1, "s1", ["a", "b", "a"]), (2, "s2", ["b", "x"]), (3, "s1", [])],
+                                 "k long, shard string, tokens array<string>")
+    a = {(r.k, r.shard, tuple(r.ids or ()), r.reject_reason)
+         for r in encode(seqs, "k", "tokens", vocab, keep_rejects=True).collect()}
+    b = {(r.k, r.shard, tuple(r.ids or ()), r.reject_reason)
+         for r in encode(seqs, "k", "tokens", vocab, keep_rejects=True, carry=["shard"]).collect()}
+    assert a == b and len(a) == 3
