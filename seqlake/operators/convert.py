@@ -42,7 +42,9 @@ def strip_movetext(text) -> Column:
 
 
 def clean_movetext(text) -> Column:
-    """H1: struct(tokens array<string>, reject_reason string).  Leftover
+    """H1 as one column expression: struct(tokens array<string>, reject_reason string).
+    Prefer ``clean_movetext_df`` when several fields are used (it keeps the
+    regex chain from being evaluated once per use).  Leftover
     parentheses (deeper nesting or unbalanced) reject; an empty result rejects."""
     stripped = strip_movetext(text)
     body = F.regexp_replace(stripped, MOVE_NUMBER, " ")
@@ -54,6 +56,24 @@ def clean_movetext(text) -> Column:
     return F.struct(F.when(reason.isNull(), toks).alias("tokens"), reason.alias("reject_reason"))
 
 
+def clean_movetext_df(df: DataFrame, text_col: str, tokens_col: str = "tokens",
+                      reason_col: str = "reject_reason") -> DataFrame:
+    """H1 as staged columns: the stripped text and the token array are each
+    referenced more than once, so as separate projections Catalyst keeps them
+    computed once per row instead of inlining the regex chain at every use."""
+    out = (df.withColumn("_stripped", strip_movetext(text_col))
+             .withColumn("_toks", F.filter(
+                 F.transform(split_ws(F.regexp_replace("_stripped", MOVE_NUMBER, " ")),
+                             lambda x: F.regexp_replace(x, ANNOTATION_SUFFIX, "")),
+                 lambda x: (x != F.lit("")) & ~x.isin(*RESULT_MARKERS))))
+    reason = (F.when(F.col(text_col).isNull(), F.lit("empty"))
+               .when(F.regexp_like("_stripped", F.lit("[()]")), F.lit("unbalanced"))
+               .when(F.size("_toks") == 0, F.lit("empty")))
+    return (out.withColumn(reason_col, reason)
+               .withColumn(tokens_col, F.when(F.col(reason_col).isNull(), F.col("_toks")))
+               .drop("_stripped", "_toks"))
+
+
 def uci_tokens_converter(text: str | None) -> list[str] | None:
     """Built-in converter: whitespace tokens that are all coordinate moves, else None."""
     if text is None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqlake.functions.text import WS_PATTERN
 from seqlake.operators.convert import (ANNOTATION_SUFFIX, BRACE_COMMENT, GLYPH, INNER_VARIATION,
-                                       LINE_COMMENT, MOVE_NUMBER, VARIATION_DEPTH, clean_movetext,
+                                       LINE_COMMENT, MOVE_NUMBER, VARIATION_DEPTH, clean_movetext_df,
                                        convert_games)
 from seqlake.plans.registry import register, table
 
@@ -39,11 +39,10 @@ SELECT doc_id,
 FROM t
 """)
 def q_clean_movetext(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    c = docs.select("doc_id", clean_movetext("text").alias("c"))
-    return c.select("doc_id", F.col("c.reject_reason").alias("reject_reason"),
-                    F.size("c.tokens").alias("n_tokens"),
-                    F.md5(F.array_join("c.tokens", " ")).alias("digest"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    c = clean_movetext_df(docs, "text")
+    return c.select("doc_id", "reject_reason", F.size("tokens").alias("n_tokens"),
+                    F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
 _WS = re.compile(WS_PATTERN)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import join_ws
-from seqlake.operators.convert import clean_movetext, convert_games
+from seqlake.operators.convert import clean_movetext_df, convert_games
 from seqlake.operators.filters import CorpusConfig, corpus_condition
 from seqlake.sources.corpus import scan_corpus, source_stem
 from seqlake.streaming.source import run_available  # noqa: E402
@@ -23,9 +23,7 @@ GAME_SCHEMA = "movetext string, WhiteElo string, BlackElo string, TimeControl st
 
 def _converted(df: DataFrame, cfg: CorpusConfig, converter) -> DataFrame:
     if converter is None:
-        c = df.withColumn("_c", clean_movetext("movetext"))
-        return c.withColumn("tokens", F.col("_c.tokens")).withColumn("reject_reason", F.col("_c.reject_reason")) \
-                .drop("_c")
+        return clean_movetext_df(df, "movetext")
     return convert_games(df, "movetext", converter)
 
 
@@ -59,8 +57,8 @@ def prepare_stream(spark: SparkSession, path: str, out: str, checkpoint: str,
     finished files (the reference's skip-if-done)."""
     stream = (spark.readStream.schema(GAME_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
                    .option("recursiveFileLookup", "true").parquet(path).withColumn("stem", source_stem(F.col("_metadata.file_path"))))
-    c = stream.where(corpus_condition(cfg, "lenient")).withColumn("_c", clean_movetext("movetext"))
-    kept = c.where(F.coalesce(F.size("_c.tokens"), F.lit(0)) >= cfg.min_plies) \
-            .select("stem", join_ws("_c.tokens").alias("value"))
+    c = clean_movetext_df(stream.where(corpus_condition(cfg, "lenient")), "movetext")
+    kept = c.where(F.coalesce(F.size("tokens"), F.lit(0)) >= cfg.min_plies) \
+            .select("stem", join_ws("tokens").alias("value"))
     run_available(kept.writeStream.format("text").option("path", out).partitionBy("stem").outputMode("append"),
                   checkpoint, timeout_s)
