@@ -109,9 +109,12 @@ def test_unknown_strategy_raises(spark):
     ("1. e4 (", None, "unbalanced"),
 ])
 def test_clean_movetext(spark, text, expected, reason):
+    from seqlake.operators.convert import clean_movetext_df
     df = spark.createDataFrame([(text,)], "m string")
     r = df.select(clean_movetext("m").alias("c")).first().c
     assert r.tokens == expected and r.reject_reason == reason
+    staged = clean_movetext_df(df, "m").first()
+    assert staged.tokens == expected and staged.reject_reason == reason
 
 
 def test_corrupt_file_is_reported(spark):
