@@ -31,7 +31,8 @@ def _landed(spark, sf_dir):
 
 def _sink_state(spark, root, df):
     out = f"{root}/out"
-    run_available(df.writeStream.format("parquet").option("path", out).outputMode("append"), f"{root}/ck")
+    run_available(df.writeStream.format("parquet").option("path", out).outputMode("append"), f"{root}/ck",
+                  state_partitions=spark.sparkContext.defaultParallelism)
     return spark.read.parquet(out)
 
 

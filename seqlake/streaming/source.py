@@ -30,9 +30,22 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per
                  .parquet(path))
 
 
-def run_available(query_builder, checkpoint: str, timeout_s: int = 600):
-    """Start with ``trigger(availableNow=True)`` and wait for the backlog to drain."""
-    q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(query_builder, checkpoint: str, timeout_s: int = 600, state_partitions: int | None = None):
+    """Start with ``trigger(availableNow=True)`` and wait for the backlog to drain.
+
+    ``state_partitions`` fixes the number of state-store partitions of a new
+    stateful query (a stream copies the session settings when it starts and
+    keeps the number in its checkpoint), independent of the batch setting."""
+    spark = SparkSession.getActiveSession()
+    old = None
+    if state_partitions is not None and spark is not None:
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        if old is not None:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
