@@ -48,13 +48,14 @@ def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None,
     own exchange is materialised in the same job; the block id is a column by then.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    n = n_blocks or default_blocks(df)
     oc = _cols(order_cols)
     if bucket is None:
-        ranged = (df.repartitionByRange(n, *oc)
-                    .sortWithinPartitions(*oc)
-                    .withColumn(BLOCK, F.spark_partition_id()))
+        # without an explicit count AQE sizes the blocks to the data (coalesced
+        # range partitions stay contiguous and ordered); the checkpoint pins them
+        ranged = df.repartitionByRange(n_blocks, *oc) if n_blocks else df.repartitionByRange(*oc)
+        ranged = ranged.sortWithinPartitions(*oc).withColumn(BLOCK, F.spark_partition_id())
     else:
+        n = n_blocks or default_blocks(df)
         ranged = (df.withColumn(BLOCK, bucket.cast("int"))
                     .repartition(n, BLOCK)
                     .sortWithinPartitions(BLOCK, *oc))
