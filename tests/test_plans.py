@@ -49,3 +49,13 @@ def test_count_scan_reads_no_columns(spark):
     import __spark_entry__ as E
     p = plan(E.queries()["count_scan"](spark, SF))
     assert "ReadSchema: struct<>" in p and "RoundRobinPartitioning" not in p
+
+
+def test_scoring_is_in_row(spark):
+    from pyspark.sql import functions as F
+    from seqlake.operators.scoring import sample_topk, topk_legal
+    from seqlake.plans.scoring_plans import scoring_rows
+    r = scoring_rows(spark, SF)
+    p = plan(r.select("vec_id", topk_legal("logits", "legal", 5, 1.0).alias("t"),
+                      sample_topk("logits", "legal", 3, 0.6, 42, "vec_id").alias("s")))
+    assert "hashpartitioning" not in p and "Join" not in p and "Generate" not in p
