@@ -180,10 +180,10 @@ def _cool_pass_b(gap: int, key: str, ts: str, entries: dict):
     return fn
 
 
-def cooldown(df: DataFrame, key: str, ts_us: str, id_col: str, gap_us: int,
-             n_blocks: int | None = None) -> DataFrame:
-    """J4 (batch): keep an event only if at least ``gap_us`` has passed since the
-    key's last *emitted* event.
+def cooldown(df: DataFrame, key: str, ts_us: str, id_col: str, gap_us: int | None = None,
+             n_blocks: int | None = None, seconds: float = 120) -> DataFrame:
+    """J4 (batch): keep an event only if at least ``gap_us`` (default: ``seconds``,
+    120 s as in the reference) has passed since the key's last *emitted* event.
 
     Exact sequential semantics in parallel: rows are range-blocked by (key, ts,
     id) and pinned; a key continuing from an earlier block is affected only in
@@ -191,6 +191,8 @@ def cooldown(df: DataFrame, key: str, ts_us: str, id_col: str, gap_us: int,
     (plus its last key's exit state); the driver composes one row per block and
     pass B replays each block from its entry state.
     """
+    if gap_us is None:
+        gap_us = int(seconds * 1_000_000)
     base = df.select(key, ts_us, id_col)
     pinned = pin_blocks(base, [F.col(key), F.col(ts_us), F.col(id_col)], n_blocks)
     kt = pinned.schema[key].dataType
