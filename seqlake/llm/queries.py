@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import pii, quality
+from seqlake.llm import mixing, pii, quality, simhash
 from seqlake.llm.common import load
 
 
@@ -13,6 +13,48 @@ def op1_pii(spark, sf_dir):
     return out.drop("findings")
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(load(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+k AS (
+  SELECT *, -ln((('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '')), 1, 13))::BIGINT
+                 ::DOUBLE + 0.5) / 4503599627370496.0)
+         / greatest(0.1, 1.0 - (length(t) - length(regexp_replace(t, '[#*$%&|<>!]', '', 'g')))::DOUBLE
+                               / greatest(size, 1)::DOUBLE) AS key
+  FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+             CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+      FROM d GROUP BY source),
+-- reshare round by round: sources above twice their size are fixed there, the rest is shared again
+r(round, source, source_size, w, capped) AS (
+  SELECT 0, source, source_size, w, false FROM s
+  UNION ALL
+  SELECT * FROM (
+    SELECT round + 1, source, source_size, w,
+           capped OR w * (1.5 * sum(source_size) OVER () - coalesce(sum(2 * source_size) FILTER (capped) OVER (), 0))
+                     / sum(w) FILTER (NOT capped) OVER () > 2 * source_size AS now
+    FROM r WHERE round < (SELECT count(*) FROM s))),
+f AS (
+  SELECT source, source_size,
+         CASE WHEN capped THEN (2 * source_size)::DOUBLE
+              ELSE least((2 * source_size)::DOUBLE,
+                   ((1.5 * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(2 * source_size) FILTER (capped) OVER (), 0)::DOUBLE)
+                    / (sum(w) FILTER (NOT capped) OVER ())::DOUBLE) * w) END AS target
+  FROM r WHERE round = (SELECT count(*) FROM s)),
+e AS (SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS epochs,
+             floor(target - floor(target / greatest(source_size, 1)) * source_size)::BIGINT AS rest FROM f),
+p AS (SELECT k.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM k)
+SELECT p.doc_id, p.size, e.source_size, e.target,
+       (e.epochs * p.size + greatest(0, least(p.size, e.rest - p.before)))::BIGINT AS taken
+FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
+"""
+
+
 def op9_quality(spark, sf_dir):
     out = quality.quality(load(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -48,10 +90,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+def op10_simhash(spark, sf_dir):
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_mixing": op2_mixing,
     "op9_quality": op9_quality,
+    "op10_simhash": op10_simhash,
 }
 SQL = {
+    "op2_mixing": OP2_SQL.strip(),
     "op9_quality": OP9_SQL.strip(),
 }
