@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import mixing, pii, quality, simhash
+from seqlake.llm import line_dedup, mixing, pii, quality, simhash
 from seqlake.llm.common import load
 
 
@@ -55,6 +55,46 @@ FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 """
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.deduped(load(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r,
+                  unnest(coalesce(string_split(text, chr(10)), [NULL])) AS raw,
+                  unnest(coalesce(range(len(string_split(text, chr(10)))), [0])) AS pos FROM documents),
+l AS (SELECT *, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM d),
+f AS (SELECT x, length(x) AS n, min(r * 10000000 + pos) AS first FROM l WHERE length(x) >= 20 GROUP BY x),
+c AS (SELECT a.x, b.x AS y, b.first FROM f a JOIN f b
+        ON a.x[1:least(a.n, b.n) // 2] = b.x[1:least(a.n, b.n) // 2] AND a.n = b.n
+      WHERE b.first < a.first
+      UNION ALL SELECT a.x, b.x, b.first FROM f a JOIN f b ON a.n = b.n
+        AND a.x[a.n - a.n // 2:] = b.x[b.n - b.n // 2:] WHERE b.first < a.first
+      UNION ALL SELECT a.x, b.x, b.first FROM f a JOIN f b ON a.n = b.n + 1
+        AND a.x[1:b.n // 2] = b.x[1:b.n // 2] WHERE b.first < a.first
+      UNION ALL SELECT a.x, b.x, b.first FROM f a JOIN f b ON a.n = b.n + 1
+        AND a.x[a.n - b.n // 2 + 1:] = b.x[b.n - b.n // 2 + 1:] WHERE b.first < a.first
+      UNION ALL SELECT a.x, b.x, b.first FROM f a JOIN f b ON a.n + 1 = b.n
+        AND a.x[1:a.n // 2] = b.x[1:a.n // 2] WHERE b.first < a.first
+      UNION ALL SELECT a.x, b.x, b.first FROM f a JOIN f b ON a.n + 1 = b.n
+        AND a.x[a.n - a.n // 2 + 1:] = b.x[b.n - a.n // 2 + 1:] WHERE b.first < a.first),
+near AS (SELECT x, min(first) AS near FROM (SELECT DISTINCT * FROM c)
+         WHERE CASE WHEN length(x) = length(y)
+                    THEN len(list_filter(range(1, length(x) + 1), lambda i: x[i] <> y[i])) <= 1
+                    WHEN length(x) > length(y)
+                    THEN len(list_filter(range(1, length(x) + 1), lambda i: x[1:i - 1] || x[i + 1:] = y)) > 0
+                    ELSE len(list_filter(range(1, length(y) + 1), lambda i: y[1:i - 1] || y[i + 1:] = x)) > 0 END
+         GROUP BY x),
+v AS (SELECT l.*, coalesce(least(f.first, coalesce(near.near, f.first)) < l.r * 10000000 + l.pos, false) AS gone
+      FROM l LEFT JOIN f ON l.x = f.x LEFT JOIN near ON l.x = near.x)
+SELECT doc_id, count(*) FILTER (gone) AS n_dropped,
+       NOT bool_or(gone) OR count(*) FILTER (NOT gone AND length(x) > 0) > 0 AS kept,
+       CASE WHEN any_value(text) IS NOT NULL
+            THEN coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') END AS text
+FROM v GROUP BY r, doc_id
+"""
+
+
 def op9_quality(spark, sf_dir):
     out = quality.quality(load(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -97,10 +137,12 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 SQL = {
     "op2_mixing": OP2_SQL.strip(),
+    "op6_line_dedup": OP6_SQL.strip(),
     "op9_quality": OP9_SQL.strip(),
 }
