@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, mixing, pii, quality, simhash
+from seqlake.llm import line_dedup, mixing, pii, quality, simhash, toxicity
 from seqlake.llm.common import load
 
 
@@ -55,6 +55,17 @@ FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 """
 
 
+def toxicity_chain(spark, docs, sf_dir):
+    """The chain over the categories that ``labels`` offers: poor quality, then toxic."""
+    labels = load(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+    return toxicity.train(docs, labels, ["poor", "toxic"])
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity_chain(spark, docs, sf_dir))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.deduped(load(spark, sf_dir, "documents"))
 
@@ -137,6 +148,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
