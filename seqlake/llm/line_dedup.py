@@ -34,13 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlake.llm.common import BLANKS, landed, staged
+from seqlake.llm.common import BLANKS, bit_filter, landed, staged
 
 MIN_CHARS = 20
 WINDOWS = 8
-#: Bits of the filter of shared halves: 512 rows of 4 KB, 2 MB in all, whatever the input.
-FILTER_BITS = 1 << 24
-_MAP_BITS = 4096 * 8
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,22 +68,6 @@ def _halves() -> Column:
     return F.when(F.col("n") % 2 == 1, own).otherwise(F.concat(own, F.array(*of(even - 2))))
 
 
-def _bit_filter(keys: DataFrame, col: str):
-    """``DataFrame -> DataFrame`` keeping the rows whose ``col`` may be among ``keys`` (never loses one)."""
-    slot = F.pmod(F.col(col), F.lit(FILTER_BITS))
-    maps = keys.groupBy(F.floor(slot / _MAP_BITS).alias("_fb")).agg(
-        F.bitmap_construct_agg(slot % _MAP_BITS).alias("_fm"))
-    maps = F.broadcast(landed(maps, "filter"))   # at most FILTER_BITS / 8 bytes
-
-    def keep(df: DataFrame) -> DataFrame:
-        at = (slot % _MAP_BITS).cast("int")
-        byte = F.conv(F.hex(F.substring("_fm", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        # pmod of a power of two: the byte's bit by its place
-        bit = F.getbit(byte, at % 8)
-        return df.join(maps, F.floor(slot / _MAP_BITS) == F.col("_fb")).where(bit == 1).drop("_fb", "_fm")
-    return keep
-
-
 def _shared(keys: DataFrame, key: str) -> DataFrame:
     """Keys that two different lines have."""
     return keys.groupBy(key).agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"),
@@ -98,7 +79,7 @@ def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
     halves = lines.select("h1", "h2", F.inline(_halves()))
     shared = landed(_shared(halves.select("h1", "h2", "key"), "key"), "halves")
     rows = lines.select("h1", "h2", "x", "n", F.inline(_halves()))
-    rows = _bit_filter(shared, "key")(rows).join(shared, "key", "left_semi")
+    rows = bit_filter(shared, "key")(rows).join(shared, "key", "left_semi")
     rows = rows.dropDuplicates(["key", "h1", "h2"])
     rows = landed(rows.join(first, ["h1", "h2"]), "half_lines")
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlake.llm.common import landed, small_batches
+from seqlake.llm.common import bit_filter, landed, small_batches
 from seqlake.llm.components import components
 
 SHINGLE = 4
@@ -173,11 +173,13 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
     """``(fp, root)`` for every distinct fingerprint: ``root`` is equal within a component."""
     if not 0 <= max_distance <= 7:
         raise ValueError("max_distance must be 0 to 7")
-    fps = landed(fps.select("fp").distinct(), "fps")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = landed(fps.select("fp").distinct().repartition(tasks, "fp"), "fps")   # each row becomes 70 keys
     lists = _lists(fps, 8 - max_distance)
     hubs = landed(lists.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub"))
                   .where("n > 1"), "hubs")
-    members = landed(lists.join(hubs, "key"), "members")
+    # most lists hold one fingerprint: their keys end at the filter, before the shuffle
+    members = landed(bit_filter(hubs, "key")(lists).join(hubs, "key"), "members")
     near = members.where((F.col("fp") != F.col("hub")) & _linked("fp", "hub", max_distance))
     first = components(near.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
 
