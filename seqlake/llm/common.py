@@ -24,14 +24,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def landed(df: DataFrame, label: str) -> DataFrame:
+def landed(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back.
 
     Cuts the lineage, survives lost executors, and gives Spark the table's true
-    size for its choice of join.
+    size for its choice of join.  ``compact`` lets Spark merge the small
+    partitions that a selective filter leaves before they become files.
     """
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,7 +62,7 @@ def bit_filter(keys: DataFrame, col: str):
     slot = F.pmod(F.col(col), F.lit(FILTER_BITS))
     maps = keys.groupBy(F.floor(slot / _MAP_BITS).alias("_fb")).agg(
         F.bitmap_construct_agg(slot % _MAP_BITS).alias("_fm"))
-    maps = F.broadcast(landed(maps, "filter"))   # at most FILTER_BITS / 8 bytes
+    maps = F.broadcast(landed(maps, "filter", compact=True))   # at most FILTER_BITS / 8 bytes
 
     def keep(df: DataFrame) -> DataFrame:
         at = (slot % _MAP_BITS).cast("int")

@@ -77,11 +77,11 @@ def _shared(keys: DataFrame, key: str) -> DataFrame:
 def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
     """``(h1, h2, near)``: the earliest line one edit away, for lines that have an earlier one."""
     halves = lines.select("h1", "h2", F.inline(_halves()))
-    shared = landed(_shared(halves.select("h1", "h2", "key"), "key"), "halves")
+    shared = landed(_shared(halves.select("h1", "h2", "key"), "key"), "halves", compact=True)
     rows = lines.select("h1", "h2", "x", "n", F.inline(_halves()))
     rows = bit_filter(shared, "key")(rows).join(shared, "key", "left_semi")
     rows = rows.dropDuplicates(["key", "h1", "h2"])
-    rows = landed(rows.join(first, ["h1", "h2"]), "half_lines")
+    rows = landed(rows.join(first, ["h1", "h2"]), "half_lines", compact=True)
 
     half = (F.col("m") / 2).cast("int")
     rest = F.when(F.col("left"), F.substring("x", half + 1, F.col("n"))).otherwise(
@@ -92,7 +92,7 @@ def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
     tail = (F.col("a") - F.floor((F.col("j") + 1) * F.col("a") / WINDOWS)).cast("int")
     cut = cut.select("h1", "h2", "first", F.xxhash64("key", "j", F.left("r", start), F.right("r", tail)).alias("w"),
                      F.substring("r", start + 1, F.length("r") - tail - start).alias("win"))
-    around = landed(_shared(cut.select("h1", "h2", "w"), "w"), "windows")
+    around = landed(_shared(cut.select("h1", "h2", "w"), "w"), "windows", compact=True)
     cut = cut.join(around, "w")
 
     places = F.sequence(F.lit(0), F.length("win"))   # 0: the window itself, i: without its i-th character
@@ -126,7 +126,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = _near(lines.select("h1", "h2", "x", "n"), first.drop("times"))
     best = first.join(near, ["h1", "h2"], "left").where("times > 1 OR near IS NOT NULL").select(
         "h1", "h2", F.least("first", "near").alias("best"))
-    best = landed(best, "best")
+    best = landed(best, "best", compact=True)
     gone = seen.join(best, ["h1", "h2"]).where(F.col("best") < _order())
     return gone.groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
 

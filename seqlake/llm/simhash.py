@@ -177,9 +177,9 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
     fps = landed(fps.select("fp").distinct().repartition(tasks, "fp"), "fps")   # each row becomes 70 keys
     lists = _lists(fps, 8 - max_distance)
     hubs = landed(lists.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub"))
-                  .where("n > 1"), "hubs")
+                  .where("n > 1"), "hubs", compact=True)
     # most lists hold one fingerprint: their keys end at the filter, before the shuffle
-    members = landed(bit_filter(hubs, "key")(lists).join(hubs, "key"), "members")
+    members = landed(bit_filter(hubs, "key")(lists).join(hubs, "key"), "members", compact=True)
     near = members.where((F.col("fp") != F.col("hub")) & _linked("fp", "hub", max_distance))
     first = components(near.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
 
