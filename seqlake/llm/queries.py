@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, mixing, pii, quality, simhash, toxicity
+from seqlake.llm import line_dedup, mixing, pii, quality, sentencepiece, simhash, toxicity
 from seqlake.llm.common import load
 
 
@@ -106,6 +106,10 @@ FROM v GROUP BY r, doc_id
 """
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return sentencepiece.encode(load(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark, sf_dir):
     out = quality.quality(load(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -150,6 +154,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
