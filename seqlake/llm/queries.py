@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, mixing, pii, quality, sentencepiece, simhash, toxicity
+from seqlake.llm import line_dedup, mixing, pii, quality, sentencepiece, simhash, toxicity, warc
 from seqlake.llm.common import load
 
 
@@ -106,6 +106,22 @@ FROM v GROUP BY r, doc_id
 """
 
 
+def op7_warc(spark, sf_dir):
+    out = warc.archive(load(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+           FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op8_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(load(spark, sf_dir, "documents"))
 
@@ -154,6 +170,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op7_warc": op7_warc,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
@@ -161,5 +178,6 @@ QUERIES = {
 SQL = {
     "op2_mixing": OP2_SQL.strip(),
     "op6_line_dedup": OP6_SQL.strip(),
+    "op7_warc": OP7_SQL.strip(),
     "op9_quality": OP9_SQL.strip(),
 }
