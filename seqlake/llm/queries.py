@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import line_dedup, mixing, pii, quality, sentencepiece, simhash, toxicity, warc
+from seqlake.llm import html_extract, line_dedup, mixing, pii, quality, sentencepiece, simhash, toxicity, warc
 from seqlake.llm.common import load
 
 
@@ -55,6 +55,11 @@ FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 """
 
 
+def op3_html(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def toxicity_chain(spark, docs, sf_dir):
     """The chain over the categories that ``labels`` offers: poor quality, then toxic."""
     labels = load(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
@@ -168,6 +173,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op3_html": op3_html,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
