@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import html_extract, line_dedup, mixing, pii, quality, sentencepiece, simhash, toxicity, warc
+from seqlake.llm import ann, html_extract, line_dedup, mixing, pii, quality, sentencepiece, simhash, toxicity, warc
 from seqlake.llm.common import load
 
 
@@ -60,6 +60,10 @@ def op3_html(spark, sf_dir):
     return html_extract.extract(pages, html_extract.train(pages))
 
 
+def op4_ann(spark, sf_dir):
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def toxicity_chain(spark, docs, sf_dir):
     """The chain over the categories that ``labels`` offers: poor quality, then toxic."""
     labels = load(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
@@ -174,6 +178,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_html": op3_html,
+    "op4_ann": op4_ann,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
