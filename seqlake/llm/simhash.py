@@ -174,8 +174,9 @@ def link_components(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFra
     if not 0 <= max_distance <= 7:
         raise ValueError("max_distance must be 0 to 7")
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fps = landed(fps.select("fp").distinct().repartition(tasks, "fp"), "fps")   # each row becomes 70 keys
-    lists = _lists(fps, 8 - max_distance)
+    fps = landed(fps.select("fp").distinct(), "fps", compact=True)
+    # a small scan, but each row becomes 70 keys: dealt over all tasks first
+    lists = _lists(fps.repartition(tasks, "fp"), 8 - max_distance)
     hubs = landed(lists.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("hub"))
                   .where("n > 1"), "hubs", compact=True)
     # most lists hold one fingerprint: their keys end at the filter, before the shuffle
