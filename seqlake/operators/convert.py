@@ -22,30 +22,42 @@ from seqlake.functions.text import WS_PATTERN, split_ws
 BRACE_COMMENT = r"\{[^}]*\}"
 LINE_COMMENT = ";[^\n]*"
 GLYPH = r"\$[0-9]+"
-INNER_VARIATION = r"\([^()]*\)"
 MOVE_NUMBER = r"[0-9]+\.+"
 ANNOTATION_SUFFIX = "[!?]+$"
 RESULT_MARKERS = ["1-0", "0-1", "1/2-1/2", "*"]
-VARIATION_DEPTH = 8
 UCI_MOVE = "^[a-h][1-8][a-h][1-8][qrbn]?$"
 
 
+def _without_variations(t: Column) -> Column:
+    """Text outside all parentheses, nested to any depth; unbalanced text comes back as it is.
+
+    The text is cut before each parenthesis and the depth is folded over the pieces."""
+    def step(s, piece):
+        depth = (s["depth"] + F.when(piece.startswith("("), 1).when(piece.startswith(")"), -1).otherwise(0)).cast("int")
+        return F.struct(
+            depth.alias("depth"), F.least(s["low"], depth).alias("low"),
+            F.when(depth == 0, F.concat(s["kept"], F.array(F.regexp_replace(piece, r"^\)", "")))).otherwise(s["kept"])
+             .alias("kept"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"), F.array().cast("array<string>").alias("kept"))
+    outside = F.aggregate(F.split(t, r"(?=[()])"), start, step, lambda s: F.when(
+        (s["depth"] == 0) & (s["low"] == 0), F.array_join(s["kept"], " ")))
+    return F.when(F.regexp_like(t, F.lit("[()]")), F.coalesce(outside, t)).otherwise(t)
+
+
 def strip_movetext(text) -> Column:
-    """Movetext with comments, glyphs, variations (8 nesting levels) and move numbers removed."""
+    """Movetext with comments, glyphs and variations (any nesting) removed; parentheses left over are unbalanced."""
     t = F.col(text) if isinstance(text, str) else text
     t = F.regexp_replace(t, BRACE_COMMENT, " ")
     t = F.regexp_replace(t, LINE_COMMENT, " ")
     t = F.regexp_replace(t, GLYPH, " ")
-    for _ in range(VARIATION_DEPTH):
-        t = F.regexp_replace(t, INNER_VARIATION, " ")
-    return t
+    return _without_variations(t)
 
 
 def clean_movetext(text) -> Column:
     """H1 as one column expression: struct(tokens array<string>, reject_reason string).
     Prefer ``clean_movetext_df`` when several fields are used (it keeps the
     regex chain from being evaluated once per use).  Leftover
-    parentheses (deeper nesting or unbalanced) reject; an empty result rejects."""
+    unbalanced parentheses reject; an empty result rejects."""
     stripped = strip_movetext(text)
     body = F.regexp_replace(stripped, MOVE_NUMBER, " ")
     toks = F.filter(F.transform(split_ws(body), lambda x: F.regexp_replace(x, ANNOTATION_SUFFIX, "")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.operators.joins import ROWS_ATTR, sized_broadcast
+from seqlake.operators.joins import sized_broadcast
 from seqlake.operators.vocab import BOS, EOS
 
 
@@ -27,34 +27,29 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
     """
     spark = seqs.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = seqs.repartition(n, key)
+    kept = list(carry or [])
+    # a sequence is its key and content: rows that share a key stay apart, equal rows are put back as often as they came
+    base = seqs.repartition(n, key).withColumn("_row", F.xxhash64(key, arr_col, *kept))
+    exploded = base.select(key, "_row", *kept, F.posexplode_outer(arr_col).alias("_pos", "_from"))
+    lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")))
+    regrouped = exploded.join(lk, "_from", "left").groupBy(key, "_row").agg(
+        *[F.first(c).alias(c) for c in kept],
+        F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).cast("int").alias("_times"),
+        F.array_distinct(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_to")))))
+         .alias("_pairs"))
+    mapped = regrouped.withColumn(out_col, F.transform("_pairs", lambda p: p["_to"]))
     if carry is not None:
-        carry = list(carry)
-        exploded = base.select(key, *carry, F.posexplode_outer(arr_col).alias("_pos", "_from"))
-        lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")),
-                             known_rows=getattr(lookup, ROWS_ATTR, None))
-        regrouped = exploded.join(lk, "_from", "left").groupBy(key).agg(
-            *[F.first(c).alias(c) for c in carry],
-            F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(),
-                                               F.struct("_pos", "_to")))).alias("_pairs"))
-        return regrouped.select(key, *carry, F.transform("_pairs", lambda p: p["_to"]).alias(out_col))
-    exploded = base.select(key, F.posexplode_outer(arr_col).alias("_pos", "_from"))
-    lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")),
-                         known_rows=getattr(lookup, ROWS_ATTR, None))
-    joined = exploded.join(lk, "_from", "left")
-    regrouped = joined.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(),
-                                           F.struct("_pos", "_to")))).alias("_pairs"))
-    mapped = regrouped.select(key, F.transform("_pairs", lambda p: p["_to"]).alias(out_col))
-    return base.join(mapped, key, "left")
+        times = F.when(F.col("_times") > 1, F.array_repeat(F.lit(0), F.col("_times"))).otherwise(F.array(F.lit(0)))
+        return mapped.withColumn("_copy", F.explode(times)).select(key, *kept, out_col)
+    mapped = mapped.select(F.col(key).alias("_mk"), F.col("_row").alias("_mr"), out_col)
+    return base.join(mapped, F.col(key).eqNullSafe(F.col("_mk")) & (F.col("_row") == F.col("_mr")), "left").drop(
+        "_row", "_mk", "_mr")
 
 
 def lookup_ids(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
                out_col: str = "ids", n_partitions: int | None = None, carry=None) -> DataFrame:
     """Token -> id for every element; unknown tokens become NULL."""
     voc = vocab.select("token", F.col("id").cast("int").alias("id"))
-    if hasattr(vocab, ROWS_ATTR):
-        setattr(voc, ROWS_ATTR, getattr(vocab, ROWS_ATTR))
     return map_elements(seqs, key, tokens_col, voc, "token", "id", out_col, n_partitions, carry)
 
 

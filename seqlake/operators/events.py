@@ -193,7 +193,9 @@ def cooldown(df: DataFrame, key: str, ts_us: str, id_col: str, gap_us: int | Non
     """
     if gap_us is None:
         gap_us = int(seconds * 1_000_000)
-    base = df.select(key, ts_us, id_col)
+    # events without a key belong to nobody and are never held back
+    nobody = df.select(key, ts_us, id_col).where(F.col(key).isNull())
+    base = df.select(key, ts_us, id_col).where(F.col(key).isNotNull())
     pinned = pin_blocks(base, [F.col(key), F.col(ts_us), F.col(id_col)], n_blocks)
     kt = pinned.schema[key].dataType
     schema = T.StructType([T.StructField(BLOCK, T.IntegerType()), T.StructField("first_key", kt),
@@ -220,4 +222,4 @@ def cooldown(df: DataFrame, key: str, ts_us: str, id_col: str, gap_us: int | Non
         prev_key = r["last_key"]
     out_schema = T.StructType([*pinned.schema.fields, T.StructField("emitted", T.BooleanType())])
     flagged = pinned.mapInPandas(_cool_pass_b(gap_us, key, ts_us, entries), out_schema)
-    return flagged.where("emitted").drop(BLOCK, "emitted")
+    return flagged.where("emitted").drop(BLOCK, "emitted").unionByName(nobody)

@@ -1,30 +1,22 @@
-"""Join helpers: broadcast only behind a checked size."""
+"""Join helpers: broadcast only behind a measured size."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows above which a lookup side is shuffled instead of broadcast.  A 2-column
-# (string, int) vocabulary of 2 M rows is ~100 MB in a hashed relation.
-BROADCAST_ROW_LIMIT = 2_000_000
+#: Bytes of data above which a lookup side is left to Spark's own choice of join.
+BROADCAST_BYTES = 64 << 20
 
 
-ROWS_ATTR = "_seqlake_rows"
+def data_bytes(df: DataFrame) -> int:
+    """Bytes of a table's values: text by its octets, other values as eight."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8)
+             for f in df.schema.fields]
+    return df.agg(F.coalesce(F.sum(sum(sizes, F.lit(0)).cast("bigint")), F.lit(0))).first()[0]
 
 
-def with_known_rows(df: DataFrame, n: int) -> DataFrame:
-    """Remember a row count that was computed while building ``df``."""
-    setattr(df, ROWS_ATTR, int(n))
-    return df
-
-
-def sized_broadcast(df: DataFrame, limit_rows: int = BROADCAST_ROW_LIMIT, known_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged
-    (Spark then plans a shuffle join; AQE may still pick broadcast at run time).
-    The count is taken from ``known_rows`` / the builder's record when present,
-    otherwise counted."""
-    n = known_rows if known_rows is not None else getattr(df, ROWS_ATTR, None)
-    if n is None:
-        n = df.count()
-    return F.broadcast(df) if n <= limit_rows else df
+def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its bytes are measured to be few, else ``df`` unchanged:
+    Spark then plans a shuffle join (with skew splitting) by its own statistics."""
+    return F.broadcast(df) if data_bytes(df) <= limit_bytes else df

@@ -93,10 +93,15 @@ def dense_index(df: DataFrame, order_cols, name: str = "idx",
     out = (local.join(off, BLOCK, "left")
                 .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
                 .drop("_off", "_local", BLOCK))
-    setattr(out, "_seqlake_rows", acc)   # row count known from the block counts
     return out
 
 
+def _sum2(a, b):
+    if a is None:
+        return b
+    return a if b is None else a + b
+
+
 def _max2(a, b):
     if a is None:
         return b
@@ -143,27 +148,22 @@ def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str
                     *[F.max_by(F.col(f"_c{i}"), order_key).alias(f"last{i}") for i in range(len(names))])
                .collect())  # one row per block
     summary.sort(key=lambda r: r[BLOCK])
-    conv = [float if inblock.schema[f"_c{i}"].dataType.typeName() in ("double", "float") else int
-            for i in range(len(names))]
+    join2 = _sum2 if how == "sum" else _max2
     tab_rows = []
     prev_key, prev_tot = None, None
     for r in summary:
         fk, lk = r["first_key"], r["last_key"]
         same_prev = prev_key is not None and fk == prev_key
-        if how == "sum":
-            carry = [prev_tot[i] if same_prev else 0 for i in range(len(names))]
-            prev_tot = [(r[f"last{i}"] or 0) + (carry[i] if lk == fk else 0) for i in range(len(names))]
-        else:
-            carry = [prev_tot[i] if same_prev else None for i in range(len(names))]
-            prev_tot = [_max2(r[f"last{i}"], carry[i] if lk == fk else None) for i in range(len(names))]
-        tab_rows.append((r[BLOCK], *[None if c is None else conv[i](c) for i, c in enumerate(carry)],
-                         *(tuple(fk) if pc else ())))
+        # NULL until a value was seen, as in a window aggregate
+        carry = [prev_tot[i] if same_prev else None for i in range(len(names))]
+        prev_tot = [join2(r[f"last{i}"], carry[i] if lk == fk else None) for i in range(len(names))]
+        tab_rows.append((r[BLOCK], *carry, *(tuple(fk) if pc else ())))
         prev_key = lk
     schema = [f"{BLOCK} int"] + [
         f"_k{i} {inblock.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(names))] + [
         f"_fk{i} {inblock.schema[c].dataType.simpleString()}" for i, c in enumerate(pc)]
     if not tab_rows:
-        tab_rows = [tuple([0] + [0] * len(names) + [None] * len(pc))]
+        tab_rows = [tuple([0] + [None] * (len(names) + len(pc)))]
     tab = _small_table(spark, tab_rows, ", ".join(schema))
     match = F.lit(True)
     for i, c in enumerate(pc):
@@ -172,7 +172,9 @@ def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str
     for i, k in enumerate(names):
         t = inblock.schema[f"_c{i}"].dataType
         if how == "sum":
-            out = out.withColumn(k, F.col(f"_c{i}") + F.when(match, F.col(f"_k{i}")).otherwise(F.lit(0)).cast(t))
+            carried = F.when(match, F.col(f"_k{i}"))
+            out = out.withColumn(k, F.when(carried.isNull(), F.col(f"_c{i}")).otherwise(
+                F.coalesce(F.col(f"_c{i}"), F.lit(0).cast(t)) + carried).cast(t))
         else:
             out = out.withColumn(k, F.greatest(F.col(f"_c{i}"), F.when(match, F.col(f"_k{i}")).cast(t)))
     drop = [BLOCK] + [f"_{p}{i}" for p in "vck" for i in range(len(names))] + [f"_fk{i}" for i in range(len(pc))]

@@ -82,12 +82,15 @@ def _draw(weights: Column, u: Column) -> Column:
 
 
 def sample_legal(logits, legal, temperature: float, seed: int, id_col) -> Column:
-    """softmax at T, illegal ids zeroed, renormalised, one repeatable draw
-    (uniform = md5(seed:id) / 2^32).  No legal mass -> NULL."""
+    """softmax at T over the legal ids, one repeatable draw (uniform =
+    md5(seed:id) / 2^32).  Nothing legal -> NULL; ``T <= 0`` is greedy."""
+    if float(temperature) <= 0:
+        return greedy_legal(logits, legal)
     t = max(float(temperature), MIN_TEMPERATURE)
-    s = scored(logits)
+    # the maximum over the legal ids: a high illegal logit cannot underflow all legal weights
+    s = F.filter(scored(logits), lambda x: _is_legal(legal, x["id"]))
     m = F.array_max(F.transform(s, lambda x: x["logit"]))
-    w = _with_scalar(F.filter(s, lambda x: _is_legal(legal, x["id"])), m,
+    w = _with_scalar(s, m,
                      lambda x, mm: F.struct(F.exp((x["logit"] - mm) / F.lit(t)).alias("w"), x["id"].alias("id")))
     return _draw(w, uniform01(seed, id_col))
 
@@ -108,12 +111,12 @@ def strategy(mode, logits, legal, temperature: float = 0.6, k: int = 3, seed: in
     column); an unknown mode raises."""
     if isinstance(mode, str):
         if mode not in STRATEGIES:
-            raise ValueError(f"Unknown move strategy: {mode}")
+            raise ValueError(f"unknown mode {mode!r}, expected one of {STRATEGIES}")
         mode = F.lit(mode)
     return (F.when(mode == "greedy", greedy_legal(logits, legal))
              .when(mode == "sample", sample_legal(logits, legal, temperature, seed, id_col))
              .when(mode == "top_k", sample_topk(logits, legal, k, temperature, seed, id_col))
-             .otherwise(F.raise_error(F.concat(F.lit("Unknown move strategy: "), mode)).cast("int")))
+             .otherwise(F.raise_error(F.concat(F.lit(f"unknown mode, expected one of {STRATEGIES}: "), mode)).cast("int")))
 
 
 def topk_ids(logits, k: int) -> Column:
@@ -146,15 +149,19 @@ def parity_join(a: DataFrame, b: DataFrame, keys, value: str = "v") -> DataFrame
     return j.withColumn("matched", F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
-def parity_summary(pairs: DataFrame, group, atol: float = 1e-4, rtol: float = 1e-4) -> DataFrame:
-    """Max |a-b|; allclose = all |a-b| <= atol + rtol*|b|; equal top-1
-    (argmax position, ties to the higher position); pass = allclose or top-1."""
+def parity_summary(pairs: DataFrame, group, vector, atol: float = 1e-4, rtol: float = 1e-4) -> DataFrame:
+    """Max |a-b|; allclose = all |a-b| <= atol + rtol*|b|; equal top-1 of
+    every vector (argmax position per ``vector``, ties to the higher position);
+    pass = allclose or top-1."""
     diff = F.abs(F.col("a") - F.col("b"))
-    return (pairs.groupBy(*group)
-                 .agg(F.round(F.max(diff), 6).alias("max_abs_diff"),
+    return (pairs.groupBy(*group, *vector)
+                 .agg(F.max(diff).alias("_d"),
                       F.bool_and(F.coalesce(diff <= F.lit(atol) + F.lit(rtol) * F.abs(F.col("b")), F.lit(False)))
-                       .alias("allclose"),
-                      (F.max_by("pos", F.struct("a", "pos")) == F.max_by("pos", F.struct("b", "pos"))).alias("top1_match"))
+                       .alias("_close"),
+                      (F.max_by("pos", F.struct("a", "pos")) == F.max_by("pos", F.struct("b", "pos"))).alias("_top1"))
+                 .groupBy(*group)
+                 .agg(F.round(F.max("_d"), 6).alias("max_abs_diff"), F.bool_and("_close").alias("allclose"),
+                      F.bool_and("_top1").alias("top1_match"))
                  .withColumn("pass", F.col("allclose") | F.col("top1_match")))
 
 

@@ -64,12 +64,14 @@ def random_split(df: DataFrame, id_col: str, frac: float = 0.05, seed: int = 42,
 def date_split(df: DataFrame, date_col: str, fractions=(("train", 0.95), ("val", 0.025), ("test", 0.025))) -> DataFrame:
     """Whole days go to train / validation / test by the cumulative share of
     rows in earlier days (a day is never divided).  The per-day histogram is
-    bounded by the number of calendar days and broadcast back."""
+    bounded by the number of calendar days and broadcast back.  A row without a
+    date keeps a NULL split and counts in no share."""
     day = F.to_date(F.col(date_col))
     hist = df.groupBy(day.alias("_day")).agg(F.count("*").alias("_n"))
     # one row per calendar day: a bounded table, so ordering it in one task is fine
     w = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     tot = Window.partitionBy(F.lit(1))
+    hist = hist.where(F.col("_day").isNotNull())
     share = hist.withColumn("_share", F.coalesce(F.sum("_n").over(w), F.lit(0)) / F.sum("_n").over(tot))
     acc, cond = 0.0, None
     for name, frac in fractions:
@@ -77,7 +79,7 @@ def date_split(df: DataFrame, date_col: str, fractions=(("train", 0.95), ("val",
         cond = (F.when(F.col("_share") < F.lit(acc), F.lit(name)) if cond is None
                 else cond.when(F.col("_share") < F.lit(acc), F.lit(name)))
     share = share.withColumn("split", cond.otherwise(F.lit(fractions[-1][0]))).select("_day", "split")
-    return df.join(F.broadcast(share), day == F.col("_day")).drop("_day")
+    return df.join(F.broadcast(share), day == F.col("_day"), "left").drop("_day")
 
 
 def shard_ranks(ordered: DataFrame, idx_col: str, world: int, pad: bool = True) -> DataFrame:
@@ -90,9 +92,11 @@ def shard_ranks(ordered: DataFrame, idx_col: str, world: int, pad: bool = True)
     rows = ordered.withColumn("p", F.col(idx_col))
     if not pad:
         rows = rows.where(F.col("p") < per_rank * world)
-    if extra > 0:
-        padding = ordered.where(F.col(idx_col) < extra).withColumn("p", F.col(idx_col) + F.lit(n))
-        rows = rows.unionByName(padding)
+    if extra > 0 and n:
+        # fewer than ``world`` positions, each the copy of index ``p mod n``: a short table may repeat several times
+        more = ordered.sparkSession.range(n, n + extra).select(
+            F.col("id").alias("p"), (F.col("id") % n).cast(ordered.schema[idx_col].dataType).alias(idx_col))
+        rows = rows.unionByName(ordered.join(F.broadcast(more), idx_col).select(*ordered.columns, "p"))
     return (rows.withColumn("rank", F.pmod(F.col("p"), F.lit(world)).cast("int"))
                 .withColumn("pos_in_rank", F.floor(F.col("p") / world).cast("bigint")))
 

@@ -36,39 +36,24 @@ def encode_totals(df: DataFrame, shard: str = "shard", len_col: str = "len",
               .withColumn("n_bytes", F.col("n_tokens") * 2))
 
 
-def length_stats(df: DataFrame, len_col: str = "len", approx: bool = False,
-                 max_distinct: int = 1_000_000) -> DataFrame:
+def length_stats(df: DataFrame, len_col: str = "len", approx: bool = False) -> DataFrame:
     """D3: count, mean and median length.
 
-    Exact mode works from the histogram of length values (one row per distinct
-    length — bounded by the longest sequence), so no task ever holds all values
-    (Spark's exact ``percentile`` buffers every value of its group).  The median
-    uses the same linear interpolation as ``percentile(len, 0.5)``.
+    Exact mode works from the histogram of length values and its running count
+    (block-parallel), so no task ever holds all values (Spark's exact
+    ``percentile`` buffers every value of its group) and nothing is collected.
+    The median is the mean of the two middle values, as ``percentile(len, 0.5)``.
     ``approx=True`` is the flagged ``percentile_approx`` monitoring mode."""
     if approx:
         return df.agg(F.count(len_col).alias("n"), F.round(F.avg(len_col), 6).alias("mean_len"),
                       F.percentile_approx(len_col, 0.5, 10000).cast("double").alias("median_len"))
     hist = df.where(F.col(len_col).isNotNull()).groupBy(F.col(len_col).alias("v")).agg(F.count("*").alias("c"))
-    rows = sorted((r["v"], r["c"]) for r in hist.limit(max_distinct + 1).collect())
-    if len(rows) > max_distinct:
-        raise ValueError("too many distinct lengths for the exact histogram; use approx=True")
-    n = sum(c for _, c in rows)
-    spark = df.sparkSession
-    if n == 0:
-        return spark.createDataFrame([(0, None, None)], "n long, mean_len double, median_len double")
-    mean = round(sum(v * c for v, c in rows) / n, 6)
-
-    def at(k):  # value at 0-based rank k
-        acc = 0
-        for v, c in rows:
-            acc += c
-            if k < acc:
-                return v
-        return rows[-1][0]
-    pos = (n - 1) * 0.5
-    lo, hi = int(pos), min(int(pos) + 1, n - 1)
-    median = float(at(lo) + (at(hi) - at(lo)) * (pos - lo))
-    return spark.createDataFrame([(n, mean, median)], "n long, mean_len double, median_len double")
+    cum = running_sum(hist, {"upto": F.col("c")}, ["v"])
+    n = hist.agg(F.sum("c")).first()[0] or 0
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))  # noqa: E731  value at 0-based rank k
+    return cum.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("n"),
+                   F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean_len"),
+                   ((at((n - 1) // 2) + at(n // 2)) / 2).cast("double").alias("median_len"))
 
 
 def token_frequency(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -86,14 +71,9 @@ def rating_histogram(df: DataFrame, cols, width: int) -> DataFrame:
 
 
 def category_distribution(df: DataFrame, col: str) -> DataFrame:
-    """Count per category and its share of the total.  The total is a
-    one-row aggregate of the counts joined back as a broadcast (one row is a
-    proven size), so any number of categories stays distributed."""
-    counts = df.groupBy(col).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_total")).withColumn("_one", F.lit(1))
-    return (counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-                  .withColumn("share", F.round(F.col("n") / F.col("_total"), 6))
-                  .drop("_one", "_total"))
+    """Count per category and its share of the total (one number, from a count of the input)."""
+    total = df.count()
+    return df.groupBy(col).agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.lit(total), 6))
 
 
 def completeness_by_period(df: DataFrame, date_col: str, cols, unit: str = "month") -> DataFrame:
@@ -117,20 +97,26 @@ def token_weighted_loss(df: DataFrame, keys, loss: str = "loss", n: str = "n_tok
 def throughput_log(metrics: DataFrame, log_every: int = 50, epoch: str = "epoch", step: str = "step",
                    loss: str = "loss", n: str = "n_tokens", ts: str = "ts_s",
                    world_size: int = 1) -> DataFrame:
-    """One row per ``log_every`` steps: tokens in the window, tokens per
-    second (summed over ranks), window mean loss and the running token-weighted
-    loss since the epoch start (E6 over the window sums)."""
+    """One row per complete window of ``log_every`` steps: its tokens, tokens
+    per second since the previous log (the epoch's start for the first; summed
+    over ranks), the loss of its last step, its mean loss and the running
+    token-weighted loss since the epoch start (E6 over the window sums)."""
     win = F.floor((F.col(step) - 1) / log_every).cast("bigint").alias("log_window")
     per = (metrics.groupBy(epoch, win)
                   .agg(F.sum(n).cast("bigint").alias("tokens"),
                        F.sum(F.col(loss) * F.col(n)).alias("_ln"),
-                       (F.max(ts) - F.min(ts)).alias("_dt"),
+                       F.min(ts).alias("_from"), F.max(ts).alias("_to"),
+                       F.round(F.max_by(loss, F.struct(step, ts)), 6).alias("last_loss"),
                        F.max(step).alias("last_step")))
-    w = Window.partitionBy(epoch).orderBy("log_window").rowsBetween(Window.unboundedPreceding, 0)
-    return (per.withColumn("tok_per_s", F.round(F.col("tokens") * world_size / F.nullif(F.col("_dt"), F.lit(0.0)), 6))
+    per = per.where(F.col("last_step") == (F.col("log_window") + 1) * log_every)
+    w = Window.partitionBy(epoch).orderBy("log_window")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    elapsed = F.col("_to") - F.coalesce(F.lag("_to").over(w), F.col("_from"))
+    return (per.withColumn("_dt", elapsed)
+               .withColumn("tok_per_s", F.round(F.col("tokens") * world_size / F.nullif(F.col("_dt"), F.lit(0.0)), 6))
                .withColumn("window_loss", F.round(F.col("_ln") / F.nullif(F.col("tokens"), F.lit(0)), 6))
-               .withColumn("running_loss", F.round(F.sum("_ln").over(w) / F.nullif(F.sum("tokens").over(w), F.lit(0)), 6))
-               .drop("_ln", "_dt"))
+               .withColumn("running_loss", F.round(F.sum("_ln").over(upto) / F.nullif(F.sum("tokens").over(upto), F.lit(0)), 6))
+               .drop("_ln", "_dt", "_from", "_to"))
 
 
 def phase_of(ply: Column) -> Column:

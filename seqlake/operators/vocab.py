@@ -3,11 +3,10 @@ id assignment in byte order (E3), id -> token decoding (C2) and coverage (D16)."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import split_ws
-from seqlake.operators.joins import with_known_rows
 from seqlake.operators.ordered import dense_index
 
 # Special tokens and their ids; ordinary tokens start at 4.
@@ -66,12 +65,10 @@ def assign_ids(tokens: DataFrame, token_col: str = "token", n_special: int = N_S
     spark = tokens.sparkSession
     distinct = tokens.select(F.col(token_col).alias("token")).where(F.col("token").isNotNull()).distinct()
     ranked = dense_index(distinct, [F.col("token")], name="_rank")
-    n = getattr(ranked, "_seqlake_rows", None)
     vocab = ranked.select("token", (F.col("_rank") + F.lit(n_special)).cast("int").alias("id"))
     if with_specials:
         vocab = spark.createDataFrame(SPECIALS, "token string, id int").unionByName(vocab)
-        n = None if n is None else n + len(SPECIALS)
-    return vocab if n is None else with_known_rows(vocab, n)
+    return vocab
 
 
 def move_vocabulary(spark: SparkSession) -> DataFrame:
@@ -84,16 +81,15 @@ def learned_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return assign_ids(docs.select(F.explode(split_ws(text_col)).alias("token")))
 
 
-def decode_ids(ids_col, vocab: DataFrame, unknown: str = "?", drop_pad: bool = False,
+def decode_ids(ids_col, tokens: list[str], unknown: str = "?", drop_pad: bool = False,
                first_n: int | None = None):
-    """id -> token (C2) as a column expression over a dense inverse array.
+    """id -> token (C2) as a column expression over a fixed vocabulary.
 
-    The inverse is one array literal of ``max_id + 1`` strings, so this form is
-    only for small fixed vocabularies (the move vocabulary: 1,972 entries);
-    ``encode.decode_join`` handles vocabularies of any size.
+    ``tokens`` lists a fixed vocabulary in id order (``fixed_tokens`` for the
+    moves); it becomes one array literal.  Learned vocabularies are tables and
+    go through ``encode.decode_join``.
     """
-    inv = inverse_array(vocab)
-    arr = F.lit(inv) if not isinstance(inv, list) else F.array(*[F.lit(t) for t in inv])
+    arr = F.array(*[F.lit(t) for t in tokens])
     c = F.col(ids_col) if isinstance(ids_col, str) else ids_col
     toks = F.transform(c, lambda i: F.coalesce(F.get(arr, i), F.lit(unknown)))
     if drop_pad:
@@ -103,17 +99,9 @@ def decode_ids(ids_col, vocab: DataFrame, unknown: str = "?", drop_pad: bool = F
     return toks
 
 
-def inverse_array(vocab: DataFrame, limit: int = 5_000) -> list:
-    """Dense id -> token list (size-checked: refuses vocabularies over ``limit``)."""
-    n = vocab.count()
-    if n > limit:
-        raise ValueError(f"vocabulary of {n} entries is too large for an inverse array")
-    rows = vocab.select("id", "token").collect()
-    size = max(r[0] for r in rows) + 1
-    inv = [None] * size
-    for i, t in rows:
-        inv[i] = t
-    return inv
+def fixed_tokens(spark: SparkSession) -> list[str]:
+    """The 1,972 tokens of the move vocabulary in id order."""
+    return [r.token for r in move_vocabulary(spark).orderBy("id").collect()]
 
 
 def seen_vocab(tokens: DataFrame, vocab: DataFrame, token_col: str = "token") -> DataFrame:

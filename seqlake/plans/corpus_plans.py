@@ -10,6 +10,8 @@ from seqlake.operators.filters import (INT_TEXT, CorpusConfig, base_seconds, cor
 from seqlake.operators.stats import funnel
 from seqlake.plans.registry import register, table
 from seqlake.plans.standins import SQL_DOC_TOKENS, doc_tokens
+from seqlake.prepare import prepare, read_manifest, read_prepared
+from seqlake.session import scratch_dir
 from seqlake.sources.corpus import (count_scan, list_corpus, missing_files, pending_inputs, quarantine,
                                     rows_per_file, scan_corpus, scan_tolerant, shard_pairs, source_stem)
 
@@ -199,3 +201,52 @@ def q_quarantine_files(spark, sf_dir):
     miss = missing_files(spark, planned, seen)
     return miss.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
                        F.lit(0).cast("bigint").alias("n_rows_filtered"), F.lit(0).cast("bigint").alias("n_rows_kept"))
+
+
+PREPARE_CFG = CorpusConfig(min_plies=8)
+_GAME_TEXT = "1. e4 {a (comment} e5! (a (b (c)) d) $3 "
+
+
+def prepare_games(spark, sf_dir):
+    """Game rows from orders: decorated movetext (as long as the order has lines), ratings and clocks of all kinds."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").cast("int").alias("n"))
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("k"))
+    return o.select(
+        F.concat(F.repeat(F.lit(_GAME_TEXT), F.col("n")), F.when(F.col("k") % 17 == 0, "(").otherwise("1-0")).alias("movetext"),
+        F.when(F.col("k") % 11 == 0, "?").otherwise((2000 + F.col("k") % 1500).cast("string")).alias("WhiteElo"),
+        (2000 + F.col("o_custkey") % 1500).cast("string").alias("BlackElo"),
+        F.when(F.col("k") % 13 == 0, "-").otherwise(F.concat((F.col("k") % 700).cast("string"), F.lit("+2"))).alias("TimeControl"),
+        F.col("o_orderstatus").alias("part"))
+
+
+@register("prepare", """
+WITH g AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS part, n
+           FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+f AS (SELECT *, k % 11 <> 0 AND 2000 + k % 1500 > 2200 AND 2000 + c % 1500 > 2200 AND k % 13 <> 0 AND k % 700 >= 180 AS passed
+      FROM g)
+SELECT 'part=' || part AS folder, count(*) AS rows, count(*) FILTER (passed) AS passed,
+       count(*) FILTER (passed AND k % 17 <> 0 AND 2 * n >= 8) AS kept,
+       coalesce(sum(2 * n) FILTER (passed AND k % 17 <> 0 AND 2 * n >= 8), 0)::BIGINT AS n_tokens
+FROM f GROUP BY part UNION ALL SELECT 'broken', 0, 0, 0, 0
+""")
+def q_prepare(spark, sf_dir):
+    """The whole job over game files written from the tables, one of them unreadable; the second run finds it all done
+    but the unreadable file."""
+    root = scratch_dir(spark, "prepare")
+    prepare_games(spark, sf_dir).write.partitionBy("part").parquet(f"{root}/in")
+    spark.createDataFrame([("this is no Parquet file",)], "value string").coalesce(1).write.text(f"{root}/broken")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    where = fs.Path(f"{root}/broken")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = [f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("part-")][0]
+    files.mkdirs(fs.Path(f"{root}/in/broken"))
+    files.rename(part, fs.Path(f"{root}/in/broken/file.parquet"))
+    prepare(spark, f"{root}/in", f"{root}/out", PREPARE_CFG)
+    again = prepare(spark, f"{root}/in", f"{root}/out", PREPARE_CFG)
+    if again["kept"]:   # only sources without output are tried again
+        raise AssertionError("finished sources were read again")
+    folder = F.regexp_extract("stem", "^([^_]+)_", 1).alias("folder")
+    totals = read_manifest(spark, f"{root}/out").groupBy(folder).agg(*[F.sum(c).alias(c) for c in ("rows", "passed", "kept")])
+    tokens = read_prepared(spark, f"{root}/out").groupBy(folder).agg(F.sum(F.size(F.split("value", " "))).cast("bigint").alias("n_tokens"))
+    return totals.join(tokens, "folder", "left").select("folder", "rows", "passed", "kept",
+                                                        F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))

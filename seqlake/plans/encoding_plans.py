@@ -134,18 +134,18 @@ def q_strict_encode(spark, sf_dir):
 WITH {SQL_DT}, {SQL_EN_VOCAB},
 el AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos FROM dt)
 SELECT dt.doc_id,
-       coalesce(string_agg(CASE WHEN v.id IS NULL THEN '?' ELSE el.token END, ' ' ORDER BY el.pos)
-                FILTER (WHERE el.pos <= 20), '') AS preview
+       count(el.pos) AS n_tokens,
+       md5(coalesce(string_agg(CASE WHEN v.id IS NULL THEN '?' ELSE el.token END, ' ' ORDER BY el.pos), '')) AS decoded_md5
 FROM dt LEFT JOIN el ON el.doc_id = dt.doc_id LEFT JOIN vocab v ON v.token = el.token
 GROUP BY dt.doc_id
 """)
 def q_decode_ids(spark, sf_dir):
-    """ids (C1, unknown = NULL) -> tokens, unknown -> '?', first 20 non-PAD."""
+    """ids (C1, unknown = NULL) -> tokens, unknown -> '?'; a digest of every text's whole decoding."""
     vocab = en_vocab(spark, sf_dir)
     looked = lookup_ids(doc_tokens(spark, sf_dir), "doc_id", "tokens", vocab)
     dec = decode_join(looked.select("doc_id", "ids"), "doc_id", "ids", vocab)
-    prev = F.slice(F.filter("decoded", lambda t: t != F.lit("PAD")), 1, 20)
-    return dec.select("doc_id", F.array_join(prev, " ").alias("preview"))
+    return dec.select("doc_id", F.size("decoded").cast("bigint").alias("n_tokens"),
+                      F.md5(F.array_join("decoded", " ")).alias("decoded_md5"))
 
 
 SQL_FULL = f"""{SQL_DT}, {SQL_ALL_VOCAB}, {SQL_LOOKED},

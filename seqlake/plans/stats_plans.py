@@ -92,12 +92,15 @@ WITH ev AS (SELECT event_type AS epoch, value AS loss, json_extract(props, '$.k'
                    epoch_us(ts) / 1000000.0 AS ts_s,
                    row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS step FROM events),
 g AS (SELECT epoch, floor((step - 1) / {LOG_EVERY})::BIGINT AS log_window, sum(n_tokens)::BIGINT AS tokens,
-             sum(loss * n_tokens) AS ln, max(ts_s) - min(ts_s) AS dt, max(step) AS last_step FROM ev GROUP BY 1, 2)
-SELECT epoch, log_window, tokens, last_step,
+             sum(loss * n_tokens) AS ln, min(ts_s) AS t0, max(ts_s) AS t1, max(step) AS last_step,
+             round(arg_max(loss, step), 6) AS last_loss FROM ev GROUP BY 1, 2),
+f AS (SELECT *, t1 - coalesce(lag(t1) OVER (PARTITION BY epoch ORDER BY log_window), t0) AS dt
+      FROM g WHERE last_step = (log_window + 1) * {LOG_EVERY})
+SELECT epoch, log_window, tokens, last_step, last_loss,
        round(tokens * 1 / nullif(dt, 0.0), 6) AS tok_per_s,
        round(ln / nullif(tokens, 0), 6) AS window_loss,
        round(sum(ln) OVER w / nullif(sum(tokens) OVER w, 0), 6) AS running_loss
-FROM g WINDOW w AS (PARTITION BY epoch ORDER BY log_window ROWS UNBOUNDED PRECEDING)
+FROM f WINDOW w AS (PARTITION BY epoch ORDER BY log_window ROWS UNBOUNDED PRECEDING)
 """)
 def q_throughput_log(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
@@ -105,7 +108,7 @@ def q_throughput_log(spark, sf_dir):
                   F.from_json("props", "k int")["k"].alias("n_tokens"),
                   (ts_micros("ts") / 1e6).alias("ts_s"), ts_micros("ts").alias("ts_us"))
     m = running_sum(m, {"step": F.lit(1).cast("bigint")}, ["ts_us", "event_id"], ["epoch"])
-    return throughput_log(m, LOG_EVERY).select("epoch", "log_window", "tokens", "last_step", "tok_per_s",
+    return throughput_log(m, LOG_EVERY).select("epoch", "log_window", "tokens", "last_step", "last_loss", "tok_per_s",
                                                "window_loss", "running_loss")
 
 

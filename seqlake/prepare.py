@@ -1,64 +1,100 @@
 """Corpus preparation, the reference's top-level data job:
 
-scan (A1) -> corpus filter (B3, pushed to the scan) -> conversion (H1 or a
-converter plug-in, H2) -> minimum length (B4) -> one text line per game,
-one folder per source stem (A6) -> funnel totals (D1) observed in the same job.
+scan (A1, unreadable files skipped) -> corpus filter (B3, at the scan) ->
+conversion of the games that pass (H1 or a converter plug-in, H2) -> minimum
+length (B4) -> one text line per game, one folder per source stem (A6) -> a
+manifest row per source (D1), by which a later run skips what is done (A4).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlake.functions.text import join_ws
 from seqlake.operators.convert import clean_movetext_df, convert_games
 from seqlake.operators.filters import CorpusConfig, corpus_condition
-from seqlake.sources.corpus import scan_corpus, source_stem
-from seqlake.streaming.source import run_available  # noqa: E402
+from seqlake.sources.corpus import list_corpus, pending_inputs, scan_tolerant, source_stem
+from seqlake.streaming.source import run_available
 
 GAME_SCHEMA = "movetext string, WhiteElo string, BlackElo string, TimeControl string"
+MANIFEST = "_manifest"   # a leading underscore hides it from readers of the lines
+MANIFEST_SCHEMA = "stem string, rows long, passed long, kept long"
 
 
-def _converted(df: DataFrame, cfg: CorpusConfig, converter) -> DataFrame:
-    if converter is None:
-        return clean_movetext_df(df, "movetext")
-    return convert_games(df, "movetext", converter)
+def games_of(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The games of ``files`` with their source stem; unreadable files give no row."""
+    return scan_tolerant(spark, files, GAME_SCHEMA).withColumn("stem", source_stem(F.col("_metadata.file_path")))
 
 
-def prepare(spark: SparkSession, path, out: str, cfg: CorpusConfig = CorpusConfig(),
+def kept_games(games: DataFrame, cfg: CorpusConfig, converter=None, mode: str = "lenient") -> DataFrame:
+    """Filter first, on the plain columns at the scan; convert only what passes; then the length."""
+    passed = games.where(F.coalesce(corpus_condition(cfg, mode), F.lit(False)))
+    conv = (clean_movetext_df(passed, "movetext") if converter is None
+            else convert_games(passed, "movetext", converter))
+    return conv.where(F.coalesce(F.size("tokens"), F.lit(0)) >= cfg.min_plies)
+
+
+def read_manifest(spark: SparkSession, out: str) -> DataFrame:
+    """One row per source seen by any run: ``stem, rows, passed, kept``."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{MANIFEST}")
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{out}/{MANIFEST}")
+    return rows.groupBy("stem").agg(*[F.max(c).alias(c) for c in ("rows", "passed", "kept")])
+
+
+def read_prepared(spark: SparkSession, out: str) -> DataFrame:
+    """``(value, stem)``: every line written so far."""
+    lines = spark.read.text(out)
+    if "stem" not in lines.columns:   # no source had output
+        lines = lines.where(F.lit(False)).withColumn("stem", F.lit(None))
+    return lines.select("value", F.col("stem").cast("string").alias("stem"))
+
+
+def prepare(spark: SparkSession, path: str, out: str, cfg: CorpusConfig = CorpusConfig(),
             converter: Callable[[str | None], list | None] | None = None,
             limit_files: int | None = None, mode: str = "lenient") -> dict:
-    """Batch corpus preparation.  Returns the funnel totals
-    ``{rows, passed, kept}``; per-source totals are ``funnel`` over the output.
-
-    ``mode="lenient"`` drops malformed ratings (the strict SQL cast would fail
-    the whole run); ``"strict"`` keeps the reference's failing cast."""
-    games = scan_corpus(spark, path, GAME_SCHEMA, limit_files) \
-        .withColumn("stem", source_stem(F.col("_metadata.file_path")))
-    flagged = games.withColumn("_passed", F.coalesce(corpus_condition(cfg, mode), F.lit(False)))
-    conv = _converted(flagged, cfg, converter)
-    conv = conv.withColumn("_kept", F.col("_passed") & (F.coalesce(F.size("tokens"), F.lit(0)) >= cfg.min_plies))
-    obs = Observation("funnel")
-    observed = conv.observe(obs, F.count(F.lit(1)).alias("rows"),
-                            F.count_if("_passed").alias("passed"), F.count_if("_kept").alias("kept"))
-    # a stem with no surviving game writes nothing (no folder is created for it)
-    (observed.where("_kept").select("stem", join_ws("tokens").alias("value"))
-             .write.mode("overwrite").partitionBy("stem").text(out))
-    return obs.get
+    """Batch corpus preparation; returns this run's totals ``{rows, passed, kept}``.
+
+    A source whose manifest row shows output is skipped; one without output, or
+    unreadable before, is tried again and replaces only its own folder.  An
+    unreadable file is reported with (0, 0, 0).  ``mode="lenient"`` drops
+    malformed ratings; ``"strict"`` keeps the reference's failing cast."""
+    files = list_corpus(spark, path, limit_files)
+    planned = spark.createDataFrame([(f,) for f in files], "path string").withColumn("stem", source_stem("path"))
+    pending = pending_inputs(planned, read_manifest(spark, out)).select("path", "stem").collect()   # a row per file
+    if not pending:
+        return {"rows": 0, "passed": 0, "kept": 0}
+    games = games_of(spark, [r.path for r in pending])
+    lines = kept_games(games, cfg, converter, mode).select("stem", join_ws("tokens").alias("value"))
+    # sources side by side in few files; a source with very many games is split over several
+    (lines.hint("rebalance", "stem").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("stem").text(out))
+    rows = games.groupBy("stem").agg(F.count("*").alias("rows"))   # no column is read for it
+    passed = (games.where(F.coalesce(corpus_condition(cfg, mode), F.lit(False)))
+                   .groupBy("stem").agg(F.count("*").alias("passed")))
+    kept = read_prepared(spark, out).groupBy("stem").agg(F.count("*").alias("kept"))
+    done = spark.createDataFrame([(r.stem,) for r in pending], "stem string")
+    for part in (rows, passed, kept):
+        done = done.join(part, "stem", "left")
+    done = done.select("stem", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("rows", "passed", "kept")])
+    done = done.checkpoint()
+    done.write.mode("append").parquet(f"{out}/{MANIFEST}")
+    return done.agg(*[F.sum(c).alias(c) for c in ("rows", "passed", "kept")]).first().asDict()
 
 
 def prepare_stream(spark: SparkSession, path: str, out: str, checkpoint: str,
                    cfg: CorpusConfig = CorpusConfig(), files_per_trigger: int = 1,
-                   timeout_s: int = 3600) -> None:
+                   timeout_s: int | None = None) -> None:
     """Streaming form (A5): each file landing under ``path`` is filtered,
     cleaned and appended as it arrives; the checkpoint makes reruns skip
     finished files (the reference's skip-if-done)."""
     stream = (spark.readStream.schema(GAME_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-                   .option("recursiveFileLookup", "true").parquet(path).withColumn("stem", source_stem(F.col("_metadata.file_path"))))
-    c = clean_movetext_df(stream.where(corpus_condition(cfg, "lenient")), "movetext")
-    kept = c.where(F.coalesce(F.size("tokens"), F.lit(0)) >= cfg.min_plies) \
-            .select("stem", join_ws("tokens").alias("value"))
+                   .option("recursiveFileLookup", "true").parquet(path)
+                   .withColumn("stem", source_stem(F.col("_metadata.file_path"))))
+    kept = kept_games(stream, cfg).select("stem", join_ws("tokens").alias("value"))
     run_available(kept.writeStream.format("text").option("path", out).partitionBy("stem").outputMode("append"),
                   checkpoint, timeout_s)

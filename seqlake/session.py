@@ -22,28 +22,32 @@ def build_session(master: str | None = None, cores: int | None = None,
                   app_name: str = "seqlake") -> SparkSession:
     """Local or cluster session with the settings every job here assumes."""
     builder = SparkSession.builder.appName(app_name)
-    if master is None:
-        master = f"local[{cores}]" if cores else os.environ.get("SEQLAKE_MASTER", "local[*]")
-    builder = builder.master(master)
-    n_shuffle = shuffle_partitions or (cores or os.cpu_count() or 8)
+    # the launcher's master and cluster settings stand unless the caller asks for others
+    master = master or (f"local[{cores}]" if cores else os.environ.get("SEQLAKE_MASTER"))
+    if master:
+        builder = builder.master(master)
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": str(n_shuffle),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("SEQLAKE_DRIVER_MEMORY", "16g"),
         "spark.sql.ansi.enabled": "true",
         # regrouping exploded sequences (collect_list per sequence) stays hash-based
         # up to this many sequences per task, then falls back to sort-based
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
-        # keyed state for the streaming operators (transformWithStateInPandas)
+        # unreferenced pinned blocks are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # keyed state for the streaming operators (applyInPandasWithState)
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
+    if shuffle_partitions or cores:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cores)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = os.environ.get("SEQLAKE_DRIVER_MEMORY", "16g")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -58,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
         current = spark.conf.get(CHECKPOINT_CONF, None)
+    if not current and not sc.master.startswith("local"):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="seqlake-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)

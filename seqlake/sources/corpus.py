@@ -12,8 +12,9 @@ from seqlake.operators.ordered import dense_index
 def list_corpus(spark: SparkSession, root: str, limit_files: int | None = None) -> list[str]:
     """Parquet files under ``root`` (recursive) in sorted relative-path order,
     optionally the first ``limit_files``.  Listing is Spark's own (parallel for
-    large trees); only the path list reaches the driver."""
-    files = spark.read.option("recursiveFileLookup", "true").parquet(root).inputFiles()
+    large trees) and opens no file; only the path list reaches the driver."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(root).inputFiles())
     files = sorted(f for f in files if f.endswith(".parquet"))
     return files[:limit_files] if limit_files is not None else files
 

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from seqlake.functions.text import join_ws
 
+CORRUPT = "_corrupt_line"
+
 
 def write_lines(df: DataFrame, path: str, tokens_col: str = "tokens", stem_col: str = "stem",
                 mode: str = "overwrite") -> None:
@@ -29,11 +31,15 @@ def parse_ndjson(lines: DataFrame, schema: T.StructType | str, value_col: str =
     with an explicit schema; a line that is not a JSON object gets
     ``reject_reason = 'bad_json'`` (A13) and is dropped unless ``keep_bad``."""
     nonblank = lines.where(F.length(F.trim(F.col(value_col))) > 0)
-    parsed = nonblank.withColumn("_j", F.from_json(value_col, schema, {"mode": "PERMISSIVE"}))
-    out = parsed.withColumn("reject_reason", F.when(F.col("_j").isNull(), F.lit("bad_json")))
-    fields = schema.fieldNames() if isinstance(schema, T.StructType) else None
-    cols = [F.col(f"_j.{f}").alias(f) for f in fields] if fields else [F.col("_j.*")]
-    out = out.select(*cols, "reject_reason")
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    # a line that does not parse fills this extra field; its other fields are NULL as in a valid sparse object
+    marked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = nonblank.withColumn("_j", F.from_json(
+        value_col, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    bad = F.col("_j").isNull() | F.col(f"_j.{CORRUPT}").isNotNull()
+    out = parsed.select(*[F.col(f"_j.`{f}`").alias(f) for f in schema.fieldNames()],
+                        F.when(bad, F.lit("bad_json")).alias("reject_reason"))
     return out if keep_bad else out.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
 

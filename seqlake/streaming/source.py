@@ -30,8 +30,9 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per
                  .parquet(path))
 
 
-def run_available(query_builder, checkpoint: str, timeout_s: int = 600, state_partitions: int | None = None):
-    """Start with ``trigger(availableNow=True)`` and wait for the backlog to drain.
+def run_available(query_builder, checkpoint: str, timeout_s: int | None = None, state_partitions: int | None = None):
+    """Start with ``trigger(availableNow=True)`` and wait for the backlog to drain
+    (without limit, unless ``timeout_s`` is given).
 
     ``state_partitions`` fixes the number of state-store partitions of a new
     stateful query (a stream copies the session settings when it starts and
@@ -46,7 +47,7 @@ def run_available(query_builder, checkpoint: str, timeout_s: int = 600, state_pa
     finally:
         if old is not None:
             spark.conf.set("spark.sql.shuffle.partitions", old)
-    q.awaitTermination(timeout_s)
+    q.awaitTermination(timeout_s) if timeout_s is not None else q.awaitTermination()
     if q.isActive:
         q.stop()
         raise TimeoutError("streaming query did not finish")
@@ -56,7 +57,7 @@ def run_available(query_builder, checkpoint: str, timeout_s: int = 600, state_pa
 
 
 def stream_corpus(stream: DataFrame, keep: Column, project, out_path: str, checkpoint: str,
-                  timeout_s: int = 600) -> None:
+                  timeout_s: int | None = None) -> None:
     """Filter and project each arriving file, append to Parquet; the
     checkpoint replaces the reference's skip-if-done bookkeeping (A4)."""
     out = stream.where(keep).select(*project)
@@ -65,18 +66,20 @@ def stream_corpus(stream: DataFrame, keep: Column, project, out_path: str, check
 
 
 def route_stream(stream: DataFrame, type_col: str, mapping: dict, out_path: str, checkpoint: str,
-                 timeout_s: int = 600) -> None:
-    """One parsed stream, one sink per route (``foreachBatch``).  Each batch
+                 timeout_s: int | None = None) -> None:
+    """One parsed stream, one folder per route (``foreachBatch``).  Each batch
     writes ``route=<r>/batch=<id>`` with overwrite, so a replayed batch is idempotent."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        for src, route in mapping.items():
-            (batch.where(F.col(type_col) == src)
-                  .write.mode("overwrite").parquet(f"{out_path}/route={route}/batch={batch_id}"))
+        # one pass over the batch; a replayed batch overwrites its own folders only
+        names = [F.when(F.col(type_col) == src, F.lit(route)) for src, route in mapping.items()]
+        routed = batch.withColumn("route", F.coalesce(*names)).where(F.col("route").isNotNull())
+        (routed.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+               .option("partitionOverwriteMode", "dynamic").partitionBy("route", "batch").parquet(out_path))
     run_available(stream.writeStream.foreachBatch(sink), checkpoint, timeout_s)
 
 
 def live_funnel(stream: DataFrame, stem: str, passed: Column, kept: Column, out_path: str,
-                checkpoint: str, timeout_s: int = 600) -> None:
+                checkpoint: str, timeout_s: int | None = None) -> None:
     """Running per-source totals while the corpus streams (complete mode,
     each batch overwrites the small result table)."""
     agg = stream.groupBy(stem).agg(F.count("*").alias("n_rows"), F.count_if(passed).alias("n_passed"),

@@ -166,8 +166,8 @@ def test_buffered_cooldown_stream_handles_out_of_order_files(spark):
 
 
 def test_decode_ids_move_vocabulary(spark):
-    from seqlake.operators.vocab import decode_ids
-    v = move_vocabulary(spark)
+    from seqlake.operators.vocab import decode_ids, fixed_tokens
+    v = fixed_tokens(spark)
     df = spark.createDataFrame([([1, 4, 1971, 0, 5000],)], "ids array<int>")
     got = df.select(decode_ids("ids", v, drop_pad=True).alias("t")).first().t
     assert got == ["BOS", "a1a2", "h8h7", "?"]
@@ -236,3 +236,128 @@ def test_encode_carry_equals_join_back(spark):
     b = {(r.k, r.shard, tuple(r.ids or ()), r.reject_reason)
          for r in encode(seqs, "k", "tokens", vocab, keep_rejects=True, carry=["shard"]).collect()}
     assert a == b and len(a) == 3
+
+
+# -- cases of the round-1 verdict ------------------------------------------------------------
+
+def test_nested_variations_of_any_depth(spark):
+    from seqlake.operators.convert import clean_movetext_df
+    rows = [("deep", "e4 " + "(a " * 30 + "b" + " c)" * 30 + " e5"), ("open", "e4 (a (b) e5"), ("close", "e4 a) (b e5"),
+            ("crossed", "e4 ) ( e5"), ("none", "e4 e5"), ("all", "(a)"), ("two", "e4(a)e5(b(c)d)Nf3")]
+    got = {r.k: (r.tokens, r.reject_reason) for r in clean_movetext_df(
+        spark.createDataFrame(rows, "k string, t string"), "t").collect()}
+    assert got == {"deep": (["e4", "e5"], None), "open": (None, "unbalanced"), "close": (None, "unbalanced"),
+                   "crossed": (None, "unbalanced"), "none": (["e4", "e5"], None), "all": (None, "empty"),
+                   "two": (["e4", "e5", "Nf3"], None)}
+
+
+def test_ndjson_bad_lines(spark):
+    from seqlake.sources.text import parse_ndjson
+    lines = spark.createDataFrame([('{"a": 1, "b": {"c": "x"}}',), ("not json",), ('{"a": ',), ("[1]",), (" ",), ('{"a": null}',), ('{}',)],
+                                  "value string")
+    got = parse_ndjson(lines, "a int, b struct<c: string>", keep_bad=True).collect()
+    assert sorted((r.a, r.reject_reason) for r in got if r.a) == [(1, None)]
+    assert sum(r.reject_reason == "bad_json" for r in got) == 3 and len(got) == 6
+    assert parse_ndjson(lines, "a int").count() == 3
+
+
+def test_running_sum_nulls_and_decimals(spark):
+    from decimal import Decimal
+    from seqlake.operators.ordered import running_sum
+    rows = [(i, None if i % 2 else i, Decimal(i) / 4) for i in range(40)] + [(100, None, None)]
+    df = spark.createDataFrame(rows, "i long, v long, d decimal(10,2)")
+    for n in (1, 5, 9):
+        got = {r.i: (r.a, r.b) for r in running_sum(df, {"a": "v", "b": "d"}, ["i"], n_blocks=n).collect()}
+        v, d = 0, Decimal(0)
+        for i, x, y in rows:
+            v, d = v + (x or 0), d + (y or 0)
+            assert got[i] == (v, d), (n, i)
+    late = spark.createDataFrame([(i, None if i < 30 else 1) for i in range(40)], "i long, v long")
+    got = {r.i: r.a for r in running_sum(late, {"a": "v"}, ["i"], n_blocks=6).collect()}
+    assert all(got[i] is None for i in range(30)) and got[39] == 10
+
+
+def test_parity_is_per_vector(spark):
+    from seqlake.operators.scoring import parity_summary
+    rows = [("g", 1, p, v, w) for p, (v, w) in enumerate([(1.0, 1.0), (5.0, 5.0)])] + \
+           [("g", 2, p, v, w) for p, (v, w) in enumerate([(3.0, 2.0), (2.0, 3.0)])]
+    r = parity_summary(spark.createDataFrame(rows, "label string, vec int, pos int, a double, b double"), ["label"], ["vec"]).first()
+    assert not r.top1_match and not r["pass"] and r.max_abs_diff == 1.0
+
+
+def test_throughput_log_windows(spark):
+    from seqlake.operators.stats import throughput_log
+    rows = [("e", s, float(s), 10, 100.0 + 2 * s) for s in range(1, 6)]
+    got = throughput_log(spark.createDataFrame(rows, "epoch string, step long, loss double, n_tokens long, ts_s double"), 2).collect()
+    got = {r.log_window: (r.tokens, r.tok_per_s, r.last_loss) for r in got}
+    assert got == {0: (20, 10.0, 2.0), 1: (20, 5.0, 4.0)}   # since the previous log; the half window 5 is not logged
+
+
+def test_sampling_edge_temperatures(spark):
+    from seqlake.operators.scoring import greedy_legal, sample_legal
+    df = spark.createDataFrame([(1, [0.0] * 4 + [900.0, 1.0, 5.0], [5, 6])], "row_id int, logits array<double>, legal array<int>")
+    r = df.select(greedy_legal("logits", "legal").alias("g"), sample_legal("logits", "legal", 0.0, 1, "row_id").alias("t0"),
+                  sample_legal("logits", "legal", 0.01, 1, "row_id").alias("t1")).first()
+    assert (r.g, r.t0, r.t1) == (6, 6, 6)
+
+
+def test_shard_ranks_of_a_short_table(spark):
+    from seqlake.operators.split import shard_ranks
+    got = shard_ranks(spark.createDataFrame([(i,) for i in range(3)], "idx long"), "idx", 8).collect()
+    assert sorted((r["rank"], r.idx) for r in got) == [(p, p % 3) for p in range(8)]
+    assert shard_ranks(spark.createDataFrame([], "idx long"), "idx", 4).count() == 0
+
+
+def test_date_split_keeps_rows_without_date(spark):
+    from seqlake.operators.split import date_split
+    df = spark.sql("SELECT id, CASE WHEN id % 5 > 0 THEN date_add(DATE'2020-01-01', CAST(id AS INT)) END AS d FROM range(40)")
+    got = date_split(df, "d").collect()
+    assert len(got) == 40 and all((r.split is None) == (r.d is None) for r in got)
+
+
+def test_lookup_keeps_rows_that_share_a_key(spark):
+    from seqlake.operators.encode import lookup_ids
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id int")
+    rows = [(1, ["a"], "x"), (1, ["b"], "x"), (1, ["b"], "x"), (None, ["a", "z"], "y"), (2, [], "z"), (3, None, "w")]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>, c string")
+    want = sorted(map(str, [(1, [4]), (1, [5]), (1, [5]), (None, [4, None]), (2, None), (3, None)]))
+    norm = lambda d: sorted(str((r.k, r.ids or None)) for r in d.collect())
+    assert norm(lookup_ids(df, "k", "tokens", vocab)) == want
+    assert norm(lookup_ids(df, "k", "tokens", vocab, carry=["c"])) == want
+
+
+def test_cooldown_null_keys(spark):
+    from seqlake.operators.events import cooldown
+    df = spark.createDataFrame([(None, 1, 1), (None, 2, 2), (2 ** 60, 1, 3), (2 ** 60 + 1, 2, 4), (2 ** 60, 3, 5)],
+                               "k long, t long, i long")
+    assert sorted(r.i for r in cooldown(df, "k", "t", "i", gap_us=100).collect()) == [1, 2, 3, 4]
+
+
+def test_listing_opens_no_file(spark):
+    from seqlake.sources.corpus import list_corpus, scan_tolerant
+    root = scratch_dir(spark, "listing")
+    spark.range(3).coalesce(1).write.parquet(f"{root}/good")
+    spark.createDataFrame([("junk",)], "value string").coalesce(1).write.text(f"{root}/t")
+    import glob
+    import os
+    os.makedirs(f"{root}/bad".replace("file:", ""), exist_ok=True)
+    junk = glob.glob(f"{root}/t/part*".replace("file:", ""))[0]
+    with open(junk, "rb") as a, open(f"{root}/bad/x.parquet".replace("file:", ""), "wb") as b:
+        b.write(a.read())
+    files = list_corpus(spark, root)
+    assert len(files) == 2
+    assert scan_tolerant(spark, files, "id long").count() == 3
+
+
+def test_prepare_filters_before_it_converts(spark):
+    from seqlake.operators.filters import CorpusConfig
+    from seqlake.prepare import games_of, kept_games
+    root = scratch_dir(spark, "plan")
+    spark.createDataFrame([("e4", "2300", "2300", "180+2")], "movetext string, WhiteElo string, BlackElo string, TimeControl string") \
+        .write.parquet(root)
+    for converter in (None, str.split):
+        plan = kept_games(games_of(spark, [root]), CorpusConfig(), converter)._jdf.queryExecution().optimizedPlan().toString()
+        lines = plan.split("\n")
+        rating = max(i for i, line in enumerate(lines) if "Filter" in line and "WhiteElo" in line)
+        work = next(i for i, line in enumerate(lines) if ("regexp_replace(movetext" in line or "MapInPandas" in line))
+        assert work < rating, plan   # the plan prints parents first
