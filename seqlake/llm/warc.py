@@ -96,9 +96,11 @@ def write(pages: DataFrame, path: str, **columns) -> None:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``file, block, nth, value``: the files' pieces between blank lines, in order within a block."""
+    """``file, block, nth, value``: the files' pieces between blank lines, in order within a block.
+
+    Files go by a hash of their path: paths would weigh more than all else in the chain's joins."""
     return spark.read.option("lineSep", BLANK_LINE).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("nth"), "value")
 
 
@@ -137,7 +139,7 @@ def _field(name: str, kind: str = "string") -> Column:
 
 
 def read(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
-    """One row per verified record: ``file, at, page_id, url, kind, refers_to, payload_bytes, payload_digest, intact``.
+    """One row per verified record: ``file`` (hash of the path), ``at, page_id, url, kind, refers_to, payload_bytes, payload_digest, intact``.
 
     ``intact`` tells whether the stored bytes have the digest and length their header names
     (NULL for revisits, which store none).
@@ -181,6 +183,9 @@ def read(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> D
 def _reassembled(pieces: DataFrame, split: DataFrame) -> DataFrame:
     """``file, at, sha`` of payloads that blank lines cut into several pieces (one payload's pieces at a time)."""
     wanted = split.select("file", "at", "start", (F.col("start") + F.col("payload_bytes")).alias("end"))
+    wanted = landed(wanted, "wanted", compact=True)
+    if wanted.isEmpty():
+        return wanted.select("file", "at", F.lit(None).cast("string").alias("sha"))
     wanted = wanted.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / _BIN), F.floor(F.col("end") / _BIN))))
     # only files that hold such payloads are read again
     again = pieces.join(wanted.select("file").distinct(), "file", "left_semi")
