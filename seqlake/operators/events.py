@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from seqlake.operators.ordered import BLOCK, pin_blocks, running_sum
 
 # Routing of feed event types and the decline reasons.
-ROUTES = {"challenge": "challenge", "gameStart": "gameStart", "gameFinish": "gameFinish"}
 DECLINE_VARIANT, DECLINE_CASUAL, DECLINE_RATED, DECLINE_LATER = "variant", "casual", "rated", "later"
 
 

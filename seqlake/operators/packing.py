@@ -184,7 +184,11 @@ def pack_bucketed(items: DataFrame, id_cols, n_buckets: int, len_col: str = "len
     """
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     key = seeded_key(seed, *id_cols)
-    keyed = (items.where((F.col(len_col) <= chunk_len) & (F.col(len_col) >= 1))
+    # the same rule as the exact packing: a length that fits no chunk is an error, never a silent loss
+    fits = F.col(len_col).between(1, chunk_len)
+    checked = F.when(fits, F.col(len_col)).otherwise(F.raise_error(F.concat(
+        F.lit(f"length outside 1..{chunk_len}: "), F.coalesce(F.col(len_col).cast("string"), F.lit("NULL")))).cast("int"))
+    keyed = (items.withColumn(len_col, checked.cast(items.schema[len_col].dataType))
                   .withColumn("_key", key)
                   .withColumn("bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint"),
                                                F.lit(n_buckets)).cast("int")))

@@ -132,6 +132,12 @@ def topk_accuracy(df: DataFrame, logits: str, target: Column, klass=lambda i: i,
                   F.round(F.avg(F.array_contains(top, target).cast("double")), 6).alias("topk_acc"))
 
 
+def low_confidence(df: DataFrame, logits: str, cutoff: float = 0.05, keep=()) -> DataFrame:
+    """The rows whose top-1 probability is under ``cutoff``, with that probability (``p1``)."""
+    p1 = F.array_max(F.transform(probabilities(logits), lambda x: x["p"]))
+    return df.withColumn("p1", p1).where(F.col("p1") < cutoff).select(*keep, "p1")
+
+
 def illegal_and_confidence(df: DataFrame, logits: str, legal: str, cutoff: float = 0.05) -> DataFrame:
     """Share of raw top-1 ids outside the legal set; rows whose top-1
     probability is under ``cutoff``."""

@@ -81,11 +81,11 @@ def q_move_vocabulary(spark, sf_dir):
 
 
 @register("assign_ids", f"""
-WITH {SQL_DT}, {SQL_EN_VOCAB}
+WITH {SQL_DT}, {SQL_ALL_VOCAB}
 {SQL_SPECIALS} UNION ALL SELECT token, id FROM vocab
 """)
 def q_assign_ids(spark, sf_dir):
-    return en_vocab(spark, sf_dir)
+    return learned_vocabulary(table(spark, sf_dir, "documents"))
 
 
 @register("vocab_lookup", f"""

@@ -49,17 +49,19 @@ def q_category_distribution(spark, sf_dir):
     return category_distribution(games(spark, sf_dir), "Termination")
 
 
-@register("completeness_by_period", """
-SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n,
-       round(avg(CASE WHEN l_shipdate IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS l_shipdate_filled,
-       round(avg(CASE WHEN l_returnflag IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS l_returnflag_filled
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_SQL_FILLED = ", ".join(f"round(avg(CASE WHEN {c} IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS {c}_filled" for c in LINE_COLUMNS)
+
+
+@register("completeness_by_period", f"""
+SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n, {_SQL_FILLED}
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
 """)
 def q_completeness_by_period(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag")
-    j = o.join(li, o.o_orderkey == li.l_orderkey, "left")
-    out = completeness_by_period(j, "o_orderdate", ["l_shipdate", "l_returnflag"], "month")
+    j = o.join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    out = completeness_by_period(j, "o_orderdate", LINE_COLUMNS, "month")
     return out.withColumn("period", F.date_format("period", "yyyy-MM"))
 
 
@@ -112,16 +114,17 @@ def q_throughput_log(spark, sf_dir):
                                                "window_loss", "running_loss")
 
 
-@register("accuracy_by_phase", """
-SELECT CASE WHEN ceil((turn + 1) / 2) <= 10 THEN 'opening' WHEN ceil((turn + 1) / 2) <= 25 THEN 'middlegame'
-            ELSE 'endgame' END AS phase,
-       count(*) AS n, round(avg(CASE WHEN role = 'assistant' THEN 1.0 ELSE 0.0 END), 6) AS accuracy
-FROM conversations GROUP BY 1
+@register("accuracy_by_phase", f"""
+WITH dt AS ({SQL_DOC_TOKENS}),
+p AS (SELECT unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS ply FROM dt)
+SELECT CASE WHEN (ply + 1) // 2 <= 10 THEN 'opening' WHEN (ply + 1) // 2 <= 25 THEN 'middlegame' ELSE 'endgame' END AS phase,
+       count(*) AS n, round(avg(CASE WHEN length(token) % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM p GROUP BY 1
 """)
 def q_accuracy_by_phase(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return accuracy_by_phase(c.withColumn("ply", F.col("turn") + 1).withColumn("ok", F.col("role") == "assistant"),
-                             "ply", "ok")
+    """Plies = token positions of every text, so that all three phases occur; a token of even length counts as hit."""
+    p = doc_tokens(spark, sf_dir).select(F.posexplode("tokens").alias("pos", "token"))
+    return accuracy_by_phase(p.select((F.col("pos") + 1).alias("ply"), (F.length("token") % 2 == 0).alias("ok")), "ply", "ok")
 
 
 @register("ply_index", """

@@ -17,6 +17,7 @@ def write_lines(df: DataFrame, path: str, tokens_col: str = "tokens", stem_col:
     source stem; a source with no surviving sequence writes nothing."""
     (df.where(F.size(tokens_col) > 0)
        .select(stem_col, join_ws(tokens_col).alias("value"))
+       .hint("rebalance", stem_col)   # a stem's lines side by side: few files, large stems split
        .write.mode(mode).partitionBy(stem_col).text(path))
 
 

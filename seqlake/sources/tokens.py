@@ -30,7 +30,9 @@ def write_tokens(games: DataFrame, path: str, shard: str = "shard", mode: str =
     writes nothing).  Columns: game_no, tokens, len, start, end."""
     out = games.select(shard, "game_no", "tokens", "len", "start", "end")
     if files_per_shard:
-        out = out.repartition(files_per_shard, shard)
+        # a shard's games are dealt over that many tasks, so that a large shard is not one task
+        part = F.pmod(F.xxhash64("game_no"), F.lit(files_per_shard))
+        out = out.repartition(shard, part)
     out.write.mode(mode).partitionBy(shard).parquet(path)
 
 
