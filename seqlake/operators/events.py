@@ -88,17 +88,18 @@ def anti_join_cooldown(cands: DataFrame, cooling: DataFrame, id_col: str) -> Dat
     return cands.join(cooling.select(id_col).distinct(), id_col, "left_anti")
 
 
-def carry_last(df: DataFrame, key: str, order_cols, value_ts: Column, value_bit: Column,
-               name: str = "carried") -> DataFrame:
-    """E5: the last non-null (timestamp, flag) seen so far per key, in order.
+def _tagged(order_cols, value: Column) -> Column:
+    """``(order, value)``: its running maximum is the last one seen, ties on the time settled by the later columns."""
+    return F.struct(F.struct(*[F.col(c) for c in order_cols]).alias("o"), value.alias("v"))
+
+
+def carry_last(df: DataFrame, key: str, order_cols, value: Column, name: str = "carried") -> DataFrame:
+    """E5: the last non-null ``value`` seen so far per key, in order; NULL until set.
 
     ``last(x, ignoreNulls)`` over a per-key window, expressed as a running max
-    of ``ts * 2 + bit`` so the block-parallel scan applies; NULL until set."""
-    enc = F.when(value_ts.isNotNull(), value_ts * 2 + value_bit.cast("bigint"))
-    out = running_sum(df, {"_enc": enc}, order_cols, [key], how="max")
-    return (out.withColumn(f"{name}_ts", F.floor(F.col("_enc") / 2).cast("bigint"))
-               .withColumn(f"{name}_bit", (F.col("_enc") % 2).cast("int"))
-               .drop("_enc"))
+    of ``(order columns, value)`` so the block-parallel scan applies."""
+    out = running_sum(df, {"_last": F.when(value.isNotNull(), _tagged(order_cols, value))}, order_cols, [key], how="max")
+    return out.withColumn(name, F.col("_last.v")).drop("_last")
 
 
 def game_lifecycle(df: DataFrame, key: str, order_cols, type_col: str, moves: str, ts_us: str,
@@ -107,11 +108,11 @@ def game_lifecycle(df: DataFrame, key: str, order_cols, type_col: str, moves: st
     move count is even); an end event after it closes the game; every full or
     state event of a live game where it is our move is a "turn due" row.
     Two block-parallel running maxima carry the state, so a hot key is split."""
-    full = F.when(F.col(type_col) == full_type, F.col(ts_us) * 2 + F.col(moves) % 2)
-    end = F.when(F.col(type_col).isin(*end_types), F.col(ts_us))
-    s = running_sum(df, {"_full": full.cast("bigint"), "_end": end}, order_cols, [key], how="max")
-    white = F.col("_full") % 2 == 0
-    live = F.col("_full").isNotNull() & (F.col("_end").isNull() | (F.col("_end") < F.floor(F.col("_full") / 2)))
+    full = F.when(F.col(type_col) == full_type, _tagged(order_cols, (F.col(moves) % 2).cast("int")))
+    end = F.when(F.col(type_col).isin(*end_types), F.struct(*[F.col(c) for c in order_cols]))
+    s = running_sum(df, {"_full": full, "_end": end}, order_cols, [key], how="max")
+    white = F.col("_full.v") == 0
+    live = F.col("_full").isNotNull() & (F.col("_end").isNull() | (F.col("_end") < F.col("_full.o")))
     due = live & F.col(type_col).isin(full_type, *state_types) & ((F.col(moves) % 2 == 0) == white)
     return (s.where(due).withColumn("color", F.when(white, F.lit("white")).otherwise(F.lit("black")))
              .drop("_full", "_end"))

@@ -176,6 +176,6 @@ def running_sum(df: DataFrame, values, order_cols, partition_cols=(), name: str
             out = out.withColumn(k, F.when(carried.isNull(), F.col(f"_c{i}")).otherwise(
                 F.coalesce(F.col(f"_c{i}"), F.lit(0).cast(t)) + carried).cast(t))
         else:
-            out = out.withColumn(k, F.greatest(F.col(f"_c{i}"), F.when(match, F.col(f"_k{i}")).cast(t)))
+            out = out.withColumn(k, F.greatest(F.col(f"_c{i}"), F.when(match, F.col(f"_k{i}"))))
     drop = [BLOCK] + [f"_{p}{i}" for p in "vck" for i in range(len(names))] + [f"_fk{i}" for i in range(len(pc))]
     return out.drop(*drop)

@@ -93,29 +93,31 @@ def q_candidate_filter(spark, sf_dir):
 @register("carry_state", f"""
 WITH {SQL_EV},
 c AS (SELECT event_id, user_id,
-             max(CASE WHEN event_type = 'signup' THEN ts_us * 2 + k % 2 END)
-               OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS enc FROM ev)
-SELECT event_id, user_id, CASE WHEN enc IS NULL THEN NULL WHEN enc % 2 = 0 THEN 'white' ELSE 'black' END AS color FROM c
+             last_value(CASE WHEN event_type = 'signup' THEN k % 2 END IGNORE NULLS)
+               OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS bit FROM ev)
+SELECT event_id, user_id, CASE bit WHEN 0 THEN 'white' WHEN 1 THEN 'black' END AS color FROM c
 """)
 def q_carry_state(spark, sf_dir):
     f = feed(spark, sf_dir)
-    is_full = F.col("event_type") == "signup"
-    out = carry_last(f, "user_id", ["ts_us", "event_id"], F.when(is_full, F.col("ts_us")), F.col("k") % 2, "full")
-    color = F.when(F.col("full_ts").isNull(), F.lit(None)).when(F.col("full_bit") == 0, F.lit("white")) \
-             .otherwise(F.lit("black"))
+    out = carry_last(f, "user_id", ["ts_us", "event_id"],
+                     F.when(F.col("event_type") == "signup", F.col("k") % 2), "bit")
+    color = F.when(F.col("bit") == 0, F.lit("white")).when(F.col("bit") == 1, F.lit("black"))
     return out.select("event_id", "user_id", color.alias("color"))
 
 
+# the last full-state or end event of each key so far, and whether it leaves the game open
+SQL_LIFECYCLE = """c AS (
+  SELECT *, last_value(CASE WHEN event_type = 'signup' THEN k % 2 END IGNORE NULLS) OVER w AS bit,
+         last_value(CASE WHEN event_type = 'signup' THEN true WHEN event_type IN ('error', 'purchase') THEN false END IGNORE NULLS)
+           OVER w AS live
+  FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, user_id, CASE WHEN bit = 0 THEN 'white' ELSE 'black' END AS color FROM c
+WHERE bit IS NOT NULL AND live AND event_type IN ('signup', 'view', 'click') AND bit = k % 2"""
+
+
 @register("game_lifecycle", f"""
 WITH {SQL_EV},
-c AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN ts_us * 2 + k % 2 END)
-                  OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS enc,
-                max(CASE WHEN event_type IN ('error', 'purchase') THEN ts_us END)
-                  OVER (PARTITION BY user_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS ended FROM ev)
-SELECT event_id, user_id, CASE WHEN enc % 2 = 0 THEN 'white' ELSE 'black' END AS color FROM c
-WHERE enc IS NOT NULL AND (ended IS NULL OR ended < enc // 2)
-  AND event_type IN ('signup', 'view', 'click')
-  AND ((enc % 2 = 0 AND k % 2 = 0) OR (enc % 2 = 1 AND k % 2 = 1))
+{SQL_LIFECYCLE}
 """)
 def q_game_lifecycle(spark, sf_dir):
     due = game_lifecycle(feed(spark, sf_dir), "user_id", ["ts_us", "event_id"], "event_type", "k", "ts_us",

@@ -361,3 +361,16 @@ def test_prepare_filters_before_it_converts(spark):
         rating = max(i for i, line in enumerate(lines) if "Filter" in line and "WhiteElo" in line)
         work = next(i for i, line in enumerate(lines) if ("regexp_replace(movetext" in line or "MapInPandas" in line))
         assert work < rating, plan   # the plan prints parents first
+
+
+def test_carried_state_with_equal_times(spark):
+    """The later event id wins, in the batch form as in the stream."""
+    from seqlake.operators.events import carry_last, game_lifecycle
+    rows = [("u", 5, 1, "full", 1), ("u", 5, 2, "full", 0), ("u", 5, 3, "move", 2), ("u", 6, 4, "end", 0), ("u", 6, 5, "move", 2),
+            ("v", 1, 6, "end", 0), ("v", 1, 7, "full", 1), ("v", 1, 8, "move", 3)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, typ string, m long")
+    for n in (None, 5):
+        got = {r.i: r.c for r in carry_last(df, "k", ["t", "i"], F.when(F.col("typ") == "full", F.col("m")), "c").collect()}
+        assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: None, 7: 1, 8: 1}
+    due = game_lifecycle(df, "k", ["t", "i"], "typ", "m", "t", "full", ("move",), ("end",)).collect()
+    assert sorted((r.i, r.color) for r in due) == [(1, "black"), (2, "white"), (3, "white"), (7, "black"), (8, "black")]
