@@ -5,9 +5,9 @@ run of spaces with the word behind it; no piece of the vocabulary reaches from
 a word into the next space) are concatenated and indexed by a suffix array as
 deep as the longest piece.  Every piece of the vocabulary is binary-searched in
 it; the ranges found are all edges ``(start, end, piece)`` of the batch.  Sorted
-by end position they are relaxed left to right: the segmentation of a prefix
-ends in the one piece that its predecessor tolerates, that is, whose pair the
-merge rule would leave as it is.  The result equals merging by score, so ids
+by end position they are relaxed left to right, all chunks side by side: the
+segmentation of a prefix ends in the one piece that its predecessor tolerates,
+that is, whose pair the merge rule would leave as it is.  The result equals merging by score, so ids
 are the model's own.  Chunks already solved are kept in a bounded cache.
 
 The model file is read on the driver (a parameter) and its bytes travel with
@@ -35,14 +35,16 @@ from seqlake.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"    # fixed value: the model's mark for a space
-#: Characters of text per suffix array, and solved chunks kept per Python worker.
-BATCH_CHARS = 4_000_000
+#: Characters of text per batch, chunks per suffix array, solved chunks (twice) and pairs kept per Python worker.
+BATCH_CHARS = 1_500_000
+SOLVED_AT_ONCE = 40_000
 CACHED_CHUNKS = 200_000
-CACHED_PAIRS = 2_000_000
+CACHED_PAIRS = 500_000
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _START, _NONE = -1, -2
 _END = 0x110000   # ends a chunk: no character
+_PAIR = 1 << 22   # more than all pieces and characters together
 
 
 class Pieces:
@@ -72,7 +74,11 @@ class Pieces:
         self.singles = self.codes[self.lengths == 1, 0]
         self.solved: dict[str, tuple[int, ...]] = {}      # the newer half of the cache
         self.older: dict[str, tuple[int, ...]] = {}
-        self.tolerated: dict[tuple[int, int], bool] = {}
+        self.damaged: set[str] = set()   # chunks that do not decode to themselves
+        self.tolerated: dict[int, bool] = {}
+        self.pair_keys, self.pair_kept = np.zeros(1, np.int64) - 1, np.zeros(1, bool)   # the same, sorted
+        self.one = np.array(range(self.size), dtype=object)   # one object per id, shared by all cached chunks
+        self.length = np.array([len(t) for t in self.text])
 
     def merge(self, text: str) -> list[str]:
         """The merge rule itself: best score first, leftmost of equals (for short strings)."""
@@ -95,12 +101,13 @@ class Pieces:
         x, y = self.string(a), self.string(b)
         got = (x + y) not in self.id and self.merge(x + y) == [x, y]
         if len(self.tolerated) >= CACHED_PAIRS:
-            self.tolerated.clear()
-        self.tolerated[a, b] = got
+            self.tolerated = {}
+            self.pair_keys, self.pair_kept = np.zeros(1, np.int64) - 1, np.zeros(1, bool)
+        self.tolerated[a * _PAIR + b] = got
         return got
 
     def edges(self, codes: np.ndarray):
-        """All occurrences of all pieces in ``codes`` (``_END`` ends a chunk), sorted by end: starts, ends, pieces."""
+        """All occurrences of all pieces in ``codes`` (``_END`` ends a chunk): starts, ends, pieces."""
         alphabet, rank = np.unique(codes, return_inverse=True)
         rank = rank.astype(np.int64) + 1
         n_text, base = len(rank), len(alphabet) + 1
@@ -138,45 +145,83 @@ class Pieces:
         starts = np.concatenate([starts, odd])
         ends = np.concatenate([ends, odd + 1])
         found = np.concatenate([found, codes[odd].astype(np.int64) + self.size])
-        order = np.argsort(ends)
-        return starts[order], ends[order], found[order]
+        return starts, ends, found
+
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        """``pair`` for many keys at once: those seen before by binary search, new ones by the merge rule."""
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        out = self.pair_kept[at]
+        new = np.flatnonzero(self.pair_keys[at] != keys)
+        if len(new):
+            different, back = np.unique(keys[new], return_inverse=True)
+            got = [self.tolerated[k] if k in self.tolerated else self.pair(*divmod(k, _PAIR)) for k in different.tolist()]
+            out[new] = np.array(got, dtype=bool)[back]
+        return out
+
+    def _settle(self) -> None:
+        """Sort the pairs met since the last time in with the others."""
+        if len(self.tolerated) > 1.1 * len(self.pair_keys):
+            keys = np.fromiter(self.tolerated, np.int64, len(self.tolerated))
+            order = np.argsort(keys)
+            self.pair_keys = keys[order]
+            self.pair_kept = np.fromiter(self.tolerated.values(), bool, len(keys))[order]
 
     def solve(self, chunks: list[str]) -> None:
-        """Segment chunks that are not in the cache yet."""
-        joined = "\0".join(chunks) + "\0"
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
-        codes[np.cumsum([len(c) + 1 for c in chunks]) - 1] = _END
-        last = [_NONE] * (len(codes) + 1)
-        at = 0
-        for c in chunks:
-            last[at] = _START
-            at += len(c) + 1
-        tolerated = self.tolerated.get
+        """Segment chunks that are not in the cache yet, all side by side."""
+        codes = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4").copy()
+        lengths = np.array([len(c) for c in chunks])
+        stops = np.cumsum(lengths + 1) - 1
+        begins = stops - lengths
+        codes[stops] = _END
         starts, ends, found = self.edges(codes)
-        for s, e, p in zip(starts.tolist(), ends.tolist(), found.tolist()):
-            if last[e] == _NONE and (t := last[s]) != _NONE:
-                if t == _START:
-                    last[e] = p
-                else:
-                    ok = tolerated((t, p))
-                    if ok or (ok is None and self.pair(t, p)):
-                        last[e] = p
-        at = 0
-        for c in chunks:
-            out, e = [], at + len(c)
-            while e > at:
-                p = last[e]
-                if p >= self.size:
-                    coded = chr(p - self.size).encode("utf-8", "surrogatepass")
-                    out.extend(self.byte_id[b] for b in reversed(coded))
-                    e -= 1
-                else:
-                    out.append(p)
-                    e -= len(self.text[p])
-            self.solved[c] = tuple(reversed(out))
-            at += len(c) + 1
-
-    def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
+        # edges by their end's place in the chunk: one step relaxes that place in every chunk
+        place = ends - np.repeat(begins, lengths + 1)[starts]
+        order = np.argsort(place.astype(np.uint16) if lengths.max() < 1 << 16 else place, kind="stable")
+        starts, ends, found, place = starts[order], ends[order], found[order], place[order]
+        cuts = np.searchsorted(place, np.arange(1, int(lengths.max()) + 2))
+        last = np.full(len(codes) + 1, _NONE, dtype=np.int64)
+        last[begins] = _START
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            before, piece, to = last[starts[lo:hi]], found[lo:hi], ends[lo:hi]
+            ok = before == _START
+            asks = np.flatnonzero(before >= 0)
+            ok[asks] = self.pairs(before[asks] * _PAIR + piece[asks])
+            last[to[ok]] = piece[ok]
+        self._settle()
+        if (last[stops] == _NONE).any():
+            raise ValueError("a vocabulary whose merges do not nest: segmentation by pairs is not defined")
+        # walk back from every chunk's end at once
+        who, at, steps = np.arange(len(chunks)), stops.copy(), []
+        while len(who):
+            piece = last[at]
+            steps.append((who, piece))
+            at = at - np.where(piece < self.size, self.length[np.minimum(piece, self.size - 1)], 1)
+            going = at > begins[who]
+            who, at = who[going], at[going]
+        owner = np.concatenate([w for w, _ in reversed(steps)])
+        piece = np.concatenate([p for _, p in reversed(steps)])
+        order = np.argsort(owner, kind="stable")
+        piece = piece[order]
+        odd = set(owner[order][piece >= self.size].tolist())
+        bounds = np.cumsum(np.bincount(owner, minlength=len(chunks))).tolist()
+        flat = self.one[np.minimum(piece, self.size - 1)].tolist()
+        text, lo = self.text, 0
+        for k, (c, hi) in enumerate(zip(chunks, bounds)):
+            if k in odd:
+                ids = []
+                for i in piece[lo:hi].tolist():
+                    ids += [i] if i < self.size else [self.byte_id[b] for b in chr(i - self.size).encode("utf-8", "surrogatepass")]
+                same = self._joined(ids) == c
+            else:
+                ids = flat[lo:hi]
+                same = "".join([text[i] for i in ids]) == c
+            self.solved[c] = tuple(ids)
+            if not same:
+                self.damaged.add(c)
+            lo = hi
+
+    def encode(self, texts: Iterable[str | None], verify: bool = False):
+        """Ids of each text; with ``verify`` also whether each one's chunks all decode to themselves."""
         split = []
         for t in texts:
             split.append(_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [])
@@ -189,14 +234,16 @@ class Pieces:
                     self.solved[c] = self.older[c]
                 else:
                     new.append(c)
-        if new:
-            self.solve(new)
+        for lo in range(0, len(new), SOLVED_AT_ONCE):
+            self.solve(new[lo:lo + SOLVED_AT_ONCE])
         solved = self.solved
-        return [list(chain.from_iterable([solved[c] for c in chunks])) for chunks in split]
+        rows = [list(chain.from_iterable([solved[c] for c in chunks])) for chunks in split]
+        return (rows, [self.damaged.isdisjoint(chunks) for chunks in split]) if verify else rows
 
-    def decode(self, ids: Iterable[int] | None) -> str:
+    def _joined(self, ids: Iterable[int]) -> str:
+        """The pieces of ids put together, with runs of byte pieces decoded."""
         out, run = [], bytearray()
-        for i in (ids if ids is not None else ()):
+        for i in ids:
             if i in self.bytes:
                 run.append(self.bytes[i])
                 continue
@@ -207,7 +254,10 @@ class Pieces:
                 out.append(self.text[i])
         if run:
             out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        return "".join(out)
+
+    def decode(self, ids: Iterable[int] | None) -> str:
+        text = self._joined(ids if ids is not None else ()).replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -226,11 +276,11 @@ def read_model(path: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None,
-           verify: bool = True) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: bytes | None = None) -> DataFrame:
     """``id, n_tokens, ids, round_trip``: one row per input row.
 
-    ``round_trip`` tells whether decoding the ids gives the text back.
+    ``round_trip`` tells whether decoding the ids gives the text back.  Chunks decode on
+    their own (a chunk ends on a whole character), so each different chunk is decoded once.
     """
     small_batches(df.sparkSession)
     model = model or read_model()
@@ -241,8 +291,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         vocabulary = pieces(model)
 
         def flush(keys, texts):
-            rows = vocabulary.encode(texts)
-            same = [vocabulary.decode(r) == (t or "").replace(SPACE, " ") if verify else None for r, t in zip(rows, texts)]
+            rows, same = vocabulary.encode(texts, verify=True)
             flat = pa.array(np.fromiter(chain.from_iterable(rows), np.int32, sum(map(len, rows))))
             offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
