@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.operators.joins import sized_broadcast
-from seqlake.operators.vocab import BOS, EOS
+from seqlake.operators.vocab import BOS, EOS, fixed_move_ids
 
 
 def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
@@ -95,6 +95,21 @@ def encode(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
     return out.where(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
+def encode_fixed(df: DataFrame, tokens_col: str, table, keep_rejects: bool = False) -> DataFrame:
+    """I1 for the fixed move vocabulary: in-row, no join and no exchange.
+
+    ``table`` is ``vocab.move_id_table``; every column of ``df`` stays, so repeated
+    keys need no care.  Rejection as in ``encode``."""
+    looked = df.withColumn("_ids", fixed_move_ids(tokens_col, table))
+    reason = (F.when(F.col("_ids").isNull() | (F.size("_ids") == 0), F.lit("empty"))
+               .when(~F.forall("_ids", lambda x: x.isNotNull()), F.lit("unknown_token")))
+    out = (looked.withColumn("reject_reason", reason)
+                 .withColumn("ids", F.when(F.col("reject_reason").isNull(),
+                                           F.concat(F.array(F.lit(BOS)), F.col("_ids"), F.array(F.lit(EOS)))))
+                 .withColumn("len", F.size("ids")).drop("_ids"))
+    return out if keep_rejects else out.where(F.col("reject_reason").isNull()).drop("reject_reason")
+
+
 def vocab_lookup(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame, out_col: str = "ids") -> DataFrame:
     """C1 under its survey name (see ``lookup_ids``)."""
     return lookup_ids(seqs, key, tokens_col, vocab, out_col)

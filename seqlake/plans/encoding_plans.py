@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.operators.encode import (all_known, decode_join, encode, lookup_ids, reject_unknown,
+from seqlake.operators.encode import (encode_fixed, all_known, decode_join, encode, lookup_ids, reject_unknown,
                                      strict_encode, vocab_lookup)
 from seqlake.operators.filters import max_length_filter, min_length_filter
 from seqlake.operators.stats import encode_totals, length_stats, token_frequency
@@ -320,3 +320,37 @@ def q_move_lookup_paths(spark, sf_dir):
     return both.agg(F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"),
                     F.sum(like).cast("bigint").alias("n_move_like"),
                     F.sum(differ).cast("bigint").alias("n_disagree"))
+
+
+def move_games(spark, sf_dir):
+    """Coordinate moves made from every text: token i of length L becomes a move along its file (always in the
+    vocabulary); one-letter tokens at every fifth place become a move to their own square, long tokens stay words."""
+    sq = lambda f, r: F.concat(F.char(F.lit(97) + f), F.char(F.lit(49) + r))
+
+    def move(t, i):
+        n = F.length(t)
+        f, r = (i + n) % 8, (i * 3) % 8
+        up = F.when((n == 1) & (i % 5 == 0), 0).otherwise(1 + n % 7)
+        return F.when(n > 14, t).otherwise(F.concat(sq(f, r), sq(f, (r + up) % 8)))
+    return doc_tokens(spark, sf_dir).select("doc_id", F.transform("tokens", move).alias("tokens"))
+
+
+@register("encode_moves", f"""
+WITH {SQL_DT}, {_sql_moves()},
+t AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM dt),
+m AS (SELECT doc_id, i, CASE WHEN length(token) > 14 THEN token ELSE
+             chr((97 + (i + length(token)) % 8)::INTEGER) || chr((49 + (i * 3) % 8)::INTEGER) || chr((97 + (i + length(token)) % 8)::INTEGER)
+             || chr((49 + ((i * 3) % 8 + CASE WHEN length(token) = 1 AND i % 5 = 0 THEN 0 ELSE 1 + length(token) % 7 END) % 8)::INTEGER)
+             END AS token FROM t),
+e AS (SELECT doc_id, count(*) AS n, count(v.id) AS known, string_agg(v.id::VARCHAR, ' ' ORDER BY i) AS ids
+      FROM m LEFT JOIN mvocab v ON v.token = m.token AND v.id >= 4 GROUP BY doc_id),
+r AS (SELECT dt.doc_id, CASE WHEN e.n IS NULL THEN 'empty' WHEN known < e.n THEN 'unknown_token' END AS reject_reason, e.n, e.ids
+      FROM dt LEFT JOIN e ON e.doc_id = dt.doc_id)
+SELECT doc_id, reject_reason, CASE WHEN reject_reason IS NULL THEN (n + 2)::INTEGER END AS len,
+       CASE WHEN reject_reason IS NULL THEN md5('1 ' || ids || ' 2') END AS ids_md5
+FROM r
+""")
+def q_encode_moves(spark, sf_dir):
+    out = encode_fixed(move_games(spark, sf_dir), "tokens", move_id_table(move_vocabulary(spark)), keep_rejects=True)
+    return out.select("doc_id", "reject_reason", F.when(F.col("ids").isNotNull(), F.col("len")).alias("len"),
+                      F.md5(ids_text("ids")).alias("ids_md5"))

@@ -59,3 +59,14 @@ def test_scoring_is_in_row(spark):
     p = plan(r.select("vec_id", topk_legal("logits", "legal", 5, 1.0).alias("t"),
                       sample_topk("logits", "legal", 3, 0.6, 42, "vec_id").alias("s")))
     assert "hashpartitioning" not in p and "Join" not in p and "Generate" not in p
+
+
+def test_fixed_vocabulary_encode_has_no_exchange(spark):
+    from seqlake.operators.encode import encode_fixed
+    from seqlake.operators.vocab import move_id_table, move_vocabulary
+    df = spark.createDataFrame([(1, ["a1a2", "h8h7"]), (1, ["a1a1"]), (2, [])], "k int, tokens array<string>")
+    out = encode_fixed(df, "tokens", move_id_table(move_vocabulary(spark)), keep_rejects=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted(str((r.k, r.ids, r.reject_reason)) for r in out.collect()) == sorted(map(str, [
+        (1, [1, 4, 1971, 2], None), (1, None, "unknown_token"), (2, None, "empty")]))
