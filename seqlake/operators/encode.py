@@ -35,9 +35,11 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
     regrouped = exploded.join(lk, "_from", "left").groupBy(key, "_row").agg(
         *[F.first(c).alias(c) for c in kept],
         F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).cast("int").alias("_times"),
-        F.array_distinct(F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_to")))))
-         .alias("_pairs"))
-    mapped = regrouped.withColumn(out_col, F.transform("_pairs", lambda p: p["_to"]))
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_to")))).alias("_pairs"))
+    # n equal rows gave every position n times in a row
+    single = F.filter("_pairs", lambda _, i: i % F.col("_times") == 0)
+    mapped = regrouped.withColumn(out_col, F.transform(
+        F.when(F.col("_times") > 1, single).otherwise(F.col("_pairs")), lambda p: p["_to"]))
     if carry is not None:
         times = F.when(F.col("_times") > 1, F.array_repeat(F.lit(0), F.col("_times"))).otherwise(F.array(F.lit(0)))
         return mapped.withColumn("_copy", F.explode(times)).select(key, *kept, out_col)
