@@ -3,7 +3,6 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqlake.llm import pii, quality
 
