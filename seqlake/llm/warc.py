@@ -85,7 +85,7 @@ def write(pages: DataFrame, path: str, **columns) -> None:
         _line("WARC-Record-ID", _record_id(F.col("digest"), F.col("id"))),
         _line("WARC-Target-URI", url), F.lit("WARC-Date: 2000-01-01T00:00:00Z\r\n"),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        _line("WARC-Payload-Length", F.col("bytes")),
+        F.when(stored, F.lit("")).otherwise(_line("WARC-Payload-Length", F.col("bytes"))),
         _line("WARC-Page-ID", F.col("id")),
         F.when(~stored, F.concat(_line("WARC-Refers-To", _record_id(F.col("digest"), F.col("refers_to"))),
                                  _line("WARC-Refers-To-Page-ID", F.col("refers_to")),
@@ -141,14 +141,14 @@ def _field(name: str, kind: str = "string") -> Column:
 def read(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
     """One row per verified record: ``file`` (hash of the path), ``at, page_id, url, kind, refers_to, payload_bytes, payload_digest, intact``.
 
-    ``intact`` tells whether the stored bytes have the digest and length their header names
-    (NULL for revisits, which store none).
+    ``intact`` tells whether the stored bytes have the digest their header names (NULL for
+    revisits, which store none).
     """
     id_type = id_type or T.LongType()
     pieces = _pieces(spark, path)
     # the header of a record runs from the magic to the end of its piece, so the last magic is the only candidate
     head = F.when(F.contains("value", F.lit(MAGIC)), F.element_at(F.split("value", MAGIC.replace(".", r"\."), -1), -1))
-    located = landed(_located(pieces.select("*", head.alias("head"), F.sha2("value", 256).alias("sha")), "head", "sha"), "located")
+    located = landed(_located(pieces.select("*", head.alias("head"), F.unhex(F.sha2("value", 256)).alias("sha")), "head", "sha"), "located")
     found = located.where("head IS NOT NULL").select(
         "file", (F.col("at") + F.col("n") - F.octet_length("head") - len(MAGIC)).alias("at"),
         (F.col("at") + F.col("n") + len(BLANK_LINE)).alias("body"), "head")
@@ -173,11 +173,12 @@ def read(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> D
     joined = _reassembled(pieces, split)
     out = whole.unionByName(split.join(joined, ["file", "at"], "left"))
     stored = F.col("kind") != "revisit"
+    out = out.withColumn("sha", F.lower(F.hex("sha")))
     return out.select(
         "file", "at", "page_id", "url", "kind", "refers_to",
         F.when(stored, F.col("payload_bytes")).otherwise(F.col("said_bytes")).alias("payload_bytes"),
         F.when(stored, F.col("sha")).otherwise(F.col("said_digest")).alias("payload_digest"),
-        F.when(stored, (F.col("sha") == F.col("said_digest")) & (F.col("payload_bytes") == F.col("said_bytes"))).alias("intact"))
+        F.when(stored, F.col("sha") == F.col("said_digest")).alias("intact"))
 
 
 def _reassembled(pieces: DataFrame, split: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def _reassembled(pieces: DataFrame, split: DataFrame) -> DataFrame:
     wanted = split.select("file", "at", "start", (F.col("start") + F.col("payload_bytes")).alias("end"))
     wanted = landed(wanted, "wanted", compact=True)
     if wanted.isEmpty():
-        return wanted.select("file", "at", F.lit(None).cast("string").alias("sha"))
+        return wanted.select("file", "at", F.lit(None).cast("binary").alias("sha"))
     wanted = wanted.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / _BIN), F.floor(F.col("end") / _BIN))))
     # only files that hold such payloads are read again
     again = pieces.join(wanted.select("file").distinct(), "file", "left_semi")
@@ -194,7 +195,7 @@ def _reassembled(pieces: DataFrame, split: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_at", "value"))), lambda p: p["value"]), BLANK_LINE)
     whole = F.concat(F.encode(text, "utf-8"), F.lit(BLANK_LINE.encode()))   # a payload may end in half a blank line
     return mine.groupBy("file", "at", "start", "end").agg(whole.alias("b")).select(
-        "file", "at", F.sha2(F.substring("b", F.lit(1), (F.col("end") - F.col("start")).cast("int")), 256).alias("sha"))
+        "file", "at", F.unhex(F.sha2(F.substring("b", F.lit(1), (F.col("end") - F.col("start")).cast("int")), 256)).alias("sha"))
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
