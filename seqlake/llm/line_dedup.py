@@ -4,7 +4,10 @@ A line of a document is dropped if an earlier line anywhere in the corpus is
 equal to it or one edit away (insert, delete or replace one code point).
 Earlier means: smaller document id (NULL last), then smaller hash of the
 document, then smaller line number.  Lines are compared without outer white
-space; blank lines and lines under ``MIN_CHARS`` code points always stay.
+space; blank lines always stay.  ``min_equal`` is the shortest line, in code
+points, that is compared for equality, ``min_near`` the shortest for one edit; a
+line under ``min_equal`` always stays.  Both are ``MIN_CHARS`` unless given, as
+the query's SQL has it; ``min_equal=1`` drops every repeated line.
 
 Equal lines meet by hash.  For the rest the deletion neighbourhood is emitted:
 two lines one edit apart share a variant, either the shorter one itself or both
@@ -40,13 +43,13 @@ MIN_CHARS = 20
 WINDOWS = 8
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(df: DataFrame, id_col: str, text_col: str, min_equal: int) -> DataFrame:
     """One row per line long enough to be compared: ``id, d1, d2, pos, x, n, h1, h2``."""
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     d = d.select("id", F.xxhash64("id", "t").alias("d1"), F.xxhash64(F.lit(1), "t", "id").alias("d2"),
                  F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     d = d.select("id", "d1", "d2", "pos", F.btrim("line", F.lit(BLANKS)).alias("x")).withColumn("n", F.length("x"))
-    return d.where(F.col("n") >= MIN_CHARS).select(
+    return d.where(F.col("n") >= min_equal).select(
         "*", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2"))
 
 
@@ -118,12 +121,16 @@ def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
     return proven.groupBy("h1", "h2").agg(F.min("near").alias("near"))
 
 
-def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  min_equal: int = MIN_CHARS, min_near: int = MIN_CHARS) -> DataFrame:
     """``(d1, d2, gone)``: the line numbers that go, for each document (by its two hashes) that loses any."""
-    lines = _lines(df, id_col, text_col)
+    if not 1 <= min_equal <= min_near:
+        raise ValueError("1 <= min_equal <= min_near is needed")
+    lines = _lines(df, id_col, text_col, min_equal)
     seen = landed(lines.select("id", "d1", "d2", "pos", "h1", "h2"), "lines")
     first = landed(seen.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("times")), "first")
-    near = _near(lines.select("h1", "h2", "x", "n"), first.drop("times"))
+    long = lines if min_near == min_equal else lines.where(F.col("n") >= min_near)
+    near = _near(long.select("h1", "h2", "x", "n"), first.drop("times"))
     best = first.join(near, ["h1", "h2"], "left").where("times > 1 OR near IS NOT NULL").select(
         "h1", "h2", F.least("first", "near").alias("best"))
     best = landed(best, "best", compact=True)
@@ -131,16 +138,17 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return gone.groupBy("d1", "d2").agg(F.collect_set("pos").alias("gone"))
 
 
-def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            min_equal: int = MIN_CHARS, min_near: int = MIN_CHARS) -> DataFrame:
     """``id, n_dropped, kept, text``: one row per document, its text without the dropped lines."""
-    d = _without_gone(df, id_col, text_col)
+    d = _without_gone(df, id_col, text_col, min_equal, min_near)
     return d.select(id_col, F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
                     _alive().alias("kept"), F.col("_text").alias("text"))
 
 
-def _without_gone(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _without_gone(df: DataFrame, id_col: str, text_col: str, min_equal: int, min_near: int) -> DataFrame:
     """``df`` with ``_gone`` (line numbers, NULL if none go) and ``_text``."""
-    gone = landed(dropped_lines(df, id_col, text_col), "gone")
+    gone = landed(dropped_lines(df, id_col, text_col, min_equal, min_near), "gone")
     gone = gone.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("gone").alias("_gone"))
     d = df.withColumn("_d1", F.xxhash64(id_col, text_col)).withColumn("_d2", F.xxhash64(F.lit(1), text_col, id_col))
     d = d.join(gone, ["_d1", "_d2"], "left")
@@ -155,9 +163,9 @@ def _alive() -> Column:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                chars_col: str = "n_chars") -> DataFrame:
+                chars_col: str = "n_chars", min_equal: int = MIN_CHARS, min_near: int = MIN_CHARS) -> DataFrame:
     """``df`` with the dropped lines cut out of its texts; documents that lose every line go."""
-    d = _without_gone(df, id_col, text_col).where(_alive())
+    d = _without_gone(df, id_col, text_col, min_equal, min_near).where(_alive())
     d = d.withColumn(text_col, F.col("_text"))
     if chars_col in df.columns:
         d = d.withColumn(chars_col, F.when(F.col("_gone").isNull(), F.col(chars_col)).otherwise(F.length(text_col))

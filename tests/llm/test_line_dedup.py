@@ -86,3 +86,26 @@ def test_one_common_line(spark):
     rows = [(i, common if i % 3 else f"page number {chr(0x4e00 + i)} of the long report") for i in range(300)]
     got = line_dedup.dedup_lines(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()
     assert sorted(r.doc_id for r in got) == [0, 1]
+
+
+def test_short_equal_lines_and_lower_bounds(spark):
+    """With the bounds given, short lines take part: repeats go, near lines from ``min_near`` up."""
+    rng = random.Random(5)
+    short = ["Home", "menu", "menus", "- item", "* * *", "日本", "a", "b", "ab", "a line of just 19 c", "a line of just 20 ch"]
+    rows = [(i, "\n".join(rng.choice(["", " "]) + rng.choice(short) for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    for min_equal, min_near in ((1, 20), (3, 5), (1, 1)):
+        seen, want = [], {}
+        for i, t in rows:
+            kept = []
+            for line in t.split("\n"):
+                x = line.strip(BLANKS)
+                if not (len(x) >= min_equal and any(x == y or min(len(x), len(y)) >= min_near and one_edit(x, y) for y in seen)):
+                    kept.append(line)
+                if len(x) >= min_equal:
+                    seen.append(x)
+            want[i] = "\n".join(kept)
+        got = line_dedup.deduped(df, min_equal=min_equal, min_near=min_near).collect()
+        assert {r.doc_id: r.text for r in got} == want
+        out = line_dedup.dedup_lines(df, min_equal=min_equal, min_near=min_near)
+        assert {r.doc_id for r in out.collect()} == {i for i, t in want.items() if t.strip(BLANKS) or t == rows[i][1]}
