@@ -58,6 +58,19 @@ def test_checksums_and_context():
     assert [s[0] for s in pii.find_spans(TEXTS[9])] == ["iban", "iban"]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+    ("GB82WEST12345698765432 TODAY", ["GB82WEST12345698765432"]),
+    ("GB82WEST12345698765432 12 May", ["GB82WEST12345698765432"]),
+    ("DE89370400440532013000 I wrote", ["DE89370400440532013000"]),
+    ("AB12 CD34 DE89 3704 0044 0532 0130 00 NO93 8601 1117 947 X", ["DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]),
+    ("ZZ22 3704 0044 0532 0130 00 BIC", ["ZZ22 3704 0044 0532 0130 00"]),   # no listed country
+    ("DE89 3704 0044 0532 0130 01 BIC", []), ("DE89 3704 0044 0532 0130 00X", []), ("A" + "B12 " * 2000, []),
+])
+def test_iban_before_other_words(text, want):
+    assert [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"] == want
+
+
 def test_detect_rows(spark):
     rows = [(i, t, None, None, None) for i, t in enumerate(TEXTS)] + [(None, "x@y.zz", "en", "s", 6)] * 2
     df = spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit(1)).withColumn("kind", F.lit("clash"))
