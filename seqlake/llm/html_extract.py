@@ -12,7 +12,12 @@ sample of the given pages; the labels are known by construction.
 
 Text rules: character references are decoded, ``br`` and other inline tags do
 not end a block, white space inside a block becomes one space, blocks are
-trimmed and joined by a line feed; nothing else is dropped or cut.
+trimmed and joined by a line feed.  Text that HTML takes as raw (``script``,
+``style``, ``textarea``, ``title``, ``xmp``, ``iframe``, ``noembed``,
+``noframes``) goes, to the end of the page only if its element never ends.
+``svg`` and ``math`` stand within a block, their text included but for scripts,
+styles and descriptions; a tag in them that ends in ``/>`` is empty, and an HTML
+tag ends them where their end tag is missing.  Nothing else is dropped or cut.
 
 Defined results: a NULL or empty page has an empty text; text outside any tag is
 a block; unclosed and stray tags never fail; repeated rows each get a row; an
@@ -41,7 +46,7 @@ SEED = 42
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math select".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em embed font i img input ins kbd label "
                    "link map mark meta nobr picture q ruby rb rt rp s samp small source span strike strong sub sup "
                    "time tt u var wbr".split())
@@ -51,6 +56,13 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
             "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol table dl html body div article section main aside nav footer header form td th".split())
+FOREIGN = frozenset(("svg", "math"))
+# elements of svg and math that hold HTML, and those whose text is not shown
+HOLDS_HTML = frozenset("foreignobject annotation-xml mi mo mn ms mtext".split())
+NOT_SHOWN = frozenset("script style title desc metadata".split())
+# HTML elements that end svg and math; no element of those has such a name
+BREAKS_OUT = CLOSES_P | SCOPE | frozenset(SIBLINGS) | frozenset(
+    "b big br code em embed head i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
 
 #: Class and id words that tell a block's role, by the parts they contain.
 ROLES = {
@@ -113,6 +125,7 @@ class Blocks:
     def cut(self, page: str) -> list[tuple]:
         """``(text, own tag, ancestor features, share of linked characters, label)`` in page order."""
         out, text, linked, in_link = [], [], 0, 0
+        alien: list[str] = []   # open elements of svg and math
         stack = [("", frozenset(), None)]
 
         def flush():
@@ -136,6 +149,8 @@ class Blocks:
 
         def add(raw: str) -> None:
             nonlocal linked
+            if alien and not NOT_SHOWN.isdisjoint(alien):
+                return
             s = entities.unescape(raw) if "&" in raw else raw
             text.append(s)
             if in_link:
@@ -161,6 +176,25 @@ class Blocks:
             at = m.end()
             ending = page[lt + 1] == "/"
             tag, features, label = self._tag(m[0], m)
+            if alien:
+                if ending:
+                    if tag in alien:
+                        while alien.pop() != tag:
+                            pass
+                        continue
+                    if alien[-1] not in HOLDS_HTML:
+                        alien.clear()
+                elif alien[-1] not in HOLDS_HTML:
+                    if tag not in BREAKS_OUT:
+                        if m[0][-2] != "/":
+                            alien.append(tag)
+                        continue
+                    while alien and alien[-1] not in HOLDS_HTML:
+                        alien.pop()
+            if tag in FOREIGN:
+                if not ending and m[0][-2] != "/":
+                    alien.append(tag)
+                continue
             if tag in INLINE:
                 if tag == "br":
                     text.append(" ")

@@ -26,6 +26,22 @@ def test_broken_pages_do_not_fail(page):
     texts_of(page)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>a <svg class=icon/> b</p><p>c", ["a b", "c"]),
+    ("<p>a <math/> b<svg /></p><p>c</p><svg><path d=x /></svg><p>d", ["a b", "c", "d"]),
+    ("<p>a <svg><path d=x> b<p>c</p><div>d <math><mi>x</div>e", ["a b", "c", "d x", "e"]),
+    ("<p>so <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> holds</p>", ["so x<2 holds"]),
+    ("<svg><title>t</title><style>p > a {}</style><script/><text>drawn</text><desc>no</desc></svg> on<p>p", ["drawn on", "p"]),
+    ("<svg><title>t<p>c</p><svg><title>u</svg>d", ["c", "d"]),
+    ("<svg><foreignObject><div>in</div><p>two</p></foreignObject></svg>out", ["in", "two", "out"]),
+    ("<p>a<select><option>x<option>y<p>c</p>d", ["a", "x", "y", "c", "d"]),
+    ("<template><p>t</p></template><p>c</p><template>u<p>d", ["t", "c", "u", "d"]),
+    ("a<script>x<p>y</p>", ["a"]), ("a<iframe/>x</iframe><p>c", ["a", "c"]), ("</svg></math>a</select>b", ["a", "b"]),
+])
+def test_no_text_is_lost_behind_embedded_elements(page, want):
+    assert texts_of(page) == want
+
+
 def test_tags_and_ancestors():
     cut = H.Blocks().cut('<nav class="topMenu"><p>m</p></nav><article><div class=ad>s</div><p>t <a href=x>link</a></article><p>u')
     assert [(c[0], c[1]) for c in cut] == [("m", "p"), ("s", "div"), ("t link", "p"), ("u", "p")]
