@@ -38,8 +38,9 @@ from pyspark.sql import types as T
 
 from seqlake.llm.common import small_batches
 
-#: Parameters of training: pages sampled for text, pages generated, passes.
+#: Parameters of training: pages sampled for text, their longest, pages generated, passes.
 SAMPLE_PAGES = 200
+SAMPLE_CHARS = 100_000
 TRAIN_PAGES = 600
 STEPS = 150
 SEED = 42
@@ -229,7 +230,7 @@ class Blocks:
 
 def text_features(text: str, tag: str, linked: float, place: float) -> list[str]:
     words = text.count(" ") + 1
-    capitals = sum(c.isupper() for c in text[:200])
+    capitals = sum(map(str.isupper, text))
     out = [f"tag:{tag}", f"words:{min(words.bit_length(), 8)}", f"linked:{int(linked * 3)}",
            f"place:{int(place * 5)}"]
     if text[-1] in _CLOSING:
@@ -238,7 +239,7 @@ def text_features(text: str, tag: str, linked: float, place: float) -> list[str]
             out.append("sentence")
     if "©" in text or "(c)" in text:
         out.append("copyright")
-    if 2 * capitals > len(text[:200]):
+    if 2 * capitals > len(text):
         out.append("capitals")
     if "," in text:
         out.append("comma")
@@ -456,9 +457,14 @@ def labelled_pages(texts: list[str], n: int = TRAIN_PAGES, seed: int = SEED) ->
     return [maker.page() for _ in range(n)]
 
 
-def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Crf:
-    """A CRF trained on pages built from the text blocks of a bounded sample of ``pages``."""
-    rows = (pages.select(F.col(html_col).alias("h")).where("length(h) BETWEEN 1 AND 100000")
+def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES,
+          sample_chars: int = SAMPLE_CHARS) -> Crf:
+    """A CRF trained on pages built from the text blocks of a bounded sample of ``pages``.
+
+    The sample comes to the driver: ``sample_pages`` pages of at most ``sample_chars`` characters
+    (longer pages give no training text, but are extracted as all others).
+    """
+    rows = (pages.select(F.col(html_col).alias("h")).where(F.length("h").between(1, sample_chars))
             .orderBy(F.xxhash64("h"), "h").limit(sample_pages).collect())
     cutter = Blocks()
     texts = [c[0] for r in rows for c in cutter.cut(r.h)]

@@ -49,6 +49,21 @@ def test_tags_and_ancestors():
     assert cut[2][3] == pytest.approx(4 / 6)
 
 
+def test_capitals_count_over_the_whole_block():
+    for text, want in (("A" * 150 + "b" * 1000, False), ("a" * 250 + "B" * 300, True), ("AB c", False), ("ABC d", True)):
+        assert ("capitals" in H.text_features(text, "p", 0.0, 0.0)) == want
+
+
+def test_sample_bound_is_a_parameter(spark, monkeypatch):
+    """The longest page of the training sample: text of longer pages trains nothing."""
+    df = spark.createDataFrame([(1, "u", "<p>short"), (2, "u", "<p>" + "long " * 30_000)], PAGES)
+    seen = []
+    monkeypatch.setattr(H, "labelled_pages", lambda texts: seen.append(len(texts)) or ["<p data-main=1>x"])
+    H.train(df)
+    H.train(df, sample_chars=200_000)
+    assert seen == [1, 2]
+
+
 def test_viterbi_equals_enumeration():
     rng = random.Random(1)
     for _ in range(50):
