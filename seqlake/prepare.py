@@ -16,34 +16,45 @@ from pyspark.sql import functions as F
 from seqlake.functions.text import join_ws
 from seqlake.operators.convert import clean_movetext_df, convert_games
 from seqlake.operators.filters import CorpusConfig, corpus_condition
+from seqlake.session import scratch_dir
 from seqlake.sources.corpus import list_corpus, pending_inputs, scan_tolerant, source_stem
 from seqlake.streaming.source import run_available
 
 GAME_SCHEMA = "movetext string, WhiteElo string, BlackElo string, TimeControl string"
 MANIFEST = "_manifest"   # a leading underscore hides it from readers of the lines
-MANIFEST_SCHEMA = "stem string, rows long, passed long, kept long"
+#: ``expected`` is the row count of the source's footer; NULL: the footer gave none (unreadable, or no rows).
+MANIFEST_SCHEMA = "stem string, rows long, passed long, kept long, expected long"
 
 
 def games_of(spark: SparkSession, files: list[str]) -> DataFrame:
-    """The games of ``files`` with their source stem; unreadable files give no row."""
-    return scan_tolerant(spark, files, GAME_SCHEMA).withColumn("stem", source_stem(F.col("_metadata.file_path")))
+    """The games of ``files`` with their path and source stem; unreadable files give no row."""
+    path = F.col("_metadata.file_path")
+    return scan_tolerant(spark, files, GAME_SCHEMA).withColumns({"path": path, "stem": source_stem(path)})
 
 
 def kept_games(games: DataFrame, cfg: CorpusConfig, converter=None, mode: str = "lenient") -> DataFrame:
     """Filter first, on the plain columns at the scan; convert only what passes; then the length."""
-    passed = games.where(F.coalesce(corpus_condition(cfg, mode), F.lit(False)))
+    return _converted(games.where(F.coalesce(corpus_condition(cfg, mode), F.lit(False))), cfg, converter)
+
+
+def _converted(passed: DataFrame, cfg: CorpusConfig, converter=None) -> DataFrame:
     conv = (clean_movetext_df(passed, "movetext") if converter is None
             else convert_games(passed, "movetext", converter))
     return conv.where(F.coalesce(F.size("tokens"), F.lit(0)) >= cfg.min_plies)
 
 
 def read_manifest(spark: SparkSession, out: str) -> DataFrame:
-    """One row per source seen by any run: ``stem, rows, passed, kept``."""
+    """One row per source seen by any run: ``stem, rows, passed, kept, expected``."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{MANIFEST}")
     if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
         return spark.createDataFrame([], MANIFEST_SCHEMA)
     rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{out}/{MANIFEST}")
-    return rows.groupBy("stem").agg(*[F.max(c).alias(c) for c in ("rows", "passed", "kept")])
+    return rows.groupBy("stem").agg(*[F.max(c).alias(c) for c in ("rows", "passed", "kept", "expected")])
+
+
+def unfinished_sources(spark: SparkSession, out: str) -> DataFrame:
+    """Manifest rows of sources not read to their end by any run: fewer rows than their footer tells, or none."""
+    return read_manifest(spark, out).where("expected IS NULL OR rows <> expected")
 
 
 def read_prepared(spark: SparkSession, out: str) -> DataFrame:
@@ -61,26 +72,39 @@ def prepare(spark: SparkSession, path: str, out: str, cfg: CorpusConfig = Corpus
 
     A source whose manifest row shows output is skipped; one without output, or
     unreadable before, is tried again and replaces only its own folder.  An
-    unreadable file is reported with (0, 0, 0).  ``mode="lenient"`` drops
-    malformed ratings; ``"strict"`` keeps the reference's failing cast."""
+    unreadable file is reported with (0, 0, 0).  A source is written only if the
+    converting read saw as many rows as its footer tells: a tolerant read ends a
+    damaged file at the first error.  One that it read in part has the rows it
+    saw, nothing kept, and stays pending (``unfinished_sources``).
+    ``mode="lenient"`` drops malformed ratings; ``"strict"`` keeps the reference's
+    failing cast."""
     files = list_corpus(spark, path, limit_files)
     planned = spark.createDataFrame([(f,) for f in files], "path string").withColumn("stem", source_stem("path"))
     pending = pending_inputs(planned, read_manifest(spark, out)).select("path", "stem").collect()   # a row per file
     if not pending:
         return {"rows": 0, "passed": 0, "kept": 0}
     games = games_of(spark, [r.path for r in pending])
-    lines = kept_games(games, cfg, converter, mode).select("stem", join_ws("tokens").alias("value"))
+    # one read, landed: what is counted is what is converted; a text that does not pass is not copied
+    passed = F.coalesce(corpus_condition(cfg, mode), F.lit(False))
+    where = scratch_dir(spark, "games")
+    games.select("path", passed.alias("passed"), F.when(passed, F.col("movetext")).alias("movetext")).write.parquet(where)
+    read = spark.read.schema("path string, passed boolean, movetext string").parquet(where)
+    seen = read.groupBy("path").agg(F.count("*").alias("rows"), F.count_if("passed").alias("passed"))
+    expected = games.groupBy("path").agg(F.count("*").alias("expected"))   # footers only: no column is read for it
+    found = seen.join(expected, "path", "full").withColumn("stem", source_stem("path")).checkpoint()   # a row per file
+    done = spark.createDataFrame([(r.stem,) for r in pending], "stem string").distinct().join(
+        found.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("rows", "passed", "expected")]), "stem", "left")
+    whole = done.where("rows = expected").select("stem")
+    # a row per file, as the listing that the driver holds
+    passing = read.where("passed").join(F.broadcast(found.join(whole, "stem").select("path", "stem")), "path")
+    lines = _converted(passing, cfg, converter)
     # sources side by side in few files; a source with very many games is split over several
-    (lines.hint("rebalance", "stem").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (lines.select("stem", join_ws("tokens").alias("value"))
+          .hint("rebalance", "stem").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
           .partitionBy("stem").text(out))
-    rows = games.groupBy("stem").agg(F.count("*").alias("rows"))   # no column is read for it
-    passed = (games.where(F.coalesce(corpus_condition(cfg, mode), F.lit(False)))
-                   .groupBy("stem").agg(F.count("*").alias("passed")))
-    kept = read_prepared(spark, out).groupBy("stem").agg(F.count("*").alias("kept"))
-    done = spark.createDataFrame([(r.stem,) for r in pending], "stem string")
-    for part in (rows, passed, kept):
-        done = done.join(part, "stem", "left")
-    done = done.select("stem", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("rows", "passed", "kept")])
+    kept = read_prepared(spark, out).join(whole, "stem", "left_semi").groupBy("stem").agg(F.count("*").alias("kept"))
+    done = done.join(kept, "stem", "left").select(
+        "stem", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("rows", "passed", "kept")], "expected")
     done = done.checkpoint()
     done.write.mode("append").parquet(f"{out}/{MANIFEST}")
     return done.agg(*[F.sum(c).alias(c) for c in ("rows", "passed", "kept")]).first().asDict()

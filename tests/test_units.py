@@ -195,6 +195,43 @@ def test_prepare_end_to_end(spark):
     assert lines[0].stem == "train_part0_0000"
 
 
+def test_prepare_leaves_a_partly_read_file_pending(spark):
+    """A file damaged in its second row group gives no lines, is reported and is read again once it is whole."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from seqlake.prepare import prepare, read_manifest, read_prepared, unfinished_sources
+    root = scratch_dir(spark, "damaged")
+    local = root.replace("file:", "", 1)
+    game = " ".join(f"{i}. e4 e5" for i in range(1, 12))
+    names = ("movetext", "WhiteElo", "BlackElo", "TimeControl")
+    for part, n in (("good", 5), ("torn", 8)):
+        os.makedirs(f"{local}/in/{part}")
+        cols = [[f"{game} {i}. a{i}" for i in range(n)], ["2300"] * n, ["2400"] * n, ["180+2"] * n]
+        pq.write_table(pa.table(dict(zip(names, cols))), f"{local}/in/{part}/file.parquet", row_group_size=4,
+                       use_dictionary=False, compression="gzip")
+    torn = f"{local}/in/torn/file.parquet"
+    with open(torn, "rb") as f:
+        whole = f.read()
+    column = pq.read_metadata(torn).row_group(1).column(0)
+    at, size = column.data_page_offset, column.total_compressed_size
+    with open(torn, "wb") as f:
+        f.write(whole[:at] + b"\xff" * size + whole[at + size:])
+
+    def manifest():
+        return {r.stem: (r.rows, r.passed, r.kept, r.expected) for r in read_manifest(spark, f"{root}/out").collect()}
+    totals = prepare(spark, f"{root}/in", f"{root}/out")
+    assert manifest()["good_file"] == (5, 5, 5, 5) and manifest()["torn_file"][2:] == (0, 8)
+    assert totals["kept"] == 5 and {r.stem for r in read_prepared(spark, f"{root}/out").collect()} == {"good_file"}
+    assert [r.stem for r in unfinished_sources(spark, f"{root}/out").collect()] == ["torn_file"]
+    with open(torn, "wb") as f:
+        f.write(whole)
+    assert prepare(spark, f"{root}/in", f"{root}/out") == {"rows": 8, "passed": 8, "kept": 8}
+    assert manifest() == {"good_file": (5, 5, 5, 5), "torn_file": (8, 8, 8, 8)}
+    assert unfinished_sources(spark, f"{root}/out").count() == 0 and read_prepared(spark, f"{root}/out").count() == 13
+
+
 def test_prepare_stream_matches_batch(spark):
     import os
 
