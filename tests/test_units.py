@@ -134,6 +134,21 @@ def test_corrupt_file_is_reported(spark):
     assert len(miss) == 1 and miss[0].endswith("bad/part-0.parquet")
 
 
+def test_quarantine_files_plans_every_listed_file(spark):
+    import os
+
+    from seqlake.plans.corpus_plans import q_quarantine_files
+    root = scratch_dir(spark, "quarantine")
+    local = root.replace("file:", "", 1)
+    for name, col in (("lineitem", "id"), ("orders", "text"), ("region", "id")):
+        spark.range(3).select(F.col("id").cast("string" if col == "text" else "long").alias(col)).coalesce(1) \
+            .write.parquet(f"{root}/{name}")
+    with open(f"{local}/customer.parquet", "wb") as fh:
+        fh.write(b"not a parquet file")
+    got = [tuple(r) for r in q_quarantine_files(spark, root).collect()]
+    assert got == [("customer.parquet", 0, 0)]
+
+
 def test_buffered_cooldown_stream_handles_out_of_order_files(spark):
     """Files land in scrambled time order; with a lateness bound covering the
     disorder the buffered stream equals the batch fold.  A final clock row (a
