@@ -221,7 +221,8 @@ class Pieces:
             lo = hi
 
     def encode(self, texts: Iterable[str | None], verify: bool = False):
-        """Ids of each text; with ``verify`` also whether each one's chunks all decode to themselves."""
+        """Ids of each text; with ``verify`` also whether each one's ids decode to it."""
+        texts = list(texts)
         split = []
         for t in texts:
             split.append(_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [])
@@ -238,7 +239,10 @@ class Pieces:
             self.solve(new[lo:lo + SOLVED_AT_ONCE])
         solved = self.solved
         rows = [list(chain.from_iterable([solved[c] for c in chunks])) for chunks in split]
-        return (rows, [self.damaged.isdisjoint(chunks) for chunks in split]) if verify else rows
+        if not verify:
+            return rows
+        # a blank and a space sign have the same ids, which decode to the blank
+        return rows, [self.damaged.isdisjoint(chunks) and SPACE not in (t or "") for t, chunks in zip(texts, split)]
 
     def _joined(self, ids: Iterable[int]) -> str:
         """The pieces of ids put together, with runs of byte pieces decoded."""
@@ -280,7 +284,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     """``id, n_tokens, ids, round_trip``: one row per input row.
 
     ``round_trip`` tells whether decoding the ids gives the text back.  Chunks decode on
-    their own (a chunk ends on a whole character), so each different chunk is decoded once.
+    their own (a chunk ends on a whole character), so each different chunk is decoded once; a text with U+2581 itself never comes back.
     """
     small_batches(df.sparkSession)
     model = model or read_model()

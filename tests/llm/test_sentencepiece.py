@@ -35,6 +35,14 @@ def test_random_texts_equal_the_library(both):
     assert [own.decode(i) for i in own.encode(texts)] == lib.decode(lib.encode(texts))
 
 
+def test_round_trip_tells_whether_decoding_gives_the_text(spark, both):
+    own = both[0]
+    ids, same = own.encode(iter(ODD), verify=True)
+    assert same == [own.decode(i) == t for t, i in zip(ODD, ids)] and not same[ODD.index("▁x ▁▁y")]
+    df = spark.createDataFrame([(1, "a▁b"), (2, "a b"), (3, None), (4, "▁")], "doc_id long, text string")
+    assert {r.doc_id: r.round_trip for r in S.encode(df).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
 def test_cache_turnover(both, monkeypatch):
     own, lib = S.Pieces(S.read_model()), both[1]
     monkeypatch.setattr(S, "CACHED_CHUNKS", 5)
