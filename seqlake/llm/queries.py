@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqlake.llm import ann, html_extract, line_dedup, mixing, pii, quality, sentencepiece, simhash, toxicity, warc
-from seqlake.llm.common import load
+from seqlake.llm import (ann, html_extract, line_dedup, mixing, pii, prefix_trie, quality, runs, sentencepiece, simhash,
+                         toxicity, warc)
+from seqlake.llm.common import load, staged, words_of
 
 
 def op1_pii(spark, sf_dir):
@@ -174,6 +175,92 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def rebuilt(conversations):
+    """``conv, depth, role, text`` and ``conv``: each conversation with the first turns of the last one divisible by 20.
+
+    How many turns are exchanged (none to three) follows from the conversation's id.
+    """
+    turns = prefix_trie.numbered(conversations)
+    head = F.pmod(F.crc32(F.col("conv").cast("string")), F.lit(4))
+    convs = turns.groupBy("conv").agg(F.max("pos").alias("n"))
+    convs = convs.select("conv", "n", (F.col("conv") - F.col("conv") % 20).alias("base"), head.alias("h"))
+    bases = convs.select(F.col("conv").alias("base"), F.col("n").alias("n_base"))
+    convs = convs.join(bases, "base", "left").select(
+        "conv", "base", "n", "h", F.least("h", F.coalesce("n_base", F.lit(0))).alias("taken"))
+    first = turns.where("pos <= 3 AND conv % 20 = 0").withColumnRenamed("conv", "base")
+    heads = first.join(convs.drop("n"), "base").where("pos <= taken").select(
+        "conv", F.col("pos").alias("depth"), "role", "text")
+    # a conversation's own turns keep their order; how far they move is spread over every few thousand of its turns
+    moved = convs.select("conv", "taken", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 4096))).alias("span"))
+    own = turns.withColumn("h", head).where("pos > h").withColumn("span", F.floor(F.col("pos") / 4096))
+    own = own.join(moved, ["conv", "span"]).select(
+        "conv", (F.col("pos") - F.col("h") + F.col("taken")).alias("depth"), "role", "text")
+    return heads.union(own), convs.select("conv")
+
+
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.nodes(*rebuilt(load(spark, sf_dir, "conversations")))
+
+
+OP11_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+          lambda v, z: xor(v // 2, 3988292384 * (v % 2)))) AS inverted FROM ids),
+k AS (SELECT c, c - c % 20 AS base, xor(inverted, 4294967295::BIGINT) % 4 AS h FROM h),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT k.c, 0 AS part, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.base AND t.pos <= k.h
+      UNION ALL SELECT k.c, 1, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.c AND t.pos > k.h),
+o AS (SELECT c, row_number() OVER w AS d, len(regexp_extract_all(text, '[^ 	-]+'))::BIGINT AS words,
+             string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS path
+      FROM r WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+p AS (SELECT c, d, md5(path) AS node, words FROM o UNION ALL SELECT c, 0, md5(''), 0 FROM ids),
+l AS (SELECT c, max(d) AS last FROM p GROUP BY c),
+g AS (SELECT node, d, min(p.c) AS conv, count(*) AS n, any_value(words) AS words,
+             sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (d = last), '')) AS ends
+      FROM p JOIN l ON p.c = l.c GROUP BY node, d),
+-- each node with the node above it, and with every node above it or itself
+up AS (SELECT g.conv, g.d, u.conv AS parent FROM g JOIN p ON p.c = g.conv AND p.d = g.d - 1 JOIN g u ON u.node = p.node AND u.d = p.d),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS n FROM up GROUP BY parent, d - 1),
+sub AS (SELECT a.node, a.d, sum((g.n - 1) * g.words) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+        FROM g JOIN p a ON a.c = g.conv AND a.d <= g.d LEFT JOIN kids ON kids.parent = g.conv AND kids.d = g.d GROUP BY a.node, a.d)
+SELECT g.conv AS conv_id, g.d::BIGINT AS depth, up.parent AS parent_conv_id, g.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       sub.leaves AS n_leaves, sub.saved::BIGINT AS saved_tokens, g.ends AS ends_sha256
+FROM g JOIN sub ON sub.node = g.node AND sub.d = g.d LEFT JOIN up ON up.conv = g.conv AND up.d = g.d
+LEFT JOIN kids ON kids.parent = g.conv AND kids.d = g.d
+"""
+
+
+def with_periods(docs):
+    """``doc_id, text``: in one document of ten, by its id, the words from some place on repeat the first few of them."""
+    d = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = F.col("h") % 10 == 0
+    d = staged(d, w=F.when(chosen, words_of(F.col("text"))), g=F.floor(F.col("h") / 10))
+    d = staged(d, n=F.size("w").cast("bigint"))
+    d = staged(d, a=F.when(F.col("n") > 0, F.col("g") % F.greatest("n", F.lit(1))))
+    d = staged(d, p=1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    word = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return d.select("doc_id", F.when(chosen & (F.col("n") > 0), F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark, sf_dir):
+    d = runs.collapse(with_periods(load(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    # exact comparison of length / period: cross products; the list is by start, then period
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.array_sort("runs", lambda x, y: F.when(more(x, y), -1).when(more(y, x), 1).when(x["start"] < y["start"], -1)
+                        .when(x["start"] > y["start"], 1).when(x["period"] < y["period"], -1).otherwise(1))
+    d = d.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.get(best, F.lit(0)).alias("best"),
+                 F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return d.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                    F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                    "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -185,10 +272,13 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_runs": op12_runs,
 }
 SQL = {
     "op2_mixing": OP2_SQL.strip(),
     "op6_line_dedup": OP6_SQL.strip(),
     "op7_warc": OP7_SQL.strip(),
     "op9_quality": OP9_SQL.strip(),
+    "op11_prefix_trie": OP11_SQL.strip(),
 }
