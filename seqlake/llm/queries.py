@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqlake.llm import (ann, html_extract, line_dedup, mixing, pii, prefix_trie, quality, runs, sentencepiece, simhash,
-                         toxicity, warc)
+                         suffix_dedup, toxicity, warc)
 from seqlake.llm.common import load, staged, words_of
 
 
@@ -213,7 +213,8 @@ t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS tex
       FROM conversations WHERE conv_id IS NOT NULL),
 r AS (SELECT k.c, 0 AS part, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.base AND t.pos <= k.h
       UNION ALL SELECT k.c, 1, t.pos, t.role, t.text FROM k JOIN t ON t.c = k.c AND t.pos > k.h),
-o AS (SELECT c, row_number() OVER w AS d, len(regexp_extract_all(text, '[^ 	-]+'))::BIGINT AS words,
+o AS (SELECT c, row_number() OVER w AS d, len(regexp_extract_all(text, '[^ 	-
+]+'))::BIGINT AS words,
              string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY c ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS path
       FROM r WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
 p AS (SELECT c, d, md5(path) AS node, words FROM o UNION ALL SELECT c, 0, md5(''), 0 FROM ids),
@@ -261,6 +262,13 @@ def op12_runs(spark, sf_dir):
                     "runs_sha256", "collapsed_sha256")
 
 
+def op13_suffix_dedup(spark, sf_dir):
+    d = suffix_dedup.cut_repeats(load(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+                    F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -274,6 +282,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_runs": op12_runs,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 SQL = {
     "op2_mixing": OP2_SQL.strip(),
