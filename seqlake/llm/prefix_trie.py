@@ -64,10 +64,14 @@ def _digest(depth: Column, lanes: list[Column]) -> list[Column]:
     return [F.xxhash64(F.lit(seed), depth, *lanes) for seed in (1, 2)]
 
 
-def _prefixes(turns: DataFrame) -> DataFrame:
-    """One row per conversation and depth: digests of the prefix and its parent, words of the last turn and before."""
-    rows = turns.select("conv", "depth", F.xxhash64(F.lit(1), "depth", "role", "text").alias("x"),
+def _hashed(turns: DataFrame) -> DataFrame:
+    """Turns as two hashes of their depth, role and text, and their number of words."""
+    return turns.select("conv", F.col("depth").cast("bigint").alias("depth"), F.xxhash64(F.lit(1), "depth", "role", "text").alias("x"),
                         F.xxhash64(F.lit(2), "depth", "role", "text").alias("y"), _n_words(F.col("text")).alias("words"))
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """One row per conversation and depth: digests of the prefix and its parent, words of the last turn and ahead."""
     low, high = (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
     lanes = [low("x"), high("x"), low("y"), high("y")]
     rows = rows.select("conv", "depth", "words", *[F.when(F.col("depth") > 0, v).otherwise(0).alias(f"t{c}")
@@ -152,11 +156,11 @@ def nodes(turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame
     (``conv``) may name conversations without turns.  A node is named by its
     smallest member and its depth.
     """
-    ids = turns.select("conv")
+    hashed = landed(_hashed(turns), "trie_turns")      # read often from here on; texts are left behind
+    ids = hashed.select("conv")
     ids = (ids if conversations is None else ids.union(conversations.select("conv"))).distinct()
-    none = F.lit("").alias("role"), F.lit("").alias("text")
-    prefixes = landed(_prefixes(turns.select("conv", F.col("depth").cast("bigint").alias("depth"), "role", "text").union(
-        ids.select("conv", F.lit(0).cast("bigint").alias("depth"), *none))), "trie_prefixes")
+    root = ids.select("conv", *[F.lit(0).cast("bigint").alias(c) for c in ("depth", "x", "y", "words")])
+    prefixes = landed(_prefixes(hashed.union(root)), "trie_prefixes")
     screened = _screened(prefixes, prefixes.count())
     shared = landed(screened.where("maybe").drop("maybe", "first"), "trie_shared")
     lone = screened.where("NOT maybe")
