@@ -29,16 +29,23 @@ def width_for(n_keys: int, max_bits: int = MAX_BITS) -> int:
 
 def slots(k1: np.ndarray, k2: np.ndarray, width: int, rows: int = ROWS) -> list[np.ndarray]:
     """Counter of each key in each row, by double hashing of two 64-bit digests."""
-    a, b = k1.astype(np.int64).view(np.uint64), k2.astype(np.int64).view(np.uint64) | np.uint64(1)
+    a, b = k1.view(np.uint64), k2.view(np.uint64) | np.uint64(1)
     return [((a + np.uint64(r) * b) & np.uint64(width - 1)).astype(np.int64) for r in range(rows)]
 
 
-def company(keys: DataFrame, width: int, rows: int = ROWS) -> np.ndarray:
-    """``rows x width / 8`` bytes of bits: counters that more than one key of ``keys`` (two long columns) met."""
+def _two_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+
+
+def company(keys: DataFrame, width: int, rows: int = ROWS, digests=_two_columns) -> np.ndarray:
+    """``rows x width / 8`` bytes of bits: counters that more than one key of ``keys`` met.
+
+    ``digests`` gives the two 64-bit digests of the keys of a batch; unless told otherwise they are its two columns.
+    """
     def count(batches):
         counters = np.zeros((rows, width), np.uint8)
         for batch in batches:
-            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            k1, k2 = digests(batch)
             for r, at in enumerate(slots(k1, k2, width, rows)):
                 own, n = np.unique(at, return_counts=True)
                 counters[r, own] = np.minimum(counters[r, own] + np.minimum(n, 2), 2)

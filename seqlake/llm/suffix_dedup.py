@@ -16,12 +16,13 @@ earlier in the corpus.
    bytes, ties by document and place, so that very many equal suffixes spread
    over buckets.  Each bucket is sorted by multikey quicksort, eight bytes a
    level, equal parts going on to the next level.  Of neighbours with equal
-   contexts all but the earliest are repeats, whole contexts at once.
-4. **Boundaries.**  Suffixes that share only their gram with a neighbour, and the
-   groups at either end of a bucket, which may go on next door, are compared
-   window by window: their windows' digests are range-partitioned and sorted in
-   the same way, and each bucket learns the last digest of the bucket before it,
-   one row a bucket, so that a repeat is seen across the boundary.
+   contexts all but the earliest are repeats, whole contexts at once; different
+   contexts that share their gram are compared window by window.
+4. **Boundaries.**  The groups at either end of a bucket may go on next door.
+   Their windows, each once a bucket, pass a count-min screening (``sketch``); the
+   digests of those that may recur are range-partitioned and sorted in the same way,
+   and each bucket learns the last digest of the bucket before it, one row a
+   bucket, so that a repeat is seen across the boundary.
 5. The windows found are joined to their documents and cut out.
 
 Equal texts in one batch are settled before anything is shuffled.  Digests have
@@ -46,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlake.llm.common import landed
+from seqlake.llm.sketch import company, may_recur, width_for
 from seqlake.operators.ordered import dense_index
 
 #: Bytes of a string that counts as repeated, and of the grams that place its anchor.
@@ -67,14 +69,19 @@ def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     h = _BYTE[data]
     b = 1
     while b < gram:
-        h = h[:-b] * _A + h[b:]
-        h ^= h >> np.uint64(29)
-        h *= _B
+        h = _mixed_pair(h[:-b], h[b:])
         b *= 2
     h ^= h >> np.uint64(32)
     return h
 
 
+def _mixed_pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    h = x * _A + y
+    h ^= h >> np.uint64(29)
+    h *= _B
+    return h
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Smallest of ``width`` neighbours from each place, by doubling."""
     b = 1
@@ -200,34 +207,93 @@ def _sorted_bucket(batches, length: int, gram: int):
     same_gram = np.append(False, (rows[1:, :gram // 8] == rows[:-1, :gram // 8]).all(axis=1))
     group = np.cumsum(~same_gram) - 1
     kinds = np.bincount(group, weights=~same)              # different contexts with one gram
-    compare = ~same & ((kinds[group] > 1) | (group == 0) | (group == group[-1]))
-    size = np.fromiter(map(len, left), np.int64, n) + np.fromiter(map(len, right), np.int64, n)
+    edge = (group == 0) | (group == group[-1])
+    before = np.fromiter(map(len, left), np.int64, n)
+    size = before + np.fromiter(map(len, right), np.int64, n)
     gone = order[same]
+    # windows of different contexts are compared in order of their documents and places
+    mixed = np.flatnonzero(~same & (edge | (kinds[group] > 1)))
+    mixed = mixed[np.lexsort(((start + before)[order[mixed]], ords[order[mixed]]))]
+    whole = order[mixed]
+    texts = [left[j] + right[j] for j in whole]
+    row, at, again = _compared(texts, size[whole], group[mixed], length, gram)
+    r, first, last = _stretches(row[again], at[again])
+    o, a, b = ords[whole[r]], start[whole[r]] + first, start[whole[r]] + last + length
     yield pa.RecordBatch.from_arrays(
-        [pa.array(ords[gone]), pa.array(start[gone]), pa.array(start[gone] + size[gone]),
-         pa.nulls(len(gone), pa.binary())], ["ord", "a", "b", "bytes"])
-    for i in range(0, n, 4096):
-        own = order[i:i + 4096][compare[i:i + 4096]]
+        [pa.array(np.concatenate([ords[gone], o])), pa.array(np.concatenate([start[gone], a])),
+         pa.array(np.concatenate([start[gone] + size[gone], b])), pa.nulls(len(gone) + len(o), pa.binary())],
+        ["ord", "a", "b", "bytes"])
+    # of the groups at the ends, windows that are new in this bucket go on
+    on = ~again & edge[mixed[row]]
+    r, first, last = _stretches(row[on], at[on])
+    for i in range(0, len(r), 4096):
+        j, x, y = r[i:i + 4096], first[i:i + 4096], last[i:i + 4096] + length
+        own = whole[j]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ords[own]), pa.array(start[own]), pa.array(start[own] + size[own]),
-             pa.array([left[j] + right[j] for j in own], pa.binary())], ["ord", "a", "b", "bytes"])
-
-
-def _windows(batches, length: int):
-    """Digest and place of every window of the contexts given."""
-    for batch in batches:
-        ords, starts, texts = (batch.column(c).to_pylist() for c in ("ord", "a", "bytes"))
-        out_o, out_a, digests = [], [], []
-        for o, a, t in zip(ords, starts, texts):
-            for k in range(len(t) - length + 1):
-                digests.append(hashlib.blake2b(t[k:k + length], digest_size=16).digest())
-                out_o.append(o)
-                out_a.append(a + k)
-        if not digests:
-            continue
-        d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(out_o, pa.int64()),
-                                          pa.array(out_a, pa.int64())], ["d1", "d2", "ord", "a"])
+            [pa.array(ords[own]), pa.array(start[own] + x), pa.array(start[own] + y),
+             pa.array([texts[k][u:v] for k, u, v in zip(j.tolist(), x.tolist(), y.tolist())], pa.binary())],
+            ["ord", "a", "b", "bytes"])
+
+
+def _digests(texts: list[bytes], length: int, width: int) -> np.ndarray:
+    """64-bit hash of the window from each place of each text (of ``width`` bytes at most)."""
+    out = [np.zeros((0, width - length + 1), np.uint64)]
+    b = 1 << (length.bit_length() - 1)
+    for i in range(0, len(texts), 2048):
+        part = texts[i:i + 2048]
+        data = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in part) + b"\0" * width, np.uint8)
+        h = _grams(data, b)
+        h = _mixed_pair(h[:len(h) - (length - b)], h[length - b:])
+        out.append(h[:len(part) * width].reshape(len(part), width)[:, :width - length + 1])
+    return np.concatenate(out)
+
+
+def _window_places(size: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(np.arange(width - length + 1) <= (size - length)[:, None])
+
+
+def _compared(texts: list[bytes], size: np.ndarray, group: np.ndarray, length: int, gram: int):
+    """All windows as ``row, place``, and whether an earlier context of the same group has the window, too."""
+    width = 2 * length - gram
+    row, at = _window_places(size, length, width)
+    digest, own = _digests(texts, length, width)[row, at], group[row]
+    order = np.lexsort((digest, own))          # stable: the earliest of equal windows comes first
+    again = np.zeros(len(row), bool)
+    again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (own[order[1:]] == own[order[:-1]])
+    return row, at, again
+
+
+def _stretches(row: np.ndarray, at: np.ndarray):
+    """Row, first and last place of each stretch of neighbouring places."""
+    new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+    return row[new], at[new], at[np.append(new[1:], len(row))[:len(new)] - 1]
+
+
+def _windows(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``d1, d2, ord, a``: digest and place of the contexts' windows that may occur twice."""
+    width = 2 * length - gram
+    n = contexts.agg(F.coalesce(F.sum(F.col("b") - F.col("a") - (length - 1)), F.lit(0))).first()[0]
+
+    def digests(batch):
+        texts = batch.column(0).to_pylist()
+        h = _digests(texts, length, width)[_window_places(np.fromiter(map(len, texts), np.int64, len(texts)), length, width)]
+        return h, _mixed_pair(h, h)
+
+    sketch = contexts.sparkSession.sparkContext.broadcast(company(contexts.select("bytes"), width_for(n), digests=digests))
+
+    def work(batches):
+        for batch in batches:
+            ords, starts, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            row, at = _window_places(np.fromiter(map(len, texts), np.int64, len(texts)), length, width)
+            maybe = may_recur(sketch.value, *digests(batch.select(["bytes"])))
+            row, at = row[maybe], at[maybe]
+            if not len(row):
+                continue
+            d = b"".join(hashlib.blake2b(texts[r][k:k + length], digest_size=16).digest() for r, k in zip(row.tolist(), at.tolist()))
+            d = np.frombuffer(d, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(ords[row]),
+                                              pa.array(starts[row] + at)], ["d1", "d2", "ord", "a"])
+    return contexts.select("ord", "a", "bytes").mapInArrow(work, "d1 long, d2 long, ord long, a long")
 
 
 def _repeated_windows(windows: DataFrame) -> DataFrame:
@@ -339,9 +405,7 @@ def repeats(placed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFr
             yield from _sorted_bucket(rest, length, gram)
 
     judged = landed(ranged.mapInArrow(bucket, "ord long, a long, b long, bytes binary"), "suffix_repeats")
-    digests = judged.where("bytes IS NOT NULL").mapInArrow(
-        lambda batches: _windows(batches, length), "d1 long, d2 long, ord long, a long")
-    again = _repeated_windows(digests)
+    again = _repeated_windows(_windows(judged.where("bytes IS NOT NULL"), length, gram))
     return judged.where("bytes IS NULL").select("ord", "a", "b").union(
         again.select("ord", "a", (F.col("a") + length).alias("b")))
 
