@@ -73,6 +73,25 @@ def corpus_condition(cfg: CorpusConfig, mode: str = "strict") -> Column:
     return cond
 
 
+#: Why ``corpus_condition`` leaves a game out, in the order in which the reasons are looked at.
+FILTER_REASONS = ("rating_missing", "rating_malformed", "rating_low", "time_control", "time_short", "termination")
+
+
+def corpus_reject_reason(cfg: CorpusConfig, mode: str = "lenient") -> Column:
+    """B3 with a reason: NULL exactly where ``corpus_condition`` is TRUE, else the first of ``FILTER_REASONS`` that
+    holds.  ``mode="strict"`` fails on a malformed rating, as the strict cast does."""
+    base = base_seconds(cfg.tc_col, cfg.tc_separator)
+    values = [rating_value(c, mode) for c in cfg.rating_cols]
+    checks = [("rating_missing", F.greatest(*[F.col(c).isNull().cast("int") for c in cfg.rating_cols], F.lit(0)) == 1)]
+    if mode == "lenient":
+        checks += [("rating_malformed", v.isNull()) for v in values]
+    checks += [("rating_low", ~(v > F.lit(cfg.min_rating))) for v in values]
+    checks += [("time_control", base.isNull()), ("time_short", base < F.lit(cfg.min_base_seconds))]
+    if cfg.allowed_terminations:
+        checks.append(("termination", ~F.coalesce(F.col("Termination").isin(*cfg.allowed_terminations), F.lit(False))))
+    return F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in checks])
+
+
 def corpus_filter(df: DataFrame, cfg: CorpusConfig = CorpusConfig(), mode: str = "strict",
                   project=("movetext",)) -> DataFrame:
     """B1 and B2 (and B5 when configured) in one ``where``, then the projection."""

@@ -10,7 +10,7 @@ from seqlake.operators.filters import (INT_TEXT, CorpusConfig, base_seconds, cor
 from seqlake.operators.stats import funnel
 from seqlake.plans.registry import register, table
 from seqlake.plans.standins import SQL_DOC_TOKENS, doc_tokens
-from seqlake.prepare import prepare, read_manifest, read_prepared
+from seqlake.prepare import prepare, prepare_stream, read_manifest, read_prepared, read_rejects
 from seqlake.session import scratch_dir
 from seqlake.sources.corpus import (count_scan, list_corpus, missing_files, pending_inputs, quarantine,
                                     rows_per_file, scan_corpus, scan_tolerant, shard_pairs, source_stem)
@@ -249,3 +249,102 @@ def q_prepare(spark, sf_dir):
     tokens = read_prepared(spark, f"{root}/out").groupBy(folder).agg(F.sum(F.size(F.split("value", " "))).cast("bigint").alias("n_tokens"))
     return totals.join(tokens, "folder", "left").select("folder", "rows", "passed", "kept",
                                                         F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
+
+
+def rejected_games(spark, sf_dir):
+    """Game rows from orders, as in ``prepare_games``, with every reason to be left out among them."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").cast("int").alias("n"))
+    o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("k"))
+    k = F.col("k")
+    return o.select(
+        F.when(k % 23 != 0, F.concat(F.repeat(F.lit(_GAME_TEXT), F.col("n")), F.when(k % 17 == 0, "(").otherwise("1-0")))
+         .alias("movetext"),
+        F.when(k % 19 != 0, F.when(k % 11 == 0, "?").otherwise((2000 + k % 1500).cast("string"))).alias("WhiteElo"),
+        (2000 + F.col("o_custkey") % 1500).cast("string").alias("BlackElo"),
+        F.when(k % 29 != 0, F.when(k % 13 == 0, "-").otherwise(F.concat((k % 700).cast("string"), F.lit("+2")))).alias("TimeControl"),
+        F.col("o_orderstatus").alias("part"))
+
+
+def _files(spark, path):
+    """The file system of a path, the path, and its part files."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files, where, [f.getPath() for f in files.listStatus(where) if f.getPath().getName().startswith("part-")]
+
+
+def damaged_inputs(spark, sf_dir, root):
+    """Game files under ``root/in``: a folder per order status, one file that is no Parquet file, and one with a whole
+    footer (status P again) whose pages are overwritten from their middle on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    g = rejected_games(spark, sf_dir)
+    g.hint("rebalance", "part").write.partitionBy("part").parquet(f"{root}/in")
+    spark.createDataFrame([("this is no Parquet file",)], "value string").coalesce(1).write.text(f"{root}/broken")
+    g.where("part = 'P'").drop("part").repartition(1).write.parquet(f"{root}/torn")
+    for name in ("broken", "torn"):
+        files, _, parts = _files(spark, f"{root}/{name}")
+        target = path(f"{root}/in/{name}/file.parquet")
+        files.mkdirs(target.getParent())
+        if name == "broken":
+            files.rename(parts[0], target)
+            continue
+        raw = bytearray(spark.read.format("binaryFile").load(parts[0].toString()).first().content)
+        pages = len(raw) - 8 - int.from_bytes(raw[-8:-4], "little")
+        raw[4 + pages // 2:pages] = b"\xff" * (pages - 4 - pages // 2)
+        out = files.create(target)
+        out.write(raw)
+        out.close()
+
+
+SQL_REJECTED = f"""
+r AS (SELECT part, n, CASE
+        WHEN k % 19 = 0 THEN 'rating_missing' WHEN k % 11 = 0 THEN 'rating_malformed'
+        WHEN 2000 + k % 1500 <= 2200 OR 2000 + c % 1500 <= 2200 THEN 'rating_low'
+        WHEN k % 29 = 0 OR k % 13 = 0 THEN 'time_control' WHEN k % 700 < 180 THEN 'time_short'
+        WHEN k % 23 = 0 THEN 'empty' WHEN k % 17 = 0 THEN 'unbalanced' WHEN 2 * n < {PREPARE_CFG.min_plies} THEN 'too_short' END AS reason
+      FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS part, n
+            FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey))"""
+
+
+def _folder():
+    return F.regexp_extract("stem", "^([^_]+)_", 1).alias("folder")
+
+
+@register("prepare_rejects", f"""
+WITH {SQL_REJECTED}
+SELECT 'part=' || part AS folder, reason, count(*) AS n_games, 0::BIGINT AS n_files FROM r WHERE reason IS NOT NULL GROUP BY part, reason
+UNION ALL SELECT 'broken', 'unreadable', 0, 1
+UNION ALL SELECT 'torn', 'partly_read', 0, 1
+""")
+def q_prepare_rejects(spark, sf_dir):
+    """Every game that ``prepare`` leaves out, by its place in its file, with the reason; damaged files among them."""
+    root = scratch_dir(spark, "rejects")
+    damaged_inputs(spark, sf_dir, root)
+    prepare(spark, f"{root}/in", f"{root}/out", PREPARE_CFG)
+    return read_rejects(spark, f"{root}/out").groupBy(_folder(), "reason").agg(
+        F.count_distinct("path", "row").alias("n_games"), F.count_if(F.col("row").isNull()).alias("n_files"))
+
+
+@register("prepare_stream", f"""
+WITH {SQL_REJECTED}
+SELECT 'part=' || part AS folder, 'done' AS state, count(*) AS expected, count(*) AS rows,
+       count(*) FILTER (reason IS NULL OR reason IN ('empty', 'unbalanced', 'too_short')) AS passed,
+       count(*) FILTER (reason IS NULL) AS kept, coalesce(sum(2 * n) FILTER (reason IS NULL), 0)::BIGINT AS n_tokens,
+       count(*) FILTER (reason IS NOT NULL) AS rejected
+FROM r GROUP BY part
+UNION ALL SELECT 'broken', 'pending', 0, 0, 0, 0, 0, 0
+UNION ALL SELECT 'torn', 'pending', count(*), 0, 0, 0, 0, 0 FROM r WHERE part = 'P'
+""")
+def q_prepare_stream(spark, sf_dir):
+    """The same files as a stream, two a batch; damaged ones stay pending and the stream goes on."""
+    root = scratch_dir(spark, "stream")
+    damaged_inputs(spark, sf_dir, root)
+    prepare_stream(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", PREPARE_CFG, files_per_trigger=2)
+    whole = F.col("rows").eqNullSafe(F.col("expected"))
+    sources = read_manifest(spark, f"{root}/out").withColumns({"folder": _folder(), "state": F.when(whole, "done").otherwise("pending")})
+    sums = sources.groupBy("folder", "state").agg(
+        F.coalesce(F.sum("expected"), F.lit(0)).alias("expected"),
+        *[F.sum(F.when(whole, F.col(c)).otherwise(0)).alias(c) for c in ("rows", "passed", "kept")])
+    lines = read_prepared(spark, f"{root}/out").groupBy(_folder()).agg(
+        F.sum(F.size(F.split("value", " "))).cast("bigint").alias("n_tokens"))
+    rejects = read_rejects(spark, f"{root}/out").groupBy(_folder()).agg(F.count("row").alias("rejected"))
+    return sums.join(lines, "folder", "left").join(rejects, "folder", "left").na.fill(0, ["n_tokens", "rejected"])

@@ -30,6 +30,16 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per
                  .parquet(path))
 
 
+def stream_listing(spark: SparkSession, path: str, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
+    """The files landing under ``path`` themselves as a stream: ``path, length, modificationTime``, one row per file.
+
+    Their content is not read, so a file that no reader can open is a row like any other."""
+    return (spark.readStream.format("binaryFile")
+                 .schema("path string, modificationTime timestamp, length long, content binary")
+                 .option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime"))
+
+
 def run_available(query_builder, checkpoint: str, timeout_s: int | None = None, state_partitions: int | None = None):
     """Start with ``trigger(availableNow=True)`` and wait for the backlog to drain
     (without limit, unless ``timeout_s`` is given).
