@@ -42,8 +42,8 @@ def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None,
     Without ``bucket`` the blocks come from ``repartitionByRange`` (one block per
     partition; bounds are sampled, hence the checkpoint).  With ``bucket`` — a
     deterministic, non-decreasing function of the order into ``0..n-1``, e.g. a
-    prefix of a uniform hash — no sampling pass is needed; a partition may then
-    hold several blocks, each contiguous and sorted.  ``then`` (DataFrame ->
+    prefix of a uniform hash — no sampling pass is needed, and the block id is the
+    partition.  ``then`` (DataFrame ->
     DataFrame) is applied before the checkpoint, so per-block work that needs its
     own exchange is materialised in the same job; the block id is a column by then.
     """
@@ -57,7 +57,7 @@ def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None,
     else:
         n = n_blocks or default_blocks(df)
         ranged = (df.withColumn(BLOCK, bucket.cast("int"))
-                    .repartition(n, BLOCK)
+                    .repartitionById(n, F.col(BLOCK))
                     .sortWithinPartitions(BLOCK, *oc))
     if then is not None:
         ranged = then(ranged)
@@ -65,8 +65,8 @@ def pin_blocks(df: DataFrame, order_cols, n_blocks: int | None = None,
 
 
 def hex_bucket(hex_key: Column, n: int) -> Column:
-    """Monotone bucket ``0..n-1`` of a uniform lowercase-hex key (first 8 digits)."""
-    return F.floor(F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("bigint") * F.lit(n) / F.lit(1 << 32))
+    """Monotone bucket ``0..n-1`` of a uniform lowercase-hex key (first 8 digits); NULL, first in order, is in bucket 0."""
+    return F.coalesce(F.floor(F.conv(F.substring(hex_key, 1, 8), 16, 10).cast("bigint") * F.lit(n) / F.lit(1 << 32)), F.lit(0))
 
 
 def _small_table(spark, rows, schema) -> DataFrame:

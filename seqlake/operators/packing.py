@@ -2,24 +2,27 @@
 
 I2 ``pack_exact`` reproduces the sequential next-fit rule exactly, in parallel:
 
-* the items are put in the seeded order (F1) by range blocks pinned with a
-  checkpoint;
-* pass A (``mapInPandas``, per block) tabulates, for every possible entry
-  state ``cur`` in ``0..chunk_len``, the exit state, the number of chunks closed
-  and the fill of the open chunk — the rule's only carried state is ``cur``;
+* the items are put in the seeded order (F1) by blocks pinned with a checkpoint;
+* pass A (``mapInArrow``, per block) tabulates, for every possible entry fill in
+  ``0..chunk_len``, the exit fill, the number of chunks closed and the items of the
+  open chunk (``nextfit.fit_table``);
 * the driver composes those tables in block order (one row per block);
-* pass B replays each block from its known entry state and emits chunk ids.
+* pass B places the items of each block from its known entry state.
+
+Only ids and lengths take part; the token arrays stay in the token store and are
+joined to the packing on the game key (C3, ``gather_chunks``).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqlake.functions.keys import hash_key
+from seqlake.operators.nextfit import compose, fit, fit_table
 from seqlake.operators.ordered import BLOCK, default_blocks, hex_bucket, pin_blocks
 
 DEFAULT_CHUNK_LEN = 257  # max_seq_len 256 + 1
@@ -31,82 +34,54 @@ def seeded_key(seed, *id_cols):
     return hash_key(seed, *id_cols)
 
 
-def _transitions(lens: np.ndarray, chunk_len: int):
-    """For all entry states, run next-fit over ``lens``.
+def _lengths(batch: pa.RecordBatch, len_col: str) -> np.ndarray:
+    return batch.column(len_col).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
 
-    Returns (exit_cur, closed, tail) arrays indexed by entry cur; ``tail`` is the
-    item count of the open chunk counted from the last close (valid where
-    closed > 0).  All entry states are run as one vector until they merge, then
-    the rest is one scalar loop.
-    """
-    C = chunk_len
-    s = np.arange(C + 1, dtype=np.int64)
-    closed = np.zeros(C + 1, dtype=np.int64)
-    tail = np.zeros(C + 1, dtype=np.int64)
-    i, n = 0, len(lens)
-    while i < n:
-        ln = int(lens[i])
-        trig = (s > 0) & (s + ln > C)
-        closed += trig
-        s = np.where(trig, ln, s + ln)
-        tail = np.where(trig, 1, tail + 1)
-        i += 1
-        if (i & 7) == 0 and closed.min() > 0 and s.min() == s.max() and tail.min() == tail.max():
-            break
-    if i < n:  # every entry state has merged: continue with one scalar
-        cur, t, extra = int(s[0]), int(tail[0]), 0
-        for ln in lens[i:]:
-            ln = int(ln)
-            if cur > 0 and cur + ln > C:
-                extra += 1
-                cur, t = ln, 1
-            else:
-                cur += ln
-                t += 1
-        s = np.full(C + 1, cur, dtype=np.int64)
-        tail = np.full(C + 1, t, dtype=np.int64)
-        closed = closed + extra
-    return s, closed, tail
-
-
-def _pass_a(chunk_len: int, len_col: str):
+
+def _stretches(groups: np.ndarray):
+    """``(group, first, end)`` of each stretch of equal neighbours."""
+    if not len(groups):
+        return
+    cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(groups[a]), a, b
+
+
+def _tables(chunk_len: int, len_col: str):
+    """Pass A: one table per block, composed batch by batch."""
     def fn(batches):
-        lens_by_blk: dict[int, list] = {}
-        for pdf in batches:
-            for blk, part in pdf.groupby(BLOCK, sort=False):
-                lens_by_blk.setdefault(int(blk), []).append(part[len_col].to_numpy())
-        for blk, parts in lens_by_blk.items():
-            lens = np.concatenate(parts)
-            n_bad = int(((lens < 1) | (lens > chunk_len)).sum())
-            s, closed, tail = _transitions(lens, chunk_len)
-            # the three tables travel as raw int64 bytes: (chunk_len + 1) x 24 bytes per block
-            table = np.stack([s, closed, tail]).astype("<i8").tobytes()
-            yield pd.DataFrame({BLOCK: [blk], "n": [len(lens)], "table": [table], "n_bad": [n_bad]})
+        found: dict[int, list] = {}
+        for batch in batches:
+            lens = _lengths(batch, len_col)
+            fits = (lens >= 1) & (lens <= chunk_len)
+            lens = np.clip(lens, 1, chunk_len)              # lengths that do not fit are counted and raise below
+            for blk, a, b in _stretches(batch.column(BLOCK).to_numpy()):
+                table, n, bad = found.get(blk, (None, 0, 0))
+                own = fit_table(lens[a:b], chunk_len)
+                table = own if table is None else compose(table, own, b - a)
+                found[blk] = [table, n + b - a, bad + int((~fits[a:b]).sum())]
+        for blk, (table, n, bad) in found.items():
+            # (chunk_len + 1) x 24 bytes per block
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([blk], pa.int32()), pa.array([n], pa.int64()), pa.array([table.astype("<i8").tobytes()], pa.binary()),
+                 pa.array([bad], pa.int64())], [BLOCK, "n", "table", "n_bad"])
     return fn
 
 
-def _pass_b(chunk_len: int, len_col: str, entries: dict):
+def _placed(chunk_len: int, len_col: str, group_col: str, chunk_col: str, entries: dict | None = None):
+    """Chunk and place of every item, group by group, in the order of the rows; the state of a group that goes on in
+    the next batch is carried.  ``entries``: entry state of each group, else empty."""
     def fn(batches):
-        state: dict[int, list] = {}
-        for pdf in batches:
-            blks = pdf[BLOCK].to_numpy()
-            lens = pdf[len_col].to_numpy()
-            chunk = np.empty(len(pdf), dtype=np.int64)
-            pos = np.empty(len(pdf), dtype=np.int32)
-            for j in range(len(pdf)):
-                b = int(blks[j])
-                st = state.get(b)
-                if st is None:
-                    st = state[b] = list(entries[b])  # [cur, items_in_open_chunk, chunk_base]
-                ln = int(lens[j])
-                if st[0] > 0 and st[0] + ln > chunk_len:
-                    st[2] += 1
-                    st[0], st[1] = 0, 0
-                chunk[j] = st[2]
-                pos[j] = st[1]
-                st[0] += ln
-                st[1] += 1
-            yield pdf.assign(chunk_id=chunk, pos=pos)
+        open_, state = None, None
+        for batch in batches:
+            lens = _lengths(batch, len_col)
+            chunk, pos = np.empty(len(lens), np.int64), np.empty(len(lens), np.int32)
+            for group, a, b in _stretches(batch.column(group_col).to_numpy()):
+                if group != open_:
+                    open_, state = group, entries[group] if entries else (0, 0, 0)
+                chunk[a:b], pos[a:b], state = fit(lens[a:b], chunk_len, *state)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk), pa.array(pos)],
+                                             [*batch.schema.names, chunk_col, "pos"])
     return fn
 
 
@@ -132,7 +107,7 @@ def pack_exact(items: DataFrame, id_cols, len_col: str = "len",
         T.StructField(BLOCK, T.IntegerType()), T.StructField("n", T.LongType()),
         T.StructField("table", T.BinaryType()), T.StructField("n_bad", T.LongType())])
     tables = (pinned.select(BLOCK, len_col)
-                    .mapInPandas(_pass_a(chunk_len, len_col), tab_schema)
+                    .mapInArrow(_tables(chunk_len, len_col), tab_schema)
                     .collect())  # one row per block: 3 x (chunk_len + 1) int64 as bytes
     if any(r["n_bad"] for r in tables):
         raise ValueError(f"pack_exact: lengths must be within 1..{chunk_len} (apply max_length_filter)")
@@ -145,43 +120,26 @@ def pack_exact(items: DataFrame, id_cols, len_col: str = "len",
         fill = int(tail[cur]) if c > 0 else fill + r["n"]
         base += c
         cur = int(exit_cur[cur])
-    out_schema = T.StructType([f for f in pinned.schema.fields if f.name != BLOCK]
-                              + [T.StructField("chunk_id", T.LongType()),
-                                 T.StructField("pos", T.IntegerType())])
-    packed = pinned.mapInPandas(_pass_b(chunk_len, len_col, entries),
-                                T.StructType([*pinned.schema.fields,
-                                              T.StructField("chunk_id", T.LongType()),
-                                              T.StructField("pos", T.IntegerType())]))
-    return packed.select(*[f.name for f in out_schema.fields]).drop("_key")
-
-
-def _next_fit_frame(chunk_len: int, len_col: str, key_col: str):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key_col] + [c for c in pdf.columns if c.startswith("_id")])
-        lens = pdf[len_col].to_numpy()
-        chunk = np.empty(len(pdf), dtype=np.int64)
-        pos = np.empty(len(pdf), dtype=np.int32)
-        cur = n = p = 0
-        for j, ln in enumerate(lens):
-            ln = int(ln)
-            if cur > 0 and cur + ln > chunk_len:
-                n += 1
-                cur = p = 0
-            chunk[j], pos[j] = n, p
-            cur += ln
-            p += 1
-        return pdf.assign(chunk_no=chunk, pos=pos)
-    return fn
+    out_schema = T.StructType([*pinned.schema.fields, T.StructField("chunk_id", T.LongType()), T.StructField("pos", T.IntegerType())])
+    packed = pinned.mapInArrow(_placed(chunk_len, len_col, BLOCK, "chunk_id", entries), out_schema)
+    return packed.drop("_key", BLOCK)
 
 
-def pack_bucketed(items: DataFrame, id_cols, n_buckets: int, len_col: str = "len",
+#: Items per bucket that ``pack_bucketed`` aims at.
+BUCKET_ROWS = 1 << 20
+
+
+def pack_bucketed(items: DataFrame, id_cols, n_buckets: int | None = None, len_col: str = "len",
                   chunk_len: int = DEFAULT_CHUNK_LEN, seed: int = DEFAULT_SEED) -> DataFrame:
     """Next-fit inside each hash bucket (chunk id = (bucket, chunk_no)).
 
     One pass, no driver composition; wastes at most one open chunk per bucket.
-    The bucket is a function of the md5 key, so buckets are uniform and bounded
-    by ``rows / n_buckets``; choose ``n_buckets`` from the corpus size.
+    The bucket is a function of the md5 key, so buckets are uniform; their number
+    follows from the row count unless given.  A bucket is a sorted stream that is
+    folded batch by batch, so memory does not depend on its size.
     """
+    if n_buckets is None:
+        n_buckets = max(1, -(-items.count() // BUCKET_ROWS))
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     key = seeded_key(seed, *id_cols)
     # the same rule as the exact packing: a length that fits no chunk is an error, never a silent loss
@@ -190,14 +148,15 @@ def pack_bucketed(items: DataFrame, id_cols, n_buckets: int, len_col: str = "len
         F.lit(f"length outside 1..{chunk_len}: "), F.coalesce(F.col(len_col).cast("string"), F.lit("NULL")))).cast("int"))
     keyed = (items.withColumn(len_col, checked.cast(items.schema[len_col].dataType))
                   .withColumn("_key", key)
-                  .withColumn("bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint"),
-                                               F.lit(n_buckets)).cast("int")))
+                  .withColumn("bucket", F.coalesce(F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint"),
+                                                          F.lit(n_buckets)), F.lit(0)).cast("int")))
     for i, c in enumerate(id_cols):
         keyed = keyed.withColumn(f"_id{i}", F.col(c))
+    ids = [f"_id{i}" for i in range(len(id_cols))]
     schema = T.StructType([*keyed.schema.fields, T.StructField("chunk_no", T.LongType()),
                            T.StructField("pos", T.IntegerType())])
-    out = keyed.groupBy("bucket").applyInPandas(_next_fit_frame(chunk_len, len_col, "_key"), schema)
-    return out.drop("_key", *[f"_id{i}" for i in range(len(id_cols))])
+    dealt = keyed.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "_key", *ids)
+    return dealt.mapInArrow(_placed(chunk_len, len_col, "bucket", "chunk_no"), schema).drop("_key", *ids)
 
 
 def gather_chunks(packing: DataFrame, tokens: DataFrame, join_cols, tokens_col: str = "ids") -> DataFrame:
@@ -205,14 +164,12 @@ def gather_chunks(packing: DataFrame, tokens: DataFrame, join_cols, tokens_col:
 
     Equi-join packing x token store on the sequence key, then regroup by
     ``chunk_id``; a chunk holds at most ``chunk_len`` tokens, so every group is
-    bounded.
+    bounded.  With a store that is bucketed on the key (``sources.tokens.
+    write_bucketed``) only the packing's narrow rows are exchanged for the join;
+    the token arrays move once, to their chunks.
     """
-    joined = packing.join(tokens.select(*join_cols, tokens_col), list(join_cols))
-    return (joined.groupBy("chunk_id")
-                  .agg(F.array_sort(F.collect_list(F.struct("pos", tokens_col))).alias("_m"),
-                       F.count("*").alias("n_games"))
-                  .select("chunk_id", "n_games",
-                          F.flatten(F.transform("_m", lambda m: m[tokens_col])).alias("tokens")))
+    store = tokens.select(*join_cols, tokens_col)
+    return gather_packed(packing.select(*join_cols, "chunk_id", "pos").join(store, list(join_cols)), tokens_col)
 
 
 def gather_packed(packed: DataFrame, tokens_col: str = "ids") -> DataFrame:

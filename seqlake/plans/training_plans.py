@@ -3,9 +3,11 @@ gathering and tensors (SURVEY order 5)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from seqlake.operators.packing import (chunk_tensor, gather_packed, nonpad_tokens, pack_bucketed, pack_exact,
+from seqlake.operators.packing import (chunk_tensor, gather_chunks, nonpad_tokens, pack_bucketed, pack_exact,
                                        preview, shift_labels, shift_labels_long)
 from seqlake.operators.split import (batch, date_split, epoch_shuffle, random_pick, random_split,
                                      seeded_shuffle, shard_ranks, sorted_listing, training_feed)
@@ -14,6 +16,8 @@ from seqlake.plans.encoding_plans import SQL_ALL_VOCAB, SQL_DT, ids_text
 from seqlake.plans.packing_plans import SQL_PACK_ITEMS, encoded_games, packable, packed
 from seqlake.plans.registry import register, table
 from seqlake.plans.standins import CHUNK_LEN, SEED
+from seqlake.session import scratch_dir
+from seqlake.sources.tokens import GAME_KEY, stored_games, write_bucketed
 
 WORLD = 8
 BATCH = 16
@@ -31,9 +35,11 @@ tensor AS (SELECT chunk_id, list_resize(tokens, {CHUNK_LEN}, 0)[1:{CHUNK_LEN - 1
 
 
 def chunks(spark, sf_dir):
-    """The token arrays ride through the packing, so the gather is one group-by."""
-    items = packable(spark, sf_dir).select("doc_id", "len", "ids")
-    return gather_packed(pack_exact(items, ["doc_id"], "len", CHUNK_LEN, SEED), "ids")
+    """Packing by id and length, joined to the bucketed token store; the tokens move once, to their chunks."""
+    name = f"token_store_{uuid.uuid4().hex[:12]}"
+    store = write_bucketed(packable(spark, sf_dir), name, scratch_dir(spark, "tokens"), "doc_id")
+    packing = pack_exact(stored_games(store, "doc_id"), ["doc_id"], "len", CHUNK_LEN, SEED)
+    return gather_chunks(packing, store, GAME_KEY)
 
 
 @register("seeded_shuffle", f"""

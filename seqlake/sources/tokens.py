@@ -42,6 +42,34 @@ def read_tokens(spark: SparkSession, path: str, shard: str | None = None) -> Dat
     return df.where(F.col("shard") == shard) if shard is not None else df
 
 
+#: Key of a game in the bucketed store: 128 bits over its id and tokens, never NULL.
+GAME_KEY = ["game_hi", "game_lo"]
+
+
+def write_bucketed(games: DataFrame, name: str, path: str, id_col: str, tokens_col: str = "ids", len_col: str = "len",
+                   n_buckets: int | None = None) -> DataFrame:
+    """A8 for gathering: the token store as a table bucketed and sorted on the game key, and read back.
+
+    A join on ``GAME_KEY`` finds each bucket's games in one place and in order, so the token arrays take no part in the
+    join's exchange, in any epoch and for any packing made from the store.  Rows with the same id and tokens are
+    stored once, with their number in ``copies`` (``stored_games`` lists them again); a NULL id is a key like any other.
+    ``name`` is the table's name in the session's catalog, ``path`` where its files are."""
+    spark = games.sparkSession
+    n = n_buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keyed = games.select(id_col, len_col, tokens_col, *[
+        F.xxhash64(F.lit(i), F.col(id_col).isNull(), id_col, tokens_col).alias(k) for i, k in enumerate(GAME_KEY)])
+    once = keyed.repartition(n, *GAME_KEY).groupBy(*GAME_KEY).agg(
+        *[F.first(c).alias(c) for c in (id_col, len_col, tokens_col)], F.count("*").alias("copies"))
+    once.write.bucketBy(n, *GAME_KEY).sortBy(*GAME_KEY).mode("overwrite").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def stored_games(store: DataFrame, id_col: str, len_col: str = "len") -> DataFrame:
+    """``id, len`` and key of every game of a bucketed store, as often as it was written; no token is read."""
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("_copy")
+    return store.select(id_col, len_col, *GAME_KEY, copies).drop("_copy")
+
+
 def write_vocab(vocab: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A10: persist (token, id)."""
     vocab.select("token", "id").write.mode(mode).parquet(path)
