@@ -17,10 +17,14 @@ trimmed and joined by a line feed.  Text that HTML takes as raw (``script``,
 ``noframes``) goes, to the end of the page only if its element never ends.
 ``svg`` and ``math`` stand within a block, their text included but for scripts,
 styles and descriptions; a tag in them that ends in ``/>`` is empty, and an HTML
-tag ends them where their end tag is missing.  Nothing else is dropped or cut.
+tag ends them where their end tag is missing.  Tags and comments begin and end
+where HTML has it: stray quotes belong to names and values, ``<!-->`` and ``--!>``
+end a comment, ``</ x>`` is one, and a tag or comment that the page does not end
+goes.  Nothing else is dropped or cut.
 
 Defined results: a NULL or empty page has an empty text; text outside any tag is
-a block; unclosed and stray tags never fail; repeated rows each get a row; an
+a block; unclosed and stray tags never fail; very long pages are cut in one pass
+over their text; repeated rows each get a row; an
 empty table gives an empty result; other columns are neither read nor returned.
 """
 
@@ -79,9 +83,15 @@ ROLES = {
     "main": ("content", "article", "post", "entry", "story", "main", "text", "body"),
 }
 
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>")
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A tag as HTML reads it: a quote opens a string only after "=", elsewhere it is part of a name or a value.
+_W = r"[ \t\n\f\r]"
+_ATTRIBUTE = (rf"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:{_W}*+={_W}*+(?:\"([^\"]*)\"|'([^']*)'"
+              rf"|([^ \t\n\f\r\"'>][^ \t\n\f\r>]*+)|(?=>|\Z))|(?!{_W}*+=))")
+_ATTR = re.compile(_ATTRIBUTE)
+_TAG = re.compile(rf"</?([a-zA-Z][^ \t\n\f\r/>]*+)((?:[ \t\n\f\r/]++|{re.sub(r'[(](?![?])', '(?:', _ATTRIBUTE)})*+)>")
+# Comments may end at once and with "--!>"; what starts like a tag but cannot be one is a comment up to the next ">".
+_MARKUP = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))|</?[a-zA-Z].*\Z", re.S)
+_CDATA = "<![CDATA["
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 _CLOSING = frozenset(".!?:;\"'”’…。！？»")
@@ -148,11 +158,11 @@ class Blocks:
                 if stack[k][0] in SCOPE:
                     return
 
-        def add(raw: str) -> None:
+        def add(raw: str, plain: bool = False) -> None:
             nonlocal linked
             if alien and not NOT_SHOWN.isdisjoint(alien):
                 return
-            s = entities.unescape(raw) if "&" in raw else raw
+            s = entities.unescape(raw) if "&" in raw and not plain else raw
             text.append(s)
             if in_link:
                 linked += len(s.strip())
@@ -167,8 +177,14 @@ class Blocks:
                 add(page[at:lt])
             m = _TAG.match(page, lt)
             if m is None:
+                if alien and page.startswith(_CDATA, lt):
+                    end = page.find("]]>", lt)
+                    end = n if end < 0 else end
+                    add(page[lt + len(_CDATA):end], plain=True)
+                    at = end + 3
+                    continue
                 m = _MARKUP.match(page, lt)
-                if m is None:      # a bare "<", or a tag that never ends
+                if m is None:      # a bare "<"
                     add("<")
                     at = lt + 1
                 else:

@@ -122,3 +122,87 @@ def test_edges(spark, crf):
     assert got[:4] == [("1", "", 0)] * 4 and len(got) == 6
     empty = df.where("false")
     assert H.extract(empty, H.train(empty)).count() == 0
+
+
+STRAY = [
+    ('<p class=x">Hello there my friend.</p><p>Next one.</p>', ["Hello there my friend.", "Next one."]),
+    ('<nav>Menu</nav><article><p class=lead">P one</p><p>P two</p><p id="z">End.</p></article>', ["Menu", "P one", "P two", "End."]),
+    ("<p>One</p><p><a title=Bob's>Two</a></p><p>Three isn't lost</p>", ["One", "Two", "Three isn't lost"]),
+    ("<p>A</p><!--><p>B</p><!-- x --!><p>C</p><!---><p>D</p><!-- <p>E</p> -- > --><p>F</p>", ["A", "B", "C", "D", "F"]),
+    ("<p>A</ foo>B</>C<?php x ?>D<!x>E</p>", ["ABCDE"]),
+    ('<p a = "x>y" b=\'<p>\' c d= e=>One</p><p/class=a/>Two<p =">Three', ["One", "Two", "Three"]),
+    ("a < b and 1 <2 <- c</p><p>x <a href='y", ["a < b and 1 <2 <- c", "x"]),
+    ('<p title="a"b="c">Q</p><p "x">R</p>', ["Q", "R"]),
+    ("<svg><text><![CDATA[5 < 6 &amp; ]]></text></svg><p>T<![CDATA[x]]>U</p>", ["5 < 6 &amp;", "TU"]),
+    ("<p>" + '<a href="' + "x" * 300000 + '">long</a>' + " y" * 100000, ["long" + " y" * 100000]),
+]
+
+
+@pytest.mark.parametrize("page,blocks", STRAY)
+def test_stray_quotes_and_comments(page, blocks):
+    assert [b[0] for b in H.Blocks().cut(page)] == blocks
+
+
+def tokenized(page):
+    """Text of a page by the states of HTML's tokenizer, one character at a time."""
+    out, i, n = [], 0, len(page)
+    white = " \t\n\f\r"
+    while i < n:
+        c = page[i]
+        nxt = page[i + 1:i + 2]
+        if c != "<" or not (nxt.isascii() and nxt.isalpha() or nxt in ("!", "?") and nxt or nxt == "/" and i + 2 < n):
+            out.append(c)
+            i += 1
+            continue
+        if nxt == "/" and page[i + 2] == ">":
+            i += 3
+            continue
+        if page.startswith("<!--", i):
+            i += 4
+            if page.startswith(">", i) or page.startswith("->", i):
+                i = page.index(">", i) + 1
+                continue
+            while i < n and not page.startswith("-->", i) and not page.startswith("--!>", i):
+                i += 1
+            i = page.index(">", i) + 1 if i < n else n
+            continue
+        name = i + 2 if nxt == "/" else i + 1
+        if not (page[name].isascii() and page[name].isalpha()):
+            i = page.find(">", name) + 1 or n
+            continue
+        i, state = name, "tag"
+        while i < n and state != "end":
+            c = page[i]
+            i += 1
+            if state in ("double", "single"):
+                state = "before" if c == {"double": '"', "single": "'"}[state] else state
+            elif state == "value":
+                if c in white:
+                    continue
+                state = {'"': "double", "'": "single", ">": "end"}.get(c, "bare")
+            elif c == ">":
+                state = "end"
+            elif state == "bare":
+                state = "before" if c in white else "bare"
+            elif c in white:
+                state = {"name": "after", "after": "after"}.get(state, "before")
+            elif c == "/":
+                state = "before"
+            elif state == "tag":
+                pass
+            elif c == "=" and state in ("name", "after"):
+                state = "value"
+            else:
+                state = "name"
+    return "".join(out)
+
+
+def test_random_markup_against_the_states_of_html():
+    rng = random.Random(11)
+    bits = ["<p", "<b ", "</b>", "</p", ">", ">", ">", '"', "'", "=", " ", "/", "x", "class", "<!--", "-->", "--!>", "<!-->", "-", "!",
+            "</ ", "</>", "<?", "<", "text", "\n", "a=b", 'c="d"', "e='f'", "g =h", "<i>", "</i>", "end."]
+    cutter = H.Blocks()
+    for _ in range(20000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        got = "".join("".join(b[0] for b in cutter.cut(page)).split())
+        assert got == "".join(tokenized(page).split()), page
