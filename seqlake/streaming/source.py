@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The state store with column families, which ``transformWithState`` needs.
+STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def land_in_order(df: DataFrame, path: str, order_col: str, n_slices: int = 3) -> None:
     """Test fixture: write ``df`` as ``n_slices`` time-ordered files, one after
     another, so the file source sees them arrive in event-time order (the
@@ -46,17 +51,19 @@ def run_available(query_builder, checkpoint: str, timeout_s: int | None = None,
 
     ``state_partitions`` fixes the number of state-store partitions of a new
     stateful query (a stream copies the session settings when it starts and
-    keeps the number in its checkpoint), independent of the batch setting."""
+    keeps the number in its checkpoint), independent of the batch setting; such
+    a query runs on the state store that ``transformWithState`` needs."""
     spark = SparkSession.getActiveSession()
-    old = None
+    old = {}
     if state_partitions is not None and spark is not None:
-        old = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+        for name, value in (("spark.sql.shuffle.partitions", str(state_partitions)), (STORE_CONF, STATE_STORE)):
+            old[name] = spark.conf.get(name, None)
+            spark.conf.set(name, value)
     try:
         q = query_builder.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        if old is not None:
-            spark.conf.set("spark.sql.shuffle.partitions", old)
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     q.awaitTermination(timeout_s) if timeout_s is not None else q.awaitTermination()
     if q.isActive:
         q.stop()

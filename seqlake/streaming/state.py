@@ -1,6 +1,13 @@
-"""Keyed-state stream operators (J3 lifecycle, J4 cooldown, J5 live concurrency)
-with ``applyInPandasWithState``: one small state row per key, rows of a key
-processed in event-time order inside each micro-batch."""
+"""Keyed-state stream operators (J3 lifecycle, J4 cooldown, J5 live concurrency):
+rows of a key are processed in event-time order inside each micro-batch.
+
+J3 and J5 keep their state in Spark's own types (``transformWithState``): one map
+entry per game, so a batch reads and writes only the games that it holds, and a
+game that has finished leaves the state, at once where nothing depends on it any
+more (J3), else a time to live after its end, by the clock of the key's own events
+(J5, where its end must not count twice).
+``applyInPandasWithState`` serves J4, whose state is one number, and the buffered
+forms for out-of-order arrival."""
 
 from __future__ import annotations
 
@@ -8,8 +15,12 @@ import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+#: How long a finished game is remembered (J5), in microseconds: longer than it may be reported again.
+FINISHED_TTL = 24 * 3600 * 1_000_000
+
 
 def _rows(pdfs) -> pd.DataFrame:
     frames = list(pdfs)
@@ -34,56 +45,114 @@ def cooldown_stream(stream: DataFrame, key: str, ts_us: str, id_col: str, gap_us
         fn, f"{id_col} long, {key} long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def concurrency_stream(stream: DataFrame, key: str, game: str, ts_us: str, type_col: str,
-                       start_type: str, end_type: str) -> DataFrame:
-    """E4 kept current on a stream — +1 at a game's first start, -1 at its
-    first end after the start; emits (key, game, ts, delta, active)."""
-    def fn(k, pdfs, state):
-        pdf = _rows(pdfs).sort_values([ts_us, game])
-        st = json.loads(state.get[0]) if state.exists else {"open": [], "closed": [], "active": 0}
-        opened, closed, active = set(st["open"]), set(st["closed"]), st["active"]
+class _Concurrency(StatefulProcessor):
+    """Open games, finished games (until they expire), their number and the oldest end, per key."""
+
+    def __init__(self, key, game, ts_us, type_col, start_type, end_type, ttl_us, game_type):
+        self.names = key, game, ts_us, type_col
+        self.types = start_type, end_type
+        self.ttl_us, self.game_type = ttl_us, game_type
+
+    def init(self, handle):
+        self.open = handle.getMapState("open", f"game {self.game_type}", "since long")
+        self.done = handle.getMapState("done", f"game {self.game_type}", "at long")
+        self.counts = handle.getValueState("counts", "active long, oldest long")
+
+    def handleInputRows(self, key, rows, timer_values):
+        key_col, game, ts_us, type_col = self.names
+        start, end = self.types
+        pdf = _rows(rows)
+        pdf = pdf[pdf[type_col].isin(self.types)].sort_values([ts_us, game])
+        active, oldest = self.counts.get() if self.counts.exists() else (0, None)
+        before = active, oldest
+        known: dict = {}
         out = []
         for t, g, typ in zip(pdf[ts_us].tolist(), pdf[game].tolist(), pdf[type_col].tolist()):
-            if typ == start_type and g not in opened and g not in closed:
-                opened.add(g)
+            if g not in known:
+                known[g] = "open" if self.open.containsKey((g,)) else "done" if self.done.containsKey((g,)) else "new"
+            if typ == start and known[g] == "new":
+                known[g] = "open"
+                self.open.updateValue((g,), (t,))
                 active += 1
-                out.append((k[0], g, t, 1, active))
-            elif typ == end_type and g in opened:
-                opened.discard(g)
-                closed.add(g)
+                out.append((key[0], g, t, 1, active))
+            elif typ == end and known[g] == "open":
+                known[g] = "done"
+                self.open.removeKey((g,))
+                self.done.updateValue((g,), (t,))
+                oldest = t if oldest is None else min(oldest, t)
                 active -= 1
-                out.append((k[0], g, t, -1, active))
-        state.update((json.dumps({"open": sorted(opened), "closed": sorted(closed), "active": active}),))
-        yield pd.DataFrame(out, columns=[key, game, ts_us, "delta", "active"])
-    return stream.groupBy(key).applyInPandasWithState(
-        fn, f"{key} long, {game} int, {ts_us} long, delta int, active long", "st string",
-        "append", GroupStateTimeout.NoTimeout)
+                out.append((key[0], g, t, -1, active))
+        now = int(pdf[ts_us].max()) if len(pdf) else None
+        if now is not None and oldest is not None and oldest + self.ttl_us <= now:
+            ends = {g[0]: at[0] for g, at in self.done.iterator()}
+            for g, at in ends.items():
+                if at + self.ttl_us <= now:
+                    self.done.removeKey((g,))
+            oldest = min((at for at in ends.values() if at + self.ttl_us > now), default=None)
+        if (active, oldest) != before:
+            self.counts.update((active, oldest))
+        yield pd.DataFrame(out, columns=[key_col, game, ts_us, "delta", "active"])
 
+    def close(self):
+        pass
 
-def lifecycle_stream(stream: DataFrame, key: str, ts_us: str, id_col: str, type_col: str, moves: str,
-                     full_type: str, state_types, end_types) -> DataFrame:
-    """The full-state event fixes our colour (white iff its move count is
-    even); an end event closes the game; every later state event of a live
-    game where it is our move emits a "turn due" row."""
-    def fn(k, pdfs, state):
-        pdf = _rows(pdfs).sort_values([ts_us, id_col])
-        color, live = (state.get[0], state.get[1]) if state.exists else (None, False)
+
+def concurrency_stream(stream: DataFrame, key: str, game: str, ts_us: str, type_col: str,
+                       start_type: str, end_type: str, ttl_us: int = FINISHED_TTL) -> DataFrame:
+    """E4 kept current on a stream — +1 at a game's first start, -1 at its
+    first end after the start; emits (key, game, ts, delta, active).  A finished
+    game leaves the state with the first batch that reaches ``ttl_us`` past its
+    end, and would count as new after that."""
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    return stream.groupBy(key).transformWithStateInPandas(
+        _Concurrency(key, game, ts_us, type_col, start_type, end_type, ttl_us, kinds[game]),
+        f"{key} {kinds[key]}, {game} {kinds[game]}, {ts_us} long, delta int, active long", "append", "None")
+
+
+class _Lifecycle(StatefulProcessor):
+    """Our colour in a live game; a game that has ended has no state."""
+
+    def __init__(self, key, ts_us, id_col, type_col, moves, full_type, state_types, end_types):
+        self.names = key, ts_us, id_col, type_col, moves
+        self.full, self.state_types, self.end_types = full_type, tuple(state_types), tuple(end_types)
+
+    def init(self, handle):
+        self.color = handle.getValueState("color", "color string")
+
+    def handleInputRows(self, key, rows, timer_values):
+        key_col, ts_us, id_col, type_col, moves = self.names
+        pdf = _rows(rows).sort_values([ts_us, id_col])
+        before = color = self.color.get()[0] if self.color.exists() else None
         out = []
         for i, typ, m in zip(pdf[id_col].tolist(), pdf[type_col].tolist(), pdf[moves].tolist()):
-            if typ == full_type:
-                color, live = ("white" if m % 2 == 0 else "black"), True
-            elif typ in end_types:
-                live = False
+            if typ == self.full:
+                color = "white" if m % 2 == 0 else "black"
+            elif typ in self.end_types:
+                color = None
                 continue
-            elif typ not in state_types:
+            elif typ not in self.state_types:
                 continue
-            if live and color is not None and ((m % 2 == 0) == (color == "white")):
-                out.append((i, k[0], color))
-        state.update((color, live))
-        yield pd.DataFrame(out, columns=[id_col, key, "color"])
-    return stream.groupBy(key).applyInPandasWithState(
-        fn, f"{id_col} long, {key} long, color string", "color string, live boolean",
-        "append", GroupStateTimeout.NoTimeout)
+            if color is not None and ((m % 2 == 0) == (color == "white")):
+                out.append((i, key[0], color))
+        if color is None:
+            self.color.clear()
+        elif color != before:
+            self.color.update((color,))
+        yield pd.DataFrame(out, columns=[id_col, key_col, "color"])
+
+    def close(self):
+        pass
+
+
+def lifecycle_stream(stream: DataFrame, key: str, ts_us: str, id_col: str, type_col: str, moves: str,
+                     full_type: str, state_types, end_types) -> DataFrame:
+    """The full-state event fixes our colour (white iff its move count is
+    even); an end event closes the game and drops its state; every later state
+    event of a live game where it is our move emits a "turn due" row."""
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    return stream.groupBy(key).transformWithStateInPandas(
+        _Lifecycle(key, ts_us, id_col, type_col, moves, full_type, state_types, end_types),
+        f"{id_col} {kinds[id_col]}, {key} {kinds[key]}, color string", "append", "None")
 
 
 def event_time_fold(stream: DataFrame, key: str, ts_col: str, ts_us: str, order_col: str,
