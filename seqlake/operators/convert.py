@@ -25,7 +25,6 @@ GLYPH = r"\$[0-9]+"
 MOVE_NUMBER = r"[0-9]+\.+"
 ANNOTATION_SUFFIX = "[!?]+$"
 RESULT_MARKERS = ["1-0", "0-1", "1/2-1/2", "*"]
-UCI_MOVE = "^[a-h][1-8][a-h][1-8][qrbn]?$"
 
 
 def _without_variations(t: Column) -> Column:
@@ -86,13 +85,16 @@ def clean_movetext_df(df: DataFrame, text_col: str, tokens_col: str = "tokens",
                .drop("_stripped", "_toks"))
 
 
-def uci_tokens_converter(text: str | None) -> list[str] | None:
-    """Built-in converter: whitespace tokens that are all coordinate moves, else None."""
-    if text is None:
-        return None
-    toks = [t for t in re.split(WS_PATTERN, text) if t]
-    pat = re.compile(UCI_MOVE)
-    return toks if toks and all(pat.match(t) for t in toks) else None
+def vocabulary_converter(tokens) -> Callable[[str | None], list[str] | None]:
+    """Built-in converter: the whitespace tokens of a text, if all of them are in the vocabulary, else None.
+
+    ``tokens`` is a fixed vocabulary, as ``vocab.fixed_tokens`` without its specials: 1,968 moves."""
+    known, gap = frozenset(tokens), re.compile(WS_PATTERN)
+
+    def convert(text: str | None) -> list[str] | None:
+        found = [t for t in gap.split(text or "") if t]
+        return found if found and known.issuperset(found) else None
+    return convert
 
 
 def convert_games(df: DataFrame, text_col: str, converter: Callable[[str | None], list | None],

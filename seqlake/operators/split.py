@@ -10,23 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlake.functions.keys import hash_key
+from seqlake.functions.keys import hash_key, xxhash_key
 from seqlake.operators.ordered import dense_index
 
 HIST_DIGITS = 3  # 16^3 = 4,096 prefix buckets for the exact split
 
 
+#: How the sort key of a permutation is made: ``md5`` can be repeated in SQL anywhere, ``xxhash64`` is 8 bytes in place
+#: of 32 on their way through the sort.  Either is a pure function of seed and id.
+KEYS = {"md5": hash_key, "xxhash64": xxhash_key}
+
+
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, name: str = "perm_idx",
-                   n_blocks: int | None = None) -> DataFrame:
-    """global position in ``md5(seed:id)`` order (ties by id)."""
-    keyed = df.withColumn("_key", hash_key(seed, id_col))
+                   n_blocks: int | None = None, key: str = "md5") -> DataFrame:
+    """global position in ``md5(seed:id)`` order, or in that of another of ``KEYS`` (ties by id)."""
+    keyed = df.withColumn("_key", KEYS[key](seed, id_col))
     return dense_index(keyed, [F.col("_key"), F.col(id_col)], name, n_blocks).drop("_key")
 
 
 def epoch_shuffle(df: DataFrame, id_col: str, seed: int, epoch: int, name: str = "perm_idx",
-                  n_blocks: int | None = None) -> DataFrame:
+                  n_blocks: int | None = None, key: str = "md5") -> DataFrame:
     """a new permutation per epoch, identical on every rank."""
-    keyed = df.withColumn("_key", hash_key(seed, epoch, id_col))
+    keyed = df.withColumn("_key", KEYS[key](seed, epoch, id_col))
     return dense_index(keyed, [F.col("_key"), F.col(id_col)], name, n_blocks).drop("_key")
 
 

@@ -112,6 +112,25 @@ def seen_vocab(tokens: DataFrame, vocab: DataFrame, token_col: str = "token") ->
                  .select("token", "id", F.coalesce("n_seen", F.lit(0)).cast("bigint").alias("n_seen")))
 
 
+#: Buckets of a distinct-count sketch as a power of two: 2^14 keep the standard error under 0.9 %.
+SKETCH_LG_K = 14
+
+
+def token_sketches(tokens: DataFrame, by: str, token_col: str = "token", lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """D16, monitoring mode: one HyperLogLog sketch of the distinct tokens per ``by``, ``(by, sketch, n_tokens)``.
+
+    A few kilobytes a row whatever the input; written beside the token store, each increment adds its own rows and no
+    token is read again (``sketched_vocab``)."""
+    return tokens.groupBy(by).agg(F.hll_sketch_agg(token_col, lg_k).alias("sketch"), F.count(token_col).alias("n_tokens"))
+
+
+def sketched_vocab(sketches: DataFrame, *by: str) -> DataFrame:
+    """Distinct tokens, estimated, over all rows of ``token_sketches`` with the same ``by`` (all of them, if none):
+    united sketches equal the sketch of the united input."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"),
+                                     F.sum("n_tokens").cast("bigint").alias("n_tokens"))
+
+
 # -- fixed move vocabulary: arithmetic index, no join ---------------------------------
 
 # Fixed value: shape of a coordinate move (from square, to square, optional promotion).

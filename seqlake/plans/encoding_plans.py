@@ -11,7 +11,8 @@ from seqlake.operators.filters import max_length_filter, min_length_filter
 from seqlake.operators.stats import encode_totals, length_stats, token_frequency
 from seqlake.operators.vocab import (LINE_DIRECTIONS, KNIGHT_JUMPS, MOVE_PATTERN, PROMOTIONS, fixed_move_ids,
                                      learned_vocabulary, move_id_table,
-                                     move_vocabulary, seen_vocab)
+                                     N_SPECIAL, fixed_tokens, move_vocabulary, seen_vocab, sketched_vocab, token_sketches)
+from seqlake.operators.convert import convert_games, vocabulary_converter
 from seqlake.plans.packing_plans import encoded_games, packed
 from seqlake.plans.registry import register, table
 from seqlake.plans.standins import CHUNK_LEN, SEED, doc_tokens, sql_tokens
@@ -354,3 +355,46 @@ def q_encode_moves(spark, sf_dir):
     out = encode_fixed(move_games(spark, sf_dir), "tokens", move_id_table(move_vocabulary(spark)), keep_rejects=True)
     return out.select("doc_id", "reject_reason", F.when(F.col("ids").isNotNull(), F.col("len")).alias("len"),
                       F.md5(ids_text("ids")).alias("ids_md5"))
+
+
+@register("convert_moves", f"""
+WITH {SQL_DT}, {_sql_moves()},
+t AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM dt),
+m AS (SELECT doc_id, i, CASE WHEN length(token) > 14 THEN token ELSE
+             chr((97 + (i + length(token)) % 8)::INTEGER) || chr((49 + (i * 3) % 8)::INTEGER) || chr((97 + (i + length(token)) % 8)::INTEGER)
+             || chr((49 + ((i * 3) % 8 + CASE WHEN length(token) = 1 AND i % 5 = 0 THEN 0 ELSE 1 + length(token) % 7 END) % 8)::INTEGER)
+             END AS token FROM t),
+e AS (SELECT doc_id, count(*) AS n, count(v.id) AS known, string_agg(m.token, ' ' ORDER BY i) AS text
+      FROM m LEFT JOIN mvocab v ON v.token = m.token AND v.id >= 4 GROUP BY doc_id)
+SELECT dt.doc_id, CASE WHEN e.n IS NULL OR known < e.n THEN 'unparseable' END AS reject_reason,
+       CASE WHEN known = e.n THEN e.n::INTEGER END AS n_tokens, CASE WHEN known = e.n THEN md5(e.text) END AS digest
+FROM dt LEFT JOIN e ON e.doc_id = dt.doc_id
+""")
+def q_convert_moves(spark, sf_dir):
+    """H2 with the built-in converter: a text is a game if all its tokens are moves of the vocabulary."""
+    texts = move_games(spark, sf_dir).select("doc_id", F.array_join("tokens", " ").alias("text"))
+    out = convert_games(texts, "text", vocabulary_converter(fixed_tokens(spark)[N_SPECIAL:]))
+    return out.select("doc_id", "reject_reason", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+@register("seen_vocab_sketch", f"""
+WITH {SQL_DT}, t AS (SELECT shard, unnest(tokens) AS token FROM dt)
+SELECT shard, count(*) AS n_tokens, true AS near, grouping(shard) = 1 AS is_total FROM t GROUP BY ROLLUP (shard)
+""")
+def q_seen_vocab_sketch(spark, sf_dir):
+    """D16, monitoring mode: sketches per shard, written in two increments and united at reading, stay within five
+    standard errors of the exact counts."""
+    docs = doc_tokens(spark, sf_dir)
+    path = scratch_dir(spark, "sketches")
+    for part in (F.col("lang") == "en", F.coalesce(F.col("lang") != "en", F.lit(True))):
+        token_sketches(docs.where(part).select("shard", F.explode("tokens").alias("token")), "shard").write.mode("append").parquet(path)
+    sketches = spark.read.parquet(path)
+    total = F.lit(None).cast("string").alias("shard")
+    told = sketched_vocab(sketches, "shard").withColumn("is_total", F.lit(False)).unionByName(
+        sketched_vocab(sketches).select(total, "n_distinct", "n_tokens", F.lit(True).alias("is_total")))
+    tokens = docs.select("shard", F.explode("tokens").alias("token")).distinct()
+    exact = tokens.groupBy("shard").agg(F.count("*").alias("exact")).withColumn("is_total", F.lit(False)).unionByName(
+        tokens.agg(F.count_distinct("token").alias("exact")).select(total, "exact", F.lit(True).alias("is_total")))
+    same = told["shard"].eqNullSafe(exact["shard"]) & (told["is_total"] == exact["is_total"])
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 5 * 0.009 * F.col("exact"))
+    return told.join(exact, same).select(told["shard"], "n_tokens", near.alias("near"), told["is_total"])
