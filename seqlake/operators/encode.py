@@ -5,20 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.operators.joins import sized_broadcast
+from seqlake.operators.joins import BROADCAST_BYTES, data_bytes, hot_values
 from seqlake.operators.vocab import BOS, EOS, fixed_move_ids
+from seqlake.session import ensure_checkpoint_dir
+
+
+def _pair():
+    return F.struct("_pos", "_to")
+
+
+def _regrouped_broadcast(exploded: DataFrame, lk: DataFrame, by, kept) -> DataFrame:
+    """The rows put together again after a lookup that is broadcast: no exchange beside that of the input."""
+    return exploded.join(F.broadcast(lk), "_from", "left").groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in kept],
+        F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).cast("int").alias("_times"),
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), _pair()))).alias("_pairs"))
+
+
+def _regrouped_hot_cold(exploded: DataFrame, lk: DataFrame, hot: DataFrame, n: int, key: str, kept) -> DataFrame:
+    """The same for a lookup over the broadcast bound: its frequent values are broadcast, the long tail is shuffled.
+
+    Only elements that are not frequent travel to the lookup and back, and none of them has a hot key; frequent
+    elements, known or unknown, stay where their row is."""
+    found = lk.join(F.broadcast(hot), "_from")            # at most HOT_ITEMS rows of at most HOT_BYTES
+    hot = hot.join(F.broadcast(found), "_from", "left").select("_from", F.col("_to").alias("_hot"), F.lit(True).alias("_is_hot"))
+    tried = exploded.join(F.broadcast(hot.checkpoint()), "_from", "left")
+    is_cold = F.col("_is_hot").isNull() & F.col("_from").isNotNull()
+    cold = (tried.where(is_cold).select("_row", "_pos", "_from").join(lk, "_from", "left")
+                 .repartition(n, "_row").groupBy("_row").agg(F.collect_list(_pair()).alias("_cold")))
+    here = F.when(F.col("_pos").isNotNull() & ~is_cold, F.struct("_pos", F.col("_hot").alias("_to")))
+    own = tried.groupBy("_row").agg(
+        F.first(key).alias(key), *[F.first(c).alias(c) for c in kept],
+        F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).cast("int").alias("_times"),
+        F.collect_list(here).alias("_own"))
+    pairs = F.when(F.col("_cold").isNull(), F.col("_own")).otherwise(F.concat("_own", "_cold"))
+    return own.join(cold, "_row", "left").withColumn("_pairs", F.array_sort(pairs)).drop("_own", "_cold")
 
 
 def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
                  from_col: str, to_col: str, out_col: str,
-                 n_partitions: int | None = None, carry=None) -> DataFrame:
+                 n_partitions: int | None = None, carry=None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Replace every array element through a lookup table; misses become NULL.
 
-    ``posexplode`` -> join with the lookup (broadcast when its size is checked
-    small, else a shuffle join with AQE skew splitting) -> regroup by the
-    sequence key.  The input is hash-partitioned by ``key`` first, so with a
-    broadcast lookup the regroup and the final join add no exchange.  Never a
-    map column (a map lookup is a linear scan).
+    ``posexplode`` -> join with the lookup -> regroup by the sequence key.  A
+    lookup of at most ``broadcast_bytes`` (measured) is broadcast; of a larger
+    one the frequent values are, and only the long tail of the elements is
+    shuffled to it and back (``_regrouped_hot_cold``).  The input is
+    hash-partitioned first, so the regroup and the final join add no exchange of
+    the rows.  Never a map column (a map lookup is a linear scan).
 
     ``carry`` names small per-sequence columns to bring through the regroup
     instead of joining the result back (one exchange of the input instead of
@@ -28,14 +62,20 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
     spark = seqs.sparkSession
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = list(carry or [])
+    lk = lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to"))
     # a sequence is its key and content: rows that share a key stay apart, equal rows are put back as often as they came
-    base = seqs.repartition(n, key).withColumn("_row", F.xxhash64(key, arr_col, *kept))
-    exploded = base.select(key, "_row", *kept, F.posexplode_outer(arr_col).alias("_pos", "_from"))
-    lk = sized_broadcast(lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to")))
-    regrouped = exploded.join(lk, "_from", "left").groupBy(key, "_row").agg(
-        *[F.first(c).alias(c) for c in kept],
-        F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).cast("int").alias("_times"),
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_to")))).alias("_pairs"))
+    if data_bytes(lk) <= broadcast_bytes:
+        base = seqs.repartition(n, key).withColumn("_row", F.xxhash64(key, arr_col, *kept))
+        exploded = base.select(key, "_row", *kept, F.posexplode_outer(arr_col).alias("_pos", "_from"))
+        regrouped = _regrouped_broadcast(exploded, lk, [key, "_row"], kept)
+    else:
+        ensure_checkpoint_dir(spark)
+        whole = F.struct(F.col(key).alias("k"), F.xxhash64(key, arr_col, *kept).alias("h"))
+        base = seqs.withColumn("_row", whole).repartition(n, "_row")
+        exploded = base.select("_row", key, *kept, F.posexplode_outer(arr_col).alias("_pos", "_from"))
+        # counted where the rows are read: copies of a row are different occurrences
+        seen = seqs.select(F.monotonically_increasing_id().alias("_at"), F.posexplode(arr_col).alias("_pos", "_from"))
+        regrouped = _regrouped_hot_cold(exploded, lk, hot_values(seen, "_from", ["_at", "_pos"]), n, key, kept)
     # n equal rows gave every position n times in a row
     single = F.filter("_pairs", lambda _, i: i % F.col("_times") == 0)
     mapped = regrouped.withColumn(out_col, F.transform(
@@ -44,8 +84,10 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
         times = F.when(F.col("_times") > 1, F.array_repeat(F.lit(0), F.col("_times"))).otherwise(F.array(F.lit(0)))
         return mapped.withColumn("_copy", F.explode(times)).select(key, *kept, out_col)
     mapped = mapped.select(F.col(key).alias("_mk"), F.col("_row").alias("_mr"), out_col)
-    return base.join(mapped, F.col(key).eqNullSafe(F.col("_mk")) & (F.col("_row") == F.col("_mr")), "left").drop(
-        "_row", "_mk", "_mr")
+    same = F.col("_row") == F.col("_mr")
+    if base.schema["_row"].dataType.typeName() != "struct":     # the struct holds the key itself
+        same &= F.col(key).eqNullSafe(F.col("_mk"))
+    return base.join(mapped, same, "left").drop("_row", "_mk", "_mr")
 
 
 def lookup_ids(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
@@ -69,18 +111,29 @@ def all_known(ids_col: str = "ids"):
 
 
 def encode(seqs: DataFrame, key: str, tokens_col: str, vocab: DataFrame,
-           on_unknown: str = "reject", keep_rejects: bool = False, carry=None) -> DataFrame:
+           on_unknown: str = "reject", keep_rejects: bool = False, carry=None, max_len: int | None = None) -> DataFrame:
     """``[BOS] ++ ids ++ [EOS]`` with length ``len``.
 
+    ``max_len`` (with ``on_unknown="reject"``, rejects not kept) is B6 taken first: a sequence that would come out
+    longer is left out before any of its tokens is looked up.
+
     ``on_unknown="reject"`` (B7) drops a sequence with any unknown token or no
     token at all (``keep_rejects=True`` keeps it with a ``reject_reason``);
     ``on_unknown="error"`` (B8, serving) raises on the first unknown token and
     appends no EOS.  ``carry``: see ``map_elements``.
     """
+    if max_len is not None:
+        if keep_rejects or on_unknown != "reject":
+            raise ValueError("max_len leaves sequences out: only with rejects that are dropped")
+        seqs = seqs.where(F.size(tokens_col) + 2 <= max_len)
     looked = lookup_ids(seqs, key, tokens_col, vocab, "_ids", carry=carry)
     if on_unknown == "error":
-        ids = F.transform("_ids", lambda x: F.coalesce(
-            x, F.raise_error(F.lit("unknown token")).cast("int")))
+        def known(token, x):
+            return F.coalesce(x, F.raise_error(F.concat(F.lit("unknown token: "), token)).cast("int"))
+        if tokens_col in looked.columns:
+            ids = F.zip_with(tokens_col, "_ids", lambda t, x: known(F.coalesce(t, F.lit("NULL")), x))
+        else:
+            ids = F.transform("_ids", lambda x: known(F.lit("(tokens not carried)"), x))
         return looked.withColumn("ids", F.concat(F.array(F.lit(BOS)), ids)) \
                      .withColumn("len", F.size("ids")).drop("_ids")
     if on_unknown != "reject":

@@ -11,16 +11,16 @@ from seqlake.plans.registry import register, table
 from seqlake.plans.standins import CHUNK_LEN, SEED, doc_tokens, sql_tokens
 
 
-def encoded_games(spark, sf_dir):
-    """All documents encoded with the vocabulary learned from all of them."""
+def encoded_games(spark, sf_dir, max_len=None):
+    """All documents (with ``max_len``: those that come out no longer) encoded with the vocabulary learned from all."""
     docs = doc_tokens(spark, sf_dir)
     vocab = learned_vocabulary(table(spark, sf_dir, "documents"))
-    return encode(docs, "doc_id", "tokens", vocab, carry=["shard"])
+    return encode(docs, "doc_id", "tokens", vocab, carry=["shard"], max_len=max_len)
 
 
 def packable(spark, sf_dir, enc=None):
     """Encoded games that fit one chunk."""
-    enc = encoded_games(spark, sf_dir) if enc is None else enc
+    enc = encoded_games(spark, sf_dir, CHUNK_LEN) if enc is None else enc
     return enc.where(F.col("len") <= CHUNK_LEN)
 
 
