@@ -35,11 +35,12 @@ def _regrouped_hot_cold(exploded: DataFrame, lk: DataFrame, hot: DataFrame, n: i
                  .repartition(n, "_row").groupBy("_row").agg(F.collect_list(_pair()).alias("_cold")))
     here = F.when(F.col("_pos").isNotNull() & ~is_cold, F.struct("_pos", F.col("_hot").alias("_to")))
     own = tried.groupBy("_row").agg(
-        F.first(key).alias(key), *[F.first(c).alias(c) for c in kept],
         F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).cast("int").alias("_times"),
         F.collect_list(here).alias("_own"))
     pairs = F.when(F.col("_cold").isNull(), F.col("_own")).otherwise(F.concat("_own", "_cold"))
-    return own.join(cold, "_row", "left").withColumn("_pairs", F.array_sort(pairs)).drop("_own", "_cold")
+    return own.join(cold, "_row", "left").select(
+        "_row", F.col("_row.k").alias(key), *[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(kept)], "_times",
+        F.array_sort(pairs).alias("_pairs"))
 
 
 def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
@@ -70,9 +71,11 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
         regrouped = _regrouped_broadcast(exploded, lk, [key, "_row"], kept)
     else:
         ensure_checkpoint_dir(spark)
-        whole = F.struct(F.col(key).alias("k"), F.xxhash64(key, arr_col, *kept).alias("h"))
+        # key and carried columns ride in the row's name: both ways then read the same columns, and one exchange serves them
+        whole = F.struct(F.col(key).alias("k"), F.xxhash64(key, arr_col, *kept).alias("h"),
+                         *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)])
         base = seqs.withColumn("_row", whole).repartition(n, "_row")
-        exploded = base.select("_row", key, *kept, F.posexplode_outer(arr_col).alias("_pos", "_from"))
+        exploded = base.select("_row", F.posexplode_outer(arr_col).alias("_pos", "_from"))
         # counted where the rows are read: copies of a row are different occurrences
         seen = seqs.select(F.monotonically_increasing_id().alias("_at"), F.posexplode(arr_col).alias("_pos", "_from"))
         regrouped = _regrouped_hot_cold(exploded, lk, hot_values(seen, "_from", ["_at", "_pos"]), n, key, kept)

@@ -71,6 +71,8 @@ def test_hot_tokens_take_no_part_in_the_shuffle(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "isnull(_is_hot" in plan
     assert {r.k: r.out for r in out.collect()} == {i: [1] * 20 + [i + 2] for i in range(500)}
+    final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 1
 
 
 def test_length_bound_before_the_lookup_and_named_unknown(spark):
