@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from seqlake.operators.encode import (encode_fixed, all_known, decode_join, encode, lookup_ids, reject_unknown,
                                      strict_encode, vocab_lookup)
 from seqlake.operators.filters import max_length_filter, min_length_filter
+from seqlake.operators.scoring import prefix_scorer, score_prefixes
 from seqlake.operators.stats import encode_totals, length_stats, token_frequency
 from seqlake.operators.vocab import (LINE_DIRECTIONS, KNIGHT_JUMPS, MOVE_PATTERN, PROMOTIONS, fixed_move_ids,
                                      learned_vocabulary, move_id_table,
-                                     N_SPECIAL, fixed_tokens, move_vocabulary, seen_vocab, sketched_vocab, token_sketches)
+                                     BOS, N_SPECIAL, fixed_tokens, move_vocabulary, seen_vocab, sketched_vocab, token_sketches)
 from seqlake.operators.convert import convert_games, vocabulary_converter
 from seqlake.plans.packing_plans import encoded_games, packed
 from seqlake.plans.registry import register, table
@@ -398,3 +399,33 @@ def q_seen_vocab_sketch(spark, sf_dir):
     same = told["shard"].eqNullSafe(exact["shard"]) & (told["is_total"] == exact["is_total"])
     near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 5 * 0.009 * F.col("exact"))
     return told.join(exact, same).select(told["shard"], "n_tokens", near.alias("near"), told["is_total"])
+
+
+#: Context length of the scorer and its number of outputs.
+PREFIX_LEN, PREFIX_OUT = CHUNK_LEN - 1, 16
+
+
+@register("score_prefixes", f"""
+WITH {SQL_DT}, {SQL_EN_VOCAB},
+el AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS pos FROM dt),
+known AS (SELECT el.doc_id, count(v.id) AS n_known FROM el LEFT JOIN vocab v USING (token) GROUP BY el.doc_id),
+told AS (SELECT dt.doc_id, (len(tokens) + 1)::INTEGER AS n_ids,
+                CASE WHEN coalesce(n_known, 0) < len(tokens) THEN 'unknown_token'
+                     WHEN len(tokens) + 1 > {PREFIX_LEN} THEN 'too_long' END AS reason
+         FROM dt LEFT JOIN known USING (doc_id)),
+ids AS (SELECT doc_id, 0 AS pos, {BOS} AS id FROM told WHERE reason IS NULL
+        UNION ALL SELECT el.doc_id, el.pos, v.id FROM el JOIN vocab v USING (token)
+        JOIN told ON told.doc_id = el.doc_id AND told.reason IS NULL),
+o AS (SELECT doc_id, i, sum((id * 7 + pos * 3 + i * 13) % 17 - 8) / 8.0 AS logit
+      FROM ids, range({N_SPECIAL}, {PREFIX_OUT}) r(i) GROUP BY doc_id, i),
+best AS (SELECT doc_id, arg_max(i, (logit, i))::INTEGER AS top_id, max(logit)::DOUBLE AS top_logit FROM o GROUP BY doc_id)
+SELECT told.doc_id, n_ids, reason, top_id, top_logit FROM told LEFT JOIN best USING (doc_id)
+""")
+def q_score_prefixes(spark, sf_dir):
+    """Every document as the prefix of a game, scored at its last position; those that cannot be, with the reason."""
+    looked = lookup_ids(doc_tokens(spark, sf_dir), "doc_id", "tokens", en_vocab(spark, sf_dir), "_ids", carry=[])
+    prefix = F.concat(F.array(F.lit(BOS)), F.coalesce("_ids", F.array().cast("array<int>")))
+    told = looked.select("doc_id", prefix.alias("ids"))
+    out = score_prefixes(told, "ids", prefix_scorer(PREFIX_OUT), PREFIX_OUT, PREFIX_LEN)
+    best = F.array_max(F.transform("logits", lambda x, i: F.struct(x.alias("l"), i.alias("i"))))
+    return out.select("doc_id", F.size("ids").alias("n_ids"), "reason", best["i"].alias("top_id"), best["l"].alias("top_logit"))
