@@ -16,9 +16,11 @@ without the character at one position.  To emit it only where it can match:
 1. a line's first and last halves are hashed (one edit leaves one half whole);
    halves that only one distinct line has end there;
 2. the other half is cut into ``WINDOWS``; the edit lies in one of them, so all
-   around that window must be equal too;
-3. inside such a window all deletion variants are emitted as hashed keys, equal
-   ones are joined, and the edit distance of the whole lines is verified.
+   around that window must be equal too; a window longer than ``NARROW`` is cut
+   again in the same way until none is, so the work is linear in a line's length;
+3. inside such a window all deletion variants are emitted as hashed keys and equal
+   ones are joined; the whole lines, each without its deleted character, are
+   compared.
 
 Each step is lossless.  A variant's members are told apart by the deleted
 position, so a member needs to meet only the earliest one of its position and
@@ -41,6 +43,7 @@ from seqlake.llm.common import BLANKS, bit_filter, landed, staged
 
 MIN_CHARS = 20
 WINDOWS = 8
+NARROW = 64   # longest window, in code points, whose deletion variants are emitted
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, min_equal: int) -> DataFrame:
@@ -77,6 +80,30 @@ def _shared(keys: DataFrame, key: str) -> DataFrame:
                                  F.max("h2").alias("d")).where("a <> b OR c <> d").select(key)
 
 
+def _narrowed(cut: DataFrame) -> DataFrame:
+    """Windows ``(h1, h2, first, w, a, at, win)`` cut into ``WINDOWS`` each, those kept whose surroundings two lines share.
+
+    ``w`` is the hash of all that lies around the window, ``a`` its base length (its
+    own is up to two more), ``at`` the code points before it in the line.
+    """
+    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1))))
+    start = F.floor(F.col("j") * F.col("a") / WINDOWS).cast("int")
+    end = F.floor((F.col("j") + 1) * F.col("a") / WINDOWS).cast("int")
+    tail = F.col("a") - end
+    cut = cut.select("h1", "h2", "first",
+                     F.xxhash64("w", "j", F.left("win", start), F.right("win", tail)).alias("w"),
+                     (end - start).alias("a"), (F.col("at") + start).alias("at"),
+                     F.substring("win", start + 1, F.length("win") - tail - start).alias("win"))
+    around = landed(_shared(cut.select("h1", "h2", "w"), "w"), "windows", compact=True)
+    return cut.join(around, "w")
+
+
+def _without(line: str, place: Column) -> Column:
+    """The line without the character at ``place`` (from 1; 0: the whole line)."""
+    return F.when(place == 0, F.col(line)).otherwise(
+        F.concat(F.left(line, place - 1), F.substring(line, place + 1, F.length(line))))
+
+
 def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
     """``(h1, h2, near)``: the earliest line one edit away, for lines that have an earlier one."""
     halves = lines.select("h1", "h2", F.inline(_halves()))
@@ -89,20 +116,24 @@ def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
     half = (F.col("m") / 2).cast("int")
     rest = F.when(F.col("left"), F.substring("x", half + 1, F.col("n"))).otherwise(
         F.left("x", F.col("n") - half))
-    cut = rows.select("h1", "h2", "key", "first", half.alias("a"), rest.alias("r"),
-                      F.explode(F.sequence(F.lit(0), F.lit(WINDOWS - 1))).alias("j"))
-    start = F.floor(F.col("j") * F.col("a") / WINDOWS).cast("int")
-    tail = (F.col("a") - F.floor((F.col("j") + 1) * F.col("a") / WINDOWS)).cast("int")
-    cut = cut.select("h1", "h2", "first", F.xxhash64("key", "j", F.left("r", start), F.right("r", tail)).alias("w"),
-                     F.substring("r", start + 1, F.length("r") - tail - start).alias("win"))
-    around = landed(_shared(cut.select("h1", "h2", "w"), "w"), "windows", compact=True)
-    cut = cut.join(around, "w")
+    at = F.when(F.col("left"), half).otherwise(F.lit(0))
+    cut = _narrowed(rows.select("h1", "h2", "first", F.col("key").alias("w"), half.alias("a"), at.alias("at"),
+                                rest.alias("win")))
+    longest = rows.agg(F.max(F.ceil(half / WINDOWS))).first()[0] or 0
+    done = []
+    while longest > NARROW:   # the lines of one window have one base length: all of them go on, or none
+        done.append(cut.where(F.col("a") <= NARROW))
+        cut = _narrowed(landed(cut.where(F.col("a") > NARROW), "long_windows", compact=True))
+        longest = -(-longest // WINDOWS)
+    for part in done:
+        cut = cut.union(part)
 
     places = F.sequence(F.lit(0), F.length("win"))   # 0: the window itself, i: without its i-th character
     variant = F.when(F.col("i") == 0, F.col("win")).otherwise(
         F.concat(F.left("win", F.col("i") - 1), F.substring("win", F.col("i") + 1, F.length("win"))))
-    emitted = cut.select("h1", "h2", "first", "w", "win", F.explode(places).alias("i")).select(
-        F.xxhash64("w", variant).alias("v"), "i", F.struct("first", "h1", "h2").alias("me"))
+    place = F.when(F.col("i") == 0, 0).otherwise(F.col("at") + F.col("i"))   # in the whole line
+    emitted = cut.select("h1", "h2", "first", "w", "win", "at", F.explode(places).alias("i")).select(
+        F.xxhash64("w", variant).alias("v"), "i", F.struct("first", "h1", "h2", place.alias("at")).alias("me"))
     # a variant's members are one line and that line with one character more: few, however hot the corpus
     by_v, by_place = Window.partitionBy("v"), Window.partitionBy("v", "i")
     met = emitted.select(
@@ -111,13 +142,15 @@ def _near(lines: DataFrame, first: DataFrame) -> DataFrame:
         F.min(F.when(F.col("i") > 0, F.col("me"))).over(by_v).alias("longer"), "i")
     met = met.select("me", F.explode(F.when(F.col("i") > 0, F.array("same", "line")).otherwise(
         F.array("longer"))).alias("other"))
-    pairs = met.where(F.col("other.first") < F.col("me.first")).select(
+    # lines that meet at several places (inside a run of one character) are compared at one of them
+    pairs = met.where(F.col("other.first") < F.col("me.first")).groupBy(
         F.col("me.h1").alias("h1"), F.col("me.h2").alias("h2"), F.col("other.h1").alias("g1"),
-        F.col("other.h2").alias("g2"), F.col("other.first").alias("near")).distinct()
+        F.col("other.h2").alias("g2")).agg(F.min("other.first").alias("near"),
+                                           F.min(F.struct("me.at", F.col("other.at").alias("to"))).alias("places"))
     texts = rows.select("h1", "h2", "x").dropDuplicates(["h1", "h2"])
     other = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("x").alias("y"))
     proven = pairs.join(texts, ["h1", "h2"]).join(other, ["g1", "g2"]).where(
-        F.levenshtein("x", "y", 1).between(0, 1))
+        _without("x", F.col("places.at")) == _without("y", F.col("places.to")))
     return proven.groupBy("h1", "h2").agg(F.min("near").alias("near"))
 
 

@@ -109,3 +109,21 @@ def test_short_equal_lines_and_lower_bounds(spark):
         assert {r.doc_id: r.text for r in got} == want
         out = line_dedup.dedup_lines(df, min_equal=min_equal, min_near=min_near)
         assert {r.doc_id for r in out.collect()} == {i for i, t in want.items() if t.strip(BLANKS) or t == rows[i][1]}
+
+
+def test_very_long_lines(spark):
+    """Lines of many windows: one edit anywhere is found, two edits are not, whatever the place or a run around it."""
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdefgh é日") for _ in range(40_000)) + "."
+    rows, want = [(0, base)], {0}
+    for n, k in enumerate([0, 1, 2499, 2500, 19_999, 20_000, 20_001, 31_234, 39_999, 40_000]):
+        near = (base[:k] + "#" + base[k + 1:], base[:k] + base[k + 1:], base[:k] + "#" + base[k:])[n % 3]
+        rows.append((10 + n, near))
+        far = base[:k] + "##" + base[k + 1:]
+        rows.append((100 + n, "%d %s" % (n, far[::-1])))
+        want.add(100 + n)
+    run = "=" * 30_000
+    rows += [(200, run), (201, run + "="), (202, run + "==="), (203, run[:9_000] + "-" + run[9_001:])]
+    want |= {200, 202}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).select("doc_id").collect()} == want
