@@ -8,15 +8,17 @@ the rest is selected.  The document at the budget's end is cut there.
 
 No source is ever sorted whole.  Keys are mapped to ``BUCKETS`` bands of the
 unit interval; word counts per (source, band) find the band where the budget
-ends, and only that band is sorted.  What comes out is one small row per
-source: epochs, the key of the last document and the words taken of it; each
-document then knows its share without another shuffle of the texts.
+ends.  A band of more than ``EDGE_ROWS`` rows is divided again between its own
+smallest and largest key (equal keys of one id: by row hash) until it has fewer,
+and only what is left is sorted.  What comes out is one small row per source:
+epochs, the key of the last document and the words taken of it; each document
+then knows its share without another shuffle of the texts.
 
 Defined results: a NULL or blank text has size 0 and takes 0; a NULL source is
 a source of its own, last in code-point order; rows equal in id, source and
 text share the cut evenly; if all texts are empty every target is 0; an empty
-table gives an empty result; ``mix`` neither reads nor returns other columns,
-``mixed_documents`` returns them all.
+table gives an empty result; a very long text counts with all its words; ``mix``
+neither reads nor returns other columns, ``mixed_documents`` returns them all.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ TOTAL_SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = 42
 BUCKETS = 4096
+EDGE_ROWS = 4096   # most different rows of a source that one task sorts
 
 
 def n_words(text: Column) -> Column:
@@ -90,27 +93,72 @@ def targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def _band_totals() -> list[Column]:
+    """Words, rows, and the bounds of keys, ids and row hashes of a band."""
+    key, row = F.col("_order._key"), F.col("_order._row").cast("double")
+    return [F.sum("_size").alias("_s"), F.count("*").alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"),
+            F.min(row).alias("_rlo"), F.max(row).alias("_rhi"),
+            (F.min("_order.id").eqNullSafe(F.max("_order.id")) & F.count("_order.id").isin(0, F.count("*"))).alias("_one_id")]
+
+
+def _edge(bands: DataFrame) -> DataFrame:
+    """The band of each source in which its ``_left`` words end, ``_left`` then counted from the band's start."""
+    w = Window.partitionBy("_src").orderBy("_bucket")   # at most ``BUCKETS`` rows a source
+    before = F.sum("_s").over(w) - F.col("_s")
+    return landed(bands.withColumn("_before", before)
+                  .where((F.col("_before") <= F.col("_left")) & (F.col("_before") + F.col("_s") > F.col("_left")))
+                  .withColumn("_left", F.col("_left") - F.col("_before")).select(
+                      "_src", "_bucket", "_left", "_n", "_lo", "_hi", "_rlo", "_rhi", "_one_id"), "edge")
+
+
+def _inside(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """The rows (source in ``_of``) of each source's edge band."""
+    edge = edge.select("_src", F.col("_bucket").alias("_b"), "_left")
+    return rows.join(edge, F.col("_of").eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_b"))).select(
+        "_src", "_left", "_size", "_order")
+
+
+def _crowded() -> Column:
+    return (F.col("_n") > EDGE_ROWS) & ((F.col("_lo") < F.col("_hi")) | (F.col("_one_id") & (F.col("_rlo") < F.col("_rhi"))))
+
+
+def _place() -> Column:
+    """Sub-band of a row between its band's bounds: never falls as the order rises."""
+    by_key = (F.col("_order._key") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    by_row = (F.col("_order._row").cast("double") - F.col("_rlo")) / (F.col("_rhi") - F.col("_rlo"))
+    part = F.when(F.col("_lo") < F.col("_hi"), by_key).otherwise(by_row)
+    return F.least(F.floor(part * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+
+
 def shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
            seed: int = SEED, weight: Column | None = None, **mix_parameters) -> DataFrame:
     """One row per source: ``source, source_size, target, epochs, cut`` (order of the cut document), ``cut_words``."""
     narrow = keyed(df.select(*dict.fromkeys([id_col, text_col, source_col])), id_col, text_col, source_col, seed, weight)
     order = F.struct("_key", F.col(id_col).alias("id"), "_row")
     narrow = landed(narrow.select(F.col(source_col).alias("source"), "_bucket", "_size", order.alias("_order")), "sizes")
-    bands = landed(narrow.groupBy("source", "_bucket").agg(F.sum("_size").alias("_s")), "bands")
+    bands = landed(narrow.groupBy("source", "_bucket").agg(*_band_totals()), "bands")
     per = targets(bands.groupBy("source").agg(F.sum("_s").alias("source_size")), **mix_parameters)
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("bigint")
     per = per.withColumn("epochs", whole).withColumn(
         "_rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("bigint"))
     per = landed(per, "targets")
 
-    w = Window.partitionBy("source").orderBy("_bucket")
-    bands = bands.withColumn("_end", F.sum("_s").over(w)).withColumnRenamed("source", "_src")
-    edge = (bands.join(per, F.col("_src").eqNullSafe(F.col("source")))
-            .where((F.col("_rest") > 0) & (F.col("_end") > F.col("_rest")) & (F.col("_end") - F.col("_s") <= F.col("_rest")))
-            .select("_src", F.col("_bucket").alias("_b"), (F.col("_rest") - (F.col("_end") - F.col("_s"))).alias("_left")))
-    edge = landed(edge, "edge")
-    inside = (narrow.join(edge, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_b")))
-              .groupBy("_src", "_left", "_order").agg(F.sum("_size").alias("_s"), F.count("*").alias("_n")))
+    edge = (bands.withColumnRenamed("source", "_src").join(per, F.col("_src").eqNullSafe(F.col("source")))
+            .where("_rest > 0").withColumnRenamed("_rest", "_left"))
+    edge = _edge(edge)
+    rows, crowded, parts = _inside(narrow.withColumnRenamed("source", "_of"), edge), edge.where(_crowded()), []
+    while not crowded.isEmpty():
+        spans = crowded.select(F.col("_src").alias("_of"), "_lo", "_hi", "_rlo", "_rhi")
+        met = landed(rows.join(spans, F.col("_src").eqNullSafe(F.col("_of")), "left").drop("_of")
+                     .withColumn("_in", F.col("_lo").isNotNull()), "crowded")
+        parts.append(met.where("NOT _in").select("_src", "_left", "_size", "_order"))
+        met = met.where("_in").withColumn("_bucket", _place())
+        edge = _edge(met.groupBy("_src", "_left", "_bucket").agg(*_band_totals()))
+        rows = _inside(met.drop("_left").withColumnRenamed("_src", "_of"), edge)
+        crowded = edge.where(_crowded())
+    for part in parts:
+        rows = rows.unionByName(part)
+    inside = rows.groupBy("_src", "_left", "_order").agg(F.sum("_size").alias("_s"), F.count("*").alias("_n"))
     w = Window.partitionBy("_src").orderBy("_order")
     inside = (inside.withColumn("_end", F.sum("_s").over(w))
               .where((F.col("_end") > F.col("_left")) & (F.col("_end") - F.col("_s") <= F.col("_left")))

@@ -186,3 +186,19 @@ def test_mix_empty(spark):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None, None, None), (2, " ", "en", "s", 1)], DOCS)
     assert {(r.size, r.taken, r.target) for r in mixing.mix(blank).collect()} == {(0, 0, 0.0)}
+
+
+def test_mix_crowded_edge_band(spark, monkeypatch):
+    """A band that holds too many rows (low weights, equal keys) is divided until it is small; the mix stays the same."""
+    rows = [(i, "w " * (i % 4), "en", None if i % 3 else "hot", 1) for i in range(3000)]
+    rows += [(None, f"no id, text {i}", "en", "unnamed", 1) for i in range(300)] + [(7, "same text", "en", "copies", 1)] * 50
+    df = spark.createDataFrame(rows, DOCS)
+    seen, plain = [], mixing._edge
+    monkeypatch.setattr(mixing, "_edge", lambda bands: seen.append(plain(bands)) or seen[-1])
+    want = sorted(map(str, mixing.mix(df, weight=F.lit(0.1)).collect()))
+    assert len(seen) == 1
+    monkeypatch.setattr(mixing, "EDGE_ROWS", 8)
+    got = mixing.mix(df, weight=F.lit(0.1)).collect()
+    assert sorted(map(str, got)) == want
+    assert len(seen) > 2 and seen[1].agg(F.max("_n")).first()[0] > 100
+    assert seen[-1].where("_rlo < _rhi").agg(F.max("_n")).first()[0] <= 8
