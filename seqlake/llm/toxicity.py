@@ -15,7 +15,9 @@ their ids, one of each text; scoring reads every document's whole text.
 
 Defined results: a NULL or empty text has no features and gets the base rate;
 labels with a NULL id or category are not trained on, of several labels of an
-id the largest counts; without labels nothing is rejected; repeated rows each
+id, or of equal texts, the largest counts; a very long text counts whole, in
+training and scoring; columns of any other name are neither read nor in the way
+(``without`` returns them); without labels nothing is rejected; repeated rows each
 get a row; an empty table gives an empty result.
 """
 
@@ -112,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     # the sample of ids is bounded by max_rows, whatever the labels' size
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    sample = sample.withColumn("h", F.xxhash64("text")).dropDuplicates(["h"])
+    sample = sample.withColumn("h", F.xxhash64("text")).groupBy("h").agg(
+        F.min("text").alias("text"), *[F.max(y).alias(y) for y in y_cols])
     as_features = F.pandas_udf(lambda s: pd.Series([sorted(features(t)) for t in s]), "array<string>")
     sample = landed(sample.select("h", *y_cols, as_features("text").alias("f")), "toxic-sample")
 

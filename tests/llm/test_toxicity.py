@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -50,6 +51,36 @@ def test_edges(spark):
     assert toxicity.score(empty, toxicity.train(empty, labels, ["toxic"])).count() == 0
 
 
+def plain_chain(text, chain):
+    """The chain written out for one text: each category's logistic model sees the probabilities before it."""
+    found = [chain.vocabulary[f] for f in toxicity.features(text) if f in chain.vocabulary]
+    n, out = len(chain.vocabulary), []
+    for w in chain.weights:
+        z = sum(w[i] for i in found) + sum(w[n + k] * p for k, p in enumerate(out)) + w[-1]
+        out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_plain_chain_and_label_ties(spark):
+    """Equal texts with different labels train the same chain in any order; scores equal the chain written out."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["red", "green", "blue", "grey"]) for _ in range(6)) + (" vile" if i % 5 == 0 else "")
+             + (" schlaf schlag" if i % 3 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(0)).withColumn("id", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 5 == 0 and i % 7 > 0)) for i in range(600)],
+                                   "doc_id long, poor int, toxic int")
+    chain = toxicity.train(docs, labels, ["poor", "toxic"])
+    again = toxicity.train(docs.orderBy(F.desc("doc_id")).repartition(7), labels.repartition(5), ["poor", "toxic"])
+    assert chain.vocabulary == again.vocabulary and chain.thresholds == again.thresholds
+    assert all((a == b).all() for a, b in zip(chain.weights, again.weights))
+    texts = dict(rows)
+    for r in toxicity.score(docs, chain).collect():
+        p = plain_chain(texts[r.doc_id], chain)
+        assert abs(r.p_poor - p[0]) < 1e-9 and abs(r.p_toxic - p[1]) < 1e-9
+        assert (r.is_poor, r.is_toxic) == tuple(x >= t for x, t in zip((r.p_poor, r.p_toxic), chain.thresholds))
+    assert toxicity.without(docs, chain, "toxic").columns == docs.columns
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_query(spark, sf):
     out = queries.op5_toxicity(spark, f"/root/testdata/{sf}")
