@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.session import ensure_checkpoint_dir, scratch_dir
+from seqlake.session import ensure_checkpoint_dir, landed  # noqa: F401  landed: for this subpackage's modules
 
 #: Fixed value: a word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,18 +24,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def landed(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
-    """``df`` written once under the shared checkpoint folder and read back.
-
-    Cuts the lineage, survives lost executors, and gives Spark the table's true
-    size for its choice of join.  ``compact`` lets Spark merge the small
-    partitions that a selective filter leaves before they become files.
-    """
-    path = scratch_dir(df.sparkSession, label)
-    (df.hint("rebalance") if compact else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Lower the session's Arrow batch length to ``rows`` (never raises it)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

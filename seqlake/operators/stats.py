@@ -49,7 +49,7 @@ def length_stats(df: DataFrame, len_col: str = "len", approx: bool = False) -> D
                       F.percentile_approx(len_col, 0.5, 10000).cast("double").alias("median_len"))
     hist = df.where(F.col(len_col).isNotNull()).groupBy(F.col(len_col).alias("v")).agg(F.count("*").alias("c"))
     cum = running_sum(hist, {"upto": F.col("c")}, ["v"])
-    n = hist.agg(F.sum("c")).first()[0] or 0
+    n = cum.agg(F.max("upto")).first()[0] or 0       # from the pinned counts: the lengths are read once
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))  # noqa: E731  value at 0-based rank k
     return cum.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("n"),
                    F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean_len"),

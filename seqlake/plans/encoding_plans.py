@@ -17,7 +17,7 @@ from seqlake.operators.convert import convert_games, vocabulary_converter
 from seqlake.plans.packing_plans import encoded_games, packed
 from seqlake.plans.registry import register, table
 from seqlake.plans.standins import CHUNK_LEN, SEED, doc_tokens, sql_tokens
-from seqlake.session import scratch_dir
+from seqlake.session import landed, scratch_dir
 from seqlake.sources.text import parse_ndjson, read_lines, write_lines
 from seqlake.sources.tokens import (check_manifest, number_games, packing_manifest, read_tokens,
                                     read_vocab, write_manifest, write_tokens, write_vocab)
@@ -128,6 +128,7 @@ def q_strict_encode(spark, sf_dir):
     vocab = en_vocab(spark, sf_dir)
     docs = doc_tokens(spark, sf_dir)
     good = lookup_ids(docs, "doc_id", "tokens", vocab, "_chk").where(all_known("_chk")).drop("_chk")
+    good = landed(good.select("doc_id", "tokens"), "known")       # the second lookup reads it more than once
     out = strict_encode(good, "doc_id", "tokens", vocab)
     return out.select("doc_id", ids_text("ids").alias("ids_text"))
 
@@ -144,8 +145,8 @@ GROUP BY dt.doc_id
 def q_decode_ids(spark, sf_dir):
     """ids (C1, unknown = NULL) -> tokens, unknown -> '?'; a digest of every text's whole decoding."""
     vocab = en_vocab(spark, sf_dir)
-    looked = lookup_ids(doc_tokens(spark, sf_dir), "doc_id", "tokens", vocab)
-    dec = decode_join(looked.select("doc_id", "ids"), "doc_id", "ids", vocab)
+    looked = landed(lookup_ids(doc_tokens(spark, sf_dir), "doc_id", "tokens", vocab, carry=[]), "looked")
+    dec = decode_join(looked, "doc_id", "ids", vocab)
     return dec.select("doc_id", F.size("decoded").cast("bigint").alias("n_tokens"),
                       F.md5(F.array_join("decoded", " ")).alias("decoded_md5"))
 
@@ -222,12 +223,14 @@ WITH {SQL_FULL}
 SELECT shard, doc_id, game_no, "end" - len AS start, "end" FROM numbered
 """)
 def q_running_offsets(spark, sf_dir):
-    return number_games(encoded_games(spark, sf_dir)).select("shard", "doc_id", "game_no", "start", "end")
+    games = encoded_games(spark, sf_dir).select("shard", "doc_id", "len")     # no token takes part in the numbering
+    return number_games(games).select("shard", "doc_id", "game_no", "start", "end")
 
 
 def _store(spark, sf_dir):
     path = scratch_dir(spark, "tokens")
-    games = number_games(encoded_games(spark, sf_dir).drop("tokens")).withColumnRenamed("ids", "tokens")
+    enc = landed(encoded_games(spark, sf_dir), "encoded")     # read for the range bounds, then for the blocks
+    games = number_games(enc).withColumnRenamed("ids", "tokens")
     write_tokens(games, path)
     return path
 
