@@ -1,6 +1,6 @@
 """Registered queries: Structured Streaming twins.
 
-Each query lands ``events`` as three time-ordered files in a fresh folder under
+Each query lands ``events`` as three time-ordered slices in a fresh folder under
 the shared checkpoint folder, drains the stream with ``availableNow`` and
 returns the batch read of the sink, so it is compared with the same SQL as the
 batch operator."""
@@ -13,8 +13,8 @@ from seqlake.plans.events_plans import COOLDOWN_US, FEED_ROUTES, SQL_DELTAS, SQL
 from seqlake.plans.registry import register, table
 from seqlake.operators.events import ts_micros
 from seqlake.session import scratch_dir
-from seqlake.streaming.source import (land_in_order, live_funnel, route_stream, run_available,
-                                      stream_corpus, stream_files)
+from seqlake.streaming.source import (land_in_order, land_slice, live_funnel, route_stream, run_available,
+                                      slice_files, stream_corpus, stream_files)
 from seqlake.streaming.state import (concurrency_stream, concurrency_stream_buffered, cooldown_stream,
                                     cooldown_stream_buffered, lifecycle_stream, lifecycle_stream_buffered)
 
@@ -24,8 +24,8 @@ def _landed(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     feed = ev.select("event_id", "user_id", "event_type", ts_micros("ts").alias("ts_us"),
                      F.from_json("props", "k int")["k"].alias("k"), "value")
-    land_in_order(feed, f"{root}/src", "ts_us", 3)
-    stream = stream_files(spark, f"{root}/src", feed.schema, files_per_trigger=1)
+    n_files = land_in_order(feed, f"{root}/src", "ts_us", 3)
+    stream = stream_files(spark, f"{root}/src", feed.schema, files_per_trigger=n_files)      # a slice a batch
     return root, stream
 
 
@@ -125,15 +125,16 @@ def _landed_scrambled(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     feed = ev.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
                      ts_micros("ts").alias("ts_us"), F.from_json("props", "k int")["k"].alias("k"))
-    lo, hi = feed.agg(F.min("ts_us"), F.max("ts_us")).first()
+    lo, hi, rows = feed.agg(F.min("ts_us"), F.max("ts_us"), F.count("ts_us")).first()
     step = (hi - lo) // 4 + 1
+    n_files = slice_files(spark, rows // 4)
     for i in (2, 0, 3, 1):
-        (feed.where((F.col("ts_us") >= lo + i * step) & (F.col("ts_us") < lo + (i + 1) * step))
-             .coalesce(1).write.mode("append").parquet(f"{root}/src"))
+        land_slice(feed.where((F.col("ts_us") >= lo + i * step) & (F.col("ts_us") < lo + (i + 1) * step)),
+                   f"{root}/src", n_files)
     clock = (spark.createDataFrame([(-1, -1, "clock", 0)], "event_id long, user_id long, event_type string, k int")
                   .withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp")))  # stream-control record
     clock.withColumn("ts_us", ts_micros("ts")).select(*feed.columns).write.mode("append").parquet(f"{root}/src")
-    return root, stream_files(spark, f"{root}/src", feed.schema, files_per_trigger=1)
+    return root, stream_files(spark, f"{root}/src", feed.schema, files_per_trigger=n_files)   # a slice a batch
 
 
 LATENESS = "31 days"   # more than the disorder of the scrambled landing

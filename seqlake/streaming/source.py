@@ -13,18 +13,46 @@ STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def land_in_order(df: DataFrame, path: str, order_col: str, n_slices: int = 3) -> None:
-    """Test fixture: write ``df`` as ``n_slices`` time-ordered files, one after
+#: Rows of a landed slice per file, at least.
+ROWS_PER_FILE = 100_000
+
+
+def slice_files(spark: SparkSession, rows: int) -> int:
+    """Files that a landed slice of ``rows`` rows is written as: one a core, fewer if it is short."""
+    return max(1, min(spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
+
+
+def land_slice(df: DataFrame, path: str, n_files: int) -> None:
+    """Append ``df`` as exactly ``n_files`` files, so that a stream that takes ``n_files`` a batch takes what landed together."""
+    spark = df.sparkSession
+    if n_files == 1:
+        df.coalesce(1).write.mode("append").parquet(path)
+        return
+    def listed():
+        return len(spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(path).inputFiles())
+    # the folder is there, if with an empty file, before its files are counted
+    spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+    before = listed()
+    df.repartition(n_files - 1).write.mode("append").parquet(path)
+    for _ in range(before + n_files - 1 - listed()):          # a task without rows writes no file
+        spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def land_in_order(df: DataFrame, path: str, order_col: str, n_slices: int = 3) -> int:
+    """Test fixture: write ``df`` as ``n_slices`` time-ordered slices, one after
     another, so the file source sees them arrive in event-time order (the
-    order-dependent state operators need that; see README)."""
-    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
+    order-dependent state operators need that; see README).  Returns the number
+    of files in a slice: a stream has to take so many a batch."""
+    lo, hi, rows = df.agg(F.min(order_col), F.max(order_col), F.count(order_col)).first()
     step = (hi - lo) / n_slices
+    n_files = slice_files(df.sparkSession, rows // n_slices)
     for i in range(n_slices):
         a = lo + step * i
         cond = (F.col(order_col) >= F.lit(a)) if i else F.lit(True)
         if i < n_slices - 1:
             cond = cond & (F.col(order_col) < F.lit(lo + step * (i + 1)))
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+        land_slice(df.where(cond), path, n_files)
+    return n_files
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:

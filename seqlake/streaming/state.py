@@ -12,14 +12,21 @@ forms for out-of-order arrival."""
 from __future__ import annotations
 
 import json
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 #: How long a finished game is remembered (J5), in microseconds: longer than it may be reported again.
 FINISHED_TTL = 24 * 3600 * 1_000_000
+#: Games of a key's state that are scanned rather than asked for, for each game of a batch.
+SCAN_PER_GAME = 16
+#: Groups of keys that the buffered forms fold together: a group's rows wait in one value of the state store.
+KEY_GROUPS = 256
 
 
 def _rows(pdfs) -> pd.DataFrame:
@@ -58,40 +65,61 @@ class _Concurrency(StatefulProcessor):
         self.done = handle.getMapState("done", f"game {self.game_type}", "at long")
         self.counts = handle.getValueState("counts", "active long, oldest long")
 
+    def _known(self, state, games, may_hold):
+        """Those of ``games`` that a map holds: one scan of a short map, else asked one by one."""
+        if not may_hold:
+            return set()
+        scan = state.iterator()
+        held = {g[0] for g, _ in islice(scan, SCAN_PER_GAME * len(games) + 1)}
+        if len(held) <= SCAN_PER_GAME * len(games):
+            return held
+        return {g for g in games if state.containsKey((g,))}
+
     def handleInputRows(self, key, rows, timer_values):
         key_col, game, ts_us, type_col = self.names
         start, end = self.types
-        pdf = _rows(rows)
-        pdf = pdf[pdf[type_col].isin(self.types)].sort_values([ts_us, game])
-        active, oldest = self.counts.get() if self.counts.exists() else (0, None)
-        before = active, oldest
-        known: dict = {}
+        whole = self.game_type in ("tinyint", "smallint", "int", "bigint")
+        events = []
+        for pdf in rows:
+            events += zip(pdf[ts_us].tolist(), [None if g != g else int(g) if whole and g is not None else g
+                                                for g in pdf[game].tolist()], pdf[type_col].tolist())
+        events = sorted((e for e in events if e[2] in self.types), key=lambda e: (e[0], e[1] is None, e[1]))
+        if not events:
+            return
+        before = self.counts.get() or (0, None)
+        active, oldest = before
+        games = {g for _, g, _ in events}
+        known = dict.fromkeys(self._known(self.done, games, oldest is not None), "done")
+        known.update(dict.fromkeys(self._known(self.open, games, active > 0), "open"))
+        now_is: dict = {}           # games of this batch that changed: what they are, and since when
         out = []
-        for t, g, typ in zip(pdf[ts_us].tolist(), pdf[game].tolist(), pdf[type_col].tolist()):
-            if g not in known:
-                known[g] = "open" if self.open.containsKey((g,)) else "done" if self.done.containsKey((g,)) else "new"
-            if typ == start and known[g] == "new":
-                known[g] = "open"
-                self.open.updateValue((g,), (t,))
+        for t, g, typ in events:
+            was = now_is[g][0] if g in now_is else known.get(g)
+            if typ == start and was is None:
+                now_is[g] = "open", t
                 active += 1
-                out.append((key[0], g, t, 1, active))
-            elif typ == end and known[g] == "open":
-                known[g] = "done"
-                self.open.removeKey((g,))
-                self.done.updateValue((g,), (t,))
+                out.append((g, t, 1, active))
+            elif typ == end and was == "open":
+                now_is[g] = "done", t
                 oldest = t if oldest is None else min(oldest, t)
                 active -= 1
-                out.append((key[0], g, t, -1, active))
-        now = int(pdf[ts_us].max()) if len(pdf) else None
-        if now is not None and oldest is not None and oldest + self.ttl_us <= now:
+                out.append((g, t, -1, active))
+        for g, (state, t) in now_is.items():
+            if state == "done" and known.get(g) == "open":
+                self.open.removeKey((g,))
+            (self.open if state == "open" else self.done).updateValue((g,), (t,))
+        now = events[-1][0]
+        if oldest is not None and oldest + self.ttl_us <= now:
             ends = {g[0]: at[0] for g, at in self.done.iterator()}
             for g, at in ends.items():
                 if at + self.ttl_us <= now:
                     self.done.removeKey((g,))
             oldest = min((at for at in ends.values() if at + self.ttl_us > now), default=None)
-        if (active, oldest) != before:
+        if (active, oldest) != tuple(before):
             self.counts.update((active, oldest))
-        yield pd.DataFrame(out, columns=[key_col, game, ts_us, "delta", "active"])
+        if out:
+            g, t, delta, count = zip(*out)
+            yield pd.DataFrame({key_col: [key[0]] * len(out), game: g, ts_us: t, "delta": delta, "active": count})
 
     def close(self):
         pass
@@ -104,7 +132,8 @@ def concurrency_stream(stream: DataFrame, key: str, game: str, ts_us: str, type_
     game leaves the state with the first batch that reaches ``ttl_us`` past its
     end, and would count as new after that."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    return stream.groupBy(key).transformWithStateInPandas(
+    counted = stream.where(F.col(type_col).isin(start_type, end_type))     # the other events change nothing
+    return counted.groupBy(key).transformWithStateInPandas(
         _Concurrency(key, game, ts_us, type_col, start_type, end_type, ttl_us, kinds[game]),
         f"{key} {kinds[key]}, {game} {kinds[game]}, {ts_us} long, delta int, active long", "append", "None")
 
@@ -155,6 +184,30 @@ def lifecycle_stream(stream: DataFrame, key: str, ts_us: str, id_col: str, type_
         f"{id_col} {kinds[id_col]}, {key} {kinds[key]}, color string", "append", "None")
 
 
+#: The one NaN of folded rows, as of states read back from JSON: a NULL number is equal to itself then.
+_NAN = json.loads("NaN")
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> list[pd.DataFrame]:
+    """The frames of any number of ``_packed`` strings, one behind the other."""
+    source, frames = pa.BufferReader(packed), []
+    while source.tell() < len(packed):
+        frames.append(pa.ipc.open_stream(source).read_all().to_pandas())
+    return frames
+
+
+def _values(column: pd.Series) -> list:
+    return [_NAN if x != x else x for x in column.tolist()]
+
+
 def event_time_fold(stream: DataFrame, key: str, ts_col: str, ts_us: str, order_col: str,
                     value_cols, lateness: str, step, init: dict, out_schema: str) -> DataFrame:
     """Fold each key's rows in event-time order although files may arrive out of order.
@@ -164,34 +217,64 @@ def event_time_fold(stream: DataFrame, key: str, ts_col: str, ts_us: str, order_
     in (ts, ``order_col``) order; ``row`` is a dict of ``ts_us``, ``order_col`` and
     ``value_cols``.  A row older than what was already released cannot be folded
     in order: it is emitted through ``step``'s caller as a ``late`` row
-    (``("late", row)`` is passed to ``step`` so it can route it to A13).  A key
-    with buffered rows is revisited by an event-time timeout when the watermark
-    moves, without new rows."""
-    cols = [ts_us, order_col, *value_cols]
-
-    def fn(k, pdfs, state):
-        st = json.loads(state.get[0]) if state.exists else {"buf": [], "upto": None, "s": dict(init)}
+    (``("late", row)`` is passed to ``step`` so it can route it to A13).  Rows
+    that wait are revisited by an event-time timeout when the watermark moves,
+    without new rows.
+
+    The stream is grouped by ``KEY_GROUPS`` groups of keys, so that a visit's cost
+    is shared by many keys.  Rows that arrive are appended to the group's state as
+    Arrow data and read back only when some are due; the keys' own states (JSON
+    objects, sets become lists) are kept beside them."""
+    cols = list(dict.fromkeys([key, ts_us, order_col, *value_cols]))
+    names = [f.split()[0] for f in out_schema.split(",")]
+
+    def fn(_, pdfs, state):
+        packed, first, folded = state.get if state.exists else (b"", None, "[]")
+        packed, states = bytes(packed), {k: st for k, st in json.loads(folded)}
         out = []
         if not state.hasTimedOut:
             for pdf in pdfs:
-                for row in zip(*[pdf[c].tolist() for c in cols]):   # native Python values
-                    r = dict(zip(cols, row))
-                    if st["upto"] is not None and [r[ts_us], r[order_col]] <= st["upto"]:
-                        out.extend(step(st["s"], r, k[0], late=True))
-                    else:
-                        st["buf"].append(r)
+                pdf = pdf[cols]
+                if states:
+                    kept = []
+                    for row in zip(*[_values(pdf[c]) for c in cols]):
+                        r = dict(zip(cols, row))
+                        st = states.get(row[0])
+                        late = st is not None and [r[ts_us], r[order_col]] <= st["upto"]
+                        kept.append(not late)
+                        if late:
+                            out.extend(step(st["s"], r, row[0], late=True))
+                    pdf = pdf[kept]
+                if len(pdf):
+                    packed += _packed(pdf)
+                    least = pdf[ts_us].min()
+                    if least == least:
+                        first = int(least) if first is None else min(first, int(least))
         wm_us = state.getCurrentWatermarkMs() * 1000
-        ready = sorted((r for r in st["buf"] if r[ts_us] <= wm_us), key=lambda r: (r[ts_us], r[order_col]))
-        st["buf"] = [r for r in st["buf"] if r[ts_us] > wm_us]
-        for r in ready:
-            out.extend(step(st["s"], r, k[0], late=False))
-            st["upto"] = [r[ts_us], r[order_col]]
-        state.update((json.dumps(st),))
-        if st["buf"]:
-            state.setTimeoutTimestamp(min(r[ts_us] for r in st["buf"]) // 1000 + 1)
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in out_schema.split(",")])
-    return (stream.withWatermark(ts_col, lateness).groupBy(key)
-                  .applyInPandasWithState(fn, out_schema, "st string", "append",
+        if first is not None and first <= wm_us:
+            rows = pd.concat(_unpacked(packed), ignore_index=True)
+            due = rows[ts_us] <= wm_us
+            wait = rows[~due]
+            packed = _packed(wait) if len(wait) else b""
+            first = wait[ts_us].min() if len(wait) else None
+            first = None if first is None or first != first else int(first)
+            # stable: equal times in their order of arrival
+            ready = rows[due].sort_values([ts_us, order_col] if order_col != ts_us else ts_us, kind="stable")
+            for row in zip(*[_values(ready[c]) for c in cols]):
+                r = dict(zip(cols, row))
+                st = states.get(row[0])
+                if st is None:
+                    st = states[row[0]] = {"s": dict(init)}
+                out.extend(step(st["s"], r, row[0], late=False))
+                st["upto"] = [r[ts_us], r[order_col]]
+        state.update((packed, first, json.dumps(list(states.items()), default=sorted)))
+        if first is not None:
+            state.setTimeoutTimestamp(first // 1000 + 1)
+        yield pd.DataFrame(out, columns=names)
+    # keys that are NULL lie in a group of their own, so that the others stay whole numbers
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(KEY_GROUPS)))
+    return (stream.withWatermark(ts_col, lateness).withColumn("_group", group).groupBy("_group")
+                  .applyInPandasWithState(fn, out_schema, "rows binary, first long, folded string", "append",
                                           GroupStateTimeout.EventTimeTimeout))
 
 
@@ -217,7 +300,10 @@ def concurrency_stream_buffered(stream: DataFrame, key: str, game: str, ts_col:
     def step(s, r, k, late):
         if late:
             return [(k, r[game], r[ts_us], 0, s.get("active", 0), "late")]
-        opened, closed = set(s.get("open", [])), set(s.get("closed", []))
+        for name in ("open", "closed"):
+            if not isinstance(s.get(name), set):      # a list, after it was stored
+                s[name] = set(s.get(name, []))
+        opened, closed = s["open"], s["closed"]
         res = []
         if r[type_col] == start_type and r[game] not in opened and r[game] not in closed:
             opened.add(r[game])
@@ -228,7 +314,6 @@ def concurrency_stream_buffered(stream: DataFrame, key: str, game: str, ts_col:
             closed.add(r[game])
             s["active"] = s.get("active", 0) - 1
             res.append((k, r[game], r[ts_us], -1, s["active"], "ok"))
-        s["open"], s["closed"] = sorted(opened), sorted(closed)
         return res
     return event_time_fold(stream, key, ts_col, ts_us, ts_us, [game, type_col], lateness, step, {},
                            f"{key} long, {game} int, {ts_us} long, delta int, active long, status string")
