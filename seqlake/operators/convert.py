@@ -1,9 +1,9 @@
 """Movetext conversion (H1 clean_movetext, H2 convert_games, K1 converter plug-in).
 
 H1 is a chain of Catalyst ``regexp_replace`` calls.  H2 runs a per-row
-converter (``str -> list[str] | None``) as a ``mapInPandas`` job over the
-distinct texts only (identical movetexts are converted once), then joins the
-result back; a converter exception becomes NULL with a reason.
+converter (``str -> list[str] | None``) as a ``mapInPandas`` job over rows that
+lie sorted by their text, so that identical movetexts are converted once; a
+converter exception becomes NULL with a reason.
 """
 
 from __future__ import annotations
@@ -97,42 +97,53 @@ def vocabulary_converter(tokens) -> Callable[[str | None], list[str] | None]:
     return convert
 
 
+#: Characters of the texts that are converted before their tokens leave Python.
+STEP_CHARS = 1 << 19
+
+
 def convert_games(df: DataFrame, text_col: str, converter: Callable[[str | None], list | None],
                   n_partitions: int | None = None) -> DataFrame:
     """H2: convert every text with ``converter``; unparseable or empty -> NULL
     tokens with ``reject_reason``; exceptions are swallowed to NULL.
 
-    Only distinct texts cross into Python (``distinct`` is a shuffle with
-    map-side de-duplication), repartitioned to spread the work."""
-    spark = df.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = (df.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-               .withColumn("_th", F.xxhash64("_text")).distinct()
-               .repartition(n, "_th"))
+    The rows move once, to where equal texts lie side by side, and each text is
+    converted at its first row; a text with very many rows is split over tasks
+    by adaptive execution, and converted once in each.  A step of some hundred
+    kilobytes of texts is converted at a time, so a worker's memory does not
+    grow with the input."""
+    kept = [c for c in df.columns if c not in ("tokens", "reject_reason")]
+    hashable = [c for c in kept if "map<" not in df.schema[c].dataType.simpleString()]
+    # rows without a text are spread by their other columns
+    near = F.when(F.col(text_col).isNull(), F.xxhash64(*hashable)).otherwise(F.xxhash64(text_col))
+    keyed = df.select(*kept, near.alias("_th"))
+    keyed = keyed.hint("rebalance", n_partitions, "_th") if n_partitions else keyed.hint("rebalance", "_th")
 
     def run(batches):
+        last, known = None, None
         for pdf in batches:
-            out, why = [], []
-            for t in pdf["_text"].tolist():
-                try:
-                    r = converter(t)
-                except Exception:  # noqa: BLE001 - a failing game is a reject, not a failed job
-                    r, w = None, "converter_error"
-                else:
-                    w = None if r else "unparseable"
-                    r = list(r) if r else None
-                out.append(r)
-                why.append(w)
-            yield pd.DataFrame({"_text": pdf["_text"], "_th": pdf["_th"], "_tokens": out, "_why": why})
-
-    schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField("_th", T.LongType()),
-                           T.StructField("_tokens", T.ArrayType(T.StringType())),
-                           T.StructField("_why", T.StringType())])
-    converted = texts.mapInPandas(run, schema)
-    # join on the 64-bit text hash (cheap to shuffle and sort) plus full equality
-    keyed = df.withColumn("_dh", F.xxhash64(text_col))
-    joined = keyed.join(converted, (keyed["_dh"] == converted["_th"]) & (keyed[text_col] == converted["_text"]), "left")
-    return (joined.withColumn("tokens", F.col("_tokens"))
-                  .withColumn("reject_reason", F.when(F.col(text_col).isNull(), F.lit("empty"))
-                              .otherwise(F.col("_why")))
-                  .drop("_text", "_th", "_dh", "_tokens", "_why"))
+            sizes = pdf[text_col].str.len().fillna(0).cumsum().to_numpy() if len(pdf) else []
+            step = [int(n) // STEP_CHARS for n in sizes]
+            cuts = [0, *(i for i in range(1, len(step)) if step[i] != step[i - 1]), len(step)]
+            for a, b in zip(cuts, cuts[1:]):
+                part, out, why = pdf.iloc[a:b], [], []
+                for t in part[text_col].tolist():
+                    if not isinstance(t, str):
+                        out.append(None)
+                        why.append("empty")
+                        continue
+                    if known is None or t != last:
+                        try:
+                            r, w = converter(t), None
+                        except Exception:  # noqa: BLE001 - a failing game is a reject, not a failed job
+                            r, w = None, "converter_error"
+                        else:
+                            w = None if r else "unparseable"
+                            r = list(r) if r else None
+                        last, known = t, (r, w)
+                    out.append(known[0])
+                    why.append(known[1])
+                yield part[kept].assign(tokens=pd.Series(out, part.index, object), reject_reason=pd.Series(why, part.index, object))
+
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in kept],
+                           T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("reject_reason", T.StringType())])
+    return keyed.sortWithinPartitions("_th").mapInPandas(run, schema)
