@@ -23,7 +23,7 @@ from seqlake.functions.text import join_ws
 from seqlake.operators.convert import clean_movetext_df, convert_games
 from seqlake.operators.filters import FILTER_REASONS, CorpusConfig, corpus_condition, corpus_reject_reason
 from seqlake.session import scratch_dir
-from seqlake.sources.corpus import list_corpus, pending_inputs, scan_tolerant, source_stem
+from seqlake.sources.corpus import list_corpus, pending_inputs, scan_tolerant, source_stem, spread_narrow_scan
 from seqlake.streaming.source import run_available, stream_listing
 
 GAME_SCHEMA = "movetext string, WhiteElo string, BlackElo string, TimeControl string"
@@ -121,7 +121,9 @@ def _prepare_files(spark: SparkSession, files: list[str], out: str, cfg: CorpusC
         return none
     games = games_of(spark, [r.path for r in pending])
     where = scratch_dir(spark, "judged")
-    judged_games(games.withColumn("row", F.col("_metadata.row_index")), cfg, converter, mode).write.parquet(where)
+    # few files, as in a batch of the stream, are read by few tasks: the games are judged by all
+    placed = spread_narrow_scan(games.withColumn("row", F.col("_metadata.row_index")))
+    judged_games(placed, cfg, converter, mode).write.parquet(where)
     judged = spark.read.schema("path string, row long, reason string, value string").parquet(where)
     reason = F.col("reason")
     seen = judged.groupBy("path").agg(
