@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlake.llm.common import landed
+from seqlake.llm.common import landed, small_batches
 from seqlake.llm.sketch import company, may_recur, width_for
 from seqlake.operators.ordered import dense_index
 
@@ -415,6 +415,7 @@ def cut_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """``id_col, n_bytes, spans, kept``: removed byte ranges (``start, end``) of each text, and the bytes that remain."""
     if gram & (gram - 1) or not 8 <= gram <= length:
         raise ValueError("gram must be a power of two between 8 and length")
+    small_batches(docs.sparkSession)       # a batch's contexts are Python values
     placed = _placed(docs, id_col, text_col)
     ranges = repeats(placed, length, gram).groupBy("ord").agg(
         F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
