@@ -81,8 +81,8 @@ class _Concurrency(StatefulProcessor):
         whole = self.game_type in ("tinyint", "smallint", "int", "bigint")
         events = []
         for pdf in rows:
-            events += zip(pdf[ts_us].tolist(), [None if g != g else int(g) if whole and g is not None else g
-                                                for g in pdf[game].tolist()], pdf[type_col].tolist())
+            events += zip(pdf[ts_us].tolist(), [int(g) if whole and g is not None else g for g in pdf[game].tolist()],
+                          pdf[type_col].tolist())
         events = sorted((e for e in events if e[2] in self.types), key=lambda e: (e[0], e[1] is None, e[1]))
         if not events:
             return
@@ -133,9 +133,12 @@ def concurrency_stream(stream: DataFrame, key: str, game: str, ts_us: str, type_
     end, and would count as new after that."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     counted = stream.where(F.col(type_col).isin(start_type, end_type))     # the other events change nothing
-    return counted.groupBy(key).transformWithStateInPandas(
+    # as text, so that a NULL beside them does not turn whole numbers into floats
+    counted = counted.withColumns({c: F.col(c).cast("string") for c in (key, game)})
+    out = counted.groupBy(key).transformWithStateInPandas(
         _Concurrency(key, game, ts_us, type_col, start_type, end_type, ttl_us, kinds[game]),
-        f"{key} {kinds[key]}, {game} {kinds[game]}, {ts_us} long, delta int, active long", "append", "None")
+        f"{key} string, {game} {kinds[game]}, {ts_us} long, delta int, active long", "append", "None")
+    return out.withColumn(key, F.col(key).cast(kinds[key]))
 
 
 class _Lifecycle(StatefulProcessor):
