@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlake.session import ensure_checkpoint_dir, landed  # noqa: F401  landed: for this subpackage's modules
+from seqlake.session import ensure_checkpoint_dir, landed, small_batches  # noqa: F401  the last two: for this subpackage's modules
 
 #: Fixed value: a word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that ``WORD`` treats as white space.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Rows per Arrow batch handed to Python: bounds a worker's memory with long texts.
-ROWS_PER_BATCH = 512
 #: Bits of a key filter: 512 rows of 4 KB, 2 MB in all, whatever the input.
 FILTER_BITS = 1 << 24
 _MAP_BITS = 4096 * 8
@@ -24,13 +22,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Lower the session's Arrow batch length to ``rows`` (never raises it)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def words_of(text: Column) -> Column:
     """Words of a text; NULL has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

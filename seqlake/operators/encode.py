@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlake.operators.joins import BROADCAST_BYTES, data_bytes, hot_values
 from seqlake.operators.vocab import BOS, EOS, fixed_move_ids
-from seqlake.session import ensure_checkpoint_dir
+from seqlake.session import landed, small_batches
 
 
 def _pair():
@@ -22,25 +23,57 @@ def _regrouped_broadcast(exploded: DataFrame, lk: DataFrame, by, kept) -> DataFr
         F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), _pair()))).alias("_pairs"))
 
 
-def _regrouped_hot_cold(exploded: DataFrame, lk: DataFrame, hot: DataFrame, n: int, key: str, kept) -> DataFrame:
-    """The same for a lookup over the broadcast bound: its frequent values are broadcast, the long tail is shuffled.
-
-    Only elements that are not frequent travel to the lookup and back, and none of them has a hot key; frequent
-    elements, known or unknown, stay where their row is."""
+def _filler(hot, out_col: str, kept):
+    """Arrow batches of sequences -> ``kept`` and ``out_col``: every element through the frequent values (``hot``, a
+    broadcast Arrow table), or the ``(_pos, _to)`` pairs in ``_cold`` where it has one."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        table = hot.value
+        for b in batches:
+            seqs, cold = b.column("_seq"), b.column("_cold")
+            sizes, n_cold = (pc.fill_null(pc.list_value_length(c), 0).to_numpy().astype(np.int64) for c in (seqs, cold))
+            ends = np.cumsum(sizes)
+            flat, (pos, to) = seqs.flatten(), cold.flatten().flatten()
+            known = table.column("_from").combine_chunks().cast(flat.type)
+            own = table.column("_hot").combine_chunks().cast(to.type).take(pc.index_in(flat, value_set=known, skip_nulls=True))
+            at = np.arange(len(flat))
+            at[np.repeat(ends - sizes, n_cold) + pos.to_numpy()] = len(flat) + np.arange(len(pos))
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()),
+                                           pa.concat_arrays([own, to]).take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], out], names=[*kept, out_col])
+    return run
+
+
+def _filled_hot_cold(seqs: DataFrame, arr_col: str, lk: DataFrame, n: int, kept, out_col: str) -> DataFrame:
+    """``kept`` and ``out_col`` for a lookup over the broadcast bound: its frequent values are looked up inside the
+    arrays, the long tail is shuffled.
+
+    Rows are landed with a number, which is all that names them: only elements that are not frequent travel to the
+    lookup, those that it knows travel back, and none of them has a hot key.  Sequences move once, as they are."""
+    spark = seqs.sparkSession
+    small_batches(spark)
+    rows = landed(seqs.withColumn("_row", F.monotonically_increasing_id()), "sequences")
+    hot = hot_values(rows.select("_row", F.posexplode(arr_col).alias("_pos", "_from")), "_from", ["_row", "_pos"])
     found = lk.join(F.broadcast(hot), "_from")            # at most HOT_ITEMS rows of at most HOT_BYTES
     hot = hot.join(F.broadcast(found), "_from", "left").select("_from", F.col("_to").alias("_hot"), F.lit(True).alias("_is_hot"))
-    tried = exploded.join(F.broadcast(hot.checkpoint()), "_from", "left")
-    is_cold = F.col("_is_hot").isNull() & F.col("_from").isNotNull()
-    cold = (tried.where(is_cold).select("_row", "_pos", "_from").join(lk, "_from", "left")
-                 .repartition(n, "_row").groupBy("_row").agg(F.collect_list(_pair()).alias("_cold")))
-    here = F.when(F.col("_pos").isNotNull() & ~is_cold, F.struct("_pos", F.col("_hot").alias("_to")))
-    own = tried.groupBy("_row").agg(
-        F.count_if(F.coalesce(F.col("_pos"), F.lit(0)) == 0).cast("int").alias("_times"),
-        F.collect_list(here).alias("_own"))
-    pairs = F.when(F.col("_cold").isNull(), F.col("_own")).otherwise(F.concat("_own", "_cold"))
-    return own.join(cold, "_row", "left").select(
-        "_row", F.col("_row.k").alias(key), *[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(kept)], "_times",
-        F.array_sort(pairs).alias("_pairs"))
+    hot = hot.checkpoint()
+    base = rows.select("_row", F.coalesce(arr_col, F.array().cast(rows.schema[arr_col].dataType)).alias("_seq"))
+    # one exchange serves the long tail and the filling: outer forms and this filter, so that neither gets its own below it
+    base = base.where(F.col("_row").isNotNull()).repartition(n, "_row")
+    tried = base.select("_row", F.posexplode_outer("_seq").alias("_pos", "_from")).join(F.broadcast(hot), "_from", "left")
+    cold = (tried.where(F.col("_is_hot").isNull() & F.col("_from").isNotNull()).select("_row", "_pos", "_from")
+                 .join(lk.hint("shuffle_hash"), "_from")      # a lookup's values are its keys: no task holds more than its share
+                 .select("_row", "_pos", "_to").repartition(n, "_row").groupBy("_row").agg(F.collect_list(_pair()).alias("_cold")))
+    rest = rows.withColumn(arr_col, F.col(arr_col).isNull()) if arr_col in kept else rows
+    whole = base.join(rest.select("_row", *kept).repartition(n, "_row"), "_row", "left").join(cold.hint("shuffle_hash"), "_row", "left")
+    if arr_col in kept:
+        whole = whole.withColumn(arr_col, F.when(~F.col(arr_col), F.col("_seq")))
+    to = T.StructField(out_col, T.ArrayType(lk.schema["_to"].dataType))
+    schema = T.StructType([*[T.StructField(c, seqs.schema[c].dataType) for c in kept], to])
+    known = spark.sparkContext.broadcast(hot.select("_from", "_hot").toArrow())
+    return whole.select(*kept, "_seq", "_cold").mapInArrow(_filler(known, out_col, kept), schema)
 
 
 def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
@@ -51,7 +84,7 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
     ``posexplode`` -> join with the lookup -> regroup by the sequence key.  A
     lookup of at most ``broadcast_bytes`` (measured) is broadcast; of a larger
     one the frequent values are, and only the long tail of the elements is
-    shuffled to it and back (``_regrouped_hot_cold``).  The input is
+    exploded and shuffled to it and back (``_filled_hot_cold``).  The input is
     hash-partitioned first, so the regroup and the final join add no exchange of
     the rows.  Never a map column (a map lookup is a linear scan).
 
@@ -60,25 +93,15 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
     two); only the key, ``carry`` and the result are returned then.  Large
     columns must not be carried: they would be copied once per element.
     """
-    spark = seqs.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n_partitions or int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = list(carry or [])
     lk = lookup.select(F.col(from_col).alias("_from"), F.col(to_col).alias("_to"))
+    if data_bytes(lk) > broadcast_bytes:
+        return _filled_hot_cold(seqs, arr_col, lk, n, seqs.columns if carry is None else [key, *kept], out_col)
     # a sequence is its key and content: rows that share a key stay apart, equal rows are put back as often as they came
-    if data_bytes(lk) <= broadcast_bytes:
-        base = seqs.repartition(n, key).withColumn("_row", F.xxhash64(key, arr_col, *kept))
-        exploded = base.select(key, "_row", *kept, F.posexplode_outer(arr_col).alias("_pos", "_from"))
-        regrouped = _regrouped_broadcast(exploded, lk, [key, "_row"], kept)
-    else:
-        ensure_checkpoint_dir(spark)
-        # key and carried columns ride in the row's name: both ways then read the same columns, and one exchange serves them
-        whole = F.struct(F.col(key).alias("k"), F.xxhash64(key, arr_col, *kept).alias("h"),
-                         *[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)])
-        base = seqs.withColumn("_row", whole).repartition(n, "_row")
-        exploded = base.select("_row", F.posexplode_outer(arr_col).alias("_pos", "_from"))
-        # counted where the rows are read: copies of a row are different occurrences
-        seen = seqs.select(F.monotonically_increasing_id().alias("_at"), F.posexplode(arr_col).alias("_pos", "_from"))
-        regrouped = _regrouped_hot_cold(exploded, lk, hot_values(seen, "_from", ["_at", "_pos"]), n, key, kept)
+    base = seqs.repartition(n, key).withColumn("_row", F.xxhash64(key, arr_col, *kept))
+    exploded = base.select(key, "_row", *kept, F.posexplode_outer(arr_col).alias("_pos", "_from"))
+    regrouped = _regrouped_broadcast(exploded, lk, [key, "_row"], kept)
     # n equal rows gave every position n times in a row
     single = F.filter("_pairs", lambda _, i: i % F.col("_times") == 0)
     mapped = regrouped.withColumn(out_col, F.transform(
@@ -87,9 +110,7 @@ def map_elements(seqs: DataFrame, key: str, arr_col: str, lookup: DataFrame,
         times = F.when(F.col("_times") > 1, F.array_repeat(F.lit(0), F.col("_times"))).otherwise(F.array(F.lit(0)))
         return mapped.withColumn("_copy", F.explode(times)).select(key, *kept, out_col)
     mapped = mapped.select(F.col(key).alias("_mk"), F.col("_row").alias("_mr"), out_col)
-    same = F.col("_row") == F.col("_mr")
-    if base.schema["_row"].dataType.typeName() != "struct":     # the struct holds the key itself
-        same &= F.col(key).eqNullSafe(F.col("_mk"))
+    same = (F.col("_row") == F.col("_mr")) & F.col(key).eqNullSafe(F.col("_mk"))
     return base.join(mapped, same, "left").drop("_row", "_mk", "_mr")
 
 

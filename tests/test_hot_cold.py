@@ -84,3 +84,13 @@ def test_length_bound_before_the_lookup_and_named_unknown(spark):
         encode(df, "k", "tokens", vocab, keep_rejects=True, max_len=5)
     with pytest.raises(Exception, match="unknown token: \\?"):
         encode(df, "k", "tokens", vocab, on_unknown="error").collect()
+
+
+def test_frequent_elements_are_not_regrouped(spark):
+    """Frequent elements are looked up inside their arrays; only the long tail is collected again, named by a number."""
+    df = spark.createDataFrame([(i, ["hot"] * 20 + [f"t{i}"], "s") for i in range(300)], "k int, tokens array<string>, s string")
+    vocab = spark.createDataFrame([("hot", 1), *[(f"t{i}", i + 2) for i in range(300)]], "token string, id int")
+    out = map_elements(df, "k", "tokens", vocab, "token", "id", "out", carry=["s"], broadcast_bytes=0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "MapInArrow" in plan
+    assert {(r.k, r.s): r.out for r in out.collect()} == {(i, "s"): [1] * 20 + [i + 2] for i in range(300)}
