@@ -153,7 +153,8 @@ FROM lng QUALIFY label IS NOT NULL
 """)
 def q_shift_labels_long(spark, sf_dir):
     enc = encoded_games(spark, sf_dir)
-    lng = enc.select("doc_id", F.posexplode("ids").alias("pos", "token"))
+    ids = enc.select("doc_id", "ids").repartition("doc_id")       # whole arrays move, the window's long rows do not
+    lng = ids.select("doc_id", F.posexplode("ids").alias("pos", "token"))
     return shift_labels_long(lng, "doc_id", "pos", "token").select("doc_id", "pos", "token", "label")
 
 

@@ -119,3 +119,14 @@ def test_gather_from_bucketed_store(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     spark.sql("DROP TABLE test_store")
+
+
+def test_long_labels_move_arrays_not_positions(spark, tmp_path):
+    from seqlake.plans import queries
+    docs = spark.createDataFrame([(i, "a b c " * (i + 1), "s", "en") for i in range(5)], "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries()["shift_labels_long"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = [next(i for i, line in enumerate(plan) if name in line) for name in ("Window [", "Generate posexplode(ids")]
+    assert not any("Exchange" in line for line in plan[at[0]:at[1]])
+    assert out.count() == sum(3 * (i + 1) + 1 for i in range(5))
