@@ -10,7 +10,7 @@ from seqlake.operators.filters import (INT_TEXT, CorpusConfig, base_seconds, cor
 from seqlake.operators.stats import funnel
 from seqlake.plans.registry import register, table
 from seqlake.plans.standins import SQL_DOC_TOKENS, doc_tokens
-from seqlake.prepare import prepare, prepare_stream, read_manifest, read_prepared, read_rejects
+from seqlake.prepare import GAME_SCHEMA, prepare, prepare_stream, read_manifest, read_prepared, read_rejects
 from seqlake.session import scratch_dir
 from seqlake.sources.corpus import (count_scan, list_corpus, missing_files, pending_inputs, quarantine,
                                     rows_per_file, scan_corpus, scan_tolerant, shard_pairs, source_stem)
@@ -279,7 +279,9 @@ def damaged_inputs(spark, sf_dir, root):
     g = rejected_games(spark, sf_dir)
     g.hint("rebalance", "part").write.partitionBy("part").parquet(f"{root}/in")
     spark.createDataFrame([("this is no Parquet file",)], "value string").coalesce(1).write.text(f"{root}/broken")
-    g.where("part = 'P'").drop("part").repartition(1).write.parquet(f"{root}/torn")
+    # as written just now: the orders are joined to their lines once
+    written = spark.read.schema(f"{GAME_SCHEMA}, part string").parquet(f"{root}/in")
+    written.where("part = 'P'").drop("part").repartition(1).write.parquet(f"{root}/torn")
     for name in ("broken", "torn"):
         files, _, parts = _files(spark, f"{root}/{name}")
         target = path(f"{root}/in/{name}/file.parquet")

@@ -126,3 +126,21 @@ def test_converter_and_strict_mode(spark, corpus):
     assert why == expected
     with pytest.raises(Exception, match="CAST_INVALID_INPUT|cannot be cast|malformed"):
         prepare(spark, f"{root}/in", f"{root}/strict", mode="strict")
+
+
+def test_damaged_inputs_build_the_games_once(spark, tmp_path, monkeypatch):
+    """The torn file is made from the rows that were written, not from a second join of orders and lines."""
+    from seqlake.plans import corpus_plans
+    from seqlake.prepare import GAME_SCHEMA
+    built = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            built.add(b.num_rows)
+            yield b
+    games = spark.createDataFrame([(f"1. e4 e5 {i}", "2300", "2300", "180+2", "P" if i % 3 else "F") for i in range(60)],
+                                  f"{GAME_SCHEMA}, part string")
+    monkeypatch.setattr(corpus_plans, "rejected_games", lambda *_: games.mapInArrow(counted, games.schema))
+    corpus_plans.damaged_inputs(spark, "", str(tmp_path))
+    assert built.value == 60
+    assert spark.read.parquet(f"{tmp_path}/in/torn/file.parquet").count() == 40
